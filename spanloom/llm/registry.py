@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licences, packing
+from . import decontaminate, langid, licences, packing, styletree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styletree.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -57,6 +61,7 @@ def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_style_tree": op2_style_tree,
     "op4_ecoc_language": op4_ecoc_language,
     "op7_licence_automaton": op7_licence_automaton,
     "op5_hilbert_packing": op5_hilbert_packing,
