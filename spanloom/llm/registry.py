@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licences, packing, styletree
+from . import decontaminate, langid, licences, linededup, packing, styletree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,35 @@ def op4_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS ln, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
+), counted AS (
+  SELECT *, len(regexp_extract_all(ln, '[^ 	-]+')) AS nw FROM raw
+), l AS (
+  SELECT doc_id, pos, ln, nw, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(nw) OVER (PARTITION BY doc_id ORDER BY pos) AS cum FROM counted WHERE nw > 0
+), ends AS (
+  SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i < a.i + 10 AND b.cum >= a.cum - a.nw + 10 GROUP BY a.doc_id, a.i
+), runs AS (
+  SELECT e.doc_id, e.a, e.b, string_agg(l.ln, chr(10) ORDER BY l.i) AS s FROM ends e JOIN l ON l.doc_id = e.doc_id AND l.i BETWEEN e.a AND e.b GROUP BY e.doc_id, e.a, e.b
+), later AS (
+  SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, a) AS r FROM runs) WHERE r > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM later
+), gone_pos AS (
+  SELECT doc_id, pos FROM gone JOIN l USING (doc_id, i)
+)
+SELECT doc_id, CAST(count(*) FILTER (nw > 0) AS BIGINT) AS n_lines, CAST(count(g.pos) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(ln, chr(10) ORDER BY c.pos) FILTER (g.pos IS NULL), '')) AS kept_sha256
+FROM counted c LEFT JOIN gone_pos g USING (doc_id, pos) GROUP BY doc_id
+"""
+
+
 def op7_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -64,7 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_style_tree": op2_style_tree,
     "op4_ecoc_language": op4_ecoc_language,
     "op7_licence_automaton": op7_licence_automaton,
+    "op6_line_suffixes": op6_line_suffixes,
     "op5_hilbert_packing": op5_hilbert_packing,
     "op10_winnowing": op10_winnowing,
 }
-SQL: dict[str, str] = {"op10_winnowing": OP10_SQL}
+SQL: dict[str, str] = {"op6_line_suffixes": OP6_SQL, "op10_winnowing": OP10_SQL}
