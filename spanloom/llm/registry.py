@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licences, linededup, packing, styletree
+from . import curveknn, decontaminate, langid, licences, linededup, packing, styletree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,8 @@ OP6_SQL = r"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS ln, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
 ), counted AS (
-  SELECT *, len(regexp_extract_all(ln, '[^ 	-]+')) AS nw FROM raw
+  SELECT *, len(regexp_extract_all(ln, '[^ 	-
+]+')) AS nw FROM raw
 ), l AS (
   SELECT doc_id, pos, ln, nw, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(nw) OVER (PARTITION BY doc_id ORDER BY pos) AS cum FROM counted WHERE nw > 0
 ), ends AS (
@@ -85,6 +86,20 @@ def op7_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_shifted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curveknn.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda x, y: x + y)) AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS r FROM d) WHERE r <= 10
+"""
+
+
 def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -94,7 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ecoc_language": op4_ecoc_language,
     "op7_licence_automaton": op7_licence_automaton,
     "op6_line_suffixes": op6_line_suffixes,
+    "op8_shifted_curves": op8_shifted_curves,
     "op5_hilbert_packing": op5_hilbert_packing,
     "op10_winnowing": op10_winnowing,
 }
-SQL: dict[str, str] = {"op6_line_suffixes": OP6_SQL, "op10_winnowing": OP10_SQL}
+SQL: dict[str, str] = {"op6_line_suffixes": OP6_SQL, "op8_shifted_curves": OP8_SQL, "op10_winnowing": OP10_SQL}
