@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 MIN_PAGES = 8
 LOW = 0.5
+SALTS = 64
 RESULT = "page_id long, url string, text string, n_chars long"
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -221,7 +222,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     page = page.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")))
     # A host has as many unimportant nodes as its templates have branches, not as it has pages.
     low_nodes = style_tree(page, min_pages=min_pages).where(F.col("importance") < low).groupBy("host").agg(F.collect_list("path").alias("paths"))
-    joined = page.join(low_nodes, "host", "left").select("page_id", "url", "html", "paths")
+    # A host with many pages is dealt out in SALTS parts, each with a copy of the host's few paths.
+    low_nodes = low_nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    page = page.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = page.join(low_nodes, ["host", "salt"], "left").select("page_id", "url", "html", "paths")
 
     def each(batches):
         for batch in batches:
