@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curveknn, decontaminate, langid, licences, linededup, packing, styletree
+from . import curveknn, decontaminate, langid, licences, linededup, packing, styletree, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,10 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_n
 """
 
 
+def op9_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup_suffixes(_table(spark, sf_dir, "documents")).drop("span_starts", "span_ends")
+
+
 def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -110,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licence_automaton": op7_licence_automaton,
     "op6_line_suffixes": op6_line_suffixes,
     "op8_shifted_curves": op8_shifted_curves,
+    "op9_two_stage_suffixes": op9_two_stage_suffixes,
     "op5_hilbert_packing": op5_hilbert_packing,
     "op10_winnowing": op10_winnowing,
 }
