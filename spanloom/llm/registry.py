@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curveknn, decontaminate, langid, licences, linededup, packing, styletree, suffixdedup
+from . import curveknn, decontaminate, langid, licences, linededup, neardup, packing, styletree, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,35 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) END) AS s FROM w
+), member AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), often AS (
+  SELECT g FROM member GROUP BY g HAVING count(*) > 1
+), m AS (
+  SELECT doc_id, n, g FROM member JOIN often USING (g)
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM m a JOIN m b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+), comp AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comp USING (doc_id)
+"""
+
+
 def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styletree.extract(_table(spark, sf_dir, "pages"))
 
@@ -109,6 +138,7 @@ def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_forest": op1_minhash_forest,
     "op2_style_tree": op2_style_tree,
     "op4_ecoc_language": op4_ecoc_language,
     "op7_licence_automaton": op7_licence_automaton,
@@ -118,4 +148,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hilbert_packing": op5_hilbert_packing,
     "op10_winnowing": op10_winnowing,
 }
-SQL: dict[str, str] = {"op6_line_suffixes": OP6_SQL, "op8_shifted_curves": OP8_SQL, "op10_winnowing": OP10_SQL}
+SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_line_suffixes": OP6_SQL, "op8_shifted_curves": OP8_SQL, "op10_winnowing": OP10_SQL}
