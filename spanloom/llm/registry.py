@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curveknn, decontaminate, langid, licences, linededup, neardup, packing, styletree, suffixdedup
+from . import curveknn, decontaminate, langid, licences, linededup, neardup, packing, secretscan, styletree, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styletree.extract(_table(spark, sf_dir, "pages"))
 
 
+def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(_table(spark, sf_dir, "documents"), secretscan.train())
+
+
 def op4_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -140,6 +144,7 @@ def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_style_tree": op2_style_tree,
+    "op3_secret_forest": op3_secret_forest,
     "op4_ecoc_language": op4_ecoc_language,
     "op7_licence_automaton": op7_licence_automaton,
     "op6_line_suffixes": op6_line_suffixes,
