@@ -149,8 +149,8 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return found
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document, as in RESULT."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document, as in RESULT, and the columns to carry, each as carried_ and its name."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
@@ -169,9 +169,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             langs = [x if k else "und" for x, k in zip(langs or [""] * len(known), known, strict=True)]
             scores = [x if k else 0.0 for x, k in zip(scores or [0.0] * len(known), known, strict=True)]
             doubt = [bool(k and s < AMBIGUOUS) for s, k in zip(scores, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(doubt, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(doubt, pa.bool_()), *[batch.column(k) for k in range(2, batch.num_columns)]], names=["doc_id", "lang_pred", "score", "ambiguous", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, RESULT)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
+    kinds = "".join(f", carry_{i} {own.schema[f'carry_{i}'].dataType.simpleString()}" for i in range(len(carry)))
+    found = own.mapInArrow(each, RESULT + kinds)
+    return found.select("doc_id", "lang_pred", "score", "ambiguous", *[F.col(f"carry_{i}").alias(f"carried_{c}") for i, c in enumerate(carry)])
 
 
 def held_out(doc_id) -> F.Column:
