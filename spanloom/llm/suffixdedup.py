@@ -45,8 +45,9 @@ from .workspace import Workspace
 SPAN = 100
 K = 32
 HOT = 2000
+MAP_ENTRIES = 400_000
 BUCKET_BYTES = 12_000_000
-SORT_BYTES = 4_000_000
+SORT_BYTES = 1_500_000
 NO_ID = -(1 << 63)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts array<long>, span_ends array<long>, kept_sha256 string"
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -97,8 +98,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     small = np.where(known, padded[at] < padded[at + 1], True)
     direct = np.flatnonzero(small)
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    keys = [np.ascontiguousarray(words[direct + d]).view(">u8").ravel().astype(np.uint64) for d in range(0, depth, 8)]
-    direct = direct[_refined(keys)]
+    direct = _sorted_directly(words, direct, depth)
     rank = np.full(n + 1, -1, dtype=np.int64)
     rank[n] = n  # beyond the end, after all
     heads = np.bincount(text, minlength=256)
@@ -125,26 +125,31 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def _refined(keys: list[np.ndarray]) -> np.ndarray:
-    """np.lexsort of keys, the first being the most significant; later keys are sorted among ties alone."""
-    order = np.argsort(keys[0], kind="stable")
-    n = len(order)
-    if not n:
-        return order
-    bound = np.append(np.flatnonzero(np.concatenate(([True], np.diff(keys[0][order]) != 0))), n)
-    for key in keys[1:]:
-        sizes = np.diff(bound)
-        tied = np.repeat(sizes > 1, sizes)
-        at = np.flatnonzero(tied)
-        if not len(at):
+def _sorted_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes by their first depth bytes, eight at a time; later bytes are looked at among ties alone."""
+
+    def key(some: np.ndarray, d: int) -> np.ndarray:
+        return np.ascontiguousarray(words[some + d]).view(">u8").ravel().astype(np.uint64)
+
+    if not len(at):
+        return at
+    first = key(at, 0)
+    order = np.argsort(first, kind="stable")
+    out, first = at[order], first[order]
+    head = np.concatenate(([True], first[1:] != first[:-1]))  # starts of ties
+    for d in range(8, depth, 8):
+        lone = head & np.append(head[1:], True)
+        tied = np.flatnonzero(~lone)
+        if not len(tied):
             break
-        group = np.repeat(np.arange(len(sizes)), sizes)[at]
-        some = order[at]
-        order[at] = some[np.lexsort((key[some], group))]
-        value = key[order[at]]
-        parts = np.concatenate(([True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])))
-        bound = np.union1d(bound, at[parts])
-    return order
+        group = np.cumsum(head[tied])
+        some = out[tied]
+        value = key(some, d)
+        order = np.argsort(value, kind="stable")
+        order = order[np.argsort(group[order], kind="stable")]
+        out[tied], value = some[order], value[order]
+        head[tied[1:]] |= value[1:] != value[:-1]
+    return out
 
 
 def equal_windows(contexts: list[bytes], counts: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +211,7 @@ def _map(span: int, k: int, buckets: int):
                     own, start, n, gram, c1, c2 = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], span, k)
                     held.append({"hash": gram, "c1": c1, "c2": c2, "id": ids[own + i], "doc": docs[own + i], "start": start, "n": n.astype(np.int32)})
                     size += len(own)
-            if held and (batch is None or size > 1_500_000):
+            if held and (batch is None or size > MAP_ENTRIES):
                 e = {f: np.concatenate([x[f] for x in held]) for f, _ in _ENTRY}
                 held, size = [], 0
                 firsts, later = _settle(e)
@@ -292,31 +297,30 @@ def _reduce(hot: int):
 def _cut(span: int):
     """Texts with their contexts to the contexts' bytes, or for hot anchors to the windows' hashes."""
 
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        c = list(zip(*out, strict=True)) or [[]] * 7
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], names=["hash", "c1", "id", "doc", "start", "n", "bytes"])
+
     def each(batches):
+        out, size = [], 0
         for batch in batches:
             data, offsets = tb.column_bytes(batch.column(2))
             for d, (id_, doc, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                raw = data[offsets[d] : offsets[d + 1]]
-                out = {"hash": [], "c1": [], "start": [], "n": [], "bytes": []}
+                raw = data[offsets[d] : offsets[d + 1]].tobytes()
                 for w in wanted:
-                    hashes, starts, counts = (np.frombuffer(w[f], dtype=t) for f, t in (("hash", "<i8"), ("start", "<i8"), ("n", "<i8")))
+                    places = zip(*(np.frombuffer(w[f], "<i8").tolist() for f in ("hash", "start", "n")), strict=True)
                     if w["what"] == 1:
-                        out["hash"] += hashes.tolist()
-                        out["c1"] += [None] * len(hashes)
-                        out["start"] += starts.tolist()
-                        out["n"] += counts.tolist()
-                        out["bytes"] += [raw[s : s + n + span - 1].tobytes() for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+                        out += [(h, None, id_, doc, s, n, raw[s : s + n + span - 1]) for h, s, n in places]
                     else:
-                        for s, n in zip(starts.tolist(), counts.tolist(), strict=True):
+                        for _, s, n in places:
                             for p in range(s, s + n):
-                                x = hashlib.blake2b(raw[p : p + span].tobytes(), digest_size=16).digest()
-                                out["hash"].append(int.from_bytes(x[:8], "little", signed=True))
-                                out["c1"].append(int.from_bytes(x[8:], "little", signed=True))
-                                out["start"].append(p)
-                                out["n"].append(1)
-                                out["bytes"].append(None)
-                m = len(out["hash"])
-                yield pa.RecordBatch.from_arrays([pa.array(out["hash"], pa.int64()), pa.array(out["c1"], pa.int64()), pa.array([id_] * m, pa.int64()), pa.array([doc] * m, pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["bytes"], pa.binary())], names=["hash", "c1", "id", "doc", "start", "n", "bytes"])
+                                x = hashlib.blake2b(raw[p : p + span], digest_size=16).digest()
+                                out.append((int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True), id_, doc, p, 1, None))
+                    if len(out) > 20_000:
+                        yield rows(out)
+                        out = []
+        yield rows(out)
 
     return each
 
@@ -358,7 +362,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, span: int = SPAN, k: int =
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-int(size) // bucket_bytes))
     placed = docs.select("doc_id", "doc", "text").mapInArrow(_map(span, k, buckets), f"bucket long, {_BLOBS}")
-    found = work.keep(placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_reduce(hot), _FOUND))
+    found = work.keep(placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_reduce(hot), _FOUND), batch_rows=16)
     wanted = found.where("what > 0").groupBy("doc").agg(F.collect_list(F.struct("what", "hash", "start", "n")).alias("wanted"))
     contexts = work.keep(docs.dropDuplicates(["doc"]).join(wanted, "doc").select("doc_id", "doc", "text", "wanted").mapInArrow(_cut(span), "hash long, c1 long, id long, doc long, start long, n int, bytes binary"))
     to_sort = contexts.where("c1 is null").select("hash", "id", "doc", "start", "n", "bytes")

@@ -31,11 +31,18 @@ class Workspace:
         self._fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(where)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """df, written and read again."""
+    def keep(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+        """df, written and read again; batch_rows: of each Arrow batch, where rows are large."""
         self.count += 1
         to = f"{self.path}/{self.count}"
-        df.write.parquet(to)
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(name)
+        try:
+            if batch_rows:
+                self.spark.conf.set(name, batch_rows)
+            df.write.parquet(to)
+        finally:
+            self.spark.conf.set(name, before)
         return self.spark.read.schema(df.schema).parquet(to)
 
     def drop(self, *kept: DataFrame) -> None:
