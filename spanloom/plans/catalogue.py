@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import graph_queries
+
+_MODULES = (graph_queries,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
