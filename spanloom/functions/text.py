@@ -75,7 +75,8 @@ def natural_key(text: Column | str, width: int = 12) -> Column:
 
 def sentences(text: Column | str) -> Column:
     """Text split after '.', '!' or '?' and white space."""
-    return F.filter(F.split(F.trim(col(text)), r"(?<=[.!?])\s+"), lambda s: s != "")
+    marked = F.regexp_replace(F.trim(col(text)), r"([.!?])[ \t\n\f\r]+", "$1\u0001")
+    return F.filter(F.split(marked, "\u0001"), lambda s: s != "")
 
 
 def ascii_fold(text: Column | str) -> Column:
@@ -94,10 +95,10 @@ def cleaning_rules(text: Column | str, rules: Sequence[tuple[str, str]], poison:
 
 def panel_caption(caption: Column | str) -> Column:
     """A caption as one sd-panel element: markup mended, breaks and declarations gone, spaces single."""
-    out = F.regexp_replace(col(caption), r"\)(?=[^\s.,;:)])", ") ")
+    out = F.regexp_replace(col(caption), r"\)([^\s.,;:)])", ") $1")
     out = F.regexp_replace(out, r"[\r\n]", "")
     out = F.regexp_replace(out, r"<br\s*/?>", "")
-    out = F.regexp_replace(out, r"<link([^>]*[^/>])>(?!</link>)", "<link$1/>")
+    out = F.regexp_replace(out, r"<link([^>/]*)>", "<link$1/>")
     out = F.regexp_replace(out, r"<\?xml[^>]*\?>", "")
     out = F.when(out.rlike(r"^\s*<sd-panel"), out).otherwise(F.concat(F.lit("<sd-panel>"), out, F.lit("</sd-panel>")))
     out = F.regexp_replace(out, r"^(<sd-panel[^>]*>)\s*<sd-panel[^>]*>", "$1")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph_queries
+from . import graph_queries, text_queries
 
-_MODULES = (graph_queries,)
+_MODULES = (graph_queries, text_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
