@@ -32,6 +32,7 @@ from . import textbytes as tb
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 3000
+COUNT_TASKS = 12
 AMBIGUOUS = 0.6
 RESULT = "doc_id long, lang_pred string, score double, ambiguous boolean"
 _LETTER = regex.compile(r"\p{L}")
@@ -132,18 +133,36 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             at = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], names=["lang", "gram", "n"])
 
-    gathered = sample.select("text", "lang").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # The sample is bounded, so a few tasks count it, however many partitions the table has.
+    gathered = sample.repartition(COUNT_TASKS, "doc_id").select("text", "lang").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    def dense(batches):
+        for batch in batches:
+            langs, out = batch.column(0).to_pylist(), []
+            for i in range(len(langs)):
+                row = np.zeros(BUCKETS, dtype="<i8")
+                own = batch.column(1)[i].values
+                row[own.field("gram").to_numpy()] = own.field("n").to_numpy()
+                out.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["lang", "counts"])
+
+    # One row of BUCKETS counts for each language, at any size of the table.
+    packed = gathered.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("grams")).mapInArrow(dense, "lang string, counts binary")
     counts: dict[str, np.ndarray] = {k: np.zeros(BUCKETS) for k in sizes}
-    for part in gathered.toLocalIterator():  # BUCKETS rows a language at most
-        counts[part["lang"]][part["gram"]] = part["n"]
+    for row in packed.collect():
+        counts[row["lang"]] = np.frombuffer(row["counts"], "<i8").astype(float)
     return Model(counts)
 
 
 def has_letter(column: pa.Array) -> np.ndarray:
     """Whether each text has a letter of any script."""
     data, offsets = tb.column_bytes(column)
-    total = np.concatenate(([0], np.cumsum(_ASCII_LETTERS[data])))
-    found = total[offsets[1:]] > total[offsets[:-1]]
+    found = np.zeros(len(offsets) - 1, dtype=bool)
+    full = np.diff(offsets) > 0
+    for i, j in tb.chunks(offsets):
+        if full[i:j].any():
+            own = offsets[i:j][full[i:j]] - offsets[i]
+            found[i:j][full[i:j]] = np.logical_or.reduceat(_ASCII_LETTERS[data[offsets[i] : offsets[j]]], own)
     for i in np.flatnonzero(~found & (np.diff(offsets) > 0)):
         found[i] = _LETTER.search(column[int(i)].as_py()) is not None
     return found
