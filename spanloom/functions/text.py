@@ -62,7 +62,7 @@ def words(text: Column | str, drop_trailing_word: bool = False) -> Column:
     """
     out = F.regexp_extract_all(col(text), F.lit(WORD), F.lit(0))
     if drop_trailing_word:
-        cut = F.regexp_replace(col(text), r"[\p{L}\p{N}]+$", "")
+        cut = F.regexp_replace(col(text), r"[\p{L}\p{N}]+\z", "")
         out = F.regexp_extract_all(cut, F.lit(WORD), F.lit(0))
     return out
 

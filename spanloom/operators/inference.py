@@ -61,20 +61,20 @@ def top_class(scores: Column) -> tuple[Column, Column]:
 
 def words_first(subs: DataFrame, key: list[str], pos: str, scores: str) -> DataFrame:
     """Each word's class by its first sub-word."""
-    one = subs.groupBy(*key).agg(F.min_by(scores, pos).alias("s"))
-    return one.select(*key, v.argmax(F.col("s")).alias("class"), F.array_max("s").alias("score"))
+    one = subs.groupBy(*key).agg(F.min_by(scores, pos).alias("_s"))
+    return one.select(*key, v.argmax(F.col("_s")).alias("class"), F.array_max("_s").alias("score"))
 
 
 def words_max(subs: DataFrame, key: list[str], pos: str, scores: str) -> DataFrame:
     """Each word's class by its most certain sub-word, the first of equals."""
-    one = subs.groupBy(*key).agg(F.min_by(scores, F.struct(-F.array_max(scores), F.col(pos))).alias("s"))
-    return one.select(*key, v.argmax(F.col("s")).alias("class"), F.array_max("s").alias("score"))
+    one = subs.groupBy(*key).agg(F.min_by(scores, F.struct(-F.array_max(scores), F.col(pos))).alias("_s"))
+    return one.select(*key, v.argmax(F.col("_s")).alias("class"), F.array_max("_s").alias("score"))
 
 
 def words_average(subs: DataFrame, key: list[str], pos: str, scores: str, classes: int) -> DataFrame:
     """Each word's class by the mean of its sub-words' scores."""
-    one = subs.groupBy(*key).agg(F.array(*[F.avg(F.get(scores, F.lit(i))) for i in range(classes)]).alias("s"))
-    return one.select(*key, v.argmax(F.col("s")).alias("class"), F.array_max("s").alias("score"))
+    one = subs.groupBy(*key).agg(F.array(*[F.avg(F.get(scores, F.lit(i))) for i in range(classes)]).alias("_s"))
+    return one.select(*key, v.argmax(F.col("_s")).alias("class"), F.array_max("_s").alias("score"))
 
 
 def group_entities(tokens: DataFrame, key: str, pos: str, tag: str, score: str | None = None) -> DataFrame:
@@ -104,9 +104,9 @@ def panels(groups: DataFrame, key: str) -> DataFrame:
 
 def entities_in_panels(entities: DataFrame, panel: DataFrame, key: str) -> DataFrame:
     """Entities with the panel that holds them whole; an equi-join on the document with the range as its residue."""
-    p = panel.select(F.col(key).alias("k"), "panel", F.col("start").alias("panel_start"), F.col("end").alias("panel_end"))
+    p = panel.select(F.col(key).alias("_k"), "panel", F.col("start").alias("panel_start"), F.col("end").alias("panel_end"))
     inside = (F.col("start") >= F.col("panel_start")) & (F.col("start") < F.col("panel_end")) & (F.col("end") <= F.col("panel_end"))
-    return entities.join(p, (F.col(key) == F.col("k")) & inside).drop("k")
+    return entities.join(p, (F.col(key) == F.col("_k")) & inside).drop("_k")
 
 
 def masked_sentences(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,9 +118,9 @@ def masked_sentences(docs: DataFrame, spans: DataFrame, key: str = "doc_id", tex
     w = Window.partitionBy(key).orderBy("i")
     pieces = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))).alias("i", "piece"))
     pieces = pieces.withColumn("at", F.sum(F.length("piece")).over(w) - F.length("piece"))
-    s = spans.select(F.col(key).alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))
-    joined = pieces.join(s, (F.col(key) == F.col("k")) & (F.col("at") >= F.col("s")) & (F.col("at") < F.col("e")), "left")
-    shown = F.when(F.col("s").isNull(), F.col("piece")).when(F.col("at") == F.col("s"), MASK).otherwise("")
+    s = spans.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    joined = pieces.join(s, (F.col(key) == F.col("_k")) & (F.col("at") >= F.col("_s")) & (F.col("at") < F.col("_e")), "left")
+    shown = F.when(F.col("_s").isNull(), F.col("piece")).when(F.col("at") == F.col("_s"), MASK).otherwise("")
     parts = F.array_sort(F.collect_list(F.struct("i", shown.alias("t"))))
     return joined.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("masked"))
 

@@ -21,10 +21,10 @@ def span_labels(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", whole:
 
     Joined on the document, with the place as a residual condition. spans: key, start, end, label.
     """
-    s = spans.select(F.col(key).alias("k"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("label").alias("span_label"))
-    place = (F.col("start") >= F.col("s")) & (F.col("start") < F.col("e")) if whole else (F.col("s") >= F.col("start")) & (F.col("s") < F.col("end"))
-    joined = tokens.join(s, (F.col(key) == F.col("k")) & place, "left")
-    return joined.groupBy(*tokens.columns).agg(F.coalesce(F.min_by("span_label", "s"), F.lit("O")).alias("label"))
+    s = spans.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("label").alias("span_label"))
+    place = (F.col("start") >= F.col("_s")) & (F.col("start") < F.col("_e")) if whole else (F.col("_s") >= F.col("start")) & (F.col("_s") < F.col("end"))
+    joined = tokens.join(s, (F.col(key) == F.col("_k")) & place, "left")
+    return joined.groupBy(*tokens.columns).agg(F.coalesce(F.min_by("span_label", "_s"), F.lit("O")).alias("label"))
 
 
 def runs(tokens: DataFrame, tag: str, key: str | list[str] = "doc_id", pos: str = "pos", strict: bool = False) -> DataFrame:
@@ -69,8 +69,8 @@ def boundary(start: Column, previous_end: Column) -> Column:
 def char_iob2(spans: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Labels of single characters: key, i, iob2; one row for each character of each text."""
     chars = texts.select(key, F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("i")) if text else texts
-    s = spans.select(F.col(key).alias("k"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("label").alias("span_label"))
-    joined = chars.join(s, (F.col(key) == F.col("k")) & (F.col("i") >= F.col("s")) & (F.col("i") < F.col("e")), "left")
+    s = spans.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("label").alias("span_label"))
+    joined = chars.join(s, (F.col(key) == F.col("_k")) & (F.col("i") >= F.col("_s")) & (F.col("i") < F.col("_e")), "left")
     labelled = joined.groupBy(key, "i").agg(F.coalesce(F.min("span_label"), F.lit("O")).alias("label"))
     return iob2(labelled, "label", key, "i").select(key, "i", "iob2")
 
