@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .workspace import bounded_batches
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 3000
@@ -114,6 +115,7 @@ class Model:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the languages of labelled rows; about sample_rows of each are read whole."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -170,6 +172,7 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document, as in RESULT, and the columns to carry, each as carried_ and its name."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .workspace import bounded_batches
 
 MIN_MATCH = 4
 MIN_COVER = 0.6
@@ -188,6 +189,7 @@ def read_text(automaton: Automaton, runs: list[tuple[int, list[int]]], min_match
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, min_match: int = MIN_MATCH, min_cover: float = MIN_COVER, max_gap: int = MAX_GAP) -> DataFrame:
     """One row for each document, as in RESULT."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(Automaton(PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates))
 
     def each(batches):

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .hilbert import hilbert_key
+from .workspace import bounded_batches
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -143,6 +144,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
     """Pieces as in RESULT; every id of every document is in exactly one. max_tokens is a power of two."""
     if max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
+    bounded_batches(docs.sparkSession)
     key = F.arrow_udf(lambda text: pa.array(curve_keys(text), pa.int64()), "long")
 
     def each(batches):

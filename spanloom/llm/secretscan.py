@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .workspace import bounded_batches
 
 LONG, ASSIGNED = 16, 8
 AROUND = 48
@@ -266,6 +267,7 @@ def train(findings: DataFrame | None = None) -> Forest:
 
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each finding, as in RESULT."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(forest)
 
     def each(batches):

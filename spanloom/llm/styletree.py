@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import bounded_batches
+
 MIN_PAGES = 8
 LOW = 0.5
 SALTS = 64
@@ -218,6 +220,7 @@ def style_tree(pages: DataFrame, host: str = "host", html: str = "html", min_pag
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
     """One row for each page, as in RESULT: its main text and its code points."""
+    bounded_batches(pages.sparkSession)
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     page = page.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")))
     # A host has as many unimportant nodes as its templates have branches, not as it has pages.

@@ -20,10 +20,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of an Arrow batch at most, since rows hold whole texts.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows: they are read when a result runs, after its operator has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Workspace:
     """Parquet tables of one run; they go when they are dropped, or with the JVM."""
 
     def __init__(self, spark: SparkSession):
+        bounded_batches(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark).rstrip('/')}/spanloom-{uuid.uuid4().hex}"
         self.count = 0
