@@ -198,6 +198,17 @@ def _settle(e: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str,
     return {k: v[new] for k, v in e.items()}, {k: v[later] for k, v in e.items()}
 
 
+def _in_parts(data: np.ndarray, offsets: np.ndarray, span: int, k: int):
+    """anchors(), for a very long text part by part: each window is in one part."""
+    if len(data) <= tb.LONG or len(offsets) > 2:
+        yield anchors(data, offsets, span, k)
+        return
+    for at in range(0, len(data) - span + 1, tb.LONG):
+        part = data[at : at + tb.LONG + span - 1]
+        own, start, *rest = anchors(part, np.array([0, len(part)]), span, k)
+        yield own, start + at, *rest
+
+
 def _map(span: int, k: int, buckets: int):
     def each(batches):
         held: list[dict] = []
@@ -208,9 +219,9 @@ def _map(span: int, k: int, buckets: int):
                 ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 docs = batch.column(1).to_numpy(zero_copy_only=False)
                 for i, j in tb.chunks(offsets):
-                    own, start, n, gram, c1, c2 = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], span, k)
-                    held.append({"hash": gram, "c1": c1, "c2": c2, "id": ids[own + i], "doc": docs[own + i], "start": start, "n": n.astype(np.int32)})
-                    size += len(own)
+                    for own, start, n, gram, c1, c2 in _in_parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], span, k):
+                        held.append({"hash": gram, "c1": c1, "c2": c2, "id": ids[own + i], "doc": docs[own + i], "start": start, "n": n.astype(np.int32)})
+                        size += len(own)
             if held and (batch is None or size > MAP_ENTRIES):
                 e = {f: np.concatenate([x[f] for x in held]) for f, _ in _ENTRY}
                 held, size = [], 0
@@ -362,7 +373,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, span: int = SPAN, k: int =
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-int(size) // bucket_bytes))
     placed = docs.select("doc_id", "doc", "text").mapInArrow(_map(span, k, buckets), f"bucket long, {_BLOBS}")
-    found = work.keep(placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_reduce(hot), _FOUND), batch_rows=16)
+    found = work.keep(placed.repartition(max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket").mapInArrow(_reduce(hot), _FOUND), batch_rows=16)
     wanted = found.where("what > 0").groupBy("doc").agg(F.collect_list(F.struct("what", "hash", "start", "n")).alias("wanted"))
     contexts = work.keep(docs.dropDuplicates(["doc"]).join(wanted, "doc").select("doc_id", "doc", "text", "wanted").mapInArrow(_cut(span), "hash long, c1 long, id long, doc long, start long, n int, bytes binary"))
     to_sort = contexts.where("c1 is null").select("hash", "id", "doc", "start", "n", "bytes")

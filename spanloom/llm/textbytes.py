@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
+LONG = 4 * CHUNK
 _MULT = 0x9E6C63D0876A3F6B  # odd, so that it has an inverse modulo 2**64
 _INV = pow(_MULT, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -109,9 +110,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tu
 
 
 def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words, and the index of the first word of each text."""
-    starts, ends, first = word_spans(data, offsets, letters)
-    return piece_hash(prefix_hash(UPPER_TO_LOWER[data]), starts, ends), first
+    """Hashes of the lower-cased words, and the index of the first word of each text.
+
+    A text beyond LONG bytes is hashed in parts that end between words.
+    """
+    if len(data) <= LONG:
+        starts, ends, first = word_spans(data, offsets, letters)
+        return piece_hash(prefix_hash(UPPER_TO_LOWER[data]), starts, ends), first
+    parts, first, count = [], [0], 0
+    for i in range(len(offsets) - 1):
+        at, end = int(offsets[i]), int(offsets[i + 1])
+        while at < end:
+            to = min(at + LONG, end)
+            while to < end and letters[data[to - 1]] and letters[data[to]]:
+                to += 1
+            starts, ends, _ = word_spans(data[at:to], np.array([0, to - at]), letters)
+            parts.append(piece_hash(prefix_hash(UPPER_TO_LOWER[data[at:to]]), starts, ends))
+            count += len(starts)
+            at = to
+        first.append(count)
+    return np.concatenate(parts), np.array(first)
 
 
 def grams(values: np.ndarray, k: int) -> np.ndarray:

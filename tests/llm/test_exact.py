@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import curveknn, decontaminate, licences, linededup, neardup, suffixdedup
+from spanloom.llm import curveknn, decontaminate, langid, licences, linededup, neardup, suffixdedup
 from spanloom.llm import textbytes as tb
 from spanloom.llm.hilbert import hilbert_key
 
@@ -283,3 +283,18 @@ def test_workspace_needs_a_shared_folder(spark):
     assert kept.count() == 5
     w.drop(kept)
     assert F is not None
+
+
+def test_very_long_texts_are_read_in_parts(spark, texts, monkeypatch):
+    raw = "\n".join(t or "" for t in texts).encode()
+    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, 0, len(raw)])
+    whole = tb.words(data, offsets, tb.ALNUM)
+    model = langid.Model({"a": np.arange(langid.BUCKETS) % 7 + 1.0, "b": np.arange(langid.BUCKETS) % 11 + 1.0})
+    margins = model.margins(data, np.array([0, len(raw)]))
+    monkeypatch.setattr(tb, "LONG", 700)
+    parts = tb.words(data, offsets, tb.ALNUM)
+    assert parts[0].tolist() == whole[0].tolist() and parts[1].tolist() == whole[1].tolist()
+    assert np.allclose(model.margins(data, np.array([0, len(raw)])), margins)
+    windows = sorted((int(s) + i, int(g)) for _, s, n, g, _, _ in [suffixdedup.anchors(data, np.array([0, len(raw)]))] for s, n, g in zip(s, n, g, strict=True) for i in range(n))
+    cut = sorted((int(s) + i, int(g)) for _, s, n, g, _, _ in suffixdedup._in_parts(data, np.array([0, len(raw)]), 100, 32) for s, n, g in zip(s, n, g, strict=True) for i in range(n))
+    assert cut == windows
