@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from .tokens import PIECE, islands
+from .tokens import PIECE, as_of, islands, words_in_order
 
 MASK = "[MASK]"
 
@@ -77,14 +77,14 @@ def words_average(subs: DataFrame, key: list[str], pos: str, scores: str, classe
     return one.select(*key, v.argmax(F.col("_s")).alias("class"), F.array_max("_s").alias("score"))
 
 
-def group_entities(tokens: DataFrame, key: str, pos: str, tag: str, score: str | None = None) -> DataFrame:
-    """Runs of one label, O included: key, entity_group, start, end, and the mean score; a B- always begins one."""
+def group_entities(tokens: DataFrame, key: str, pos: str, tag: str, score: str | None = None, word: str | None = None) -> DataFrame:
+    """Runs of one label, O included: key, entity_group, start, end, the mean score, and the words; a B- always begins one."""
     w = Window.partitionBy(key).orderBy(pos)
     label = F.when(F.col(tag).rlike("^[BI]-"), F.substring(tag, 3, 1000)).otherwise(F.col(tag))
     rows = tokens.withColumn("entity_group", label)
     goes_on = (F.lag("entity_group").over(w) == F.col("entity_group")) & ~F.col(tag).startswith("B-")
     rows = islands(rows.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))), key, pos, ~F.col("goes_on"))
-    extra = [F.avg(score).alias("score")] if score else []
+    extra = ([F.avg(score).alias("score")] if score else []) + ([words_in_order(pos, word).alias("text")] if word else [])
     return rows.groupBy(key, "island", "entity_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), *extra)
 
 
@@ -103,10 +103,10 @@ def panels(groups: DataFrame, key: str) -> DataFrame:
 
 
 def entities_in_panels(entities: DataFrame, panel: DataFrame, key: str) -> DataFrame:
-    """Entities with the panel that holds them whole; an equi-join on the document with the range as its residue."""
-    p = panel.select(F.col(key).alias("_k"), "panel", F.col("start").alias("panel_start"), F.col("end").alias("panel_end"))
-    inside = (F.col("start") >= F.col("panel_start")) & (F.col("start") < F.col("panel_end")) & (F.col("end") <= F.col("panel_end"))
-    return entities.join(p, (F.col(key) == F.col("_k")) & inside).drop("_k")
+    """Entities with the panel that holds them whole; panels of a document do not overlap."""
+    found = as_of(entities, panel.select(key, "start", "panel", F.col("end").alias("panel_end")), key, "start", name="_panel")
+    inside = (F.col("start") < F.col("_panel.panel_end")) & (F.col("end") <= F.col("_panel.panel_end"))
+    return found.where(inside).select(*entities.columns, F.col("_panel.panel").alias("panel"), F.col("_panel.start").alias("panel_start"), F.col("_panel.panel_end").alias("panel_end"))
 
 
 def masked_sentences(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,11 +118,10 @@ def masked_sentences(docs: DataFrame, spans: DataFrame, key: str = "doc_id", tex
     w = Window.partitionBy(key).orderBy("i")
     pieces = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))).alias("i", "piece"))
     pieces = pieces.withColumn("at", F.sum(F.length("piece")).over(w) - F.length("piece"))
-    s = spans.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    joined = pieces.join(s, (F.col(key) == F.col("_k")) & (F.col("at") >= F.col("_s")) & (F.col("at") < F.col("_e")), "left")
-    shown = F.when(F.col("_s").isNull(), F.col("piece")).when(F.col("at") == F.col("_s"), MASK).otherwise("")
-    parts = F.array_sort(F.collect_list(F.struct("i", shown.alias("t"))))
-    return joined.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("masked"))
+    found = as_of(pieces, spans.select(key, "start", "end"), key, "at", name="_span")
+    outside = F.col("_span").isNull() | (F.col("at") >= F.col("_span.end"))
+    shown = F.when(outside, F.col("piece")).when(F.col("at") == F.col("_span.start"), MASK).otherwise("")
+    return found.withColumn("shown", shown).groupBy(key).agg(words_in_order("i", "shown", "").alias("masked"))
 
 
 def one_per_mask(sentences: DataFrame, masked: str = "masked") -> DataFrame:

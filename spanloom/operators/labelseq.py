@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
-from .tokens import islands
+from .tokens import as_of, islands, words_in_order
 
 
 def iob2(tokens: DataFrame, label: str, key: str = "doc_id", pos: str = "pos", name: str = "iob2") -> DataFrame:
@@ -16,31 +16,33 @@ def iob2(tokens: DataFrame, label: str, key: str = "doc_id", pos: str = "pos", n
     return tokens.withColumn(name, mark)
 
 
-def span_labels(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", whole: bool = True) -> DataFrame:
-    """Tokens with the label of the span over their first character, or, for boundaries (not whole), of any span that starts inside them; O elsewhere.
+def span_labels(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", whole: bool = True, pos: str = "pos") -> DataFrame:
+    """Tokens with the label of the span over their first character, or, for boundaries (not whole), of the first span that starts inside them; O elsewhere.
 
-    Joined on the document, with the place as a residual condition. spans: key, start, end, label.
+    spans: key, start, end, label; spans of a document do not overlap.
     """
-    s = spans.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("label").alias("span_label"))
-    place = (F.col("start") >= F.col("_s")) & (F.col("start") < F.col("_e")) if whole else (F.col("_s") >= F.col("start")) & (F.col("_s") < F.col("end"))
-    joined = tokens.join(s, (F.col(key) == F.col("_k")) & place, "left")
-    return joined.groupBy(*tokens.columns).agg(F.coalesce(F.min_by("span_label", "_s"), F.lit("O")).alias("label"))
+    if whole:
+        found = as_of(tokens, spans.select(key, "start", "end", "label"), key, "start", name="_span")
+        return found.select(*tokens.columns, F.when(F.col("start") < F.col("_span.end"), F.col("_span.label")).otherwise("O").alias("label"))
+    starts = as_of(spans.select(key, F.col("start").alias("_s"), "label"), tokens.select(key, "start", "end", pos), key, "_s", name="_token")
+    inside = starts.where(F.col("_s") < F.col("_token.end")).groupBy(key, F.col(f"_token.{pos}").alias(pos)).agg(F.min_by("label", "_s").alias("label"))
+    return tokens.join(inside, [key, pos], "left").select(*tokens.columns, F.coalesce("label", F.lit("O")).alias("label"))
 
 
-def runs(tokens: DataFrame, tag: str, key: str | list[str] = "doc_id", pos: str = "pos", strict: bool = False) -> DataFrame:
-    """Entity spans of IOB2 tags: key, label, first, last (positions).
+def runs(tokens: DataFrame, tag: str, key: str | list[str] = "doc_id", pos: str = "pos", strict: bool = False, word: str | None = None) -> DataFrame:
+    """Entity spans of IOB2 tags: key, label, first, last (positions), and with word their text.
 
     Lenient: an I- without a run before it, or of another type, starts one. Strict: such an I- is no entity.
     """
     keys = [key] if isinstance(key, str) else key
     w = Window.partitionBy(*keys).orderBy(pos)
     kind = F.when(F.col(tag) == "O", "O").otherwise(F.substring(tag, 1, 1))
-    rows = tokens.select(*keys, pos, kind.alias("kind"), F.when(F.col(tag) != "O", lb.bare(F.col(tag))).alias("label"))
+    rows = tokens.select(*keys, pos, *([word] if word else []), kind.alias("kind"), F.when(F.col(tag) != "O", lb.bare(F.col(tag))).alias("label"))
     rows = rows.withColumns({"prev_kind": F.lag("kind").over(w), "prev_label": F.lag("label").over(w)})
     goes_on = (F.col("kind") == "I") & (F.coalesce("prev_kind", F.lit("O")) != "O") & (F.col("prev_label") == F.col("label"))
     rows = islands(rows, keys, pos, ~goes_on).where("kind <> 'O'")
-    found = rows.groupBy(*keys, "island").agg(F.first("label").alias("label"), F.min_by("kind", pos).alias("head"), F.min(pos).alias("first"), F.max(pos).alias("last"))
-    return (found.where("head = 'B'") if strict else found).select(*keys, "label", "first", "last")
+    found = rows.groupBy(*keys, "island").agg(F.first("label").alias("label"), F.min_by("kind", pos).alias("head"), F.min(pos).alias("first"), F.max(pos).alias("last"), *([words_in_order(pos, word).alias("text")] if word else []))
+    return (found.where("head = 'B'") if strict else found).select(*keys, "label", "first", "last", *(["text"] if word else []))
 
 
 def entity_texts(tokens: DataFrame, tag: str, word: str = "word", key: str = "doc_id", pos: str = "pos", separator: str = " ") -> DataFrame:
@@ -49,8 +51,7 @@ def entity_texts(tokens: DataFrame, tag: str, word: str = "word", key: str = "do
     label = F.when(F.col(tag) != "O", lb.bare(F.col(tag)))
     rows = tokens.withColumns({"label": label, "inside": F.col(tag).startswith("I-")}).withColumns({"prev": F.lag("label").over(w)})
     rows = islands(rows, key, pos, ~(F.col("inside") & F.coalesce(F.col("prev") == F.col("label"), F.lit(False)))).where("label is not null")
-    parts = F.array_sort(F.collect_list(F.struct(pos, word)))
-    return rows.groupBy(key, "island", "label").agg(F.min(pos).alias("first"), F.array_join(F.transform(parts, lambda x: x[word]), separator).alias("text")).drop("island")
+    return rows.groupBy(key, "island", "label").agg(F.min(pos).alias("first"), words_in_order(pos, word, separator).alias("text")).drop("island")
 
 
 def align_subtokens(subtokens: DataFrame, words: DataFrame, key: str = "doc_id", word: str = "word_id", pos: str = "sub_pos", label: str = "label", first_only: bool = False) -> DataFrame:
@@ -68,10 +69,9 @@ def boundary(start: Column, previous_end: Column) -> Column:
 
 def char_iob2(spans: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Labels of single characters: key, i, iob2; one row for each character of each text."""
-    chars = texts.select(key, F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("i")) if text else texts
-    s = spans.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("label").alias("span_label"))
-    joined = chars.join(s, (F.col(key) == F.col("_k")) & (F.col("i") >= F.col("_s")) & (F.col("i") < F.col("_e")), "left")
-    labelled = joined.groupBy(key, "i").agg(F.coalesce(F.min("span_label"), F.lit("O")).alias("label"))
+    chars = texts.select(key, F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("i"))
+    found = as_of(chars, spans.select(key, "start", "end", "label"), key, "i", name="_span")
+    labelled = found.select(key, "i", F.when(F.col("i") < F.col("_span.end"), F.col("_span.label")).otherwise("O").alias("label"))
     return iob2(labelled, "label", key, "i").select(key, "i", "iob2")
 
 

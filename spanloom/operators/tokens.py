@@ -33,6 +33,11 @@ def collected(rows: DataFrame, key: str, pos: str, *columns: str) -> DataFrame:
     return out.select(key, *[F.col("items").getField(c).alias(c) for c in columns])
 
 
+def words_in_order(pos: str, word: str, separator: str = " ") -> Column:
+    """Aggregate: the words of a group in the order of pos, as one text."""
+    return F.array_join(F.array_sort(F.collect_list(F.struct(pos, word))).getField(word), separator)
+
+
 def islands(rows: DataFrame, key: str | list[str], order: str, starts: Column, name: str = "island") -> DataFrame:
     """Rows with the number (from 1) of the island they are in; a row for which starts holds begins one."""
     keys = [key] if isinstance(key, str) else key
@@ -40,6 +45,19 @@ def islands(rows: DataFrame, key: str | list[str], order: str, starts: Column, n
     return rows.withColumn(name, F.sum(starts.cast("int")).over(w))
 
 
+def as_of(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str = "start", name: str = "found") -> DataFrame:
+    """Points with the interval (a struct under name) of their key that starts last at or before them; null if none does.
+
+    Points and intervals are sorted together within a key and the last interval is
+    carried along, so the work follows their number and not its product, as it would
+    in a join with a range condition.
+    """
+    held = intervals.select(key, F.col(start).alias("_at"), F.lit(0).alias("_point"), F.struct(*[c for c in intervals.columns if c != key]).alias(name))
+    both = points.withColumns({"_at": F.col(at).cast(dict(held.dtypes)["_at"]), "_point": F.lit(1)}).unionByName(held, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(name, F.last(name, ignorenulls=True).over(w)).where("_point = 1").drop("_at", "_point")
+
+
 def exact_dedupe(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """The first row of each key and text, by order."""
     w = Window.partitionBy(key, text).orderBy(order)

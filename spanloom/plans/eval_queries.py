@@ -112,13 +112,7 @@ def memorization_report(spark, sf_dir):
     split = sp.document_split(table(spark, sf_dir, "documents"))
     tags = predicted(spark, sf_dir)
 
-    def spans(tag):
-        # a lenient run's text, whatever its first prefix is
-        r = ls.runs(tags, tag)
-        inside = tags.select("doc_id", "pos", "word").join(r, "doc_id").where("pos >= first AND pos <= last")
-        parts = F.array_sort(F.collect_list(F.struct("pos", "word")))
-        return inside.groupBy("doc_id", "label", "first", "last").agg(F.array_join(F.transform(parts, lambda x: x["word"]), " ").alias("text"))
-
+    spans = lambda tag: ls.runs(tags, tag, word="word")
     truth = spans("iob2")
     known = truth.join(split.where("split = 'train'"), "doc_id", "left_semi").select("label", "text").distinct().withColumn("in_training", F.lit(True))
     seen = m.match(truth, spans("predicted"), "doc_id", "label", "first", "last").join(split.where("split = 'test'"), "doc_id", "left_semi")

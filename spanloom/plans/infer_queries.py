@@ -131,11 +131,8 @@ INSIDE = PANELS + runs_sql("gold", "iob2", "ent0") + """, ent AS (SELECT e.doc_i
 
 
 def entity_table(spark, sf_dir):
-    t = labelled(spark, sf_dir)
-    groups = inf.group_entities(t, "doc_id", "pos", "iob2").where("entity_group <> 'O'").select("doc_id", F.col("entity_group").alias("type"), "start", "end")
-    words = t.select("doc_id", F.col("start").alias("s"), "word").join(groups.withColumnRenamed("doc_id", "d"), (F.col("doc_id") == F.col("d")) & (F.col("s") >= F.col("start")) & (F.col("s") < F.col("end")))
-    parts = F.array_sort(F.collect_list(F.struct("s", "word")))
-    return words.groupBy("doc_id", "type", "start", "end").agg(F.array_join(F.transform(parts, lambda x: x["word"]), " ").alias("text"))
+    groups = inf.group_entities(labelled(spark, sf_dir), "doc_id", "pos", "iob2", word="word").where("entity_group <> 'O'")
+    return groups.select("doc_id", F.col("entity_group").alias("type"), "start", "end", "text")
 
 
 @query(INSIDE + "SELECT doc_id, panel, type, \"start\", \"end\" FROM inside")
