@@ -25,7 +25,7 @@ class Training:
 
 
 # Mask and replacement probabilities by task.
-TASKS = {"NER": (0.0, 0.0), "PANELIZATION": (0.0, 0.0), "GENEPROD_ROLES": (1.0, 0.0), "SMALL_MOL_ROLES": (1.0, 0.0)}
+TASKS = {"NER": (0.025, 0.025), "PANELIZATION": (0.0, 0.0), "GENEPROD_ROLES": (1.0, 0.0), "SMALL_MOL_ROLES": (1.0, 0.0)}
 
 
 def for_task(task: str) -> Training:
