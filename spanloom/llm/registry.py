@@ -119,6 +119,28 @@ def op7_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+OP9_SQL = """
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), parts AS (
+  SELECT doc_id, k * 250 AS base, substr(x, 500 * k + 1, 698) AS x FROM (SELECT doc_id, x, unnest(range(0, (len(x) // 2 - 100) // 250 + 1)) AS k FROM h WHERE len(x) >= 200)
+), w AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM (SELECT doc_id, base + j AS i, md5(substr(x, 2 * j + 1, 200)) AS g FROM (SELECT doc_id, base, x, unnest(range(0, len(x) // 2 - 99)) AS j FROM parts))
+), later AS (
+  SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS fresh FROM w WHERE r > 1
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM later) GROUP BY doc_id, k
+), seg AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM s
+), cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS t FROM seg JOIN h USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(concat(t, substr(x, 2 * coalesce(last, 0) + 1)))) AS kept_sha256
+FROM h LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op8_shifted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curveknn.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -153,4 +175,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hilbert_packing": op5_hilbert_packing,
     "op10_winnowing": op10_winnowing,
 }
-SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_line_suffixes": OP6_SQL, "op8_shifted_curves": OP8_SQL, "op10_winnowing": OP10_SQL}
+SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_line_suffixes": OP6_SQL, "op8_shifted_curves": OP8_SQL, "op9_two_stage_suffixes": OP9_SQL, "op10_winnowing": OP10_SQL}
