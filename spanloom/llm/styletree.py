@@ -50,7 +50,7 @@ RAW = frozenset("script style noscript template textarea svg iframe object canva
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 NO_ARTICLE = frozenset("nav footer header aside form button dialog menu head title".split())
-NO_ARTICLE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?\w*|consent|notice|gdpr|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|disqus|replies|respond|share|social|related|recommended|newsletter|subscribe|signup|login|search|popup|modal|widget|toolbar|pagination|pager)(?:$|[\s_-])", re.I)
+NO_ARTICLE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|ad(?:sense|slot|box|unit)s?|advert\w*|banner|sponsor\w*|promo\w*|cookies?\w*|consent|notices?|disclaimer|legal|copyright|gdpr|nav\w*|subnav|top(?:bar|nav)|menus?|contentinfo|complementary|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|disqus|replies|respond|share|social|related|recommended|newsletter|subscribe|signup|login|search|popup|modal|widget|toolbar|pagination|pager)(?:$|[\s_-])", re.I)
 
 
 class Node:
