@@ -47,6 +47,7 @@ K = 32
 HOT = 2000
 MAP_ENTRIES = 400_000
 BUCKET_BYTES = 12_000_000
+MOST_PARTS = 20_000
 SORT_BYTES = 1_500_000
 NO_ID = -(1 << 63)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts array<long>, span_ends array<long>, kept_sha256 string"
@@ -371,9 +372,11 @@ def _sort(span: int):
 def repeated_spans(docs: DataFrame, work: Workspace, span: int = SPAN, k: int = K, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """Windows of span bytes that also start earlier: doc, start, n (n windows from start on, as arrays), and doc, s (single ones). docs: doc_id, doc, text."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, -(-int(size) // bucket_bytes))
+    # Some buckets to a partition even out what hashing deals to each; a task holds one bucket at a time.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-int(size) // bucket_bytes)))
+    buckets = max(8 * parts, -(-int(size) // bucket_bytes))
     placed = docs.select("doc_id", "doc", "text").mapInArrow(_map(span, k, buckets), f"bucket long, {_BLOBS}")
-    found = work.keep(placed.repartition(max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket").mapInArrow(_reduce(hot), _FOUND), batch_rows=16)
+    found = work.keep(placed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_reduce(hot), _FOUND), batch_rows=16)
     wanted = found.where("what > 0").groupBy("doc").agg(F.collect_list(F.struct("what", "hash", "start", "n")).alias("wanted"))
     contexts = work.keep(docs.dropDuplicates(["doc"]).join(wanted, "doc").select("doc_id", "doc", "text", "wanted").mapInArrow(_cut(span), "hash long, c1 long, id long, doc long, start long, n int, bytes binary"))
     to_sort = contexts.where("c1 is null").select("hash", "id", "doc", "start", "n", "bytes")
