@@ -291,7 +291,9 @@ def test_very_long_texts_are_read_in_parts(spark, texts, monkeypatch):
     whole = tb.words(data, offsets, tb.ALNUM)
     model = langid.Model({"a": np.arange(langid.BUCKETS) % 7 + 1.0, "b": np.arange(langid.BUCKETS) % 11 + 1.0})
     margins = model.margins(data, np.array([0, len(raw)]))
+    lines = linededup.line_table(data, np.array([0, len(raw)]))
     monkeypatch.setattr(tb, "LONG", 700)
+    assert all(a.tolist() == b.tolist() for a, b in zip(lines, linededup.line_table_in_parts(data, np.array([0, len(raw)])), strict=True))
     parts = tb.words(data, offsets, tb.ALNUM)
     assert parts[0].tolist() == whole[0].tolist() and parts[1].tolist() == whole[1].tolist()
     assert np.allclose(model.margins(data, np.array([0, len(raw)])), margins)
