@@ -9,6 +9,9 @@ over the entropy it would have if every page differed. Branches of low importanc
 whose tag or class names what is no article (menus, forms, notices, comments); what
 stands in an article or main element is taken where a page has one.
 
+Inside an article or main element the bar for removal is lower, since pages of one article
+under several addresses are no template.
+
 Entropy needs pages: below MIN_PAGES pages with a node, its importance is 1. The
 style tree is aggregated in Spark (counts of path and text hash, partial sums before
 the shuffle) and joined to pages by host and path; no host is gathered in one task.
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from .workspace import bounded_batches
 
 MIN_PAGES = 8
-LOW = 0.5
+LOW, LOW_INSIDE = 0.5, 0.3
 SALTS = 64
 RESULT = "page_id long, url string, text string, n_chars long"
 
@@ -218,13 +221,13 @@ def style_tree(pages: DataFrame, host: str = "host", html: str = "html", min_pag
     return node.where(F.col("pages") >= min_pages).select("host", "path", "pages", (1 - F.col("s") / (F.col("pages") * F.log2("pages"))).alias("importance"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, low: float = LOW, low_inside: float = LOW_INSIDE) -> DataFrame:
     """One row for each page, as in RESULT: its main text and its code points."""
     bounded_batches(pages.sparkSession)
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     page = page.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")))
     # A host has as many unimportant nodes as its templates have branches, not as it has pages.
-    low_nodes = style_tree(page, min_pages=min_pages).where(F.col("importance") < low).groupBy("host").agg(F.collect_list("path").alias("paths"))
+    low_nodes = style_tree(page, min_pages=min_pages).where(F.col("importance") < F.when(F.col("path").rlike(r">(article|main)(\.|>|$)"), low_inside).otherwise(low)).groupBy("host").agg(F.collect_list("path").alias("paths"))
     # A host with many pages is dealt out in SALTS parts, each with a copy of the host's few paths.
     low_nodes = low_nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     page = page.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
