@@ -13,8 +13,10 @@ First a spanning forest of them (in large regions, stars around the classes near
 the region's modal signature), which is as many as there are classes; these are confirmed
 on the full sets, and components are taken. Then, in a second round, candidates that join
 different components and were not confirmed yet (in large regions the best and the most
-central ones of each other component). So confirmations follow the number of
-documents, not the squares of groups, and what is linked is always confirmed on full sets.
+central ones of each other component), and in a third all candidates of large regions that
+still join different components. So within a component confirmations follow the number of
+documents, not the square of its size; between components that stay apart every candidate
+is confirmed or rejected, and what is linked is always confirmed on full sets.
 
 Defined results: null or empty texts (and those without words) have the empty set, are
 linked with nothing and are their own component; with fewer words than a shingle the whole
@@ -25,6 +27,9 @@ id; an empty table gives no rows. Shingles are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +47,7 @@ DEPTHS = (5, 8, 12, 18, 27, 40, 64, 128)
 REGION = 16_384
 MATRIX = 512
 CHOSEN = 8
+PAIRS = 100_000
 _ROW = "doc_id long, doc long, n_shingles long, cls long, sig binary"
 
 
@@ -144,10 +150,10 @@ def regions(classes: DataFrame, work: Workspace, trees: int = TREES, largest: in
     return work.keep(whole.join(classes.select("cls", "sig").hint("merge"), "cls").select("region", "cls", "sig", "tree")), even
 
 
-def forest(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
+def forest(sig: np.ndarray, least: int, matrix: int = MATRIX) -> list[tuple[int, int]]:
     """Pairs of rows that agree in least slots or more: a spanning forest, best pairs first; stars where rows are many."""
     n = len(sig)
-    if n <= MATRIX:
+    if n <= matrix:
         agree = np.zeros((n, n), dtype=np.int16)
         for s in range(sig.shape[1]):
             agree += sig[:, s][:, None] == sig[:, s][None, :]
@@ -184,12 +190,12 @@ def _to_mode(sig: np.ndarray) -> np.ndarray:
     return (sig == np.array([_mode(sig[:, s]) for s in range(sig.shape[1])], dtype=sig.dtype)).sum(axis=1)
 
 
-def _leading(rows: np.ndarray, group: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Of the rows of each group, the CHOSEN of largest value."""
+def _leading(rows: np.ndarray, group: np.ndarray, value: np.ndarray, chosen: int) -> np.ndarray:
+    """Of the rows of each group, the chosen ones of largest value."""
     order = np.lexsort((rows, -value, group))
     g = group[order]
     start = np.searchsorted(g, g)
-    return rows[order[np.arange(len(g)) - start < CHOSEN]]
+    return rows[order[np.arange(len(g)) - start < chosen]]
 
 
 def _mode(values: np.ndarray) -> int:
@@ -197,38 +203,41 @@ def _mode(values: np.ndarray) -> int:
     return found[counts.argmax()]
 
 
-def across(sig: np.ndarray, comp: np.ndarray, least: int, earlier: int = 0) -> list[tuple[int, int]]:
-    """Pairs of rows of different components that agree in least slots or more; in many rows, for each row outside the largest component CHOSEN of each other component that agree best with it, and CHOSEN that are nearest to the region's mode.
+def across(sig: np.ndarray, comp: np.ndarray, least: int, earlier: int = 0, chosen: int = 0) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of different components that agree in least slots or more, each at least once; with chosen, for each row outside the largest component only as many of each other component that agree best with it, and as many that are nearest to the region's mode.
 
-    Pairs that share a region in one of the earlier trees are left to that tree.
+    Pairs that share a region in one of the earlier trees are left to that tree, before any are chosen.
     """
-    n = len(sig)
     found, counts = np.unique(comp, return_counts=True)
     if len(found) < 2:
-        return []
-    outside = np.flatnonzero(comp != found[counts.argmax()])
-    central = _to_mode(sig) if n > MATRIX else np.zeros(0)
-    out = set()
-    for v in outside.tolist():
+        return
+    outside = comp != found[counts.argmax()]
+    central = _to_mode(sig) if chosen else np.zeros(0)
+    for v in np.flatnonzero(outside).tolist():
         same = sig == sig[v]
         agree = same.sum(axis=1)
         near = np.flatnonzero((agree >= least) & (comp != comp[v]))
-        if n > MATRIX and len(near):
-            near = np.union1d(_leading(near, comp[near], agree[near]), _leading(near, comp[near], central[near]))
         if earlier and len(near):
             near = near[~same[near, : earlier * DEPTH].reshape(len(near), earlier, DEPTH).all(axis=2).any(axis=1)]
-        out.update((min(v, y), max(v, y)) for y in near.tolist())
-    return sorted(out)
+        if chosen and len(near):
+            near = np.union1d(_leading(near, comp[near], agree[near], chosen), _leading(near, comp[near], central[near], chosen))
+        elif not chosen:
+            near = near[~outside[near] | (near > v)]  # the other row of a pair outside gives it too
+        yield from ((min(v, y), max(v, y)) for y in near.tolist())
+
 
+def _by_region(least: int, second: bool, even: bool = False, matrix: int = MATRIX, chosen: int = 0):
+    """Pairs of each region: of forest(), or in later rounds of across(), chosen ones where a region has more than matrix rows."""
 
-def _by_region(least: int, second: bool, even: bool = False):
     def finish(rows: list[tuple]):
         rows = sorted(set(rows))
         tree = rows[0][2]
-        cls = [r[0] for r in rows]
+        cls = np.array([r[0] for r in rows])
         sig = np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(-1, SLOTS)
-        pairs = across(sig, np.array([r[3] for r in rows]), least, tree if even else 0) if second else forest(sig, least)
-        return pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _ in pairs], pa.int64()), pa.array([cls[j] for _, j in pairs], pa.int64())], names=["a", "b"])
+        pairs = across(sig, np.array([r[3] for r in rows]), least, tree if even else 0, chosen if len(rows) > matrix else 0) if second else iter(forest(sig, least, matrix))
+        while part := list(itertools.islice(pairs, PAIRS)):
+            of = cls[np.array(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(of[:, 0], pa.int64()), pa.array(of[:, 1], pa.int64())], names=["a", "b"])
 
     def each(batches):
         rows, region = [], None
@@ -237,12 +246,12 @@ def _by_region(least: int, second: bool, even: bool = False):
             for row in zip(*columns, strict=True):
                 if row[0] != region and rows:
                     if len(rows) > 1:
-                        yield finish(rows)
+                        yield from finish(rows)
                     rows = []
                 region = row[0]
                 rows.append(row[1:])
         if len(rows) > 1:
-            yield finish(rows)
+            yield from finish(rows)
 
     return each
 
@@ -285,6 +294,10 @@ def _full_sets(words: int):
     return each
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """One row for each document: doc_id, n_shingles, cls (its class), component_id, kept."""
     work = Workspace(docs.sparkSession)
@@ -298,27 +311,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped, even = regions(classes, work, trees)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks, though rows are few: they compute much
     sorted_regions = grouped.repartition(parts, "region").sortWithinPartitions("region", "cls")
-    tested = work.keep(sorted_regions.mapInArrow(_by_region(least, False), "a long, b long").distinct())
-    involved = tested.select(F.col("a").alias("cls")).union(tested.select("b")).distinct()
-    # Both sides of these joins grow with the documents, so they are shuffled at any size.
-    texts = own.select("doc", "text").join(work.keep(classes.join(involved, "cls").select("cls", "doc")).hint("merge"), "doc")
-    sets = work.keep(texts.select("cls", "text").mapInArrow(_full_sets(words), "cls long, n long, set binary").dropDuplicates(["cls"]))
+    tested = work.keep(sorted_regions.mapInArrow(_by_region(least, False, matrix=MATRIX), "a long, b long").distinct())
+
+    def sets_of(involved: DataFrame) -> DataFrame:
+        # Both sides of these joins grow with the documents, so they are shuffled at any size.
+        texts = own.select("doc", "text").join(work.keep(classes.join(involved, "cls").select("cls", "doc")).hint("merge"), "doc")
+        return work.keep(texts.select("cls", "text").mapInArrow(_full_sets(words), "cls long, n long, set binary").dropDuplicates(["cls"]))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
         two = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
         both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "na", "nb", "sa", "sb")
         return work.keep(both.mapInArrow(_confirm(percent), "a long, b long"))
 
-    links = confirmed(tested)
+    sets = sets_of(_ends(tested))
+    links = confirmed(tested, sets)
     comp = components(links, work)
-    marked = grouped.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("region", "cls", "sig", "tree", F.coalesce("label", "cls").alias("label"))
-    more = marked.repartition(parts, "region").sortWithinPartitions("region", "cls").mapInArrow(_by_region(least, True, even), "a long, b long").distinct()
-    known = tested.select("a", "b").union(tested.select("b", "a"))
-    more = work.keep(more.join(known, ["a", "b"], "left_anti"))
-    extra = confirmed(more)
-    if extra.limit(1).count():
-        comp = components(links.union(extra), work)
+    # The second round chooses in large regions; the third takes all pairs that are left there between different components.
+    large = work.keep(grouped.groupBy("region").count().where(F.col("count") > MATRIX).select("region"))
+    for chosen in (CHOSEN, 0):
+        if not chosen:
+            if not large.limit(1).count():
+                break
+            grouped = grouped.join(large, "region")
+        marked = grouped.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("region", "cls", "sig", "tree", F.coalesce("label", "cls").alias("label"))
+        more = marked.repartition(parts, "region").sortWithinPartitions("region", "cls").mapInArrow(_by_region(least, True, even, MATRIX, chosen), "a long, b long").distinct()
+        known = tested.select("a", "b").union(tested.select("b", "a"))
+        more = work.keep(more.join(known, ["a", "b"], "left_anti"))
+        tested = tested.union(more)
+        # A class that was near to no hub is met here for the first time.
+        fresh = work.keep(_ends(more).join(sets.select("cls"), "cls", "left_anti"))
+        if fresh.limit(1).count():
+            sets = sets.union(sets_of(fresh))
+        extra = confirmed(more, sets)
+        if extra.limit(1).count():
+            links = links.union(extra)
+            comp = components(links, work)
     labelled = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
     names = work.keep(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     of_class = work.keep(labelled.join(names, "label").select("cls", "component_id"))

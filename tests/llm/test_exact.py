@@ -88,6 +88,32 @@ def test_large_regions_take_stars_and_split():
     assert all((min(17, i), max(17, i)) in set(neardup.across(rows[:60], comp[:60], 94)) for i in range(60) if i != 17)
 
 
+def test_every_near_pair_between_components_of_a_large_region():
+    r = np.random.default_rng(4)
+    hub = r.integers(0, 1 << 16, neardup.SLOTS).astype(np.uint16)
+    n = neardup.MATRIX + 50
+    rows = np.array([np.where(r.random(neardup.SLOTS) < 0.1, r.integers(0, 1 << 16, neardup.SLOTS), hub) for _ in range(n)], dtype=np.uint16)
+    comp = np.arange(n) // (n // 2 + 20)
+    agree = (rows[:, None, :] == rows[None, :, :]).sum(axis=2)
+    want = {(i, j) for i in range(n) for j in range(i) if comp[i] != comp[j] and agree[i, j] >= 94}
+    assert {(max(p), min(p)) for p in neardup.across(rows, comp, 94)} == want
+    first = (rows[:, None, :5] == rows[None, :, :5]).all(axis=2)
+    assert {(max(p), min(p)) for p in neardup.across(rows, comp, 94, 1)} == {p for p in want if not first[p]}
+
+
+def test_links_far_from_the_hub_of_a_large_region(spark, texts, monkeypatch):
+    monkeypatch.setattr(neardup, "MATRIX", 2)
+    monkeypatch.setattr(neardup, "CHOSEN", 1)
+    r = random.Random(21)
+    words = prose(r, 400, 5000).split(" ")
+    more = list(texts)
+    for k in range(12):  # each is near to the one before, the ends are far from each other
+        words[k * 8 : k * 8 + 8] = prose(r, 8, 5000).split(" ")
+        more.append(" ".join(words))
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in neardup.near_duplicates(corpus(spark, more)).collect())
+    assert got == brute_components(more, 3, 85)
+
+
 def test_regions_deeper_than_the_limit(spark, texts, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 3)
     got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(corpus(spark, texts)).collect())
