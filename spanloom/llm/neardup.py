@@ -3,10 +3,10 @@
 A document's set is its distinct WORDS-word shingles. Documents of equal sets are one
 class; a class has a signature of SLOTS MinHash values. Each of TREES trees is a sorted
 order of the classes by their signature, read from another slot on. Classes that share
-a prefix in some order (longest-common-prefix neighbours) are one region of that tree:
-at least DEPTH values deep, and deeper (in steps, by counting) where a region has more
-than REGION classes, until it is no larger or the signature ends. A region that is still
-larger (equal or all but equal signatures) is cut into parts by a hash.
+DEPTH values or more in some order (longest-common-prefix neighbours) are one region of
+that tree. A region of more than REGION classes is worked on in blocks: each by itself,
+then the best linked class of each component with one another, and at last blocks of the
+classes outside the region's largest component with blocks of all.
 
 Within a region, pairs of classes whose signatures agree in enough slots are candidates.
 First a spanning forest of them (in large regions, stars around the classes nearest to
@@ -43,7 +43,6 @@ WORDS = 3
 PERCENT = 85
 SLOTS = 128
 TREES, DEPTH = 16, 5
-DEPTHS = (5, 8, 12, 18, 27, 40, 64, 128)
 REGION = 16_384
 MATRIX = 512
 CHOSEN = 8
@@ -102,52 +101,75 @@ def _sets(words: int):
     return each
 
 
-def _prefixes(depth: int, trees: int):
-    """For each class and tree: the tree, and a hash of the first depth values of its order."""
+def _prefixes(trees: int):
+    """For each class and tree: the tree, and a hash of the first DEPTH values of its order."""
 
     def each(batches):
-        slots = (np.arange(trees)[:, None] * DEPTH + np.arange(depth)[None, :]) % SLOTS
+        slots = (np.arange(trees)[:, None] * DEPTH + np.arange(DEPTH)[None, :]) % SLOTS
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, SLOTS).astype(np.uint64)
-            trees_of = batch.column(2).to_pylist() if batch.num_columns > 2 else None
             keys = np.empty((len(sig), trees), dtype=np.uint64)
             for t in range(trees):
                 x = np.full(len(sig), t + 1, dtype=np.uint64)
                 for s in slots[t]:
                     x = tb.mix(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, s])
                 keys[:, t] = x
-            if trees_of is None:
-                at, of = np.repeat(np.arange(len(sig)), trees), np.tile(np.arange(trees), len(sig))
-            else:
-                at, of = np.arange(len(sig)), np.array(trees_of, dtype=np.int64)
+            at, of = np.repeat(np.arange(len(sig)), trees), np.tile(np.arange(trees), len(sig))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(of.astype(np.int32)), pa.array(keys[at, of].view(np.int64))], names=["cls", "tree", "region"])
 
     return each
 
 
-def regions(classes: DataFrame, work: Workspace, trees: int = TREES, largest: int | None = None) -> tuple[DataFrame, bool]:
-    """region, cls, sig, tree: classes by the regions of the forest that hold two or more; and whether all are DEPTH deep and whole."""
-    largest = largest or REGION
-    schema = "cls long, tree int, region long"
-    done, todo = [], classes.select("cls", "sig").mapInArrow(_prefixes(DEPTHS[0], trees), schema)
-    for level, _ in enumerate(DEPTHS):
-        todo = work.keep(todo)
-        sizes = work.keep(todo.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"))
-        placed = todo.join(sizes, "region")
-        big = sizes.where(F.col("size") > largest).limit(1).count()
-        last = level == len(DEPTHS) - 1 or not big
-        if last:
-            part = (F.col("size") / largest).cast("long") + 1
-            even = level == 0 and not big
-            done.append(placed.select("tree", F.when(part > 1, F.xxhash64("region", F.pmod(F.xxhash64("cls", "tree"), part))).otherwise(F.col("region")).alias("region"), "cls"))
-            break
-        done.append(placed.where(F.col("size") <= largest).select("tree", "region", "cls"))
-        deeper = placed.where(F.col("size") > largest).select("cls", "tree").join(classes.select("cls", "sig"), "cls").select("cls", "sig", "tree")
-        todo = deeper.mapInArrow(_prefixes(DEPTHS[level + 1], trees), schema)
-    whole = done[0]
-    for part in done[1:]:
-        whole = whole.union(part)
-    return work.keep(whole.join(classes.select("cls", "sig").hint("merge"), "cls").select("region", "cls", "sig", "tree")), even
+def regions(classes: DataFrame, work: Workspace, trees: int = TREES, largest: int | None = None) -> DataFrame:
+    """region, cls, sig, tree, parts: classes by the regions of the forest that hold two or more, and how many parts of largest classes each makes."""
+    placed = work.keep(classes.select("cls", "sig").mapInArrow(_prefixes(trees), "cls long, tree int, region long"))
+    sizes = work.keep(placed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"))
+    whole = placed.join(sizes, "region").withColumn("parts", _parts("size", largest or REGION))
+    return work.keep(whole.join(classes.select("cls", "sig").hint("merge"), "cls").select("region", "cls", "sig", "tree", "parts"))
+
+
+def _parts(size: str, largest: int):
+    return F.ceil(F.col(size) / largest).cast("int")
+
+
+def _part(of: str, salt: int = 0):
+    return F.pmod(F.xxhash64("cls", "tree", F.lit(salt)), F.col(of)).cast("int")
+
+
+def in_blocks(grouped: DataFrame) -> DataFrame:
+    """region, cls, sig, tree: with each part of a large region as a region."""
+    return grouped.withColumn("region", F.when(F.col("parts") > 1, F.xxhash64("region", _part("parts"))).otherwise(F.col("region"))).drop("parts")
+
+
+def leaders(marked: DataFrame, links: DataFrame, largest: int) -> DataFrame:
+    """region, cls, sig, tree: of each component in a large region, the class with most links; in blocks where they are many."""
+    degrees = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").count()
+    linked = marked.where("parts > 1").drop("parts").join(degrees, "cls")
+    first = linked.groupBy("region", "label").agg(F.max_by(F.struct("cls", "sig", "tree"), F.struct("count", "cls")).alias("first")).select("region", "first.*")
+    sizes = first.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
+    return in_blocks(first.join(sizes, "region").withColumn("parts", _parts("size", largest)).drop("size"))
+
+
+def cells(marked: DataFrame, work: Workspace, largest: int) -> DataFrame:
+    """region, cls, sig, tree, label: large regions as cells, so that any two classes of different components share one.
+
+    One of two such classes is outside the region's largest component. So blocks of
+    those outside meet blocks of all.
+    """
+    wide = marked.where("parts > 1")
+    if not wide.limit(1).count():
+        return marked.drop("parts")
+    counts = wide.groupBy("region", "label").count()
+    most = counts.groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("size"), F.max("count").alias("top"))
+    # A region that is one component has nothing to test.
+    most = work.keep(most.where("size > top").select("region", "most", F.ceil((F.col("size") - F.col("top")) / largest).cast("int").alias("outs")))
+    wide = work.keep(wide.join(most, "region"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    everyone = wide.select("*", _part("parts").alias("j")).select("*", every("outs").alias("o"))
+    outside = wide.where("label <> most").select("*", every("parts").alias("j")).withColumn("o", _part("outs", 1))
+    dealt = everyone.unionByName(outside).withColumn("region", F.xxhash64("region", "o", "j"))
+    columns = ["region", "cls", "sig", "tree", "label"]
+    return marked.where("parts = 1").select(*columns).union(dealt.select(*columns))
 
 
 def forest(sig: np.ndarray, least: int, matrix: int = MATRIX) -> list[tuple[int, int]]:
@@ -226,7 +248,7 @@ def across(sig: np.ndarray, comp: np.ndarray, least: int, earlier: int = 0, chos
         yield from ((min(v, y), max(v, y)) for y in near.tolist())
 
 
-def _by_region(least: int, second: bool, even: bool = False, matrix: int = MATRIX, chosen: int = 0):
+def _by_region(least: int, second: bool, matrix: int = MATRIX, chosen: int = 0):
     """Pairs of each region: of forest(), or in later rounds of across(), chosen ones where a region has more than matrix rows."""
 
     def finish(rows: list[tuple]):
@@ -234,7 +256,7 @@ def _by_region(least: int, second: bool, even: bool = False, matrix: int = MATRI
         tree = rows[0][2]
         cls = np.array([r[0] for r in rows])
         sig = np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(-1, SLOTS)
-        pairs = across(sig, np.array([r[3] for r in rows]), least, tree if even else 0, chosen if len(rows) > matrix else 0) if second else iter(forest(sig, least, matrix))
+        pairs = across(sig, np.array([r[3] for r in rows]), least, tree, chosen if len(rows) > matrix else 0) if second else iter(forest(sig, least, matrix))
         while part := list(itertools.islice(pairs, PAIRS)):
             of = cls[np.array(part)]
             yield pa.RecordBatch.from_arrays([pa.array(of[:, 0], pa.int64()), pa.array(of[:, 1], pa.int64())], names=["a", "b"])
@@ -308,10 +330,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Agreement of two signatures is binomial; three and a half deviations below the threshold lose one pair in thousands of those at it.
     share = percent / 100
     least = int(SLOTS * share - 3.5 * (SLOTS * share * (1 - share)) ** 0.5)
-    grouped, even = regions(classes, work, trees)
+    largest = REGION
+    grouped = regions(classes, work, trees, largest)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks, though rows are few: they compute much
-    sorted_regions = grouped.repartition(parts, "region").sortWithinPartitions("region", "cls")
-    tested = work.keep(sorted_regions.mapInArrow(_by_region(least, False, matrix=MATRIX), "a long, b long").distinct())
+
+    def pairs_of(sharing: DataFrame, second: bool, chosen: int = 0) -> DataFrame:
+        return sharing.repartition(parts, "region").sortWithinPartitions("region", "cls").mapInArrow(_by_region(least, second, MATRIX, chosen), "a long, b long").distinct()
+
+    def marked(comp: DataFrame) -> DataFrame:
+        return grouped.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("region", "cls", "sig", "tree", "parts", F.coalesce("label", "cls").alias("label"))
+
+    tested = work.keep(pairs_of(in_blocks(grouped), False))
 
     def sets_of(involved: DataFrame) -> DataFrame:
         # Both sides of these joins grow with the documents, so they are shuffled at any size.
@@ -328,14 +357,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(tested, sets)
     comp = components(links, work)
     # The second round chooses in large regions; the third takes all pairs that are left there between different components.
-    large = work.keep(grouped.groupBy("region").count().where(F.col("count") > MATRIX).select("region"))
-    for chosen in (CHOSEN, 0):
-        if not chosen:
+    # Before them, components of the parts of a very large region are joined by their leaders, as far as these are near.
+    rounds = [(True, CHOSEN), (True, 0)]
+    if grouped.where("parts > 1").limit(1).count():
+        rounds.insert(0, (False, 0))
+    large = work.keep(grouped.groupBy("region").count().where(F.col("count") > min(MATRIX, largest)).select("region"))
+    for second, chosen in rounds:
+        if second and not chosen:
             if not large.limit(1).count():
                 break
             grouped = grouped.join(large, "region")
-        marked = grouped.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("region", "cls", "sig", "tree", F.coalesce("label", "cls").alias("label"))
-        more = marked.repartition(parts, "region").sortWithinPartitions("region", "cls").mapInArrow(_by_region(least, True, even, MATRIX, chosen), "a long, b long").distinct()
+        sharing = cells(marked(comp), work, largest) if second else leaders(marked(comp), links, largest)
+        more = pairs_of(sharing, second, chosen)
         known = tested.select("a", "b").union(tested.select("b", "a"))
         more = work.keep(more.join(known, ["a", "b"], "left_anti"))
         tested = tested.union(more)

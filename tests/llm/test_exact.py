@@ -120,6 +120,22 @@ def test_regions_deeper_than_the_limit(spark, texts, monkeypatch):
     assert len(got) == len(texts) and all(c <= i for i, c in got)
 
 
+@pytest.mark.parametrize(("region", "matrix"), [(3, 512), (7, 2)])
+def test_regions_beyond_the_limit_lose_no_links(spark, texts, monkeypatch, region, matrix):
+    monkeypatch.setattr(neardup, "REGION", region)
+    monkeypatch.setattr(neardup, "MATRIX", matrix)
+    r = random.Random(23)
+    base = prose(r, 300, 5000).split(" ")
+    more = list(texts)
+    for k in range(40):  # each shares about 0.86 with base, and less with one another
+        own = list(base)
+        own[k * 7 : k * 7 + 20] = prose(r, 20, 5000).split(" ")
+        more.append(" ".join(own))
+    more.append(" ".join(base))
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in neardup.near_duplicates(corpus(spark, more)).collect())
+    assert got == brute_components(more, 3, 85)
+
+
 def brute_repeats(rows, span):
     seen, out = set(), {}
     for i, t in rows:
