@@ -55,6 +55,9 @@ CLOSES = {"p": frozenset("address article aside blockquote details div dl fields
 NO_ARTICLE = frozenset("nav footer header aside form button dialog menu head title".split())
 NO_ARTICLE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|ad(?:sense|slot|box|unit)s?|advert\w*|banner|sponsor\w*|promo\w*|cookies?\w*|consent|notices?|disclaimer|legal|copyright|gdpr|nav\w*|subnav|top(?:bar|nav)|menus?|contentinfo|complementary|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|disqus|replies|respond|share|social|related|recommended|newsletter|subscribe|signup|login|search|popup|modal|widget|toolbar|pagination|pager)(?:$|[\s_-])", re.I)
 
+#: Classes that say how a page is laid out, or whether it has a thing, and do not name one.
+LAYOUT = re.compile(r"(?:^|[_-])(?:with|has|have|no|non|without|enabled|disabled)(?:$|[_-])", re.I)
+
 
 class Node:
     __slots__ = ("tag", "name", "children", "parent")
@@ -116,9 +119,45 @@ def parse(html: str | None) -> Node:
     return root
 
 
-def no_article(node: Node) -> bool:
-    """Whether tag or class say that a branch is no part of an article."""
-    return node.tag in NO_ARTICLE or "." in node.name and NO_ARTICLE_NAME.search(node.name.partition(".")[2].replace(".", " ")) is not None
+def _elements(node: Node) -> Iterator[Node]:
+    """Elements under a node."""
+    todo = [c for c in node.children if isinstance(c, Node)]
+    while todo:
+        child = todo.pop()
+        yield child
+        todo += [c for c in child.children if isinstance(c, Node)]
+
+
+def _holds_article(node: Node) -> bool:
+    """Whether a branch holds a main element, or all article elements of the page."""
+    tags = [c.tag for c in _elements(node)]
+    if "main" in tags or "article" not in tags:
+        return "main" in tags
+    root = node
+    while root.parent is not None:
+        root = root.parent
+    return tags.count("article") == sum(c.tag == "article" for c in _elements(root))
+
+
+def no_article(node: Node, parts: bool = True) -> bool:
+    """Whether tag or class say that a branch is no part of an article; without parts, only whole words of a class do.
+
+    By class, html, body, main and outermost articles never go, nor does what holds the article.
+    """
+    if node.tag in NO_ARTICLE:
+        return True
+    if "." not in node.name or node.tag in ("html", "body", "main"):
+        return False
+    words = [w for w in node.name.partition(".")[2].split(".") if not LAYOUT.search(w)]
+    if not any(NO_ARTICLE_NAME.search(w) if parts else NO_ARTICLE_NAME.fullmatch(w) for w in words):
+        return False
+    if node.tag == "article":
+        up = node.parent
+        while up is not None and up.tag != "article":
+            up = up.parent
+        if up is None:
+            return False
+    return not _holds_article(node)
 
 
 def article_of(root: Node) -> list[Node]:
@@ -136,7 +175,7 @@ def article_of(root: Node) -> list[Node]:
     return [root]
 
 
-def blocks(top: Node, removed: dict[str, float], path: str = "") -> Iterator[tuple[str, str]]:
+def blocks(top: Node, removed: dict[str, float], path: str = "", parts: bool = True) -> Iterator[tuple[str, str]]:
     """The path and text of each block under top, without branches in removed; a block is text up to the next block element."""
     out: list[str] = []
     stack: list = [(top, path, iter(top.children))]
@@ -150,7 +189,7 @@ def blocks(top: Node, removed: dict[str, float], path: str = "") -> Iterator[tup
                 out.append(child)
                 continue
             below = f"{here}>{child.name}"
-            if no_article(child) or below in removed:
+            if no_article(child, parts) or below in removed:
                 continue
             if child.tag not in INLINE and out:
                 yield where, "".join(out)
@@ -188,12 +227,12 @@ def presentations(html: str | None) -> dict[str, int]:
 
 
 def main_text(html: str | None, unimportant: dict[str, float]) -> str:
-    """A page's main text without unimportant branches; where nothing else would be left, with them."""
+    """A page's main text without unimportant branches; where nothing else would be left, with them, and then with those that only a part of a class names."""
     tops = article_of(parse(html))
-    for removed in (unimportant, {}) if unimportant else ({},):
+    for removed, named in ((unimportant, True), ({}, True), ({}, False)):
         parts = []
         for top in tops:
-            for _, text in blocks(top, removed, path_to(top)):
+            for _, text in blocks(top, removed, path_to(top), named):
                 text = _SPACE.sub(" ", text).strip()
                 if text:
                     parts.append(text)

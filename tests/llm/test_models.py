@@ -133,6 +133,21 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert {x.text for x in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Head é One bold text. Next <line Unclosed"}
 
 
+def test_layout_classes_do_not_hide_the_article():
+    text = "<h1>Head</h1><p>Story</p>"
+    for page in (
+        f"<html><body class='right-sidebar'><div>{text}</div></body></html>",
+        f"<body class='page no-sidebar'><nav>Menu</nav>{text}</body>",
+        f"<body><div class='content-with-sidebar'>{text}</div><div class='sidebar'>Side</div></body>",
+        f"<body><article class='post share-enabled'>{text}<div class='social-share'>Share</div></article></body>",
+        f"<body><div class='layout right-sidebar'><article>{text}</article></div><div class='comments'>First</div></body>",
+        f"<body><div class='layout right-sidebar'>{text}</div></body>",
+        f"<body><div class='search-page'><main class='search'>{text}</main></div></body>",
+    ):
+        assert styletree.main_text(page, {}) == "Head Story"
+    assert styletree.main_text("<article>a<article class='comment comments'>b</article></article><div class='comments'><article>c</article></div>", {}) == "a"
+
+
 def check_pieces(pieces, texts, max_tokens=2048):
     encode = packing.tokenizer()
     docs, sequences = defaultdict(list), defaultdict(list)
