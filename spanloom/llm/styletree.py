@@ -12,12 +12,14 @@ stands in an article or main element is taken where a page has one.
 Inside an article or main element the bar for removal is lower, since pages of one article
 under several addresses are no template.
 
-Entropy needs pages: below MIN_PAGES pages with a node, its importance is 1. The
+Copies of a page, by branches and their texts, count once for a host, so a group of copies
+is no template. Entropy needs pages: below MIN_PAGES distinct pages with a node, its
+importance is 1. The
 style tree is aggregated in Spark (counts of path and text hash, partial sums before
 the shuffle) and joined to pages by host and path; no host is gathered in one task.
 
-Where all of a page is unimportant (a host of copies of one page), nothing tells an
-article from the rest by repetition, and only tags and classes decide.
+On a host of copies of one page nothing tells an article from the rest by repetition,
+and only tags and classes decide.
 
 Defined results: null or empty html gives an empty text, as does a page with no text;
 a null url is a host of its own; broken markup is read as far as it goes, open
@@ -223,7 +225,11 @@ def presentations(html: str | None) -> dict[str, int]:
                 while path:
                     texts.setdefault(path, []).append(text)
                     path = path.rpartition(">")[0]
-    return {p: int.from_bytes(blake2b("\n".join(t).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for p, t in texts.items()}
+    return {p: _hash("\n".join(t)) for p, t in texts.items()}
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def main_text(html: str | None, unimportant: dict[str, float]) -> str:
@@ -242,20 +248,24 @@ def main_text(html: str | None, unimportant: dict[str, float]) -> str:
 
 
 def style_tree(pages: DataFrame, host: str = "host", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, path, pages with it, and the importance of each style node that min_pages pages have."""
+    """host, path, distinct pages with it, and the importance of each style node that min_pages distinct pages have."""
 
     def each(batches):
         for batch in batches:
-            hosts, paths, prints = [], [], []
+            hosts, paths, prints, contents = [], [], [], []
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for p, x in presentations(page.as_py()).items():
+                found = presentations(page.as_py())
+                content = _hash(repr(sorted(found.items())))
+                for p, x in found.items():
                     hosts.append(h)
                     paths.append(p)
                     prints.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(prints, pa.int64())], names=["host", "path", "print"])
+                    contents.append(content)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(prints, pa.int64()), pa.array(contents, pa.int64())], names=["host", "path", "print", "content"])
 
-    seen = pages.select(host, html).mapInArrow(each, "host string, path string, print long")
-    spread = seen.groupBy("host", "path", "print").count()
+    seen = pages.select(host, html).mapInArrow(each, "host string, path string, print long, content long")
+    # Pages of equal branches and texts count once.
+    spread = seen.distinct().groupBy("host", "path", "print").count()
     node = spread.groupBy("host", "path").agg(F.sum("count").alias("pages"), F.sum(F.col("count") * F.log2("count")).alias("s"))
     return node.where(F.col("pages") >= min_pages).select("host", "path", "pages", (1 - F.col("s") / (F.col("pages") * F.log2("pages"))).alias("importance"))
 

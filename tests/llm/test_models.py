@@ -133,6 +133,17 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert {x.text for x in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Head é One bold text. Next <line Unclosed"}
 
 
+def test_copies_do_not_hide_other_articles_of_their_host(spark):
+    r = random.Random(6)
+    page = lambda story, note: f"<html><body><div class='y'><p>Same on all</p></div><div class='text'><p>{story}</p></div><div class='line'>{note}</div></body></html>"
+    hot = page(prose(r, 20, 5000), "hot")
+    stories = [prose(r, 20, 5000) for _ in range(20)]
+    rows = [(i, "http://h.example/", page(x, f"day {prose(r, 3, 5000)}")) for i, x in enumerate(stories)] + [(100 + i, "http://h.example/", hot) for i in range(180)]
+    got = {x.page_id: x.text for x in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(x in got[i] and "Same on all" not in got[i] for i, x in enumerate(stories))
+    assert len({got[100 + i] for i in range(180)}) == 1 and "hot" in got[100]
+
+
 def test_layout_classes_do_not_hide_the_article():
     text = "<h1>Head</h1><p>Story</p>"
     for page in (
