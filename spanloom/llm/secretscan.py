@@ -1,7 +1,9 @@
 """Secret scanning with a random forest that removes false positives.
 
 Candidates are found by bytes alone: runs of letters, digits, '_', '+', '/', '-' that
-are long and mixed, or that an assignment precedes, and private-key headers. Each gets
+are long and mixed, or that an assignment precedes; what an assignment ('=', ':', '=>',
+':=', then any white space) gives, of any bytes up to its closing quote or white space;
+and private-key headers. A finding inside a longer one is not given again. Each gets
 features of its length, its character transitions, the share that dictionary words
 cover, its path (where the text comes from) and the words around it; a random forest
 says whether it is a secret. The forest is trained from labelled findings: a table of
@@ -66,6 +68,7 @@ _KINDS = [(name, re.compile(p)) for name, p in KINDS]
 _PEM = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _WORDS = re.compile(r"[A-Za-z]+[0-9]*")
 FEATURES = 25
+_VALUE = re.compile(rb"(?:=>|:=|[=:])\s*(?:\"([^\"\n]{8,})\"|'([^'\n]{8,})'|`([^`\n]{8,})`|[\"'`]?([^\s\"'`]{8,}))")
 
 
 def kind_of(candidate: str) -> str:
@@ -93,6 +96,21 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts[take], ends[take]
 
 
+def assigned_values(whole: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Starts and ends of values after an assignment, without a full stop, comma or semicolon after one without quotes; values do not cross texts."""
+    out = []
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        at = lo
+        while m := _VALUE.search(whole, at, hi):
+            a, b = m.span(m.lastindex)
+            if m.lastindex == 4:
+                b = a + len(whole[a:b].rstrip(b".,;"))
+            if b - a >= ASSIGNED:
+                out.append((a, b))
+            at = a  # an assignment may stand inside a value
+    return out
+
+
 def _entropy(s: str) -> float:
     n = len(s)
     return -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s)))
@@ -125,7 +143,8 @@ def features(candidate: str, path: str, before: str, after: str) -> list[float]:
     left = [w.lower() for w in _WORDS.findall(before)][-4:]
     right = [w.lower() for w in _WORDS.findall(after)][:3]
     parts = {p for w in left for p in re.split(r"[_-]", w)}
-    glue = before.rstrip(" \"'`")[-1:]
+    stem = before.rstrip(" \"'`\t\r\n\v\f")
+    glue = "=" if stem.endswith("=>") else stem[-1:]
     kind = kind_of(candidate)
     return [
         n,
@@ -166,7 +185,12 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str,
     names = ["password", "passwd", "secret", "token", "api_key", "apikey", "auth_token", "access_key", "client_secret", "private_key"]
     path = lambda: r.choice(["src0", "web", "app/config.py", "server.yml", "tests/test_app.py", "docs/example.md", "main.go", "", "forum", "src12"])
     hexa, base = "0123456789abcdef", upper + lower + digits
+    marks = "!@#$%^&*?~+-_.,;:()[]{}<>|/"
+    strong = lambda: "".join(r.sample(t := of(base, 6, 18) + of(marks, 2, 5), len(t)))
+    glues = ["=", " = \"", ": ", "='", ": '", ":\t", "=\t", " =>  '", " => \"", " := \"", "=     ", ":        "]
     secrets = [
+        lambda: (strong(), text() + r.choice([*names, "pwd", "db_pass", "db_password"]) + r.choice(glues)),
+        lambda: (of(base, 9, 30), text() + r.choice([*names, "pwd", "db_pass"]) + r.choice(glues)),
         lambda: (r.choice(["AKIA", "ASIA"]) + of(upper + digits, 16), r.choice([text(), "aws_access_key_id = ", text() + "key "])),
         lambda: (r.choice(["ghp_", "gho_", "ghs_"]) + of(base, 36), r.choice([text(), "token: "])),
         lambda: ("xoxb-" + of(digits, 11) + "-" + of(base, 24), text()),
@@ -179,6 +203,12 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str,
         lambda: (of(base, 9, 15), text() + r.choice(["password", "passwd", "pwd", "secret"]) + r.choice(["=", ": "])),
     ]
     plain = [
+        lambda: (" ".join(word() for _ in range(r.randint(2, 8))) + r.choice(["", ".", "!", "?"]), text() + r.choice([word(), "title", "name", "secret", "password"]) + r.choice(glues)),
+        lambda: (word(8, 16).ljust(7, "a") + r.choice([")", "!", "?", "'s", "/" + word(), "-" + word(), "(" + word() + ")", ":" + word(), "," + word()]), text().rstrip() + r.choice([*glues, ": "])),
+        lambda: ("//" + word() + ".example" + r.choice(["", "/" + word(), "/" + word() + "?" + word() + "=" + of(digits, 1, 5)]), text() + r.choice(["http:", "https:"])),
+        lambda: (r.choice(["${" + word().upper() + "}", "<your-" + word() + ">", "{{ " + word() + " }}", "os.environ['" + word() + "']", "get_" + word() + "()", "********"]).ljust(8, "*"), text() + r.choice(names) + r.choice(glues)),
+        lambda: (word() + "@" + word() + ".example", text() + r.choice(["mail", "user", "from", word()]) + r.choice(glues)),
+        lambda: (of(digits, 2) + ":" + of(digits, 2) + ":" + of(digits, 2), text() + r.choice(["time: ", "at: ", "date="])),
         lambda: (of(hexa, 40), text() + r.choice(["commit ", "revision ", "sha1: ", "sha1="])),
         lambda: (of(hexa, r.choice([32, 64])), text() + r.choice(["md5 ", "checksum: ", "sha256=", "digest: ", "etag: \"", "integrity="])),
         lambda: ("-".join(of(hexa, k) for k in (8, 4, 4, 4, 12)), text() + r.choice(["", "id=", "uuid: "])),
@@ -265,6 +295,15 @@ def train(findings: DataFrame | None = None) -> Forest:
     return Forest(x, np.array([float(bool(r[4])) for r in rows]))
 
 
+def _outermost(spans: list[tuple[int, int, int] | None]) -> list[bool]:
+    """Which spans (text, start, end) are there and not inside another of their text."""
+    out, last = [False] * len(spans), (-1, 0, 0)
+    for x, k in sorted(((x, k) for k, x in enumerate(spans) if x), key=lambda y: (y[0][0], y[0][1], -y[0][2])):
+        out[k] = x[0] != last[0] or x[2] > last[2]
+        last = x if out[k] else last
+    return out
+
+
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each finding, as in RESULT."""
     bounded_batches(docs.sparkSession)
@@ -281,16 +320,18 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
                 spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
                 if b"-----BEGIN " in (whole := raw.tobytes()):
                     spans += [m.span() for m in _PEM.finditer(whole)]
+                spans = sorted({*spans, *assigned_values(whole, own)})
                 for a, b in spans:
                     d = int(np.searchsorted(own, a, side="right")) - 1
                     lo, hi = int(own[d]), int(own[d + 1])
                     if b > hi:
                         continue
                     text = whole[a:b].decode()
-                    found.append((ids[i + d], a - lo, b - a, text))
+                    found.append((i + d, ids[i + d], a - lo, b - a, text))
                     rows.append(features(text, paths[i + d].as_py() or "", whole[max(lo, a - AROUND) : a].decode(errors="ignore"), whole[b : min(hi, b + AROUND)].decode(errors="ignore")))
             score = sent.value.predict(np.array(rows)) if rows else np.zeros(0)
-            out = [(doc, a, n, kind_of(text), hashlib.sha256(text.encode()).hexdigest(), float(s)) for (doc, a, n, text), s in zip(found, score, strict=True) if s >= threshold or text.startswith("-----BEGIN ")]
+            take = _outermost([(k, a, a + n) if s >= threshold or text.startswith("-----BEGIN ") else None for (k, _, a, n, text), s in zip(found, score, strict=True)])
+            out = [(doc, a, n, kind_of(text), hashlib.sha256(text.encode()).hexdigest(), float(s)) for (_, doc, a, n, text), s, t in zip(found, score, take, strict=True) if t]
             c = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], names=["doc_id", "start", "length", "kind", "sha256", "score"])

@@ -96,6 +96,14 @@ def test_candidates_equal_a_plain_scan():
     assert got == want
 
 
+def test_secrets_of_any_bytes_and_after_any_space(spark):
+    values = ["P@ss!w0rd#9", "Xy7!kk$Qp2@z", "k3Rt9Wq2Lx", "Zq8Lm2Tv5Rk", "pW4xK9sT2m", "tR7#mm%Kp1é!"]
+    texts = [f"password={values[0]} and more", f"db_pass: '{values[1]}'", f"the password:\t{values[2]} now", f"my secret =      {values[3]}", f"'password' => '{values[4]}',", f'auth_token := "{values[5]}"', "password: required, see the chapter", "note: something (else) http://www.example.com/page?x=1", "a=", "bbbbbbbb"]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1)
+    got = sorted((x.doc_id, x.start, x.length) for x in secretscan.scan(rows, secretscan.train()).collect())
+    assert got == [(i, texts[i].encode().index(v.encode()), len(v.encode())) for i, v in enumerate(values)]
+
+
 def test_forest_on_held_out_findings():
     f = secretscan.train()
     rows = secretscan.labelled_findings(1500, seed=31)
