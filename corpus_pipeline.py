@@ -1,7 +1,8 @@
 """The corpus pipeline over documents, stage by stage.
 
 1. Language ID: the model is learnt from the stage's own labelled rows; documents in
-   which it finds no language (no text, no letter) go; a missing lang is filled in.
+   which it finds no language (no text, no letter) go; a missing lang is filled in,
+   unless no labelled row has text, so that there is no language to learn.
 2. Line dedup: later copies of repeated line runs go; a document that had lines and
    has lost them all goes too.
 3. Near-dedup: five-word shingles, similarity 0.8; of each group the smallest doc_id
@@ -25,7 +26,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.train(docs), carry=("text", "lang", "source", "n_chars"))
+    model = langid.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = langid.identify(docs, model, carry=("text", "lang", "source", "n_chars"))
     known = found.where("lang_pred <> 'und'")
     return known.select("doc_id", F.col("carried_text").alias("text"), F.coalesce("carried_lang", "lang_pred").alias("lang"), F.col("carried_source").alias("source"), F.col("carried_n_chars").alias("n_chars"))
 

@@ -253,3 +253,11 @@ def test_pipeline(spark, tmp_path):
     assert 3 not in want and 4 not in want and 1 not in want and 7 not in want and len(want) > 20
     check_pieces(corpus_pipeline.run(spark, str(tmp_path)).collect(), want)
     assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
+
+
+def test_pipeline_without_labelled_text(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, "clean words", None, "s", 11), (2, None, "aa", "s", 0), (3, "12 3", None, "s", 4), (4, "日本", None, "s", 2), (5, "", None, "s", 0)], kind)
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted((r.doc_id, r.text, r.lang) for r in got.collect()) == [(1, "clean words", None), (4, "日本", None)]
