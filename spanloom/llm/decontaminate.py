@@ -13,7 +13,8 @@ The benchmark is broadcast in blocks of bounded size (BLOCK_CHARS each), however
 large it is; documents are not shuffled unless there is more than one block.
 
 Defined results: a null or empty text has no words and is clean; an item that is
-null or has no words never occurs; items with equal ids count once in n_items;
+null or has no words never occurs; items with equal ids count once in n_items,
+so do those with a null id, which item_ids leaves out;
 repeated documents are treated alike, row by row; an empty table gives no rows
 (documents) or only clean documents (benchmark). Other columns are ignored.
 """
@@ -41,9 +42,9 @@ _PARTIAL = "doc_id long, key long, n_words long, hit_starts binary, hit_ends bin
 class Index:
     """The windows of some benchmark items: kept fingerprints, whole windows, and the items of each window."""
 
-    def __init__(self, rows: list[tuple[str, str | None]], span: int = SPAN, k: int = K):
+    def __init__(self, rows: list[tuple[str | None, str | None]], span: int = SPAN, k: int = K):
         self.span, self.k = span, min(k, span)
-        self.names = sorted({name for name, _ in rows})
+        self.names = sorted({name for name, _ in rows}, key=lambda name: (name is None, name or ""))
         code = {name: i for i, name in enumerate(self.names)}
         windows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         kept = []
@@ -151,17 +152,18 @@ def scan(index: Index, batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _digest(n_words: int, starts: list[bytes], ends: list[bytes], names: list[list[str]]) -> tuple:
+def _digest(n_words: int, starts: list[bytes], ends: list[bytes], names: list[list[str | None]]) -> tuple:
     begin = np.concatenate([np.frombuffer(x, "<i8") for x in starts])
     end = np.concatenate([np.frombuffer(x, "<i8") for x in ends])
-    items = sorted(set().union(*names))
+    found = set().union(*names)
+    items = sorted(x for x in found if x is not None)
     n_hit = 0
     if len(begin):
         order = np.argsort(begin, kind="stable")
         begin, end = begin[order], np.maximum.accumulate(end[order])
         reach = np.concatenate(([0], end[:-1]))
         n_hit = int(np.maximum(0, end - np.maximum(begin, reach)).sum())
-    return n_words, n_hit, len(items), items, hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0
+    return n_words, n_hit, len(found), items, hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0
 
 
 def _finish(rows: list[tuple], ids: list) -> pa.RecordBatch:
@@ -175,7 +177,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(chars) // block_chars))
     parts = []

@@ -235,6 +235,15 @@ def test_decontamination(spark, texts, block_chars):
     assert not any(r.contaminated for r in decontaminate.decontaminate(corpus(spark, texts), bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("block_chars", [16_000_000, 60])
+def test_decontamination_by_items_without_id(spark, block_chars):
+    passage = prose(random.Random(3), 30, 5000)
+    bench = spark.createDataFrame([(None, passage), (None, "q1 q2"), (5, "q1 q2 q3")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.item_ids, r.items_sha256, r.contaminated) for r in decontaminate.decontaminate(corpus(spark, [passage, "q1 q2 q3", "clean"]), bench, block_chars=block_chars).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {0: (len(WORD.findall(passage)), 1, [], sha(""), True), 1: (3, 2, ["5"], sha("5"), True), 2: (0, 0, [], sha(""), False)}
+
+
 def test_licences(spark, texts):
     more = [*texts, "Released under the MIT License. mit license apache license CC BY-NC 4.0", "GNU General Public License", "x cc\nby y", licences.TEMPLATES[1][1] + " end", "Licensed under CC BY-NC 4.0."]
     got = {r.doc_id: r for r in licences.scan(corpus(spark, more)).collect()}
