@@ -58,6 +58,11 @@ class Workspace:
             self.spark.conf.set(name, before)
         return self.spark.read.schema(df.schema).parquet(to)
 
+    def size(self, kept: DataFrame) -> int:
+        """Bytes of a kept table's files."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sum(self._fs.getContentSummary(path(folder)).getLength() for folder in {f.rpartition("/")[0] for f in kept.inputFiles()})
+
     def drop(self, *kept: DataFrame) -> None:
         """Delete the files of tables that nothing will read again."""
         for df in kept:

@@ -3,7 +3,7 @@
 import json
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -132,8 +132,114 @@ def test_unimportant_branches_go(spark):
     got = styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 40 and not any("Same on all" in x.text or "Top" in x.text for x in got) and all(x.n_chars > 40 for x in got)
     tree = styletree.style_tree(spark.createDataFrame(rows, "page_id long, host string, html string").withColumn("host", F.lit("h")))
-    importance = {x.path: x.importance for x in tree.collect()}
-    assert importance[">html>body>div.main>p"] == 1.0 and importance[">html>body>div.y>p"] == 0.0
+    got = styletree.SiteTree([tuple(x)[1:] for x in tree.collect()])
+    where = {n.name + n.parent.name: n.path for n in styletree._order(styletree.parse(page(0))) if n.parent}
+    assert got.importance[where["pdiv.main"]] == 1.0 and got.importance[where["pdiv.y"]] == 0.0
+    assert got.noise == {where[x] for x in ("div.x0body", "div.ybody", "pdiv.y")}
+
+
+def menu_page(r, i):
+    """A page whose menus have names that mean nothing, and its article's text."""
+    story = [prose(r, r.randrange(5, 30), 5000) for _ in range(r.randrange(1, 9))]
+    links = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in ("Home", "News", "Sport", r.choice(["Maps", "Jobs"])))
+    return f"<html><body><div class='q7'><ul>{links}</ul></div><div class='zz'><div class='k'><h2>Latest</h2></div>{''.join(f'<p>{s}</p>' for s in story)}</div><div class='vv'><span>All of it</span><div>Page of {['us', 'them'][i % 2]}</div></div></body></html>", " ".join(story)
+
+
+def brute_importance(pages, low=0.5, gamma=0.9):
+    """Importance of each path of names over whole pages, from the definition."""
+    sequences, blocks, parent, n = defaultdict(list), defaultdict(list), {}, len(pages)
+    for html in pages:
+        seen = defaultdict(list)
+
+        def walk(node, path, seen=seen):
+            seen[path].append(",".join(c.name for c in node.children if not isinstance(c, str)))
+            for c in node.children:
+                if not isinstance(c, str):
+                    parent[f"{path}>{c.name}"] = path
+                    walk(c, f"{path}>{c.name}")
+
+        root = styletree.parse(html)
+        walk(root.children[0], root.children[0].name)
+        for path, s in seen.items():
+            sequences[path].append(tuple(s))
+        for node, text in {(x.path, t): (x, t) for x, t in styletree.blocks(root, lambda _: False)}.values():
+            names = []
+            while node.parent is not None:
+                names.append(node.name)
+                node = node.parent
+            blocks[">".join(reversed(names))].append(text)
+    out = {}
+    for path, s in sequences.items():
+        m = len(s)
+        weights = []
+        for other, found in blocks.items():
+            if other == path or other.startswith(path + ">"):
+                mine = Counter(found)
+                weights += [np.log(mine[t]) / np.log(len(sequences[other])) for t in found]
+        p = sum(c / m * np.log(m / c) / np.log(m) for c in Counter(s).values())
+        k = 1 - np.mean(weights) if weights else 0.0
+        children = sum(q == path for q in parent.values())
+        out[path] = (1 - gamma**children) * p + gamma**children * k if children else k
+    return out
+
+
+def test_importance_and_meaningless_names(spark):
+    r = random.Random(17)
+    pages, stories = zip(*(menu_page(r, i) for i in range(60)), strict=True)
+    rows = [(i, "http://h.example/x", x) for i, x in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    tree = styletree.SiteTree([tuple(x)[1:] for x in styletree.style_tree(table.withColumn("host", F.lit("h"))).collect()])
+    names = {}
+    for page in pages:
+        for n in styletree._order(styletree.parse(page)):
+            if n.parent:
+                names[n.path] = f"{names[n.parent.path]}>{n.name}" if n.parent.parent else n.name
+    want = brute_importance(pages)
+    assert {names[p]: pytest.approx(x) for p, x in tree.importance.items() if p} == want
+    got = {x.page_id: x.text for x in styletree.extract(table).collect()}
+    assert got == dict(enumerate(stories))
+    # A tree beyond the bound of a broadcast meets the pages by host.
+    more = table.union(table.selectExpr("page_id + 100", "'http://g.example/y'", "html").limit(3))
+    one = {tuple(x) for x in styletree.extract(more).collect()}
+    assert one == {tuple(x) for x in styletree.extract(more, broadcast_bytes=0).collect()} and len(one) == 63
+
+
+def test_entropy_removes_branches_of_the_given_pages(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    tree = styletree.style_tree(table.withColumn("host", styletree._host(F.col("url"))))
+    hosts = defaultdict(list)
+    for x in tree.collect():
+        hosts[x.host].append(tuple(x)[1:])
+    trees = {h: styletree.SiteTree(x) for h, x in hosts.items()}
+    removed = 0
+    for x in table.limit(500).collect():
+        tree = trees.get(x.url.split("/")[2])
+        if tree:
+            found = [n for n in styletree._order(styletree.parse(x.html)) if n.path in tree.noise]
+            assert not any(n.tag in ("article", "p", "h1") for n in found)
+            removed += bool(found)
+    assert removed > 100
+
+
+def test_pages_beyond_use():
+    texts = {
+        "<body class='single no-sidebar'><article>T <p>x</p></article></body>": "T x",
+        "<div class='content has-sidebar'>T x</div>": "T x",
+        "<article class='post category-legal'>T x</article>": "T x",
+        "<main>T<div class='search-results'>x</div></main>": "T x",
+        "<body><form id=f><div class=menu>Menu</div><h1>T</h1><p>x this is a text of some length</p></form></body>": "T x this is a text of some length",
+        "<p title=it's>One</p><p>Two don't stop</p><p>Three</p>": "One Two don't stop Three",
+        "<article><div class='article-header'><h1>T</h1></div><p>x</p></article>": "T x",
+        "<article><header><h1>T</h1><nav>n</nav></header><p>x</p><footer>f</footer></article>": "T x",
+        "<body><header><h1>Site</h1></header><div id=content><h1>T</h1><p>x</p></div><div id='comment-list'>c</div><div class='siteFooter'>c</div></body>": "T x",
+        "a <section class='side-effects'>b</section>": "a b",
+        "<div>" * 16000 + "deep" + "</div>" * 16000: "deep",
+        "<p title='abc " * 20000: "",
+        "<p>a" + "<b><li>" * 20000: "a",
+    }
+    for page, want in texts.items():
+        assert styletree.main_text(page) == want
+        styletree.features(page)
 
 
 def test_copies_of_one_page_keep_their_text(spark):
@@ -163,8 +269,8 @@ def test_layout_classes_do_not_hide_the_article():
         f"<body><div class='layout right-sidebar'>{text}</div></body>",
         f"<body><div class='search-page'><main class='search'>{text}</main></div></body>",
     ):
-        assert styletree.main_text(page, {}) == "Head Story"
-    assert styletree.main_text("<article>a<article class='comment comments'>b</article></article><div class='comments'><article>c</article></div>", {}) == "a"
+        assert styletree.main_text(page) == "Head Story"
+    assert styletree.main_text("<article>a<article class='comment comments'>b</article></article><div class='comments'><article>c</article></div>") == "a"
 
 
 def check_pieces(pieces, texts, max_tokens=2048):
