@@ -2,11 +2,16 @@
 
 A document's words are hashed to signs in DIMS dimensions and averaged; that
 vector, squashed to integers, has a place on a Hilbert curve, and documents near
-one another on it use the same words. Spark range-sorts by that key (equal keys
-are dealt out by a hash of doc_id, so a large group of copies is split), and each
-partition lays its documents end to end and cuts the stream every max_tokens ids.
+one another on it use the same words. The curve is cut into ranges of about equal
+bytes (equal keys are ordered by a hash of doc_id, so a large group of copies is
+split), as many as the bytes of all texts ask for; the cuts come from the keys of
+about RANGE_SAMPLE documents a range, picked by a hash, and each document's own key
+is computed once. Each range is sorted, and its documents are laid end to end and
+cut every max_tokens ids.
 What is left at a partition's end is cut into powers of two, which need no
-padding. Tokens exist only inside the task that packs them.
+padding. Tokens exist only inside the task that packs them. A long text is tokenized
+in parts of about PART characters that begin with white space after something else,
+where byte-level pre-tokenization always cuts.
 
 Defined results: a null or empty text is one end-of-document id; copies and equal
 ids are packed one by one; ties on the curve are ordered by hash and doc_id; an
@@ -17,6 +22,7 @@ cut where sequences end.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,21 +34,27 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .hilbert import hilbert_key
-from .workspace import bounded_batches
+from .workspace import bounded_batches, partitions
 
 MAX_TOKENS = 2048
 END_ID = 1
 DIMS, BITS = 4, 12
+RANGE_SAMPLE = 16
+PART = 1 << 18
+#: White space from which on the faster library's pattern would run out of stack.
+LONG_SPACE = 2000
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_tokenizers: dict[str | None, object] = {}
+_tokenizers: dict[object, object] = {}
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}")
+_CUT = re.compile(r"(?<=\S)\s")
 
 
 def tokenizer(path: str | None = None):
     """A function from text to ids, by the byte-level BPE in a tokenizers JSON file.
 
     Where ids are in the order of the merges, the ranks are the ids and a faster
-    library gives the same ids; else the file's own library is used. Special
-    tokens' strings in a text are ordinary text.
+    library gives the same ids; else, and for parts with very long white space, the
+    file's own library is used. Special tokens' strings in a text are ordinary text.
     """
     if path not in _tokenizers:
         if path is None:
@@ -65,16 +77,40 @@ def tokenizer(path: str | None = None):
             ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if t not in special}
             # Fixed value: the pattern of byte-level pre-tokenization.
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            _tokenizers[path] = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            _tokenizers[path] = lambda text: _in_parts(text, lambda part: _plain(file)(part) if len(part) >= LONG_SPACE and _LONG_SPACE.search(part) else fast(part))
+        elif before.get("type") == "ByteLevel":
+            _tokenizers[path] = lambda text: _in_parts(text, _plain(file))
         else:
-            from tokenizers import Tokenizer
-
-            own = Tokenizer.from_file(file)
-            own.encode_special_tokens = True
-            _tokenizers[path] = lambda text: own.encode(text, add_special_tokens=False).ids
+            _tokenizers[path] = _plain(file)
     return _tokenizers[path]
 
 
+def _plain(file: str):
+    """A function from text to ids, by the file's own library."""
+    if ("plain", file) not in _tokenizers:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(file)
+        own.encode_special_tokens = True
+        _tokenizers["plain", file] = lambda text: own.encode(text, add_special_tokens=False).ids
+    return _tokenizers["plain", file]
+
+
+def _in_parts(text: str, encode) -> list[int]:
+    """encode(text), for a long text part by part."""
+    if len(text) <= PART:
+        return encode(text)
+    ids: list[int] = []
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, at + PART) if len(text) - at > PART else None
+        to = cut.start() if cut else len(text)
+        ids += encode(text[at:to])
+        at = to
+    return ids
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -160,10 +196,32 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
                     yield _rows(stream.take(False))
         yield _rows(stream.take(True))
 
-    placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = placed.withColumns({"place": key("text"), "deal": F.xxhash64("doc_id")})
-    order = ["place", "deal", "doc_id"]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(each, RESULT)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = own.withColumn("deal", F.xxhash64("doc_id"))
+    size, n = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    parts = partitions(docs.sparkSession, size)
+    cuts = range_cuts(own.where(F.pmod(F.xxhash64("deal"), F.lit(max(1, n // (RANGE_SAMPLE * parts)))) == 0).select(key("text").alias("place"), "deal", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")), parts)
+    ranged = F.arrow_udf(lambda place, deal: pa.array(which_range(cuts, place, deal), pa.int32()), "int")
+    placed = own.withColumn("place", key("text")).withColumn("range", ranged("place", "deal"))
+    return placed.repartitionById(parts, "range").sortWithinPartitions("place", "deal", "doc_id").select("doc_id", "text").mapInArrow(each, RESULT)
+
+
+def range_cuts(sample: DataFrame, parts: int) -> np.ndarray:
+    """parts - 1 cuts (place, deal) or fewer, between ranges of about equal size, from rows place, deal, size."""
+    rows = np.array(sorted(tuple(r) for r in sample.collect()), dtype=np.int64).reshape(-1, 3)  # about RANGE_SAMPLE rows a partition
+    if not len(rows) or parts < 2:
+        return np.zeros((0, 2), np.int64)
+    share = np.cumsum(rows[:, 2]) / rows[:, 2].sum()
+    at = np.minimum(np.searchsorted(share, np.arange(1, parts) / parts), len(rows) - 1)
+    return np.unique(rows[at, :2], axis=0)
+
+
+def which_range(cuts: np.ndarray, place: pa.Array, deal: pa.Array) -> np.ndarray:
+    """How many cuts are below each (place, deal)."""
+    pair = np.dtype([("place", "<i8"), ("deal", "<i8")])
+    points = np.empty(len(place), pair)
+    points["place"], points["deal"] = place.to_numpy(zero_copy_only=False), deal.to_numpy(zero_copy_only=False)
+    return np.searchsorted(np.array([tuple(c) for c in cuts], pair), points, side="left")
 
 
 def _rows(pieces: Iterator[tuple]) -> pa.RecordBatch:

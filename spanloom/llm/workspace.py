@@ -32,6 +32,16 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+#: Bytes of text for each partition, and partitions at most.
+TASK_BYTES = 64 << 20
+MOST_PARTS = 1 << 16
+
+
+def partitions(spark: SparkSession, size: int, task_bytes: int = TASK_BYTES) -> int:
+    """Partitions for size bytes: the session's shuffle partitions at least, and no more than task_bytes each up to MOST_PARTS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-size // task_bytes)))
+
+
 class Workspace:
     """Parquet tables of one run; they go when they are dropped, or with the JVM."""
 

@@ -309,6 +309,24 @@ def test_packing(spark):
         packing.pack(rows, max_tokens=1000)
 
 
+def test_packing_of_very_long_texts(spark):
+    r = random.Random(16)
+    texts = {1: "a" + " " * 1_000_000 + "b", 2: "q" * 1_000_000, 3: "\n" * 300_000, 4: prose(r, 300_000, 5000), 5: "same", 6: "same"}
+    rows = spark.createDataFrame([(i, t, None, 0) for i, t in texts.items()], "doc_id long, text string, place string, range int").repartition(2)
+    check_pieces(packing.pack(rows).collect(), texts)
+
+
+def test_ranges_are_of_equal_size():
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    rows = [(7 if i < 400 else int(r.integers(1000)), int(r.integers(1 << 40)), 1) for i in range(1000)]
+    sample = type("Sample", (), {"collect": lambda self: rows})()
+    cuts = packing.range_cuts(sample, 10)
+    got = packing.which_range(cuts, pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows]))
+    assert np.bincount(got).max() <= 110 and all(a <= b for a, b in zip(got[np.lexsort((np.array(rows)[:, 1], np.array(rows)[:, 0]))], sorted(got), strict=True))
+
+
 def test_neighbours_on_the_curve_share_words():
     import pyarrow as pa
 
@@ -325,7 +343,14 @@ def test_both_tokenizers_agree():
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     own.encode_special_tokens = True
-    for t in ("Hello, world's  end\n\n x", "é ß 你好 🎉 ñ", "<|endoftext|>", "a" * 3000, " \t \n"):
+    long = [" " * 5000, "\n\t " * 3000, "x" * 5000, "-" * 4000, "é好 " * 4000, "it's  ", "\u2003" * 3000, "1" * 3000, "\x1c" * 4000, "\x85" * 2500]
+    r = random.Random(3)
+    mixed = ["".join(r.choice(long) + r.choice(["", "a", "B ", "\n", "'ll", "7"]) for _ in range(12)) for _ in range(12)]
+    packing.PART, before = 1000, packing.PART
+    for t in mixed:
+        assert packing.tokenizer()(t) == own.encode(t, add_special_tokens=False).ids
+    packing.PART = before
+    for t in ("a" + " " * 1_000_000 + "b", "ab" * 500_000, " \n" * 400_000, "Hello, world's  end\n\n x", "é ß 你好 🎉 ñ", "<|endoftext|>", "a" * 3000, " \t \n"):
         assert packing.tokenizer()(t) == own.encode(t, add_special_tokens=False).ids
 
 
