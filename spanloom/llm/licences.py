@@ -77,7 +77,7 @@ class Automaton:
         self.code = {w: i for i, w in enumerate(vocabulary)}
         joined = [w.encode() for w in vocabulary]
         offsets = np.concatenate(([0], np.cumsum([len(w) for w in joined])))
-        self.hashes = tb.piece_hash(tb.prefix_hash(np.frombuffer(b"".join(joined), np.uint8)), offsets[:-1], offsets[1:])
+        self.hashes = tb.piece_hash(np.frombuffer(b"".join(joined), np.uint8), offsets[:-1], offsets[1:])
         self.order = np.argsort(self.hashes)
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]

@@ -21,8 +21,7 @@ cross documents and are judged on the input.
    gathered: its windows go, by their 128-bit hashes, through partial aggregation.
 4. The spans of later copies are joined back to the texts.
 
-Where hashes stand for bytes (equal contexts, windows of hot anchors) they have 128 bits;
-a context's second 64 are drawn from its first and from three of its grams.
+Where hashes stand for bytes (equal contexts, windows of hot anchors) they have 128 bits.
 
 Defined results: null and empty texts keep nothing and have no spans; rows of equal id
 and text are one document and get equal answers; rows of equal id and other text are
@@ -51,7 +50,6 @@ MOST_PARTS = 20_000
 SORT_BYTES = 1_500_000
 NO_ID = -(1 << 63)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts array<long>, span_ends array<long>, kept_sha256 string"
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, k: int = K):
@@ -61,9 +59,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, k: int = K)
     empty = np.zeros(0, np.int64)
     if n <= 0:
         return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty.view(np.uint64)
-    h = tb.prefix_hash(data)
     at = np.arange(len(data) - k + 1)
-    gram = tb.piece_hash(h, at, at + k)
+    gram = tb.window_hash(data, k)
     low = np.uint64((1 << 28) - 1)
     order = (gram & ~low) | (low - at.astype(np.uint64))
     least = tb.sliding_min(order, width)
@@ -76,14 +73,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, k: int = K)
     starts = np.flatnonzero(fresh & valid)
     stops = np.flatnonzero(valid & np.append(fresh[1:] | ~valid[1:], True)) + 1
     ends = stops + span - 1
-    _, inv = tb.powers(len(h))
-    context = tb.piece_hash(h, starts, ends)
-    # A second hash of the context, from the grams of its windows' ends and its middle.
-    twice = tb.mix(context ^ _SECOND ^ tb.mix(gram[starts] + _SECOND * gram[ends - k]) ^ tb.mix(gram[(starts + ends - k) // 2] * _SECOND))
+    # Two hashes of the context, each from hashes of wide and of narrow pieces that cover it.
+    wide = 1 << (span.bit_length() - 1)
+    context, twice = (_cover(tb.window_hash(data, size, seed), size, starts, ends) for size, seed in ((wide, 1), (max(wide // 2, 1), 2)))
     own = owner[starts]
     return own, starts - offsets[own], stops - starts, gram[where[starts]], context, twice
 
 
+def _cover(hashes: np.ndarray, size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of pieces [start, end) of size bytes at least, from the hashes of size bytes in a row."""
+    out = tb.mix((ends - starts).astype(np.uint64))
+    for j in range(int(-(-(ends - starts).max(initial=0) // size))):
+        out = tb.absorb(out, hashes[np.minimum(starts + j * size, ends - size)])
+    return tb.mix(out)
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """All suffixes of text in order, by their first depth bytes at least.
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 1 << 20
 LONG = 4 * CHUNK
-_MULT = 0x9E6C63D0876A3F6B  # odd, so that it has an inverse modulo 2**64
-_INV = pow(_MULT, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_MULT = 0x9E6C63D0876A3F6B
+#: Bytes from which on a piece is hashed by itself.
+_LONG_PIECE = 64
 
 UPPER_TO_LOWER = np.arange(256, dtype=np.uint8)
 UPPER_TO_LOWER[65:91] += 32
@@ -54,19 +55,6 @@ def chunks(offsets: np.ndarray, size: int = CHUNK):
         i = j
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, at least n of each."""
-    have = _powers.get(0)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + 2)
-        with np.errstate(over="ignore"):
-            for k, base in ((0, _MULT), (1, _INV)):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose every output bit depends on every input bit."""
     x = x.astype(np.uint64, copy=True)
@@ -78,19 +66,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """h with which piece_hash() gives the hash of any piece of values."""
-    p, _ = powers(len(values) + 1)
-    h = np.empty(len(values) + 1, dtype=np.uint64)
-    h[0] = 0
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * p[: len(values)], out=h[1:])
+def eights(data: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes from each place on, zeros after the end."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+
+
+def absorb(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A hash and one more value; not linear, so that no exchange of values goes unseen."""
+    h = (h * np.uint64(_MULT)) ^ value
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
     return h
 
 
-def piece_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of pieces [start, end); equal pieces have equal hashes wherever they stand."""
-    _, inv = powers(len(h))
-    return mix((h[ends] - h[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(_INV))
+def piece_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of pieces [start, end) of bytes; equal pieces have equal hashes wherever they stand."""
+    lengths = ends - starts
+    h = mix(lengths.astype(np.uint64) + np.uint64(seed) * np.uint64(_MULT))
+    view = eights(data)
+    left = np.arange(len(starts))
+    long = lengths >= _LONG_PIECE
+    if long.any():
+        raw = memoryview(np.ascontiguousarray(data))
+        for i in np.flatnonzero(long).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], seed=seed)
+        left = left[~long]
+    at = 0
+    while len(left):
+        left = left[lengths[left] > at]
+        value = np.ascontiguousarray(view[starts[left] + at]).view("<u8").ravel()
+        spare = np.clip(at + 8 - lengths[left], 0, 7).astype(np.uint64) * np.uint64(8)
+        value = value << spare >> spare
+        h[left] = absorb(h[left], value)
+        at += 8
+    return mix(h)
+
+
+def window_hash(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hashes of size bytes in a row from each place on, by doubling; len(data) - size + 1 of them."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    have = 8 if size >= 8 else 1
+    h = np.ascontiguousarray(eights(data)[: len(data) - have + 1]).view("<u8").ravel() if have == 8 else data.astype(np.uint64)
+    h = absorb(mix(np.full(len(h), size * 1_000_003 + seed, np.uint64)), h)
+    while have * 2 <= size:
+        h = absorb(h[: len(h) - have], h[have:])
+        have *= 2
+    if have < size:
+        h = absorb(h[:n], h[size - have : size - have + n])
+    return mix(h)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +142,7 @@ def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[n
     """
     if len(data) <= LONG:
         starts, ends, first = word_spans(data, offsets, letters)
-        return piece_hash(prefix_hash(UPPER_TO_LOWER[data]), starts, ends), first
+        return piece_hash(UPPER_TO_LOWER[data], starts, ends), first
     parts, first, count = [], [0], 0
     for i in range(len(offsets) - 1):
         at, end = int(offsets[i]), int(offsets[i + 1])
@@ -125,7 +151,7 @@ def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[n
             while to < end and letters[data[to - 1]] and letters[data[to]]:
                 to += 1
             starts, ends, _ = word_spans(data[at:to], np.array([0, to - at]), letters)
-            parts.append(piece_hash(prefix_hash(UPPER_TO_LOWER[data[at:to]]), starts, ends))
+            parts.append(piece_hash(UPPER_TO_LOWER[data[at:to]], starts, ends))
             count += len(starts)
             at = to
         first.append(count)
