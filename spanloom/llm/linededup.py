@@ -1,15 +1,19 @@
-"""Deletion of repeated line runs, by suffix ranks over sequences of line IDs.
-
-Documents are sequences of line IDs (64-bit hashes of whole lines; blank lines are
-left out). Prefix doubling ranks the suffixes: rank k orders them by their first
-2**k lines, and is had from pairs of ranks k - 1 that stand 2**(k - 1) lines apart;
-distinct pairs are range-sorted and numbered in Spark, and pairs seen once are
-dropped, since no repeated run goes through them. A suffix's key run is the least
-number of lines with min_words words. Suffixes with equal key runs (two overlapping
-ranks are equal) are an interval of the suffix order whose longest common prefix
-holds the run; all but its first suffix in document order are later copies.
-Overlapping later copies add up to maximal repeated runs, which are deleted.
-Doubling ends at key runs, so there are as many rounds as min_words has bits.
+"""Deletion of repeated line runs, by a suffix array over sequences of line IDs.
+
+Documents are sequences of line IDs (128-bit hashes of whole lines; blank lines are
+left out). Prefix doubling ranks the suffixes: rank 0 orders them by their first line,
+rank k by their first 2**k lines, from pairs of ranks k - 1 that stand 2**(k - 1) lines
+apart; distinct lines and pairs are range-sorted and numbered in Spark, and what is seen
+once is dropped, since no repeated run goes through it.
+
+A suffix's key run is the least number of lines with min_words words. Suffixes with equal
+key runs (two overlapping ranks are equal) are an interval of the suffix array whose
+longest common prefix holds the run; the lines after it cut that interval into those of
+longer common prefixes. In each interval all but the first suffix in document order are
+later copies, and a later copy's whole maximal run is deleted: from its start to the depth
+of the deepest interval in which another suffix comes before it. Depths are looked at while
+the lines after the key run have less than min_words words together; what repeats beyond
+that lies in the maximal run of a later start, so nothing is left out.
 
 Hot lines are pre-aggregated wherever they are counted or ranked; what is joined
 back to places is joined by rows, so a hot line's places can be split.
@@ -31,11 +35,12 @@ from . import textbytes as tb
 from .workspace import Workspace
 
 MIN_WORDS = 10
-_LINES = "doc_id long, doc long, seq int, line int, id long, words int"
+_LINES = "doc_id long, doc long, seq int, line int, id long, id2 long, words int"
+_PLACES = "doc_id long, doc long, seq int, line int, r0 long, n int, tail array<long>"
 
 
 def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each line that is not blank: its text, its number there, its hash, its words. Last, the number of all lines of each text."""
+    """For each line that is not blank: its text, its number there, its two hashes, its words. Last, the number of all lines of each text."""
     breaks = np.flatnonzero(data == 10)
     starts = np.sort(np.concatenate((offsets[:-1], breaks + 1)), kind="stable")
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(breaks, offsets)) + 1)
@@ -44,7 +49,7 @@ def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     word, _, _ = tb.word_spans(data, offsets, tb.NONSPACE)
     words = np.searchsorted(word, ends) - np.searchsorted(word, starts)
     full = words > 0
-    hashes = tb.piece_hash(tb.prefix_hash(data), starts[full], ends[full])
+    hashes = np.stack([tb.piece_hash(data, starts[full], ends[full], seed) for seed in (0, 1)], axis=1)
     number = np.arange(len(starts)) - order[owner]
     return owner[full], number[full], hashes, words[full], np.bincount(owner, minlength=len(offsets) - 1)
 
@@ -72,48 +77,54 @@ def _lines(batches):
         for i, j in tb.chunks(offsets):
             owner, number, hashes, words, _ = line_table_in_parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             seq = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + i)), pa.array(keys[owner + i]), pa.array(seq.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(words.astype(np.int32))], names=["doc_id", "doc", "seq", "line", "id", "words"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + i)), pa.array(keys[owner + i]), pa.array(seq.astype(np.int32)), pa.array(number.astype(np.int32)), *[pa.array(np.ascontiguousarray(h).view(np.int64)) for h in hashes.T], pa.array(words.astype(np.int32))], names=["doc_id", "doc", "seq", "line", "id", "id2", "words"])
 
 
 def _runs(min_words: int):
-    """From documents with their repeated lines (number among lines that are not blank, ID, words) to suffixes with the length of their key runs."""
+    """From documents with their repeated lines (number among lines that are not blank, rank, words) to suffixes with the length of their key runs and the ranks of the few lines after them."""
 
     def each(batches):
         for batch in batches:
             out = []
             for doc_id, doc, lines in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                lines = sorted({(x["seq"], x["line"], x["id"], x["words"]) for x in lines})
-                seq = np.array([x[0] for x in lines])
+                lines = sorted({(x["seq"], x["line"], x["r0"], x["words"]) for x in lines})
+                seq, ranks = np.array([x[0] for x in lines]), [x[2] for x in lines]
                 total = np.concatenate(([0], np.cumsum([x[3] for x in lines])))
                 end = np.searchsorted(total, total[:-1] + min_words)
                 last = np.append(np.flatnonzero(np.diff(seq) != 1), len(seq) - 1)  # of a stretch without gaps
                 stretch = last[np.searchsorted(last, np.arange(len(seq)))] + 1
-                for k, (s, line, ident, _) in enumerate(lines):
-                    out.append((doc_id, doc, s, line, ident, int(end[k] - k) if end[k] <= stretch[k] else 0))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "doc", "seq", "line", "r0", "n"])
+                upto = np.minimum(np.searchsorted(total, total[np.minimum(end, len(seq))] + min_words) - 1, stretch)
+                for k, (s, line, rank, _) in enumerate(lines):
+                    whole = end[k] <= stretch[k]
+                    out.append((doc_id, doc, s, line, rank, int(end[k] - k) if whole else 0, ranks[end[k] : upto[k]] if whole else []))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "doc", "seq", "line", "r0", "n", "tail"])
 
     return each
 
 
+def _numbered(distinct: DataFrame, *by: str, name: str) -> DataFrame:
+    """Rows in order, with their number in that order (with gaps between partitions)."""
+    return distinct.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id())
+
+
 def later_copies(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, seq, n: runs of n lines from the seq-th line that is not blank, of which an earlier copy exists. docs: doc_id, doc, text."""
+    """doc_id, doc, seq, n: maximal runs of n lines from the seq-th line that is not blank, of which an earlier copy exists. docs: doc_id, doc, text."""
     lines = work.keep(docs.mapInArrow(_lines, _LINES))
     # Kept as a table: a join of plain tables is one that Spark can split where a line is in very many places.
-    often = work.keep(lines.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"))
-    repeated = lines.join(often, "id")
-    by_doc = repeated.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("seq", "line", "id", "words")).alias("lines"))
-    places = work.keep(by_doc.mapInArrow(_runs(min_words), "doc_id long, doc long, seq int, line int, r0 long, n int"))
+    often = work.keep(_numbered(lines.groupBy("id", "id2").agg(F.count("*").alias("c")).where("c > 1").select("id", "id2"), "id", "id2", name="r0"))
+    repeated = lines.join(often, ["id", "id2"])
+    by_doc = repeated.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("seq", "line", "r0", "words")).alias("lines"))
+    places = work.keep(by_doc.mapInArrow(_runs(min_words), _PLACES))
     longest = places.agg(F.max("n")).first()[0] or 0
     level = 0
     while 2 << level <= longest:
         here, step = F.col(f"r{level}"), 1 << level
-        ahead = Window.partitionBy("doc").orderBy("seq")
+        ahead = Window.partitionBy("doc_id", "doc").orderBy("seq")
         paired = places.withColumn("s", F.when(F.lead("seq", step).over(ahead) == F.col("seq") + step, F.lead(here, step).over(ahead)))
         pairs = paired.where(here.isNotNull() & F.col("s").isNotNull()).groupBy(here.alias("a"), F.col("s").alias("b")).agg(F.count("*").alias("c")).where("c > 1")
-        ranked = pairs.select("a", "b").repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn(f"r{level + 1}", F.monotonically_increasing_id())
-        ranked = work.keep(ranked)
+        ranked = work.keep(_numbered(pairs.select("a", "b"), "a", "b", name=f"r{level + 1}"))
         doubled = work.keep(paired.join(ranked, (here == F.col("a")) & (F.col("s") == F.col("b")), "left").drop("a", "b", "s"))
         work.drop(places, ranked)
         places, level = doubled, level + 1
@@ -121,11 +132,14 @@ def later_copies(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -
     power = F.expr("CASE " + " ".join(f"WHEN n >= {1 << k} THEN {k}" for k in range(level, 0, -1)) + " ELSE 0 END") if level else F.lit(0)
     rank = "CASE k " + " ".join(f"WHEN {k} THEN r{k}" for k in range(level + 1)) + " END"
     starts = places.where("n > 0").withColumn("k", power).withColumn("first", F.expr(rank)).withColumn("at", F.expr("seq + n - shiftleft(1, k)"))
-    tails = places.select(F.col("doc").alias("d"), F.col("seq").alias("at"), *[F.col(f"r{k}").alias(f"t{k}") for k in range(level + 1)])
-    suffixes = starts.join(tails, (F.col("doc") == F.col("d")) & (starts["at"] == tails["at"])).withColumn("last", F.expr(rank.replace("THEN r", "THEN t"))).where("first is not null and last is not null").select("doc_id", "doc", "seq", "n", "first", "last")
-    suffixes = work.keep(suffixes)
-    earliest = work.keep(suffixes.groupBy("n", "first", "last").agg(F.min(F.struct("doc_id", "doc", "seq")).alias("earliest"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    return suffixes.join(earliest, ["n", "first", "last"]).where("doc <> earliest.doc or seq <> earliest.seq").select("doc", "seq", "n")
+    tails = places.select(F.col("doc_id").alias("i"), F.col("doc").alias("d"), F.col("seq").alias("at"), *[F.col(f"r{k}").alias(f"t{k}") for k in range(level + 1)])
+    suffixes = starts.join(tails, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("doc") == F.col("d")) & (starts["at"] == tails["at"])).withColumn("last", F.expr(rank.replace("THEN r", "THEN t"))).where("first is not null and last is not null")
+    # One row for each interval of the suffix array that a suffix is in, by the lines after the key run.
+    depths = suffixes.withColumn("more", F.explode(F.sequence(F.lit(0), F.size("tail")))).withColumn("tail", F.slice("tail", 1, F.col("more")))
+    intervals = work.keep(depths.select("doc_id", "doc", "seq", "n", "first", "last", "tail"))
+    earliest = work.keep(intervals.groupBy("n", "first", "last", "tail").agg(F.min(F.struct("doc_id", "doc", "seq")).alias("earliest"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    later = intervals.join(earliest, ["n", "first", "last", "tail"]).where("not (doc_id <=> earliest.doc_id and doc = earliest.doc and seq = earliest.seq)")
+    return later.groupBy("doc_id", "doc", "seq").agg(F.max(F.col("n") + F.size("tail")).alias("n"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -134,7 +148,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     own = own.withColumn("doc", F.xxhash64("doc_id", "text"))
     gone = later_copies(own.select("doc_id", "doc", "text"), work, min_words)
-    gone = work.keep(gone.groupBy("doc").agg(F.collect_list(F.struct("seq", "n")).alias("gone")))
+    gone = work.keep(gone.groupBy(F.col("doc_id").alias("i"), F.col("doc").alias("d")).agg(F.collect_list(F.struct("seq", "n")).alias("gone")))
 
     def each(batches):
         for batch in batches:
@@ -153,7 +167,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     texts.append(raw.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(texts, pa.binary()).cast(pa.string()), *[batch.column(k) for k in range(3, batch.num_columns)]], names=["doc_id", "n_lines", "n_removed", "removed", "text", *batch.schema.names[3:]])
 
-    joined = own.join(gone, "doc", "left").select("doc_id", "text", "gone", *[f"carry_{i}" for i in range(len(carry))])
+    joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("doc") == F.col("d")), "left").select("doc_id", "text", "gone", *[f"carry_{i}" for i in range(len(carry))])
     kinds = "".join(f", `carry_{i}` {joined.schema[f'carry_{i}'].dataType.simpleString()}" for i in range(len(carry)))
     result = joined.mapInArrow(each, "doc_id long, n_lines long, n_removed long, removed array<int>, text string" + kinds)
     return result.select("doc_id", "n_lines", "n_removed", "removed", "text", *[F.col(f"carry_{i}").alias(f"carried_{c}") for i, c in enumerate(carry)])

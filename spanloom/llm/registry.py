@@ -99,7 +99,9 @@ WITH raw AS (
 ), l AS (
   SELECT doc_id, pos, ln, nw, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(nw) OVER (PARTITION BY doc_id ORDER BY pos) AS cum FROM counted WHERE nw > 0
 ), ends AS (
-  SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i < a.i + 10 AND b.cum >= a.cum - a.nw + 10 GROUP BY a.doc_id, a.i
+  -- From each start, all runs of 10 words or more that have less than 10 beyond the shortest one.
+  SELECT doc_id, a, b FROM (SELECT a.doc_id, a.i AS a, b.i AS b, b.cum - min(b.cum) OVER (PARTITION BY a.doc_id, a.i) AS beyond
+    FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i < a.i + 20 AND b.cum >= a.cum - a.nw + 10) WHERE beyond < 10
 ), runs AS (
   SELECT e.doc_id, e.a, e.b, string_agg(l.ln, chr(10) ORDER BY l.i) AS s FROM ends e JOIN l ON l.doc_id = e.doc_id AND l.i BETWEEN e.a AND e.b GROUP BY e.doc_id, e.a, e.b
 ), later AS (

@@ -182,15 +182,12 @@ def brute_lines(rows, min_words):
         full = [(k, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
         gone = set()
         for a in range(len(full)):
-            total, b = 0, a
-            while b < len(full) and total < min_words:
-                total += full[b][2]
-                b += 1
-            if total >= min_words:
-                key = tuple(x[1] for x in full[a:b])
+            keys = [b for b in range(a + 1, len(full) + 1) if sum(x[2] for x in full[a:b]) >= min_words]
+            keys = {b: tuple(x[1] for x in full[a:b]) for b in keys}
+            for b, key in keys.items():  # runs of every length
                 if key in seen:
                     gone |= {x[0] for x in full[a:b]}
-                seen.add(key)
+            seen |= set(keys.values())
         out[i] = (len(full), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
     return out
 
@@ -204,6 +201,37 @@ def test_line_dedup(spark, texts):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_whole_maximal_line_runs_go(spark):
+    r = random.Random(19)
+    body, tail, end = prose(r, 20, 5000), "The end.", "x y z"
+    rows = [(1, f"{body}\n{tail}\n{end}\nown one"), (2, f"a\n{tail}\n{body}\n\n{tail}\nother"), (3, f"{tail}\n{body}\n{tail}\n{end}"), (None, "q " * 12 + "\nshort"), (None, "q " * 12 + "\nshort"), (9, "q " * 12 + "\nshort\nz"), (9, "own text of row nine")]
+    got = sorted((x.doc_id or 0, x.n_removed, x.text) for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(1))).collect())
+    assert got == [(0, 0, rows[3][1]), (0, 0, rows[3][1]), (1, 0, rows[0][1]), (2, 2, f"a\n{tail}\n\nother"), (3, 4, ""), (9, 0, "own text of row nine"), (9, 2, "z")]
+
+
+def test_hashes_tell_regular_texts_apart():
+    order = [0]
+    while len(order) < 1024:
+        order += [1 - x for x in order]
+    one = np.array([97 if x else 32 for x in order], np.uint8)
+    other = np.array([32 if x else 97 for x in order], np.uint8)
+    for size in (8, 16, 63, 64, 100, 1024):
+        at = np.zeros(1, np.int64)
+        assert tb.piece_hash(one, at, at + size) != tb.piece_hash(other, at, at + size)
+        assert tb.window_hash(one, size)[0] != tb.window_hash(other, size)[0]
+    r = np.random.default_rng(1)
+    x = r.integers(97, 99, 3000).astype(np.uint8)
+    for size in (1, 3, 8, 13, 32, 100):
+        seen = {}
+        for i, h in enumerate(tb.window_hash(x, size).tolist()):
+            assert seen.setdefault(h, x[i : i + size].tobytes()) == x[i : i + size].tobytes()
+        assert len(seen) == len({x[i : i + size].tobytes() for i in range(len(x) - size + 1)})
+    for size in (1, 7, 8, 9, 63, 64, 65):
+        piece = r.integers(0, 255, size).astype(np.uint8)
+        found = {int(tb.piece_hash(np.concatenate((np.zeros(k, np.uint8), piece, np.ones(k, np.uint8))), np.array([k]), np.array([k + size]))[0]) for k in range(4)}
+        assert len(found) == 1
+
+
 def brute_windows(docs, items):
     split = lambda t: WORD.findall((t or "").translate(LOWER))
     windows = {}
