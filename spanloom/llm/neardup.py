@@ -2,21 +2,24 @@
 
 A document's set is its distinct WORDS-word shingles. Documents of equal sets are one
 class; a class has a signature of SLOTS MinHash values. Each of TREES trees is a sorted
-order of the classes by their signature, read from another slot on. Classes that share
-DEPTH values or more in some order (longest-common-prefix neighbours) are one region of
-that tree. A region of more than REGION classes is worked on in blocks: each by itself,
-then the best linked class of each component with one another, and at last blocks of the
-classes outside the region's largest component with blocks of all.
-
-Within a region, pairs of classes whose signatures agree in enough slots are candidates.
-First a spanning forest of them (in large regions, stars around the classes nearest to
-the region's modal signature), which is as many as there are classes; these are confirmed
-on the full sets, and components are taken. Then, in a second round, candidates that join
-different components and were not confirmed yet (in large regions the best and the most
-central ones of each other component), and in a third all candidates of large regions that
-still join different components. So within a component confirmations follow the number of
-documents, not the square of its size; between components that stay apart every candidate
-is confirmed or rejected, and what is linked is always confirmed on full sets.
+order of the classes by their signature, read from another slot on. Classes with a common
+prefix of DEPTH values or more in some order are one region of that tree; regions never
+need to be sorted with one another, and each task sorts its own.
+
+Pairs of one region whose signatures agree in enough slots are candidates. They are looked
+at in two rounds, so that within a component confirmations follow the number of documents,
+not the square of its size, while no candidate between different components is left out:
+
+1. A spanning forest of the candidates, confirmed on the full sets; its components. A small
+   region has all its pairs at hand. A large one (more than MATRIX classes) takes stars
+   around the classes nearest to its modal signature, and for the classes that no star
+   reached goes as deep into the sorted order as each needs: to the neighbour of longest
+   common prefix that is a candidate. Regions beyond REGION classes are worked on in blocks,
+   whose components then meet by their best linked classes.
+2. All candidates that still join different components. Those of small regions are confirmed
+   as those before. A large region is cut into cells, so that any two of its classes of
+   different components share one, with the full sets of their classes; a cell confirms its
+   candidates itself, best first, and merges components as it finds links.
 
 Defined results: null or empty texts (and those without words) have the empty set, are
 linked with nothing and are their own component; with fewer words than a shingle the whole
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .workspace import Workspace
+from .workspace import Workspace, partitions
 
 WORDS = 3
 PERCENT = 85
@@ -45,9 +48,11 @@ SLOTS = 128
 TREES, DEPTH = 16, 5
 REGION = 16_384
 MATRIX = 512
-CHOSEN = 8
+HUBS, NEAR = 8, 8
 PAIRS = 100_000
-_ROW = "doc_id long, doc long, n_shingles long, cls long, sig binary"
+CELL_BYTES = 64 << 20
+TASK_BYTES = 8 << 20
+_ROW = "doc_id long, doc long, n_shingles long, h1 long, h2 long, sig binary"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +98,12 @@ def _sets(words: int):
             for i, j in tb.chunks(offsets):
                 values, first = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 n = np.diff(first)
-                total = np.concatenate(([np.uint64(0)], np.cumsum(tb.mix(values))))
-                cls = tb.mix((total[first[1:]] - total[first[:-1]]) + tb.mix(n.astype(np.uint64))).view(np.int64)
+                both = []
+                for seed in (0, 1):  # of a whole set
+                    total = np.concatenate(([np.uint64(0)], np.cumsum(tb.mix(values + np.uint64(seed)))))
+                    both.append(tb.mix((total[first[1:]] - total[first[:-1]]) + tb.mix(n.astype(np.uint64))).view(np.int64))
                 sig = signatures(values, first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(cls), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "doc", "n_shingles", "cls", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), *map(pa.array, both), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "doc", "n_shingles", "h1", "h2", "sig"])
 
     return each
 
@@ -120,60 +127,59 @@ def _prefixes(trees: int):
     return each
 
 
-def regions(classes: DataFrame, work: Workspace, trees: int = TREES, largest: int | None = None) -> DataFrame:
-    """region, cls, sig, tree, parts: classes by the regions of the forest that hold two or more, and how many parts of largest classes each makes."""
+def regions(classes: DataFrame, work: Workspace, trees: int = TREES) -> DataFrame:
+    """region, cls, n, sig, tree, size: classes by the regions of the forest that hold two or more."""
     placed = work.keep(classes.select("cls", "sig").mapInArrow(_prefixes(trees), "cls long, tree int, region long"))
     sizes = work.keep(placed.groupBy("region").agg(F.count("*").alias("size")).where("size > 1"))
-    whole = placed.join(sizes, "region").withColumn("parts", _parts("size", largest or REGION))
-    return work.keep(whole.join(classes.select("cls", "sig").hint("merge"), "cls").select("region", "cls", "sig", "tree", "parts"))
+    whole = placed.join(sizes, "region")
+    return work.keep(whole.join(classes.select("cls", "n", "sig").hint("merge"), "cls").select("region", "cls", "n", "sig", "tree", "size"))
 
 
-def _parts(size: str, largest: int):
-    return F.ceil(F.col(size) / largest).cast("int")
+def _part(of, salt: int = 0):
+    return F.pmod(F.xxhash64("cls", "tree", F.lit(salt)), of).cast("int")
 
 
-def _part(of: str, salt: int = 0):
-    return F.pmod(F.xxhash64("cls", "tree", F.lit(salt)), F.col(of)).cast("int")
+def _blocks(size: str, largest: int):
+    return F.ceil(F.col(size) / largest).cast("int")
 
 
-def in_blocks(grouped: DataFrame) -> DataFrame:
-    """region, cls, sig, tree: with each part of a large region as a region."""
-    return grouped.withColumn("region", F.when(F.col("parts") > 1, F.xxhash64("region", _part("parts"))).otherwise(F.col("region"))).drop("parts")
+def in_blocks(grouped: DataFrame, largest: int) -> DataFrame:
+    """region, cls, sig, tree: with each block of a region of more than largest classes as a region."""
+    cut = F.when(F.col("size") > largest, F.xxhash64("region", _part(_blocks("size", largest)))).otherwise(F.col("region"))
+    return grouped.select(cut.alias("region"), "cls", "sig", "tree")
 
 
 def leaders(marked: DataFrame, links: DataFrame, largest: int) -> DataFrame:
-    """region, cls, sig, tree: of each component in a large region, the class with most links; in blocks where they are many."""
+    """region, cls, sig, tree: of each component in a region of more than largest classes, the class with most links; in blocks where they are many."""
     degrees = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").count()
-    linked = marked.where("parts > 1").drop("parts").join(degrees, "cls")
+    linked = marked.where(F.col("size") > largest).drop("size").join(degrees, "cls")
     first = linked.groupBy("region", "label").agg(F.max_by(F.struct("cls", "sig", "tree"), F.struct("count", "cls")).alias("first")).select("region", "first.*")
     sizes = first.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
-    return in_blocks(first.join(sizes, "region").withColumn("parts", _parts("size", largest)).drop("size"))
+    return in_blocks(first.join(sizes, "region"), largest)
 
 
-def cells(marked: DataFrame, work: Workspace, largest: int) -> DataFrame:
-    """region, cls, sig, tree, label: large regions as cells, so that any two classes of different components share one.
+def cells(wide: DataFrame, work: Workspace, largest: int, cell_bytes: int = CELL_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Large regions as cells, so that any two classes of different components share one.
 
-    One of two such classes is outside the region's largest component. So blocks of
-    those outside meet blocks of all.
+    One of two such classes is outside the region's largest component, so blocks of those
+    outside meet blocks of all. wide: region, cls, n, sig, tree, label. Returns the rows of
+    regions of several components, and those rows by cells (as region).
     """
-    wide = marked.where("parts > 1")
-    if not wide.limit(1).count():
-        return marked.drop("parts")
-    counts = wide.groupBy("region", "label").count()
-    most = counts.groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("size"), F.max("count").alias("top"))
+    total = wide.groupBy("region", "label").agg(F.count("*").alias("count"), F.sum("n").alias("values"))
+    most = total.groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("size"), F.max("count").alias("top"), F.sum("values").alias("values"), F.max_by("values", F.struct("count", "label")).alias("inner"))
+    blocks = lambda rows, values: F.greatest(F.ceil(rows / largest), F.ceil(values * 6 / cell_bytes), F.lit(1)).cast("int")
     # A region that is one component has nothing to test.
-    most = work.keep(most.where("size > top").select("region", "most", F.ceil((F.col("size") - F.col("top")) / largest).cast("int").alias("outs")))
+    most = work.keep(most.where("size > top").select("region", "most", blocks(F.col("size"), F.col("values")).alias("parts"), blocks(F.col("size") - F.col("top"), F.col("values") - F.col("inner")).alias("outs")))
     wide = work.keep(wide.join(most, "region"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    everyone = wide.select("*", _part("parts").alias("j")).select("*", every("outs").alias("o"))
-    outside = wide.where("label <> most").select("*", every("parts").alias("j")).withColumn("o", _part("outs", 1))
-    dealt = everyone.unionByName(outside).withColumn("region", F.xxhash64("region", "o", "j"))
-    columns = ["region", "cls", "sig", "tree", "label"]
-    return marked.where("parts = 1").select(*columns).union(dealt.select(*columns))
+    everyone = wide.select("*", _part(F.col("parts")).alias("j")).select("*", every("outs").alias("o"))
+    outside = wide.where("label <> most").select("*", every("parts").alias("j")).withColumn("o", _part(F.col("outs"), 1))
+    dealt = everyone.unionByName(outside).select(F.xxhash64("region", "o", "j").alias("region"), "cls", "sig", "tree", "label").distinct()
+    return wide, dealt
 
 
-def forest(sig: np.ndarray, least: int, matrix: int = MATRIX) -> list[tuple[int, int]]:
-    """Pairs of rows that agree in least slots or more: a spanning forest, best pairs first; stars where rows are many."""
+def forest(sig: np.ndarray, least: int, matrix: int = MATRIX, tree: int = 0) -> list[tuple[int, int]]:
+    """Pairs of rows that agree in least slots or more: a spanning forest, best pairs first; stars and neighbours in the sorted order where rows are many."""
     n = len(sig)
     if n <= matrix:
         agree = np.zeros((n, n), dtype=np.int16)
@@ -197,14 +203,36 @@ def forest(sig: np.ndarray, least: int, matrix: int = MATRIX) -> list[tuple[int,
         return out
     out = []
     left = np.arange(n)
-    while len(left) > 1:
+    for _ in range(HUBS):
+        if len(left) < 2:
+            break
         own = sig[left]
         hub = left[int(_to_mode(own).argmax())]
-        agree = (own == sig[hub]).sum(axis=1)
-        near = (agree >= least) & (left != hub)
+        near = ((own == sig[hub]).sum(axis=1) >= least) & (left != hub)
         out += [(int(hub), int(x)) for x in left[near]]
         left = left[~near & (left != hub)]
-    return out
+    return out + prefix_neighbours(sig, left, least, tree)
+
+
+def prefix_neighbours(sig: np.ndarray, wanted: np.ndarray, least: int, tree: int = 0) -> list[tuple[int, int]]:
+    """For each wanted row its neighbour of longest common prefix that agrees with it in least slots or more, of the NEAR on either side in the tree's order."""
+    turned = np.roll(sig, -tree * DEPTH, axis=1)
+    order = np.array(sorted(range(len(sig)), key=lambda i: turned[i].astype(">u2").tobytes()), dtype=np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    found: list[tuple[int, int]] = []
+    if not len(wanted):
+        return found
+    best, depth = np.full(len(wanted), -1, np.int64), np.full(len(wanted), -1, np.int64)
+    for step in [s * k for k in range(1, NEAR + 1) for s in (-1, 1)]:
+        at = place[wanted] + step
+        ok = np.flatnonzero((at >= 0) & (at < len(order)))
+        other = order[at[ok]]
+        same = turned[wanted[ok]] == turned[other]
+        common = np.cumprod(same, axis=1).sum(axis=1)
+        better = (same.sum(axis=1) >= least) & (common > depth[ok])
+        best[ok[better]], depth[ok[better]] = other[better], common[better]
+    return [(int(a), int(b)) for a, b in zip(wanted, best, strict=True) if b >= 0]
 
 
 def _to_mode(sig: np.ndarray) -> np.ndarray:
@@ -212,54 +240,81 @@ def _to_mode(sig: np.ndarray) -> np.ndarray:
     return (sig == np.array([_mode(sig[:, s]) for s in range(sig.shape[1])], dtype=sig.dtype)).sum(axis=1)
 
 
-def _leading(rows: np.ndarray, group: np.ndarray, value: np.ndarray, chosen: int) -> np.ndarray:
-    """Of the rows of each group, the chosen ones of largest value."""
-    order = np.lexsort((rows, -value, group))
-    g = group[order]
-    start = np.searchsorted(g, g)
-    return rows[order[np.arange(len(g)) - start < chosen]]
-
-
 def _mode(values: np.ndarray) -> int:
     found, counts = np.unique(values, return_counts=True)
     return found[counts.argmax()]
 
 
-def across(sig: np.ndarray, comp: np.ndarray, least: int, earlier: int = 0, chosen: int = 0) -> Iterator[tuple[int, int]]:
-    """Pairs of rows of different components that agree in least slots or more, each at least once; with chosen, for each row outside the largest component only as many of each other component that agree best with it, and as many that are nearest to the region's mode.
+def _apart(sig: np.ndarray, v: int, other: np.ndarray, least: int, earlier: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows with other: those that agree with row v in least slots or more, and in how many.
 
-    Pairs that share a region in one of the earlier trees are left to that tree, before any are chosen.
+    Pairs that share a region in one of the earlier trees are left to that tree.
     """
+    same = sig == sig[v]
+    agree = same.sum(axis=1)
+    near = np.flatnonzero((agree >= least) & other)
+    if earlier and len(near):
+        near = near[~same[near, : earlier * DEPTH].reshape(len(near), earlier, DEPTH).all(axis=2).any(axis=1)]
+    return near, agree[near]
+
+
+def across(sig: np.ndarray, comp: np.ndarray, least: int, earlier: int = 0) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of different components that agree in least slots or more, each once, but for those of earlier trees."""
     found, counts = np.unique(comp, return_counts=True)
     if len(found) < 2:
         return
     outside = comp != found[counts.argmax()]
-    central = _to_mode(sig) if chosen else np.zeros(0)
     for v in np.flatnonzero(outside).tolist():
-        same = sig == sig[v]
-        agree = same.sum(axis=1)
-        near = np.flatnonzero((agree >= least) & (comp != comp[v]))
-        if earlier and len(near):
-            near = near[~same[near, : earlier * DEPTH].reshape(len(near), earlier, DEPTH).all(axis=2).any(axis=1)]
-        if chosen and len(near):
-            near = np.union1d(_leading(near, comp[near], agree[near], chosen), _leading(near, comp[near], central[near], chosen))
-        elif not chosen:
-            near = near[~outside[near] | (near > v)]  # the other row of a pair outside gives it too
+        near, _ = _apart(sig, v, comp != comp[v], least, earlier)
+        near = near[~outside[near] | (near > v)]  # the other row of a pair outside gives it too
         yield from ((min(v, y), max(v, y)) for y in near.tolist())
 
 
-def _by_region(least: int, second: bool, matrix: int = MATRIX, chosen: int = 0):
-    """Pairs of each region: of forest(), or in later rounds of across(), chosen ones where a region has more than matrix rows."""
+def linked_across(sig: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], least: int, percent: int, earlier: int = 0) -> list[tuple[int, int]]:
+    """Links between rows of different components, enough to join all components that have any."""
+    comp = np.unique(comp, return_inverse=True)[1]
+    top = np.bincount(comp).argmax()
+    sizes = np.array([len(x) for x in sets])
+    out = []
+    for v in np.flatnonzero(comp != top).tolist():
+        if comp[v] == top and (comp == top).all():
+            break
+        near, agree = _apart(sig, v, comp != comp[v], least, earlier)
+        n, m = np.minimum(sizes[near], sizes[v]), np.maximum(sizes[near], sizes[v])
+        near, agree = near[100 * n >= percent * m], agree[100 * n >= percent * m]
+        near = near[np.argsort(-agree, kind="stable")]
+        step = 16
+        while len(near):
+            now, near = near[:step], near[step:]
+            step = max(16, min(8 * step, int(4_000_000 // max(1, sizes[v]))))
+            both = _overlaps(sets[v], [sets[y] for y in now])
+            for y in now[100 * both >= percent * (sizes[v] + sizes[now] - both)].tolist():
+                if comp[y] != comp[v]:
+                    out.append((v, y))
+                    comp[comp == max(comp[v], comp[y])] = min(comp[v], comp[y])
+                    top = np.bincount(comp).argmax()
+            near = near[comp[near] != comp[v]]
+    return out
+
+
+def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values of one, sorted, each of the others has; none is empty."""
+    values = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, values), len(one) - 1)
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in others])[:-1]))
+    return np.add.reduceat((one[at] == values).astype(np.int64), starts)
+
+
+def _by_region(work_on):
+    """Regions, whole, to pairs of classes: those of rows that work_on(rows) gives."""
 
     def finish(rows: list[tuple]):
-        rows = sorted(set(rows))
-        tree = rows[0][2]
+        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])
         cls = np.array([r[0] for r in rows])
-        sig = np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(-1, SLOTS)
-        pairs = across(sig, np.array([r[3] for r in rows]), least, tree, chosen if len(rows) > matrix else 0) if second else iter(forest(sig, least, matrix))
+        pairs = iter(work_on(np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(-1, SLOTS), rows)) if len(rows) > 1 else iter(())
         while part := list(itertools.islice(pairs, PAIRS)):
             of = cls[np.array(part)]
-            yield pa.RecordBatch.from_arrays([pa.array(of[:, 0], pa.int64()), pa.array(of[:, 1], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(of.min(axis=1), pa.int64()), pa.array(of.max(axis=1), pa.int64())], names=["a", "b"])
 
     def each(batches):
         rows, region = [], None
@@ -267,13 +322,11 @@ def _by_region(least: int, second: bool, matrix: int = MATRIX, chosen: int = 0):
             columns = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
             for row in zip(*columns, strict=True):
                 if row[0] != region and rows:
-                    if len(rows) > 1:
-                        yield from finish(rows)
+                    yield from finish(rows)
                     rows = []
                 region = row[0]
                 rows.append(row[1:])
-        if len(rows) > 1:
-            yield from finish(rows)
+        yield from finish(rows)
 
     return each
 
@@ -320,32 +373,34 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, cls (its class), component_id, kept."""
-    work = Workspace(docs.sparkSession)
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES, region: int = REGION, matrix: int = MATRIX) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, cls (the number of its class), component_id, kept.
+
+    region and matrix bound the work of a task; the result does not depend on them.
+    """
+    spark = docs.sparkSession
+    work = Workspace(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
     rows = work.keep(own.select("doc_id", "doc", "text").mapInArrow(_sets(words), _ROW))
-    named = rows.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc")).alias("first"), F.first("sig").alias("sig"))
-    classes = work.keep(named.select("cls", "first.doc_id", "first.doc", "sig"))
+    named = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc")).alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = work.keep(named.select(F.monotonically_increasing_id().alias("cls"), "h1", "h2", "first.doc_id", "first.doc", "n", "sig"))
     # Agreement of two signatures is binomial; three and a half deviations below the threshold lose one pair in thousands of those at it.
     share = percent / 100
     least = int(SLOTS * share - 3.5 * (SLOTS * share * (1 - share)) ** 0.5)
-    largest = REGION
-    grouped = regions(classes, work, trees, largest)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks, though rows are few: they compute much
-
-    def pairs_of(sharing: DataFrame, second: bool, chosen: int = 0) -> DataFrame:
-        return sharing.repartition(parts, "region").sortWithinPartitions("region", "cls").mapInArrow(_by_region(least, second, MATRIX, chosen), "a long, b long").distinct()
+    grouped = regions(classes, work, trees)
+    parts = partitions(spark, work.size(grouped), TASK_BYTES)
 
-    def marked(comp: DataFrame) -> DataFrame:
-        return grouped.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("region", "cls", "sig", "tree", "parts", F.coalesce("label", "cls").alias("label"))
+    def pairs_of(sharing: DataFrame, work_on) -> DataFrame:
+        return sharing.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(_by_region(work_on), "a long, b long").distinct()
 
-    tested = work.keep(pairs_of(in_blocks(grouped), False))
+    def marked(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        return rows.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
     def sets_of(involved: DataFrame) -> DataFrame:
         # Both sides of these joins grow with the documents, so they are shuffled at any size.
-        texts = own.select("doc", "text").join(work.keep(classes.join(involved, "cls").select("cls", "doc")).hint("merge"), "doc")
-        return work.keep(texts.select("cls", "text").mapInArrow(_full_sets(words), "cls long, n long, set binary").dropDuplicates(["cls"]))
+        where = work.keep(classes.join(involved, "cls").select("cls", F.col("doc_id").alias("i"), F.col("doc").alias("d"))).hint("merge")
+        texts = own.join(where, (F.col("doc") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("cls", "text")
+        return work.keep(texts.mapInArrow(_full_sets(words), "cls long, n long, set binary").dropDuplicates(["cls"]))
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
@@ -353,36 +408,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "na", "nb", "sa", "sb")
         return work.keep(both.mapInArrow(_confirm(percent), "a long, b long"))
 
+    def some(rows: DataFrame) -> bool:
+        return rows.limit(1).count() > 0
+
+    spanning = lambda sig, rows: forest(sig, least, matrix, rows[0][2])
+    tested = work.keep(pairs_of(in_blocks(grouped, region), spanning))
     sets = sets_of(_ends(tested))
     links = confirmed(tested, sets)
     comp = components(links, work)
-    # The second round chooses in large regions; the third takes all pairs that are left there between different components.
-    # Before them, components of the parts of a very large region are joined by their leaders, as far as these are near.
-    rounds = [(True, CHOSEN), (True, 0)]
-    if grouped.where("parts > 1").limit(1).count():
-        rounds.insert(0, (False, 0))
-    large = work.keep(grouped.groupBy("region").count().where(F.col("count") > min(MATRIX, largest)).select("region"))
-    for second, chosen in rounds:
-        if second and not chosen:
-            if not large.limit(1).count():
-                break
-            grouped = grouped.join(large, "region")
-        sharing = cells(marked(comp), work, largest) if second else leaders(marked(comp), links, largest)
-        more = pairs_of(sharing, second, chosen)
-        known = tested.select("a", "b").union(tested.select("b", "a"))
-        more = work.keep(more.join(known, ["a", "b"], "left_anti"))
+
+    def further(sharing: DataFrame, work_on) -> DataFrame:
+        """Confirmed ones of the pairs that were not tested before; their sets are added to sets."""
+        nonlocal tested, sets
+        known = tested.select("a", "b")
+        more = work.keep(pairs_of(sharing, work_on).join(known, ["a", "b"], "left_anti"))
         tested = tested.union(more)
-        # A class that was near to no hub is met here for the first time.
         fresh = work.keep(_ends(more).join(sets.select("cls"), "cls", "left_anti"))
-        if fresh.limit(1).count():
+        if some(fresh):
             sets = sets.union(sets_of(fresh))
-        extra = confirmed(more, sets)
-        if extra.limit(1).count():
-            links = links.union(extra)
-            comp = components(links, work)
-    labelled = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
+        return confirmed(more, sets)
+
+    large = grouped.where(F.col("size") > min(matrix, region))
+    if some(grouped.where(F.col("size") > region)):
+        links = links.union(further(leaders(marked(grouped, comp), links, region), spanning))
+        comp = components(links, work)
+    between = lambda sig, rows: across(sig, np.array([r[3] for r in rows]), least, rows[0][2])
+    small = marked(grouped.where(F.col("size") <= min(matrix, region)), comp).select("region", "cls", "sig", "tree", "label")
+    extra = [further(small, between)]
+    if some(large):
+        wide, dealt = cells(marked(large, comp).select("region", "cls", "n", "sig", "tree", "label"), work, region)
+        involved = work.keep(wide.select("cls").distinct())
+        if some(involved):
+            fresh = work.keep(involved.join(sets.select("cls"), "cls", "left_anti"))
+            if some(fresh):
+                sets = sets.union(sets_of(fresh))
+            held = dealt.join(sets.select("cls", "set").hint("merge"), "cls").select("region", "cls", "sig", "tree", "label", "set")
+            inside = lambda sig, rows: linked_across(sig, np.array([r[3] for r in rows]), [_unpack(r[4]) for r in rows], least, percent, rows[0][2])
+            extra.append(work.keep(pairs_of(held, inside), batch_rows=200))
+    for found in extra:
+        if some(found):
+            links = links.union(found)
+    comp = components(links, work) if any(some(x) for x in extra) else comp
+    labelled = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "h1", "h2", "doc_id", F.coalesce("label", "cls").alias("label"))
     names = work.keep(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    of_class = work.keep(labelled.join(names, "label").select("cls", "component_id"))
-    result = rows.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
+    of_class = work.keep(labelled.join(names, "label").select("cls", "h1", "h2", "component_id"))
+    result = rows.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return result.select("doc_id", "n_shingles", "cls", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -101,29 +101,89 @@ def test_every_near_pair_between_components_of_a_large_region():
     assert {(max(p), min(p)) for p in neardup.across(rows, comp, 94, 1)} == {p for p in want if not first[p]}
 
 
-def test_links_far_from_the_hub_of_a_large_region(spark, texts, monkeypatch):
-    monkeypatch.setattr(neardup, "MATRIX", 2)
-    monkeypatch.setattr(neardup, "CHOSEN", 1)
+def test_classes_far_from_hubs_take_the_neighbour_of_longest_prefix():
+    r = np.random.default_rng(6)
+    n = neardup.MATRIX + 100
+    rows = r.integers(0, 1 << 16, (n, neardup.SLOTS)).astype(np.uint16)
+    for k in range(1, n, 2):  # pairs that are near to one another alone
+        rows[k] = rows[k - 1]
+        rows[k, 100:110] = r.integers(0, 1 << 16, 10)
+    for tree in (0, 3):
+        found = {(min(p), max(p)) for p in neardup.forest(rows, 94, tree=tree)}
+        assert {(k - 1, k) for k in range(1, n, 2)} <= found and len(found) <= n
+
+
+def test_cells_find_links_between_all_components():
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.integers(0, 200, 150)).astype(np.uint64) for _ in range(12)]
+    sets += [np.unique(np.append(x[3:], r.integers(300, 400, 2))).astype(np.uint64) for x in sets]
+    comp = np.arange(24)
+    got = neardup.linked_across(np.zeros((24, neardup.SLOTS), np.uint16), comp.copy(), sets, 0, 85)
+    near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    assert all(near(sets[a], sets[b]) for a, b in got)
+    want = neardup.linked_across(np.zeros((24, neardup.SLOTS), np.uint16), comp.copy(), sets, 0, 101)
+    assert want == [] and len(got) == 12
+
+
+def family(r, n):
+    """Texts of one family: each a few changes away from an earlier one or from the first."""
+    texts = [prose(r, 150, 5000).split(" ")]
+    for _ in range(n - 1):
+        own = list(texts[0] if r.random() < 0.5 else r.choice(texts[-60:]))
+        for _ in range(r.randrange(1, 4)):
+            own[r.randrange(len(own))] = prose(r, 1, 5000)
+        if r.random() < 0.3:
+            at = r.randrange(140)
+            own[at : at + r.randrange(10)] = prose(r, 4, 5000).split(" ")
+        texts.append(own)
+    return [" ".join(x) for x in texts]
+
+
+def components_by_product(texts, percent):
+    """As brute_components(), by a product of matrices of three-word shingles that more than one text has."""
+    words = [t.split(" ") for t in texts]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in words]
+    often = {}
+    for s in sets:
+        for g in s:
+            often[g] = often.get(g, 0) + 1
+    number = {g: i for i, g in enumerate(g for g, c in often.items() if c > 1)}
+    has = np.zeros((len(texts), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[g] for g in s if g in number]] = 1
+    both, sizes = has @ has.T, np.array([len(s) for s in sets])
+    near = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(near, True)
+    label = np.arange(len(texts))
+    while True:
+        low = np.where(near, label[None, :], len(texts)).min(axis=1)
+        if (low == label).all():
+            return [(i, int(n), int(c)) for i, (n, c) in enumerate(zip(sizes, label, strict=True))], int(near.sum() - len(texts)) // 2
+        label = low
+
+
+@pytest.mark.parametrize(("region", "matrix"), [(16_384, 512), (200, 512), (16_384, 64), (64, 20)])
+def test_a_large_family_loses_no_links_at_any_limit(spark, region, matrix):
+    texts = family(random.Random(29), 3200)
+    want, links = components_by_product(texts, 85)
+    assert links > 100_000 and len({c for _, _, c in want}) > 100
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in neardup.near_duplicates(corpus(spark, texts), region=region, matrix=matrix).collect())
+    assert got == want
+
+
+def test_links_far_from_the_hub_of_a_large_region(spark, texts):
     r = random.Random(21)
     words = prose(r, 400, 5000).split(" ")
     more = list(texts)
     for k in range(12):  # each is near to the one before, the ends are far from each other
         words[k * 8 : k * 8 + 8] = prose(r, 8, 5000).split(" ")
         more.append(" ".join(words))
-    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in neardup.near_duplicates(corpus(spark, more)).collect())
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in neardup.near_duplicates(corpus(spark, more), matrix=2).collect())
     assert got == brute_components(more, 3, 85)
 
 
-def test_regions_deeper_than_the_limit(spark, texts, monkeypatch):
-    monkeypatch.setattr(neardup, "REGION", 3)
-    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(corpus(spark, texts)).collect())
-    assert len(got) == len(texts) and all(c <= i for i, c in got)
-
-
 @pytest.mark.parametrize(("region", "matrix"), [(3, 512), (7, 2)])
-def test_regions_beyond_the_limit_lose_no_links(spark, texts, monkeypatch, region, matrix):
-    monkeypatch.setattr(neardup, "REGION", region)
-    monkeypatch.setattr(neardup, "MATRIX", matrix)
+def test_regions_beyond_the_limit_lose_no_links(spark, texts, region, matrix):
     r = random.Random(23)
     base = prose(r, 300, 5000).split(" ")
     more = list(texts)
@@ -132,7 +192,7 @@ def test_regions_beyond_the_limit_lose_no_links(spark, texts, monkeypatch, regio
         own[k * 7 : k * 7 + 20] = prose(r, 20, 5000).split(" ")
         more.append(" ".join(own))
     more.append(" ".join(base))
-    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in neardup.near_duplicates(corpus(spark, more)).collect())
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in neardup.near_duplicates(corpus(spark, more), region=region, matrix=matrix).collect())
     assert got == brute_components(more, 3, 85)
 
 
@@ -326,6 +386,30 @@ def test_nearest_of_small_tables(spark):
     assert [(r["rank"], r.vec_id) for r in curveknn.nearest(rows).orderBy("rank").collect()] == [(1, 2), (2, 1)]
 
 
+def test_nearest_of_ids_beyond_doubles_and_repeated_ids(spark):
+    kind = "vec_id long, embedding array<double>"
+    base = 1 << 53
+    rows = [(base + i, [1.0, 2.0]) for i in range(600)] + [(base, [1.0, 2.0])] * 3
+    got = curveknn.nearest(spark.createDataFrame(rows, kind), f"vec_id = {base + 100}", window=1).orderBy("rank").collect()
+    assert [(x["rank"], x.vec_id - base, x.score) for x in got] == [(k + 1, k, 0.0) for k in range(10)]
+
+
+def test_windows_alone_find_neighbours_where_there_are_groups(spark):
+    r = np.random.default_rng(3)
+    n, width = 6000, 32
+    middles = r.normal(size=(300, 6)) @ r.normal(size=(6, width))
+    x = middles[r.integers(0, 300, n)] + 0.05 * r.normal(size=(n, width))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for row in curveknn.nearest(rows, "vec_id % 20 = 0", check=False).collect():
+        found.setdefault(row.query_id, set()).add(row.vec_id)
+    hits = 0
+    for q in range(0, n, 20):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        hits += len(found[q] & {int(i) for i in np.argsort(d, kind="stable")[:11] if i != q})
+    assert hits >= 0.9 * 10 * n / 20
+
+
 def test_hilbert_curve():
     for dims, bits in ((2, 4), (3, 3), (4, 2), (1, 5)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
