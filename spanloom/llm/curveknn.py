@@ -10,8 +10,8 @@ reaches into its box. So results are exact; what the curves decide is how few bl
 read. On vectors without any structure (as far from one another as in random directions)
 boxes exclude little, and the check reads most blocks for most queries.
 
-Queries are broadcast in chunks of QUERY_CHUNK; rows are never sent to the driver beyond
-the sample. Blocks, windows and results are of bounded size for any group of equal vectors.
+Queries are broadcast in chunks of QUERY_CHUNK, one chunk at a time; other rows are never
+sent to the driver beyond the sample. Blocks, windows and results are of bounded size for any group of equal vectors.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do those of another length than the most common; a row is never its own
@@ -85,8 +85,8 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, in
     return rows.where(F.size("v") == width), width
 
 
-def nearest(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", window: int = WINDOW, fit_rows: int = FIT_ROWS, query_chunk: int = QUERY_CHUNK) -> DataFrame:
-    """The k nearest rows of each query (a SQL condition on vec_id), as in RESULT."""
+def nearest(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", window: int = WINDOW, fit_rows: int = FIT_ROWS, query_chunk: int = QUERY_CHUNK, check: bool = True) -> DataFrame:
+    """The k nearest rows of each query (a SQL condition on vec_id), as in RESULT; without check, the nearest in the merged windows alone."""
     spark = vectors.sparkSession
     rows, width = usable(vectors, id_col, vec_col)
     if not width:
@@ -158,13 +158,17 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
     parts = [found.select("query_id", "vec_id", "score")]
     first = ordered.where("curve = 0").select("vec_id", "raw")
     count = asked.count()
-    chunks = max(1, -(-count // query_chunk))
+    chunks = max(1, -(-count // query_chunk)) if check else 0
     for c in range(chunks):
         own = asked if chunks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c)
         got = own.select("vec_id", "raw", "radius").collect()  # about query_chunk rows
         if got:
             q = spark.sparkContext.broadcast((np.array([r[0] for r in got]), np.frombuffer(b"".join(bytes(r[1]) for r in got), "<f8").reshape(-1, width), np.array([r[2] for r in got])))
-            parts.append(first.mapInArrow(_check(sent, q, width, k), "query_id long, vec_id long, score double"))
+            part = first.mapInArrow(_check(sent, q, width, k), "query_id long, vec_id long, score double")
+            if chunks > 1:  # one chunk at a time is held, by the driver and by executors
+                part = work.keep(part)
+                q.destroy()
+            parts.append(part)
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
@@ -201,9 +205,8 @@ def _check(axes, queries, width: int, k: int):
                     mine = a == n
                     score, vec = np.concatenate((best[near[n]][0], d[mine])), np.concatenate((best[near[n]][1], own[b[mine]]))
                     rank = np.lexsort((vec, score))
-                    _, once = np.unique(np.stack([score[rank], vec[rank].astype(float)]), axis=1, return_index=True)
-                    rank = rank[np.sort(once)] if np.isfinite(score).sum() > k else rank
-                    rank = rank[:k]
+                    again = (score[rank[1:]] == score[rank[:-1]]) & (vec[rank[1:]] == vec[rank[:-1]])
+                    rank = rank[np.append(True, ~again)][:k]
                     pad = k - len(rank)
                     best[near[n]] = (np.append(score[rank], np.full(pad, np.inf)), np.append(vec[rank], np.zeros(pad, np.int64)))
                     reach[near[n]] = min(reach[near[n]], best[near[n]][0][-1])
