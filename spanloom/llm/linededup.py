@@ -39,8 +39,8 @@ _LINES = "doc_id long, doc long, seq int, line int, id long, id2 long, words int
 _PLACES = "doc_id long, doc long, seq int, line int, r0 long, n int, tail array<long>"
 
 
-def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each line that is not blank: its text, its number there, its two hashes, its words. Last, the number of all lines of each text."""
+def line_table(data: np.ndarray, offsets: np.ndarray, named: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each line that is not blank: its text, its number there, its two hashes (zeros unless named), its words. Last, the number of all lines of each text."""
     breaks = np.flatnonzero(data == 10)
     starts = np.sort(np.concatenate((offsets[:-1], breaks + 1)), kind="stable")
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(breaks, offsets)) + 1)
@@ -49,20 +49,20 @@ def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     word, _, _ = tb.word_spans(data, offsets, tb.NONSPACE)
     words = np.searchsorted(word, ends) - np.searchsorted(word, starts)
     full = words > 0
-    hashes = np.stack([tb.piece_hash(data, starts[full], ends[full], seed) for seed in (0, 1)], axis=1)
+    hashes = np.stack(tb.piece_hashes(data, starts[full], ends[full]), axis=1) if named else np.zeros((int(full.sum()), 2), np.uint64)
     number = np.arange(len(starts)) - order[owner]
     return owner[full], number[full], hashes, words[full], np.bincount(owner, minlength=len(offsets) - 1)
 
 
-def line_table_in_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def line_table_in_parts(data: np.ndarray, offsets: np.ndarray, named: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """line_table(), for a very long text in parts that end with lines."""
     if len(data) <= tb.LONG or len(offsets) > 2:
-        return line_table(data, offsets)
+        return line_table(data, offsets, named)
     parts, at, before = [], 0, 0
     while at < len(data):
         rest = np.flatnonzero(data[at + tb.LONG :] == 10)[:1] if at + tb.LONG < len(data) else np.zeros(0, np.int64)
         to = at + tb.LONG + int(rest[0]) + 1 if len(rest) else len(data)
-        _, number, hashes, words, _ = line_table(data[at:to], np.array([0, to - at]))
+        _, number, hashes, words, _ = line_table(data[at:to], np.array([0, to - at]), named)
         parts.append((number + before, hashes, words))
         before += int((data[at:to] == 10).sum())
         at = to
@@ -156,7 +156,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n_lines, removed, texts = [], [], []
             for d, gone in enumerate(batch.column(2).to_pylist()):
                 raw = data[offsets[d] : offsets[d + 1]]
-                _, number, _, _, _ = line_table_in_parts(raw, np.array([0, len(raw)]))
+                _, number, _, _, _ = line_table_in_parts(raw, np.array([0, len(raw)]), named=False)
                 n_lines.append(len(number))
                 out = number[np.unique(np.concatenate([np.arange(g["seq"], g["seq"] + g["n"]) for g in gone]))] if gone else number[:0]
                 removed.append(out)

@@ -80,27 +80,35 @@ def absorb(h: np.ndarray, value: np.ndarray) -> np.ndarray:
     return h
 
 
-def piece_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+def piece_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of pieces [start, end) of bytes; equal pieces have equal hashes wherever they stand."""
+    return piece_hashes(data, starts, ends, 1)[0]
+
+
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: int = 2) -> list[np.ndarray]:
+    """count (two at most) independent hashes of each piece [start, end) of bytes."""
     lengths = ends - starts
-    h = mix(lengths.astype(np.uint64) + np.uint64(seed) * np.uint64(_MULT))
+    out = [mix(lengths.astype(np.uint64) + np.uint64(_MULT * (k + 1) & 0xFFFFFFFFFFFFFFFF)) for k in range(count)]
     view = eights(data)
     left = np.arange(len(starts))
     long = lengths >= _LONG_PIECE
     if long.any():
         raw = memoryview(np.ascontiguousarray(data))
-        for i in np.flatnonzero(long).tolist():
-            h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], seed=seed)
-        left = left[~long]
+        where, left = left[long], left[~long]
+        whole = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        both = np.frombuffer(b"".join(whole), "<u8").reshape(-1, 2)
+        for k in range(count):
+            out[k][where] = both[:, k]
     at = 0
     while len(left):
         left = left[lengths[left] > at]
         value = np.ascontiguousarray(view[starts[left] + at]).view("<u8").ravel()
         spare = np.clip(at + 8 - lengths[left], 0, 7).astype(np.uint64) * np.uint64(8)
         value = value << spare >> spare
-        h[left] = absorb(h[left], value)
+        for h in out:
+            h[left] = absorb(h[left], value)
         at += 8
-    return mix(h)
+    return [mix(h) for h in out]
 
 
 def window_hash(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
