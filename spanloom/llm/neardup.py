@@ -16,10 +16,11 @@ not the square of its size, while no candidate between different components is l
    reached goes as deep into the sorted order as each needs: to the neighbour of longest
    common prefix that is a candidate. Regions beyond REGION classes are worked on in blocks,
    whose components then meet by their best linked classes.
-2. All candidates that still join different components. Those of small regions are confirmed
-   as those before. A large region is cut into cells, so that any two of its classes of
-   different components share one, with the full sets of their classes; a cell confirms its
-   candidates itself, best first, and merges components as it finds links.
+2. All candidates that still join different components. Large regions are cut into cells,
+   so that any two of their classes of different components share one. Signatures alone tell
+   which classes of a region or cell have such a candidate; these meet there again with their
+   full sets, and candidates are confirmed on the spot, best first, components merging as
+   links are found. So what travels follows the classes, not the candidates.
 
 Defined results: null or empty texts (and those without words) have the empty set, are
 linked with nothing and are their own component; with fewer words than a shingle the whole
@@ -158,12 +159,12 @@ def leaders(marked: DataFrame, links: DataFrame, largest: int) -> DataFrame:
     return in_blocks(first.join(sizes, "region"), largest)
 
 
-def cells(wide: DataFrame, work: Workspace, largest: int, cell_bytes: int = CELL_BYTES) -> tuple[DataFrame, DataFrame]:
+def cells(wide: DataFrame, work: Workspace, largest: int, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """Large regions as cells, so that any two classes of different components share one.
 
     One of two such classes is outside the region's largest component, so blocks of those
-    outside meet blocks of all. wide: region, cls, n, sig, tree, label. Returns the rows of
-    regions of several components, and those rows by cells (as region).
+    outside meet blocks of all. wide: region, cls, n, sig, tree, label; returns its rows of
+    regions of several components, by cells (as region).
     """
     total = wide.groupBy("region", "label").agg(F.count("*").alias("count"), F.sum("n").alias("values"))
     most = total.groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("size"), F.max("count").alias("top"), F.sum("values").alias("values"), F.max_by("values", F.struct("count", "label")).alias("inner"))
@@ -174,8 +175,7 @@ def cells(wide: DataFrame, work: Workspace, largest: int, cell_bytes: int = CELL
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     everyone = wide.select("*", _part(F.col("parts")).alias("j")).select("*", every("outs").alias("o"))
     outside = wide.where("label <> most").select("*", every("parts").alias("j")).withColumn("o", _part(F.col("outs"), 1))
-    dealt = everyone.unionByName(outside).select(F.xxhash64("region", "o", "j").alias("region"), "cls", "sig", "tree", "label").distinct()
-    return wide, dealt
+    return everyone.unionByName(outside).select(F.xxhash64("region", "o", "j").alias("region"), "cls", "sig", "tree", "label")
 
 
 def forest(sig: np.ndarray, least: int, matrix: int = MATRIX, tree: int = 0) -> list[tuple[int, int]]:
@@ -258,16 +258,16 @@ def _apart(sig: np.ndarray, v: int, other: np.ndarray, least: int, earlier: int)
     return near, agree[near]
 
 
-def across(sig: np.ndarray, comp: np.ndarray, least: int, earlier: int = 0) -> Iterator[tuple[int, int]]:
-    """Pairs of rows of different components that agree in least slots or more, each once, but for those of earlier trees."""
+def open_rows(sig: np.ndarray, comp: np.ndarray, least: int, earlier: int = 0) -> np.ndarray:
+    """Rows that agree in least slots or more with a row of another component, but for pairs of earlier trees."""
     found, counts = np.unique(comp, return_counts=True)
-    if len(found) < 2:
-        return
-    outside = comp != found[counts.argmax()]
-    for v in np.flatnonzero(outside).tolist():
-        near, _ = _apart(sig, v, comp != comp[v], least, earlier)
-        near = near[~outside[near] | (near > v)]  # the other row of a pair outside gives it too
-        yield from ((min(v, y), max(v, y)) for y in near.tolist())
+    out = np.zeros(len(sig), dtype=bool)
+    if len(found) > 1:
+        for v in np.flatnonzero(comp != found[counts.argmax()]).tolist():
+            near, _ = _apart(sig, v, comp != comp[v], least, earlier)
+            out[near] = True
+            out[v] |= len(near) > 0
+    return np.flatnonzero(out)
 
 
 def linked_across(sig: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], least: int, percent: int, earlier: int = 0) -> list[tuple[int, int]]:
@@ -306,27 +306,51 @@ def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def _by_region(work_on):
-    """Regions, whole, to pairs of classes: those of rows that work_on(rows) gives."""
+    """Regions, whole, to what work_on(signatures, rows) gives: pairs of rows, as pairs of classes."""
 
     def finish(rows: list[tuple]):
-        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])
         cls = np.array([r[0] for r in rows])
-        pairs = iter(work_on(np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(-1, SLOTS), rows)) if len(rows) > 1 else iter(())
+        pairs = iter(work_on(_signatures(rows), rows))
         while part := list(itertools.islice(pairs, PAIRS)):
             of = cls[np.array(part)]
             yield pa.RecordBatch.from_arrays([pa.array(of.min(axis=1), pa.int64()), pa.array(of.max(axis=1), pa.int64())], names=["a", "b"])
 
+    return lambda batches: (out for rows in _regions(batches) for out in finish(rows[1]))
+
+
+def _signatures(rows: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(-1, SLOTS)
+
+
+def _regions(batches) -> Iterator[tuple[int, list[tuple]]]:
+    """Each region that has two classes or more, with its rows in the order of classes, each once."""
+
+    def whole(rows: list[tuple]) -> list[tuple]:
+        return sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])
+
+    rows, region = [], None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
+            if row[0] != region and len(rows) > 1:
+                yield region, whole(rows)
+            if row[0] != region:
+                rows = []
+            region = row[0]
+            rows.append(row[1:])
+    if len(rows) > 1:
+        yield region, whole(rows)
+
+
+def _open(least: int):
+    """Regions, whole, to their rows that open_rows() gives."""
+
     def each(batches):
-        rows, region = [], None
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
-            for row in zip(*columns, strict=True):
-                if row[0] != region and rows:
-                    yield from finish(rows)
-                    rows = []
-                region = row[0]
-                rows.append(row[1:])
-        yield from finish(rows)
+        for region, rows in _regions(batches):
+            picked = open_rows(_signatures(rows), np.array([r[3] for r in rows]), least, rows[0][2])
+            if len(picked):
+                columns = list(zip(*(rows[i] for i in picked.tolist()), strict=True))
+                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([region] * len(picked), pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["region", "cls", "sig", "tree", "label"])
 
     return each
 
@@ -417,38 +441,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(tested, sets)
     comp = components(links, work)
 
-    def further(sharing: DataFrame, work_on) -> DataFrame:
-        """Confirmed ones of the pairs that were not tested before; their sets are added to sets."""
-        nonlocal tested, sets
-        known = tested.select("a", "b")
-        more = work.keep(pairs_of(sharing, work_on).join(known, ["a", "b"], "left_anti"))
-        tested = tested.union(more)
-        fresh = work.keep(_ends(more).join(sets.select("cls"), "cls", "left_anti"))
-        if some(fresh):
-            sets = sets.union(sets_of(fresh))
-        return confirmed(more, sets)
-
-    large = grouped.where(F.col("size") > min(matrix, region))
+    large = F.col("size") > min(matrix, region)
     if some(grouped.where(F.col("size") > region)):
-        links = links.union(further(leaders(marked(grouped, comp), links, region), spanning))
+        more = work.keep(pairs_of(leaders(marked(grouped, comp), links, region), spanning).join(tested, ["a", "b"], "left_anti"))
+        links = links.union(confirmed(more, sets))  # leaders have links, so their sets are there
         comp = components(links, work)
-    between = lambda sig, rows: across(sig, np.array([r[3] for r in rows]), least, rows[0][2])
-    small = marked(grouped.where(F.col("size") <= min(matrix, region)), comp).select("region", "cls", "sig", "tree", "label")
-    extra = [further(small, between)]
-    if some(large):
-        wide, dealt = cells(marked(large, comp).select("region", "cls", "n", "sig", "tree", "label"), work, region)
-        involved = work.keep(wide.select("cls").distinct())
-        if some(involved):
-            fresh = work.keep(involved.join(sets.select("cls"), "cls", "left_anti"))
-            if some(fresh):
-                sets = sets.union(sets_of(fresh))
-            held = dealt.join(sets.select("cls", "set").hint("merge"), "cls").select("region", "cls", "sig", "tree", "label", "set")
-            inside = lambda sig, rows: linked_across(sig, np.array([r[3] for r in rows]), [_unpack(r[4]) for r in rows], least, percent, rows[0][2])
-            extra.append(work.keep(pairs_of(held, inside), batch_rows=200))
-    for found in extra:
+    columns = ["region", "cls", "sig", "tree", "label"]
+    sharing = marked(grouped.where(~large), comp).select(*columns)
+    if some(grouped.where(large)):
+        sharing = sharing.union(cells(marked(grouped.where(large), comp).select("region", "cls", "n", "sig", "tree", "label"), work, region).select(*columns))
+    several = sharing.select("region", "label").groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("region")
+    unsettled = work.keep(sharing.join(work.keep(several), "region").repartition(parts, "region").sortWithinPartitions("region").mapInArrow(_open(least), "region long, cls long, sig binary, tree int, label long"))
+    if some(unsettled):
+        fresh = work.keep(unsettled.select("cls").distinct().join(sets.select("cls"), "cls", "left_anti"))
+        if some(fresh):
+            sets = sets.union(sets_of(fresh))
+        held = unsettled.join(sets.select("cls", "set").hint("merge"), "cls").select(*columns, "set")
+        inside = lambda sig, rows: linked_across(sig, np.array([r[3] for r in rows]), [_unpack(r[4]) for r in rows], least, percent, rows[0][2])
+        found = work.keep(pairs_of(held, inside), batch_rows=200)
         if some(found):
-            links = links.union(found)
-    comp = components(links, work) if any(some(x) for x in extra) else comp
+            comp = components(links.union(found), work)
     labelled = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "h1", "h2", "doc_id", F.coalesce("label", "cls").alias("label"))
     names = work.keep(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     of_class = work.keep(labelled.join(names, "label").select("cls", "h1", "h2", "component_id"))

@@ -85,20 +85,20 @@ def test_large_regions_take_stars_and_split():
     pairs = neardup.forest(rows, 94)
     assert len(pairs) == len(rows) - 1 and all(17 in p for p in pairs)
     comp = np.arange(len(rows))
-    assert all((min(17, i), max(17, i)) in set(neardup.across(rows[:60], comp[:60], 94)) for i in range(60) if i != 17)
+    assert neardup.open_rows(rows[:60], comp[:60], 94).tolist() == list(range(60))
 
 
-def test_every_near_pair_between_components_of_a_large_region():
+def test_rows_that_are_near_to_another_component():
     r = np.random.default_rng(4)
     hub = r.integers(0, 1 << 16, neardup.SLOTS).astype(np.uint16)
     n = neardup.MATRIX + 50
     rows = np.array([np.where(r.random(neardup.SLOTS) < 0.1, r.integers(0, 1 << 16, neardup.SLOTS), hub) for _ in range(n)], dtype=np.uint16)
     comp = np.arange(n) // (n // 2 + 20)
     agree = (rows[:, None, :] == rows[None, :, :]).sum(axis=2)
-    want = {(i, j) for i in range(n) for j in range(i) if comp[i] != comp[j] and agree[i, j] >= 94}
-    assert {(max(p), min(p)) for p in neardup.across(rows, comp, 94)} == want
+    near = (comp[:, None] != comp[None, :]) & (agree >= 94)
+    assert neardup.open_rows(rows, comp, 94).tolist() == np.flatnonzero(near.any(axis=1)).tolist()
     first = (rows[:, None, :5] == rows[None, :, :5]).all(axis=2)
-    assert {(max(p), min(p)) for p in neardup.across(rows, comp, 94, 1)} == {p for p in want if not first[p]}
+    assert neardup.open_rows(rows, comp, 94, 1).tolist() == np.flatnonzero((near & ~first).any(axis=1)).tolist()
 
 
 def test_classes_far_from_hubs_take_the_neighbour_of_longest_prefix():
