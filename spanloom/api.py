@@ -35,7 +35,7 @@ class Lexicon:
         return table[F.lower(text)]
 
 
-class SmartTagger:
+class TextTagger:
     """Segments texts into panels, recognises entities, assigns roles, and gives JSON.
 
     Tokens, panel tags and entity tags are columns, so a model behind
@@ -56,8 +56,8 @@ class SmartTagger:
         return ls.iob2(t, "label", name="entity_tag")
 
     def __call__(self, texts: Sequence[str] | DataFrame) -> DataFrame:
-        """doc_id, tagged (JSON) for every text."""
-        docs = texts if isinstance(texts, DataFrame) else readers.inline(self.spark, list(texts))
+        """doc_id, tagged (JSON) for every text; one without words has no panels."""
+        docs = (texts if isinstance(texts, DataFrame) else readers.inline(self.spark, list(texts))).select("doc_id", "text")
         tagged = self.tagged_tokens(docs)
         panels = inf.panels(inf.group_entities(tagged, "doc_id", "pos", "panel_tag"), "doc_id")
         groups = inf.group_entities(tagged, "doc_id", "pos", "entity_tag").where("entity_group <> 'O'")
@@ -65,6 +65,7 @@ class SmartTagger:
         held = held.withColumn("text", F.expr("substring(text, int(start) + 1, int(end - start))")).where("text <> '-'")
         kind, category = lb.category(F.col("entity_group"))
         entities = held.select("doc_id", "panel", "start", "end", "text", F.coalesce(kind, category).alias("type"), self.lexicon.role(F.col("text")).alias("role"))
-        return inf.tagged_json(panels, entities, "doc_id")
+        found = inf.tagged_json(panels, entities, "doc_id")
+        return docs.select("doc_id").join(found, "doc_id", "left").withColumn("tagged", F.coalesce("tagged", F.lit("[]")))
 
     tag_texts = __call__

@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .api import SmartTagger
+from .api import TextTagger
 from .functions import text as tx
 from .functions.labels import CODE_MAPS
 from .operators import splits, tokens, xmlspans
@@ -46,19 +46,20 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "extract":
         writers.lines(xmlspans.examples(readers.xml_corpus(spark, a.corpus), "path", "xml", a.xpath, a.min_length, a.keep_xml), "value", a.to)
     elif a.command == "prepare":
-        rows = readers.lines(spark, a.lines).withColumn("id", F.xxhash64("value")).dropDuplicates(["id"])
-        encoded = xmlspans.xml_spans(rows, "id", "value")
+        # Written once: ids of repeated lines must not change, and each line is parsed once for all code maps.
+        rows = readers.lines(spark, a.lines).withColumn("id", F.monotonically_increasing_id())
+        encoded = xmlspans.xml_spans(rows, "id", "value").persist()
         out = encoded.where("text is not null").select("id", "text", tx.words("text").alias("words"))
         for m in CODE_MAPS:
             labels = tokens.collected(xmlspans.word_labels(encoded, "id", m), "id", "pos", "iob2")
-            out = out.join(labels.withColumnRenamed("iob2", m.name), "id")
+            out = out.join(labels.withColumnRenamed("iob2", m.name), "id", "left").withColumn(m.name, F.coalesce(m.name, F.array().cast("array<string>")))
         label_ids = F.create_map(*[x for m in CODE_MAPS for x in (F.lit(m.name), F.col(m.name))])
         writers.json_lines(out.select("words", "text", label_ids.alias("label_ids")), a.to, shuffle_by="text")
     elif a.command == "prompts":
         rows = readers.seq2seq_csv(spark, a.csv)
         writers.split_json(rows.select("split", tx.prompt("input_text", F.lit("\n\n###\n\n")).alias("prompt"), tx.prompt(F.lit(" "), "output_text", F.lit(" [END]")).alias("completion")), "split", a.to)
     else:
-        for row in SmartTagger(spark)(a.texts).orderBy("doc_id").toLocalIterator():
+        for row in TextTagger(spark)(a.texts).orderBy("doc_id").toLocalIterator():
             print(row["tagged"])
 
 

@@ -67,10 +67,12 @@ def words(text: Column | str, drop_trailing_word: bool = False) -> Column:
     return out
 
 
-def natural_key(text: Column | str, width: int = 12) -> Column:
-    """A key whose string order takes runs of digits as numbers."""
+def natural_key(text: Column | str) -> Column:
+    """A key whose string order takes runs of digits as numbers of any length, and all else character by character."""
     parts = F.regexp_extract_all(col(text), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(p, width, "0")).otherwise(F.lower(p))), "")
+    bare = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    number = lambda p: F.concat(F.lit("\u0001"), F.lpad(F.length(bare(p)).cast("string"), 10, "0"), bare(p), F.lit("\u0001"))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(p)), "")
 
 
 def sentences(text: Column | str) -> Column:
@@ -88,32 +90,75 @@ def replace_all(text: Column | str, rules: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), rules, col(text))
 
 
-def cleaning_rules(text: Column | str, rules: Sequence[tuple[str, str]], poison: str = "button", instead: str = "") -> Column:
-    """Replacements in order, but a text with the poison word is swapped as a whole."""
-    return F.when(F.contains(col(text), F.lit(poison)), F.lit(instead)).otherwise(replace_all(text, rules))
+# What is replaced in texts of panels, in this order, and what marks a text as no caption.
+CLEANING = (("’", "'"), ("–", "-"), ("\xa0", " "), ("&amp;", "&"), ("&amp;amp;", "&"), ("&nbsp;", " "), ("\u2009", " "), ("&gt;", ">"), ("&lt;", "<"), ("amp;", ""), (") ", ")"))
+POISON = '"button"'
+SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+
+
+def stripped(text: Column | str) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(col(text), rf"^{SPACE}+|{SPACE}+\z", "")
+
+
+def cleaning_rules(text: Column | str, instead: Column | str = "", rules: Sequence[tuple[str, str]] = CLEANING, poison: str = POISON) -> Column:
+    """The text (or what stands instead of one with the poison) without white space at its ends, then replacements in order."""
+    other = F.lit(instead) if isinstance(instead, str) else instead
+    return replace_all(stripped(F.when(F.contains(col(text), F.lit(poison)), other).otherwise(col(text))), rules)
+
+
+# How the markup of a caption is mended before and after it is made one sd-panel, in order.
+MENDING = (
+    (r"(\([^\n]*?\))([\p{L}\p{N}_])", "$1 $2"),
+    (r"[\r\n]", ""),
+    (r"<br>", "<br/>"),
+    (r'(?s)<link href="(.*)">', '<link href="$1"/>'),
+    (r'(?s)<link href="(.*)"/>(?:.*(.))?</link>', '<link href="$1">$2</link>'),
+    (r"(?s)<\?xml.*?\?>", ""),
+)
+PANEL = r"(?s)\A<sd-panel>.*</sd-panel>\z"
+NESTING = (
+    (r"<sd-panel> *(?:<p>)* *<sd-panel>", "<sd-panel>"),
+    (r"</sd-panel> *(?:</p>)* *</sd-panel>", "</sd-panel>"),
+    (r"<sd-panel/>", ""),
+    (r"</sd-panel>\z", " </sd-panel>"),
+    (r" +", " "),
+)
 
 
 def panel_caption(caption: Column | str) -> Column:
-    """A caption as one sd-panel element: markup mended, breaks and declarations gone, spaces single."""
-    out = F.regexp_replace(col(caption), r"\)([^\s.,;:)])", ") $1")
-    out = F.regexp_replace(out, r"[\r\n]", "")
-    out = F.regexp_replace(out, r"<br\s*/?>", "")
-    out = F.regexp_replace(out, r"<link([^>/]*)>", "<link$1/>")
-    out = F.regexp_replace(out, r"<\?xml[^>]*\?>", "")
-    out = F.when(out.rlike(r"^\s*<sd-panel"), out).otherwise(F.concat(F.lit("<sd-panel>"), out, F.lit("</sd-panel>")))
-    out = F.regexp_replace(out, r"^(<sd-panel[^>]*>)\s*<sd-panel[^>]*>", "$1")
-    out = F.regexp_replace(out, r"</sd-panel>\s*</sd-panel>$", "</sd-panel>")
-    out = F.regexp_replace(out, r"\s*</sd-panel>$", " </sd-panel>")
-    return F.regexp_replace(out, r" +", " ")
+    """A caption as one sd-panel element: markup mended, line breaks and declarations gone, nested panels made one, spaces single."""
+    swap = lambda c, rules: reduce(lambda x, r: F.regexp_replace(x, *r), rules, c)
+    out = swap(col(caption), MENDING)
+    out = F.when(out.rlike(PANEL), out).otherwise(F.concat(F.lit("<sd-panel>"), out, F.lit("</sd-panel>")))
+    return swap(out, NESTING)
+
+
+# Named character references that are decoded, the ampersand last.
+NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&"))
+
+
+def unescaped(text: Column | str) -> Column:
+    """Character references, numeric ones and NAMED, as characters."""
+    char = lambda digits, base: F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
+    code = r"^([0-9]{1,7});(?s)(.*)$"
+    hexa = r"^[xX]([0-9A-Fa-f]{1,6});(?s)(.*)$"
+    decoded = lambda p: F.when(p.rlike(code), F.concat(char(F.regexp_extract(p, code, 1), 10), F.regexp_extract(p, code, 2))).when(p.rlike(hexa), F.concat(char(F.regexp_extract(p, hexa, 1), 16), F.regexp_extract(p, hexa, 2))).otherwise(F.concat(F.lit("&#"), p))
+    parts = F.split(col(text), "&#")
+    whole = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
+    return replace_all(whole, NAMED)
+
+
+# A caption's first sentence after what is no word, and the figure's number in it.
+FIRST_SENTENCE = r"\A[^\p{L}\p{N}_]*([^\n\r]*?)[.\r\n]"
+FIGURE_NUMBER = r"(?i)fig[.\p{L}\p{N}_\s]+[0-9]"
 
 
 def figure_title(title: Column | str, caption: Column | str) -> Column:
-    """The title, or the caption's first sentence without markup and figure number, with one dot."""
-    plain = strip_html(caption)
-    first = F.regexp_extract(plain, r"^([^.\r\n]*)", 1)
-    named = F.trim(F.regexp_replace(first, r"(?i)fig[a-z]*\.?\s*\d+\w*\s*", ""))
-    made = F.concat(F.regexp_replace(named, r"\.+$", ""), F.lit("."))
-    return F.when(F.coalesce(col(title), F.lit("")) != "", col(title)).otherwise(made)
+    """The title, or else the caption's first sentence without markup and figure number, with one dot; empty where no sentence ends."""
+    plain = unescaped(strip_html(caption))
+    made = F.replace(F.concat(F.regexp_replace(F.regexp_extract(plain, FIRST_SENTENCE, 1), FIGURE_NUMBER, ""), F.lit(".")), F.lit(".."), F.lit("."))
+    return F.when(F.coalesce(col(title), F.lit("")) != "", col(title)).when(plain.rlike(FIRST_SENTENCE), made).otherwise("")
 
 
 def between_tags(text: Column | str, label: str) -> Column:
@@ -142,12 +187,18 @@ def split_name(subset: Column | str) -> Column:
     return F.when(name.isin("train", "trainset"), "train").when(name.isin("validation", "eval"), "validation").when(name.isin("test", "testset"), "test")
 
 
+# Keys of supplementary data and of images.
+SUPPLEMENT, IMAGE = r"^(.*)_supp_data_(.*)$", r"^(.*)_img_(.*)$"
+
+
 def log_route(key: Column | str) -> tuple[Column, Column]:
-    """Main tag and scalar tag of a logged value's key."""
+    """Main tag and scalar tag of a logged value's key; an image has no scalar tag."""
     k = col(key)
-    rest = F.regexp_extract(k, r"_(?:supp_data|img)_(.*)$", 1)
-    main = F.when(k == "loss", "losses").when(k == "eval_loss", "losses").when(k.contains("_supp_data_"), "supp_data").when(k.contains("_img_"), "images").otherwise("other")
-    scalar = F.when(k == "loss", "train").when(k == "eval_loss", "eval").when(k.contains("_supp_data_") | k.contains("_img_"), rest).otherwise(k)
+    group = lambda pattern, n: F.regexp_extract(k, pattern, n)
+    image, supplement = k.rlike(IMAGE), k.rlike(SUPPLEMENT)
+    loss = k.isin("loss", "eval_loss")
+    main = F.when(loss, "losses/main_loss").when(image, F.concat(F.lit("images/"), group(IMAGE, 1), F.lit("_"), group(IMAGE, 2))).when(supplement, F.concat(F.lit("losses/"), group(SUPPLEMENT, 1), F.lit("_supp"))).otherwise(F.concat(F.lit("other_data/"), k))
+    scalar = F.when(k == "loss", "train").when(k == "eval_loss", "eval").when(~image & supplement, group(SUPPLEMENT, 2)).when(~image, k)
     return main, scalar
 
 

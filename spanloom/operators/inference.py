@@ -110,17 +110,17 @@ def entities_in_panels(entities: DataFrame, panel: DataFrame, key: str) -> DataF
 
 
 def masked_sentences(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts with each span (which begins and ends with tokens; disjoint) as one [MASK].
+    """Texts with each span (which begins and ends with tokens; disjoint) as one [MASK]; an empty text stays, null becomes empty.
 
     Texts are put together from their pieces, so the work follows the text and not
     its product with the number of spans.
     """
     w = Window.partitionBy(key).orderBy("i")
-    pieces = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))).alias("i", "piece"))
+    pieces = docs.select(key, text).repartition(key).select(key, F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))).alias("i", "piece"))
     pieces = pieces.withColumn("at", F.sum(F.length("piece")).over(w) - F.length("piece"))
     found = as_of(pieces, spans.select(key, "start", "end"), key, "at", name="_span")
     outside = F.col("_span").isNull() | (F.col("at") >= F.col("_span.end"))
-    shown = F.when(outside, F.col("piece")).when(F.col("at") == F.col("_span.start"), MASK).otherwise("")
+    shown = F.when(outside, F.coalesce("piece", F.lit(""))).when(F.col("at") == F.col("_span.start"), MASK).otherwise("")
     return found.withColumn("shown", shown).groupBy(key).agg(words_in_order("i", "shown", "").alias("masked"))
 
 

@@ -69,7 +69,7 @@ def boundary(start: Column, previous_end: Column) -> Column:
 
 def char_iob2(spans: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Labels of single characters: key, i, iob2; one row for each character of each text."""
-    chars = texts.select(key, F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("i"))
+    chars = texts.where(F.length(text) > 0).select(key, F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("i"))
     found = as_of(chars, spans.select(key, "start", "end", "label"), key, "i", name="_span")
     labelled = found.select(key, "i", F.when(F.col("i") < F.col("_span.end"), F.col("_span.label")).otherwise("O").alias("label"))
     return iob2(labelled, "label", key, "i").select(key, "i", "iob2")

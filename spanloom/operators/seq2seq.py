@@ -19,8 +19,8 @@ def entity_lists(entities: DataFrame, docs: DataFrame, labels: Sequence[str], ke
     return docs.select(key).join(listed, key, "left").select(key, F.concat(*[line(x) for x in labels], F.lit(f" {end}")).alias("output_text"))
 
 
-def copy_and_tag(tokens: DataFrame, labels: Sequence[str], tag: str = "iob2", word: str = "word", key: str = "doc_id", pos: str = "pos", close_last: bool = True) -> DataFrame:
-    """Texts with <LABEL> and </LABEL> around runs of the labels wanted; the run at the end is closed unless close_last is off."""
+def copy_and_tag(tokens: DataFrame, labels: Sequence[str], tag: str = "iob2", word: str = "word", key: str = "doc_id", pos: str = "pos", close_last: bool = True, docs: DataFrame | None = None) -> DataFrame:
+    """Texts with <LABEL> and </LABEL> around runs of the labels wanted; the run at the end is closed unless close_last is off. With docs, documents without tokens are empty texts."""
     w = Window.partitionBy(key).orderBy(pos)
     bare = lb.bare(F.col(tag))
     wanted = F.when((F.col(tag) != "O") & bare.isin(*labels), bare)
@@ -31,7 +31,8 @@ def copy_and_tag(tokens: DataFrame, labels: Sequence[str], tag: str = "iob2", wo
     end = F.when(F.col("last") & F.col("inside").isNotNull(), F.concat(F.lit("</"), "inside", F.lit("> "))).otherwise("") if close_last else F.lit("")
     shown = rows.withColumn("shown", F.concat(close, open_, F.col(word), F.lit(" "), end))
     parts = F.array_sort(F.collect_list(F.struct(pos, "shown")))
-    return shown.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["shown"]), "").alias("tagged"))
+    out = shown.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["shown"]), "").alias("tagged"))
+    return out if docs is None else docs.select(key).join(out, key, "left").withColumn("tagged", F.coalesce("tagged", F.lit("")))
 
 
 def next_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", asks: str = "user", answers: str = "assistant") -> DataFrame:

@@ -12,10 +12,11 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_traili
     """key, pos, start, end, word: one row for each token, offsets in characters from 0.
 
     A token is a run of letters and digits or any other character but the space.
-    The pieces of a text, spaces included, are exploded, and their lengths summed
-    along the document; nothing crosses documents.
+    Documents are dealt out by key while each is one row; then the pieces of a text,
+    spaces included, are exploded, and their lengths summed along the document. What
+    follows by key (labels, islands, panels) stays in its partition: no token is shuffled.
     """
-    pieces = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))).alias("i", "word"))
+    pieces = docs.select(key, text).repartition(key).select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))).alias("i", "word"))
     along = Window.partitionBy(key).orderBy("i")
     placed = pieces.withColumn("end", F.sum(F.length("word")).over(along))
     if drop_trailing_word:

@@ -125,8 +125,18 @@ def panel_segments(spark, sf_dir):
     return panel_table(spark, sf_dir)
 
 
-INSIDE = PANELS + runs_sql("gold", "iob2", "ent0") + """, ent AS (SELECT e.doc_id, e.label AS type, a."start" AS "start", b."end" AS "end", e.text FROM ent0 e JOIN tok a ON e.doc_id = a.doc_id AND e.first = a.pos JOIN tok b ON e.doc_id = b.doc_id AND e.last = b.pos)
-, inside AS (SELECT ent.*, panel FROM ent JOIN panels p ON ent.doc_id = p.doc_id AND ent."start" >= p."start" AND ent."start" < p."end" AND ent."end" <= p."end")
+# DuckDB would compute these more than once.
+ONCE = (", tok AS (", ", gold AS (", ", panels AS (", ", ent0 AS (")
+
+
+def once(sql: str) -> str:
+    for name in ONCE:
+        sql = sql.replace(name, name.replace(" AS (", " AS MATERIALIZED ("))
+    return sql
+
+
+INSIDE = once(PANELS + runs_sql("gold", "iob2", "ent0")) + """, ent AS MATERIALIZED (SELECT e.doc_id, e.label AS type, a."start" AS "start", b."end" AS "end", e.text FROM ent0 e JOIN tok a ON e.doc_id = a.doc_id AND e.first = a.pos JOIN tok b ON e.doc_id = b.doc_id AND e.last = b.pos)
+, inside AS (SELECT ent.*, panel FROM ent ASOF JOIN panels p ON ent.doc_id = p.doc_id AND ent."start" >= p."start" WHERE ent."start" < p."end" AND ent."end" <= p."end")
 """
 
 
@@ -183,12 +193,12 @@ COPY = TOKENS + """, ins AS (SELECT *, CASE WHEN iob2 <> 'O' AND label IN ('GENE
 """
 
 
-@query(COPY + "SELECT doc_id, tagged FROM copied")
+@query(COPY + "SELECT doc_id, coalesce(tagged, '') AS tagged FROM documents LEFT JOIN copied USING (doc_id)")
 def copy_and_tag(spark, sf_dir):
-    return sq.copy_and_tag(labelled(spark, sf_dir), LABELS)
+    return sq.copy_and_tag(labelled(spark, sf_dir), LABELS, docs=table(spark, sf_dir, "documents"))
 
 
-@query(COPY + "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(tagged, '<GENEPROD> (.*?) </GENEPROD>', 1))) AS geneprods FROM copied")
+@query(COPY + "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(coalesce(tagged, ''), '<GENEPROD> (.*?) </GENEPROD>', 1))) AS geneprods FROM documents LEFT JOIN copied USING (doc_id)")
 def separate_labels(spark, sf_dir):
     return copy_and_tag(spark, sf_dir).select("doc_id", F.array_sort(tx.between_tags("tagged", "GENEPROD")).alias("geneprods"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
@@ -88,23 +89,51 @@ def title_body_twins(spark, sf_dir):
     return p.where(tx.long_enough("title", 20) & tx.long_enough("body", 80)).select("page_id", F.concat("title", F.lit(tx.DELIMITER), "body").alias("twin"))
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(c, '^\s*<sd-panel') THEN c ELSE concat('<sd-panel>', c, '</sd-panel>') END,
-  '^(<sd-panel[^>]*>)\s*<sd-panel[^>]*>', '\1'), '</sd-panel>\s*</sd-panel>$', '</sd-panel>'), '\s*</sd-panel>$', ' </sd-panel>'), ' +', ' ', 'g') AS caption FROM (
-  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '\)([^\s.,;:)])', ') \1', 'g'), '[\r\n]', '', 'g'), '<br\s*/?>', '', 'g'), '<link([^>/]*)>', '<link\1/>', 'g'), '<\?xml[^>]*\?>', '', 'g') AS c FROM pages)""")
-def caption_cleanup(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.panel_caption(F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1)).alias("caption"))
+MENDED = "c"
+for pattern, new in (
+    (r"(\([^\n]*?\))([\p{L}\p{N}_])", r"\1 \2"),
+    (r"[\r\n]", ""),
+    ("<br>", "<br/>"),
+    ('(?s)<link href="(.*)">', r'<link href="\1"/>'),
+    ('(?s)<link href="(.*)"/>(?:.*(.))?</link>', r'<link href="\1">\2</link>'),
+    (r"(?s)<\?xml.*?\?>", ""),
+):
+    MENDED = f"regexp_replace({MENDED}, '{pattern}', '{new}', 'g')"
+NESTED = "CASE WHEN starts_with(c, '<sd-panel>') AND ends_with(c, '</sd-panel>') AND length(c) > 20 THEN c ELSE concat('<sd-panel>', c, '</sd-panel>') END"
+for pattern, new in (("<sd-panel> *(?:<p>)* *<sd-panel>", "<sd-panel>"), ("</sd-panel> *(?:</p>)* *</sd-panel>", "</sd-panel>"), ("<sd-panel/>", ""), ("</sd-panel>$", " </sd-panel>"), (" +", " ")):
+    NESTED = f"regexp_replace({NESTED}, '{pattern}', '{new}', 'g')"
+CAPTION = "concat(CASE WHEN page_id % 5 = 0 THEN '<sd-panel> <p><sd-panel>' ELSE '(A)x<br><sd-panel/>' END, regexp_extract(html, '(?s)<article>(.*?)</article>', 1), CASE WHEN page_id % 5 = 0 THEN '</sd-panel></p> </sd-panel>' WHEN page_id % 5 = 1 THEN '<link href=\"h\">ab</link>' ELSE '</sd-panel>' END)"
 
 
-@query(r"""SELECT page_id, CASE WHEN coalesce(t, '') <> '' THEN t ELSE concat(regexp_replace(trim(regexp_replace(regexp_extract(regexp_replace(c, '<[^>]*>', '', 'g'), '^([^.\r\n]*)', 1), '(?i)fig[a-z]*\.?\s*\d+\w*\s*', '', 'g')), '\.+$', ''), '.') END AS title FROM (
-  SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) ELSE '' END AS t, concat('Figure ', page_id, ' ', regexp_extract(html, '(?s)<p>(.*?)</p>', 1)) AS c FROM pages)""")
+@query(f"SELECT page_id, {NESTED} AS caption FROM (SELECT page_id, {MENDED} AS c FROM (SELECT page_id, {CAPTION} AS c FROM pages))")
+def caption_cleanup(spark, sf_dir):
+    k = F.col("page_id") % 5
+    before = F.when(k == 0, "<sd-panel> <p><sd-panel>").otherwise("(A)x<br><sd-panel/>")
+    after = F.when(k == 0, "</sd-panel></p> </sd-panel>").when(k == 1, '<link href="h">ab</link>').otherwise("</sd-panel>")
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(before, F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1), after).alias("c"))
+    return p.select("page_id", tx.panel_caption("c").alias("caption"))
+
+
+@query(r"""WITH p AS (
+  SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) ELSE '' END AS t, concat('(1) Figure ', page_id, ' ', regexp_extract(html, '(?s)<p>(.*?)</p>', 1)) AS c FROM pages
+), plain AS (
+  SELECT page_id, t, replace(replace(replace(replace(replace(replace(regexp_replace(c, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS c FROM p
+), cut AS (
+  SELECT page_id, t, regexp_replace(c, '^[^\p{L}\p{N}_]+', '') AS c FROM plain
+)
+SELECT page_id, CASE WHEN t <> '' THEN t WHEN NOT regexp_matches(c, '[.\r\n]') THEN '' ELSE replace(concat(regexp_replace(split_part(regexp_replace(c, '[\r\n]', '.', 'g'), '.', 1), '(?i)fig[.\p{L}\p{N}_\s]+[0-9]', '', 'g'), '.'), '..', '.') END AS title FROM cut""")
 def figure_title(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.regexp_extract("html", "<title>([^<]*)</title>", 1)).otherwise("").alias("t"), F.concat(F.lit("Figure "), F.col("page_id").cast("string"), F.lit(" "), F.regexp_extract("html", r"(?s)<p>(.*?)</p>", 1)).alias("c"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.regexp_extract("html", "<title>([^<]*)</title>", 1)).otherwise("").alias("t"), F.concat(F.lit("(1) Figure "), F.col("page_id").cast("string"), F.lit(" "), F.regexp_extract("html", r"(?s)<p>(.*?)</p>", 1)).alias("c"))
     return p.select("page_id", tx.figure_title("t", "c").alias("title"))
 
 
-@query("SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(concat(p_brand, ' size ', p_size), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(x, 12, '0') ELSE lower(x) END), '') AS sort_key FROM part")
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(p_brand, '^[^0-9]*'), CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT), CAST(p_size AS BIGINT), p_partkey) AS place FROM part""")
 def natural_sort_key(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", tx.natural_key(F.concat("p_brand", F.lit(" size "), F.col("p_size").cast("string"))).alias("sort_key"))
+    keyed = table(spark, sf_dir, "part").select("p_partkey", tx.natural_key(F.concat("p_brand", F.lit(" size "), F.col("p_size").cast("string"))).alias("k"))
+    # A range-sorted table is numbered from the sizes of its partitions; the last window is over these alone.
+    placed = keyed.repartitionByRange("k", "p_partkey").sortWithinPartitions("k", "p_partkey").select("p_partkey", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("nth"))
+    before = placed.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    return placed.join(F.broadcast(before), "part").select("p_partkey", (F.col("before") + F.col("nth") + 1).cast("long").alias("place"))
 
 
 @query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), '///') AS event_types FROM events GROUP BY user_id")
@@ -143,9 +172,19 @@ def ascii_fold(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.ascii_fold("text").alias("folded"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, 'button') THEN '' ELSE replace(replace(text, ' ,', ','), '..', '.') END AS cleaned FROM documents")
+# Ends of texts, quotes and references are put in, since documents have few of their own.
+DIRTY = "concat(CASE WHEN doc_id % 7 = 0 THEN chr(9) ELSE '' END, text, CASE doc_id % 5 WHEN 0 THEN ' \"button\"' WHEN 1 THEN concat(' (a) &amp;nbsp;&gt;', chr(160), chr(8217), chr(160)) WHEN 2 THEN ' button &amp;amp; amp;' ELSE '' END)"
+CLEANED = "regexp_replace(CASE WHEN contains(t, '\"button\"') THEN ' no caption ' ELSE t END, '^[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x{85}]+|[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x{85}]+$', '', 'g')"
+for old, new in (("’", "''"), ("–", "-"), ("\xa0", " "), ("&amp;", "&"), ("&amp;amp;", "&"), ("&nbsp;", " "), ("\u2009", " "), ("&gt;", ">"), ("&lt;", "<"), ("amp;", ""), (") ", ")")):
+    CLEANED = f"replace({CLEANED}, '{old}', '{new}')"
+
+
+@query(f"SELECT doc_id, {CLEANED} AS cleaned FROM (SELECT doc_id, {DIRTY} AS t FROM documents)")
 def cleaning_rules(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.cleaning_rules("text", [(" ,", ","), ("..", ".")]).alias("cleaned"))
+    k = F.col("doc_id") % 5
+    tail = F.when(k == 0, ' "button"').when(k == 1, " (a) &amp;nbsp;&gt;\xa0’\xa0").when(k == 2, " button &amp;amp; amp;").otherwise("")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 7 == 0, "\t").otherwise(""), F.coalesce("text", F.lit("")), tail).alias("t"))
+    return docs.select("doc_id", tx.cleaning_rules("t", " no caption ").alias("cleaned"))
 
 
 @query("""SELECT round(avg(n), 2) AS mean_length, min(n) AS min_length, max(n) AS max_length, (SELECT doc_id FROM documents ORDER BY length(text), doc_id LIMIT 1) AS shortest, (SELECT doc_id FROM documents ORDER BY length(text) DESC, doc_id LIMIT 1) AS longest
@@ -283,12 +322,11 @@ def shift_label(spark, sf_dir):
     return labelled(spark, sf_dir).select("doc_id", "pos", lb.shifted(F.expr(IDS)).alias("label"))
 
 
-@query("""SELECT event_id, CASE WHEN k = 'loss' THEN 'losses' WHEN k = 'eval_loss' THEN 'losses' WHEN contains(k, '_supp_data_') THEN 'supp_data' WHEN contains(k, '_img_') THEN 'images' ELSE 'other' END AS main_tag,
-  CASE WHEN k = 'loss' THEN 'train' WHEN k = 'eval_loss' THEN 'eval' WHEN contains(k, '_supp_data_') OR contains(k, '_img_') THEN regexp_extract(k, '_(?:supp_data|img)_(.*)$', 1) ELSE k END AS scalar_tag
-FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'loss' WHEN 'click' THEN 'eval_loss' WHEN 'error' THEN concat('eval_supp_data_', user_id) WHEN 'signup' THEN concat('eval_img_', user_id) ELSE event_type END AS k FROM events)""")
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'losses/main_loss' WHEN 'click' THEN 'losses/main_loss' WHEN 'error' THEN 'losses/eval_supp' WHEN 'signup' THEN concat('images/eval_supp_data_', user_id) ELSE concat('other_data/', event_type) END AS main_tag,
+  CASE event_type WHEN 'view' THEN 'train' WHEN 'click' THEN 'eval' WHEN 'error' THEN CAST(user_id AS VARCHAR) WHEN 'signup' THEN NULL ELSE event_type END AS scalar_tag FROM events""")
 def log_key_routing(spark, sf_dir):
     t, u = F.col("event_type"), F.col("user_id").cast("string")
-    k = F.when(t == "view", "loss").when(t == "click", "eval_loss").when(t == "error", F.concat(F.lit("eval_supp_data_"), u)).when(t == "signup", F.concat(F.lit("eval_img_"), u)).otherwise(t)
+    k = F.when(t == "view", "loss").when(t == "click", "eval_loss").when(t == "error", F.concat(F.lit("eval_supp_data_"), u)).when(t == "signup", F.concat(F.lit("eval_supp_data_img_"), u)).otherwise(t)
     rows = table(spark, sf_dir, "events").select("event_id", k.alias("k"))
     main, scalar = tx.log_route("k")
     return rows.select("event_id", main.alias("main_tag"), scalar.alias("scalar_tag"))

@@ -26,7 +26,7 @@ def split_corpus(spark: SparkSession, folder: str, splits=("train", "eval", "tes
 
 def lines(spark: SparkSession, path: str, skip_blank: bool = True) -> DataFrame:
     """value: stripped lines."""
-    rows = spark.read.text(path).select(F.trim("value").alias("value"))
+    rows = spark.read.text(path).select(tx.stripped("value").alias("value"))
     return rows.where("value <> ''") if skip_blank else rows
 
 

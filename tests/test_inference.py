@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.api import Lexicon, SmartTagger
+from spanloom.api import Lexicon, TextTagger
 from spanloom.functions import vectors as v
 from spanloom.operators import collate as co
 from spanloom.operators import inference as inf
@@ -68,7 +68,7 @@ def test_roles(spark):
 
 
 def test_tagger_tags_every_text(spark):
-    tagger = SmartTagger(spark, Lexicon({"Creb1": "GENEPROD", "ATP": "SMALL_MOLECULE"}, {"Creb1": "intervention"}))
+    tagger = TextTagger(spark, Lexicon({"Creb1": "GENEPROD", "ATP": "SMALL_MOLECULE"}, {"Creb1": "intervention"}))
     rows = {r.doc_id: json.loads(r.tagged) for r in tagger(["(A) Creb1 with ATP. (B) more ATP", "plain"]).collect()}
     assert [p["start"] for p in rows[0]] == [0, 20] and [e["text"] for e in rows[0][0]["entities"]] == ["Creb1", "ATP"]
     assert rows[0][0]["entities"][0]["role"] == "intervention" and rows[1][0]["entities"] == []

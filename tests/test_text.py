@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,16 +23,72 @@ def test_length_is_strict(spark):
 
 
 def test_natural_order(spark):
-    rows = spark.createDataFrame([("Figure 10",), ("Figure 2",), ("Figure 1",)], ["t"])
-    assert [r.t for r in rows.orderBy(tx.natural_key("t")).collect()] == ["Figure 1", "Figure 2", "Figure 10"]
-
-
-def test_titles_and_captions(spark):
-    assert one(spark, tx.figure_title("t", "c"), t="", c="<p>Figure 3. Cells grow. More</p>") == "."
-    assert one(spark, tx.figure_title("t", "c"), t="", c="<b>Fig 3A Cells grow</b>. More") == "Cells grow."
-    assert one(spark, tx.figure_title("t", "c"), t="Own", c="x") == "Own"
-    assert one(spark, tx.panel_caption("c"), c="(A)cells<br/> x\n") == "<sd-panel>(A) cells x </sd-panel>"
-    assert one(spark, tx.panel_caption("c"), c="<sd-panel><sd-panel>a</sd-panel></sd-panel>") == "<sd-panel>a </sd-panel>"
+    texts = ["Figure 10", "Figure 2", "Figure 1", "figure 1", "x1234567890129", "x1234567890123", "x0001", "x1a", "x", " x", "1x", "", "Fig 2-B", "Fig 2.10", "Fig 2.9", "a" + "9" * 40, "a1" + "0" * 40]
+    parts = lambda t: [int(x) if x.isdigit() else x for x in re.split("([0-9]+)", t)]
+    rows = spark.createDataFrame([(t,) for t in texts], ["t"])
+    assert [r.t for r in rows.orderBy(tx.natural_key("t")).collect()] == sorted(texts, key=parts)
+
+
+@pytest.mark.parametrize(
+    ("title", "caption", "want"),
+    [
+        ("", "<p>Figure 3. Cells grow. More</p>", "."),
+        ("", "<b>Fig 3A Cells grow</b>. More", "A Cells grow."),
+        ("Own", "x", "Own"),
+        ("", "no end", ""),
+        ("", "- (A) Cells &amp; &#945;&#x3b2; of FIG. S1 grow\nMore.", "A) Cells & αβ of FIG."),
+        ("", "Cells grow.. More", "Cells grow."),
+        ("", "...", "."),
+        ("", None, None),
+    ],
+)
+def test_titles(spark, title, caption, want):
+    got = spark.createDataFrame([(title, caption)], "t string, c string").select(tx.figure_title("t", "c").alias("x")).first()["x"]
+    assert got == want or (want is None and not got)
+
+
+@pytest.mark.parametrize(
+    ("caption", "want"),
+    [
+        ("(A)cells<br/> x\n", "<sd-panel>(A) cells<br/> x </sd-panel>"),
+        ("a<br>b", "<sd-panel>a<br/>b </sd-panel>"),
+        ("(A)-b (B)_c", "<sd-panel>(A)-b (B) _c </sd-panel>"),
+        ("<sd-panel><sd-panel>a</sd-panel></sd-panel>", "<sd-panel>a </sd-panel>"),
+        ("<sd-panel> <p> <sd-panel>a</sd-panel> </p></sd-panel>", "<sd-panel>a </sd-panel>"),
+        ("<sd-panel>a", "<sd-panel>a </sd-panel>"),
+        ("a<sd-panel/>b", "<sd-panel>ab </sd-panel>"),
+        ("<?xml version='1.0'?><sd-panel>a  b</sd-panel>", "<sd-panel>a b </sd-panel>"),
+        ('see <link href="u">', '<sd-panel>see <link href="u"/> </sd-panel>'),
+        ('see <link href="u">text</link>', '<sd-panel>see <link href="u">t</link> </sd-panel>'),
+        ("x" * 20_000, "<sd-panel>" + "x" * 20_000 + " </sd-panel>"),
+    ],
+)
+def test_captions(spark, caption, want):
+    assert one(spark, tx.panel_caption("c"), c=caption) == want
+
+
+def test_cleaning(spark):
+    clean = lambda t: one(spark, tx.cleaning_rules("t", " none "), t=t)
+    assert clean('a "button" here') == "none" and clean("a button here") == "a button here"
+    assert clean("\xa0\t a’s – b\xa0c (x) y &amp;amp; &gt; &nbsp;amp;\u2009\n") == "a's - b c (x)y & >  "
+    assert one(spark, tx.cleaning_rules("t", rules=[("a", "b"), ("bb", "c")]), t="ab") == "c"
+
+
+@pytest.mark.parametrize(
+    ("key", "main", "scalar"),
+    [
+        ("loss", "losses/main_loss", "train"),
+        ("eval_loss", "losses/main_loss", "eval"),
+        ("eval_supp_data_loss_diag", "losses/eval_supp", "loss_diag"),
+        ("eval_supp_data_img_correl", "images/eval_supp_data_correl", None),
+        ("test_img_x", "images/test_x", None),
+        ("epoch", "other_data/epoch", "epoch"),
+        ("_img", "other_data/_img", "_img"),
+    ],
+)
+def test_routes(spark, key, main, scalar):
+    a, b = tx.log_route("k")
+    assert tuple(spark.createDataFrame([(key,)], ["k"]).select(a, b).first()) == (main, scalar)
 
 
 def test_prompt_has_no_null(spark):
@@ -51,15 +108,11 @@ def test_maps_splits_routes(spark):
     assert spark.sql("SELECT map('b', 2, 'a', 1) AS m").select(tx.map_text("m").alias("x")).first()["x"] == "a=1, b=2"
     assert one(spark, tx.split_name("s"), s="Trainset") == "train"
     assert one(spark, tx.split_name("s"), s="other") is None
-    main, scalar = tx.log_route("k")
-    assert one(spark, F.concat_ws("|", main, scalar), k="eval_supp_data_kl") == "supp_data|kl"
     assert one(spark, tx.part("h", "?id=", 1), h="f?id=7") == "7"
     assert one(spark, tx.part("h", "=", 3), h="f?id=7") is None
     assert one(spark, tx.coloured("w", "p", "t"), w="x", p="A", t="A") == "\u001b[32mx\u001b[0m"
     assert one(spark, tx.between_tags("t", "G"), t="<G> a </G> b <G> a </G> <G> c </G>") == ["a", "c"]
     assert one(spark, tx.sentences("t"), t="A b. C d? E") == ["A b.", "C d?", "E"]
-    assert one(spark, tx.cleaning_rules("t", [("a", "b"), ("bb", "c")]), t="ab") == "c"
-    assert one(spark, tx.cleaning_rules("t", [("a", "b")]), t="a button") == ""
     assert one(spark, tx.ascii_fold("t"), t="aé–") == "a??"
 
 
