@@ -64,6 +64,13 @@ def figure_indices(articles: DataFrame) -> DataFrame:
     return articles.where("nb_figures > 0").select("doi", F.explode(F.sequence(F.lit(1), F.col("nb_figures"))).alias("idx"))
 
 
+def rest_figures(answers: DataFrame, body: str = "body", doi: str = "doi") -> DataFrame:
+    """Figure properties from REST answers as JSON, with the ids of their panels; the title is made from the caption where there is none."""
+    f = answers.select(F.col(doi).alias("paper_doi"), F.from_json(body, schemas.REST_FIGURE).alias("f"))
+    text = lambda c: F.coalesce(F.col(f"f.{c}"), F.lit(""))
+    return f.select("paper_doi", text("label").alias("figure_label"), text("figure_id").alias("figure_id"), tx.figure_title(F.col("f.fig_title"), text("caption")).alias("figure_title"), text("caption").alias("caption"), text("href").alias("href"), F.coalesce("f.panels", F.array()).alias("panels"))
+
+
 def rest_panels(answers: DataFrame, body: str = "body") -> DataFrame:
     """The current panel of each answer, found by id among its figure's panels, with its tags."""
     a = answers.select(F.from_json(body, schemas.REST_PANEL).alias("a"))

@@ -15,5 +15,6 @@ PROMPTS = "prompt string, completion string"
 BY_NAME = {"article": ARTICLE, "figure": FIGURE, "panel": PANEL, "tag": TAG, "words": WORDS, "chars": CHARS, "lm": LM, "lm_twin": LM_TWIN, "seq2seq": SEQ2SEQ, "prompts": PROMPTS}
 
 REST_ARTICLE = "doi string, title string, journal string, pub_date string, pmid string, pmcid string, year string, nbFigures string"
+REST_FIGURE = "figure_id string, label string, fig_title string, caption string, href string, panels array<string>"
 REST_TAG = "id string, category string, type string, role string, text string, in_caption string, external_ids array<string>, external_databases array<string>, external_names array<string>, external_tax_ids array<string>, external_tax_names array<string>, external_urls array<string>, normalized_text string"
 REST_PANEL = f"current_panel_id string, paper struct<doi:string>, figure struct<label:string,figure_id:string,panels:array<struct<panel_id:string,label:string,panel_number:string,caption:string,formatted_caption:string,href:string,coords:map<string,int>,tags:array<struct<{', '.join(x.replace(' ', ':', 1) for x in REST_TAG.split(', '))}>>>>>"

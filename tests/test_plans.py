@@ -35,3 +35,12 @@ def test_report_of_lengths_and_dedupe(spark):
     assert [r.doc_id for r in tokens.exact_dedupe(rows, "source", "doc_id", "text").orderBy("doc_id").collect()] == [0, 2]
     row = tokens.length_report(rows.withColumn("n", F.length("text")), "n", "doc_id").first()
     assert (row.min_length, row.max_length, row.shortest, row.longest) == (1, 2, 0, 2)
+
+
+def test_as_of_of_tokens_that_share_an_exchange(spark):
+    docs = spark.createDataFrame([(i, " ".join("ab"[(i * k) % 2] * 3 for k in range(40))) for i in range(60)], "doc_id long, text string")
+    t = tokens.tokens(docs)
+    spans = t.select("doc_id", "start", "end", "word")
+    found = tokens.as_of(t, spans, "doc_id", "start")
+    halves = [found.where(f"pos % 2 = {k}").groupBy("doc_id").agg(F.count_if(F.col("found.word") == F.col("word")).alias(f"n{k}")) for k in (0, 1)]
+    assert {tuple(r) for r in halves[0].join(halves[1], "doc_id").select("n0", "n1").collect()} == {(20, 20)}
