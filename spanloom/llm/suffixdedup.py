@@ -18,7 +18,11 @@ cross documents and are judged on the input.
    from them, bucket by bucket. Common prefixes of adjacent suffixes tell which windows
    are equal; all but the earliest are later copies.
    An anchor with more than HOT contexts (the edge of a very common passage) is not
-   gathered: its windows go, by their 128-bit hashes, through partial aggregation.
+   sorted: its windows go, by their 128-bit hashes, through partial aggregation. One that
+   has a fourth of HOT within MAP_ENTRIES of a map task is told from then on: its contexts
+   go that way at once, without meeting, and a mark in its bucket sends those of other map
+   tasks after them. So no task gathers the contexts of an anchor that a large share of
+   all documents has.
 4. The spans of later copies are joined back to the texts.
 
 Where hashes stand for bytes (equal contexts, windows of hot anchors) they have 128 bits.
@@ -214,7 +218,14 @@ def _in_parts(data: np.ndarray, offsets: np.ndarray, span: int, k: int):
         yield own, start + at, *rest
 
 
-def _map(span: int, k: int, buckets: int):
+def _map(span: int, k: int, buckets: int, hot: int = HOT):
+    def frequent(firsts: dict[str, np.ndarray]) -> np.ndarray:
+        """Contexts, in the order of their anchors' hashes, of anchors that have many here."""
+        h = firsts["hash"]
+        cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(cut, len(h)))
+        return np.repeat(sizes > max(hot // 4, 1), sizes)
+
     def each(batches):
         held: list[dict] = []
         size = 0
@@ -231,6 +242,10 @@ def _map(span: int, k: int, buckets: int):
                 e = {f: np.concatenate([x[f] for x in held]) for f, _ in _ENTRY}
                 held, size = [], 0
                 firsts, later = _settle(e)
+                many = frequent(firsts)
+                straight = {f: v[many] for f, v in firsts.items()}
+                marks = {f: np.zeros(len(np.unique(straight["hash"])), t) for f, t in _ENTRY} | {"hash": np.unique(straight["hash"])}
+                firsts = {f: np.concatenate((v[~many], marks[f].astype(v.dtype))) for f, v in firsts.items()}
                 bucket = tb.mix(firsts["hash"]) % np.uint64(buckets)
                 order = np.lexsort((firsts["start"], firsts["doc"], firsts["id"], bucket))
                 firsts, bucket = {f: v[order] for f, v in firsts.items()}, bucket[order]
@@ -238,8 +253,9 @@ def _map(span: int, k: int, buckets: int):
                 to = np.append(cut[1:], len(bucket))
                 rows = [bucket[cut].astype(np.int64)] + [[v[a:b].astype(t).tobytes() for a, b in zip(cut, to, strict=True)] for (f, t) in _ENTRY for v in (firsts[f],)]
                 yield _bucket_rows(rows)
-                if len(later["doc"]):
-                    yield _bucket_rows([np.array([-1 - int(later["doc"][0] % buckets)])] + [[later[f].astype(t).tobytes()] for f, t in _ENTRY])
+                for odd, settled in ((1, later), (2, straight)):
+                    if len(settled["doc"]):
+                        yield _bucket_rows([np.array([-2 * int(settled["doc"][0] % buckets) - odd])] + [[settled[f].astype(t).tobytes()] for f, t in _ENTRY])
 
     return each
 
@@ -253,29 +269,30 @@ def _bucket_rows(rows: list) -> pa.RecordBatch:
 
 
 #: what: 0 a span of a later copy; 1 a context to sort; 2 a context of a hot anchor. Arrays of one document.
-_FOUND = "doc long, what int, hash binary, start binary, n binary"
+_FOUND = "id long, doc long, what int, hash binary, start binary, n binary"
 
 
 def _by_doc(e: dict[str, np.ndarray], what: int) -> list[tuple]:
     if not len(e["doc"]):
         return []
-    order = np.lexsort((e["start"], e["doc"]))
+    order = np.lexsort((e["start"], e["doc"], e["id"]))
     e = {f: v[order] for f, v in e.items()}
-    cut = np.append(np.flatnonzero(np.concatenate(([True], e["doc"][1:] != e["doc"][:-1]))), len(order))
+    cut = np.append(np.flatnonzero(np.concatenate(([True], (e["doc"][1:] != e["doc"][:-1]) | (e["id"][1:] != e["id"][:-1])))), len(order))
     if what == 0:  # windows run together
         out = []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             s, t = e["start"][a:b], np.maximum.accumulate(e["start"][a:b] + e["n"][a:b])
             gap = np.flatnonzero(s[1:] > t[:-1])
             s, t = s[np.append(0, gap + 1)], t[np.append(gap, len(t) - 1)]
-            out.append((int(e["doc"][a]), what, b"", s.astype("<i8").tobytes(), (t - s).astype("<i8").tobytes()))
+            out.append((int(e["id"][a]), int(e["doc"][a]), what, b"", s.astype("<i8").tobytes(), (t - s).astype("<i8").tobytes()))
         return out
-    return [(int(e["doc"][a]), what, e["hash"][a:b].astype("<u8").tobytes(), e["start"][a:b].astype("<i8").tobytes(), e["n"][a:b].astype("<i8").tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return [(int(e["id"][a]), int(e["doc"][a]), what, e["hash"][a:b].astype("<u8").tobytes(), e["start"][a:b].astype("<i8").tobytes(), e["n"][a:b].astype("<i8").tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _found_rows(rows: list[tuple]) -> pa.RecordBatch:
-    c = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), *[pa.array(x, pa.binary()) for x in c[2:]]], names=["doc", "what", "hash", "start", "n"])
+    c = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["id", "doc", "what", "hash", "start", "n"])
 
 
 def _reduce(hot: int):
@@ -283,11 +300,14 @@ def _reduce(hot: int):
 
     def finish(parts: list[dict]):
         e = {f: np.concatenate([p[f] for p in parts]) for f, _ in _ENTRY}
-        firsts, later = _settle(e)
+        mark = e["n"] == 0
+        told = np.unique(e["hash"][mark])
+        firsts, later = _settle({f: v[~mark] for f, v in e.items()})
         new = np.concatenate(([True], firsts["hash"][1:] != firsts["hash"][:-1])) if len(firsts["hash"]) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
         kinds = np.bincount(group)[group] if len(group) else group
-        several, many = (kinds > 1) & (kinds <= hot), kinds > hot
+        many = (kinds > hot) | np.isin(firsts["hash"], told)
+        several = (kinds > 1) & ~many
         return _found_rows(_by_doc(later, 0) + _by_doc({f: v[several] for f, v in firsts.items()}, 1) + _by_doc({f: v[many] for f, v in firsts.items()}, 2))
 
     def each(batches):
@@ -297,7 +317,7 @@ def _reduce(hot: int):
                 b = row[0].as_py()
                 e = {f: np.frombuffer(row[i + 1].as_py(), dtype=t) for i, (f, t) in enumerate(_ENTRY)}
                 if b < 0:
-                    yield _found_rows(_by_doc(e, 0))
+                    yield _found_rows(_by_doc(e, 0 if b % 2 else 2))
                     continue
                 if parts and b != bucket:
                     yield finish(parts)
@@ -355,7 +375,7 @@ def _sort(span: int):
         order = np.lexsort((e_start, e_doc, e_id, sets))
         later = np.concatenate(([False], sets[order][1:] == sets[order][:-1])) if len(order) else np.zeros(0, bool)
         pick = order[later]
-        return _found_rows(_by_doc({"doc": e_doc[pick], "start": e_start[pick], "n": np.ones(len(pick), np.int64)}, 0))
+        return _found_rows(_by_doc({"id": e_id[pick], "doc": e_doc[pick], "start": e_start[pick], "n": np.ones(len(pick), np.int64)}, 0))
 
     def each(batches):
         rows, size, anchor = [], 0, None
@@ -374,22 +394,22 @@ def _sort(span: int):
 
 
 def repeated_spans(docs: DataFrame, work: Workspace, span: int = SPAN, k: int = K, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Windows of span bytes that also start earlier: doc, start, n (n windows from start on, as arrays), and doc, s (single ones). docs: doc_id, doc, text."""
+    """Windows of span bytes that also start earlier: doc, start, n (n windows from start on, as arrays), and doc, s (single ones), each with id. docs: id, doc, text."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # Some buckets to a partition even out what hashing deals to each; a task holds one bucket at a time.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-int(size) // bucket_bytes)))
     buckets = max(8 * parts, -(-int(size) // bucket_bytes))
-    placed = docs.select("doc_id", "doc", "text").mapInArrow(_map(span, k, buckets), f"bucket long, {_BLOBS}")
+    placed = docs.select("id", "doc", "text").mapInArrow(_map(span, k, buckets, hot), f"bucket long, {_BLOBS}")
     found = work.keep(placed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_reduce(hot), _FOUND), batch_rows=16)
-    wanted = found.where("what > 0").groupBy("doc").agg(F.collect_list(F.struct("what", "hash", "start", "n")).alias("wanted"))
-    contexts = work.keep(docs.dropDuplicates(["doc"]).join(wanted, "doc").select("doc_id", "doc", "text", "wanted").mapInArrow(_cut(span), "hash long, c1 long, id long, doc long, start long, n int, bytes binary"))
+    wanted = found.where("what > 0").groupBy("id", "doc").agg(F.collect_list(F.struct("what", "hash", "start", "n")).alias("wanted"))
+    contexts = work.keep(docs.dropDuplicates(["id", "doc"]).join(wanted, ["id", "doc"]).select("id", "doc", "text", "wanted").mapInArrow(_cut(span), "hash long, c1 long, id long, doc long, start long, n int, bytes binary"))
     to_sort = contexts.where("c1 is null").select("hash", "id", "doc", "start", "n", "bytes")
     by_sorting = to_sort.repartition("hash").sortWithinPartitions("hash").mapInArrow(_sort(span), _FOUND)
     windows = contexts.where("c1 is not null").select("hash", "c1", F.struct("id", "doc", "start").alias("place"))
     # Kept as a table, so that the join is one that Spark can split where one window has very many places.
     earliest = work.keep(windows.groupBy("hash", "c1").agg(F.min("place").alias("earliest"), F.count("*").alias("c")).where("c > 1"))
-    by_hash = windows.join(earliest, ["hash", "c1"]).where("place.doc <> earliest.doc or place.start <> earliest.start").select(F.col("place.doc").alias("doc"), F.col("place.start").alias("s"))
-    settled = found.where("what = 0").unionByName(by_sorting).select("doc", "start", "n")
+    by_hash = windows.join(earliest, ["hash", "c1"]).where("place.id <> earliest.id or place.doc <> earliest.doc or place.start <> earliest.start").select(F.col("place.id").alias("id"), F.col("place.doc").alias("doc"), F.col("place.start").alias("s"))
+    settled = found.where("what = 0").unionByName(by_sorting).select("id", "doc", "start", "n")
     return settled, by_hash
 
 
@@ -397,11 +417,11 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row for each document, as in RESULT; with keep_text also kept, the bytes that are left."""
     work = Workspace(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = own.withColumn("doc", F.xxhash64("doc_id", "text"))
+    own = own.withColumns({"doc": F.xxhash64("doc_id", "text"), "id": F.coalesce("doc_id", F.lit(NO_ID))})
     settled, by_hash = repeated_spans(own, work, span, k, hot, bucket_bytes)
-    one = settled.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    two = by_hash.groupBy("doc").agg(F.collect_list("s").alias("singles"))
-    gone = work.keep(one.join(two, "doc", "full"))
+    one = settled.groupBy("id", "doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    two = by_hash.groupBy("id", "doc").agg(F.collect_list("s").alias("singles"))
+    gone = work.keep(one.join(two, ["id", "doc"], "full"))
 
     def each(batches):
         for batch in batches:
@@ -429,5 +449,5 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             m = 8 if keep_text else 7
             yield pa.RecordBatch.from_arrays(columns[:m], names=names[:m])
 
-    joined = own.join(gone, "doc", "left").select("doc_id", "text", "spans", "singles")
+    joined = own.join(gone, ["id", "doc"], "left").select("doc_id", "text", "spans", "singles")
     return joined.mapInArrow(each, RESULT + (", kept binary" if keep_text else ""))

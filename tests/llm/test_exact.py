@@ -216,6 +216,14 @@ def test_suffix_dedup(spark, texts, hot, bucket):
     assert got == brute_repeats(list(enumerate(texts)), 100)
 
 
+def test_suffix_dedup_of_a_passage_that_most_documents_share(spark):
+    r = random.Random(31)
+    passage = prose(r, 60, 5000)
+    rows = [(i, f"{prose(r, 8, 5000)} {passage} {prose(r, 8, 5000)}" if i % 3 else prose(r, 60, 5000)) for i in range(300)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixdedup.dedup_suffixes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=20).collect()}
+    assert got == brute_repeats(rows, 100)
+
+
 def test_suffix_dedup_of_odd_tables(spark):
     assert suffixdedup.dedup_suffixes(empty(spark)).count() == 0
     long = prose(random.Random(1), 60)
