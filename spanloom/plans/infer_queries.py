@@ -164,9 +164,10 @@ ROLE = "CASE substr(md5(text), 1, 1) WHEN '0' THEN 'intervention' WHEN '1' THEN
 @query(INSIDE + f'SELECT doc_id, type, "start", "end", {ROLE} AS role FROM ent')
 def attach_roles(spark, sf_dir):
     e = entity_table(spark, sf_dir)
-    found = e.select("doc_id", "start", "end", "type", F.expr(ROLE).alias("role"), F.lit(1).alias("nth")).where("role is not null")
-    earlier = found.withColumns({"role": F.lit("overwritten"), "nth": F.lit(0)})
-    return inf.attach_roles(e, found.union(earlier), "doc_id", "nth").select("doc_id", "type", "start", "end", "role")
+    found = e.select("doc_id", "start", "end", "type", F.expr(ROLE).alias("role")).where("role is not null")
+    twice = F.explode(F.array(F.struct(F.lit(0).alias("nth"), F.lit("overwritten").alias("role")), F.struct(F.lit(1).alias("nth"), F.col("role").alias("role"))))
+    found = found.select("doc_id", "start", "end", "type", twice.alias("x")).select("doc_id", "start", "end", "type", "x.*")
+    return inf.attach_roles(e, found, "doc_id", "nth").select("doc_id", "type", "start", "end", "role")
 
 
 @query(INSIDE + f""", held AS (SELECT doc_id, panel, list({{'start': "start", 'end': "end", 'text': text, 'type': type, 'role': {ROLE}}} ORDER BY "start") AS entities FROM inside GROUP BY doc_id, panel)
