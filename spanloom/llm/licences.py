@@ -4,8 +4,11 @@ The automaton holds every run of words of every template and phrase. A file's
 words are streamed through it, which gives at each word the length of the longest
 run ending there that some template has (matching statistics). Phrases are read
 off the states; maximal matches of at least MIN_MATCH words are chained, template
-by template, into spans in template order, and a template whose words are covered
-to MIN_COVER by one chain gives its label.
+by template, into spans in template order. A chain's coverage is the share of the
+template's words that it covers, words of the file between its matches counting as
+words not covered. It gives the template's label from MIN_COVER on, if it covers the
+words that decide between licences (numbers of versions and KINDS) and no other word
+of KINDS stands between its matches: a notice of another version or kind is no match.
 
 The automaton's size follows the templates alone. Word pairs that no template has
 cannot lie inside a match, so only runs of known pairs are streamed; nothing else
@@ -50,6 +53,11 @@ TEMPLATES = [
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
@@ -58,6 +66,18 @@ TEMPLATES = [
     ("all-rights-reserved", "All rights reserved"),
 ]
 
+# Words that tell kinds of a licence apart, and the public kinds and versions of one family.
+KINDS = frozenset("nc sa nd noncommercial sharealike noderivatives noderivs lesser affero".split())
+CC_KINDS = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+CC_VERSIONS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+for kind, name in CC_KINDS.items():
+    for version, scope in CC_VERSIONS.items():
+        TEMPLATES += [(f"cc-{kind}-{version}", f"CC {kind.upper()} {version}"), (f"cc-{kind}-{version}", f"Creative Commons {name} {version} {scope}"), (f"cc-{kind}-{version}", f"licensed under a Creative Commons {name} {version} {scope} License")]
+for name, label, versions in (("GNU General Public License", "gpl", ("2", "3")), ("GNU Lesser General Public License", "lgpl", ("2.1", "3")), ("GNU Affero General Public License", "agpl", ("3",))):
+    for version in versions:
+        full = version if "." in version else f"{version}.0"
+        TEMPLATES += [(f"{label}-{full}", f"{name}, version {version}"), (f"{label}-{full}", f"{name} v{version}"), (f"{label}-{full}", f"licensed under the {name}, version {version}")]
+
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -75,6 +95,9 @@ class Automaton:
             raise ValueError("phrases and templates have two words at least")
         vocabulary = sorted({w for words, _ in self.phrases + self.templates for w in words})
         self.code = {w: i for i, w in enumerate(vocabulary)}
+        # For each template, where its deciding words stand, and the numbers of kinds that it is not.
+        self.decide = [[[i for i, x in enumerate(words) if x == w] for w in sorted({w for w in words if w.isdigit() or w in KINDS or re.fullmatch("v[0-9]+", w)})] for words, _ in self.templates]
+        self.others = [{self.code[w] for w in KINDS - set(words) if w in self.code} for words, _ in self.templates]
         joined = [w.encode() for w in vocabulary]
         offsets = np.concatenate(([0], np.cumsum([len(w) for w in joined])))
         self.hashes = tb.piece_hash(np.frombuffer(b"".join(joined), np.uint8), offsets[:-1], offsets[1:])
@@ -159,8 +182,8 @@ class Automaton:
             yield length, state
 
 
-def read_text(automaton: Automaton, runs: list[tuple[int, list[int]]], min_match: int, min_cover: float, max_gap: int):
-    """Phrase places (start, phrase) and template spans (label, first word, last word, coverage) of one text."""
+def read_text(automaton: Automaton, runs: list[tuple[int, list[int]]], token: np.ndarray, min_match: int, min_cover: float, max_gap: int):
+    """Phrase places (start, phrase) and template spans (label, first word, last word, coverage) of one text. token: the numbers of its words."""
     places, matches = [], {}
     for start, run in runs:
         seen = list(automaton.statistics(run))
@@ -174,13 +197,17 @@ def read_text(automaton: Automaton, runs: list[tuple[int, list[int]]], min_match
                             matches.setdefault(t, []).append((start + i + 1 - length, start + i + 1, end - length, end))
     spans = []
     for t, found in matches.items():
-        size, chain, best = len(automaton.templates[t][0]), [], None
+        size, chain = len(automaton.templates[t][0]), []
         for m in [*found, None]:
             if chain and (m is None or m[0] - chain[-1][1] > max_gap or m[3] <= chain[-1][3]):
                 covered = np.zeros(size, dtype=bool)
+                between, at = [], chain[0][0]
                 for x in chain:
                     covered[x[2] : x[3]] = True
-                spans.append((automaton.templates[t][1], chain[0][0], chain[-1][1] - 1, float(covered.mean())))
+                    between += token[at : x[0]].tolist()
+                    at = max(at, x[1])
+                if all(covered[where].any() for where in automaton.decide[t]) and automaton.others[t].isdisjoint(between):
+                    spans.append((automaton.templates[t][1], chain[0][0], chain[-1][1] - 1, float(covered.sum() / (size + len(between)))))
                 chain = []
             if m is not None:
                 chain.append(m)
@@ -211,7 +238,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
                 for d, a, b in zip(owner.tolist(), begin.tolist(), end.tolist(), strict=True):
                     runs.setdefault(d, []).append((a - int(first[d]), token[a:b].tolist()))
                 for d in range(j - i):
-                    places, spans, cover = read_text(automaton, runs[d], min_match, min_cover, max_gap) if d in runs else ([], [], 0.0)
+                    places, spans, cover = read_text(automaton, runs[d], token[first[d] : first[d + 1]], min_match, min_cover, max_gap) if d in runs else ([], [], 0.0)
                     base = sorted({automaton.phrases[k][1] for _, k in places})
                     at = [p for p, _ in places]
                     out.append((int(first[d + 1] - first[d]), len(places), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted({*base, *(s[0] for s in spans)})), 1.0 if places else cover, [dict(zip(("label", "first_word", "last_word", "coverage"), s, strict=True)) for s in sorted(spans, key=lambda s: (s[1], s[0]))]))

@@ -356,6 +356,36 @@ def test_licences(spark, texts):
         licences.Automaton({"one": "x"}, [])
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Licensed under CC BY 3.0", "cc-by,cc-by-3.0"),
+        ("Licensed under CC BY 7.0", "cc-by"),
+        ("Licensed under the Apache License, Version 1.1", "apache"),
+        ("Licensed under the Apache License, Version 2.0", "apache,apache-2.0"),
+        ("licensed under the GNU General Public License, version 2", "gpl,gpl-2.0"),
+        ("licensed under the GNU General Public License, version 3", "gpl,gpl-3.0"),
+        ("licensed under the GNU Affero General Public License, version 3", "agpl-3.0"),
+        ("Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa-4.0"),
+        ("Creative Commons Attribution 4.0 International", "cc-by-4.0"),
+        (licences.TEMPLATES[1][1].replace("substantial portions", "big parts"), "mit"),
+        (" ".join(licences.TEMPLATES[1][1].split()[:30]), ""),
+    ],
+)
+def test_licence_labels(text, labels):
+    a = licences.Automaton(licences.PHRASES, licences.TEMPLATES)
+    words = licences.split_words(f"some file {text} and more")
+    token = np.array([a.code.get(w, -1) for w in words])
+    runs, at = [], 0
+    for i in range(1, len(words) + 1):  # stretches of known pairs
+        if i == len(words) or min(token[i - 1 : i + 1]) < 0 or not a.pair[token[i - 1], token[i]]:
+            if i - at > 1:
+                runs.append((at, token[at:i].tolist()))
+            at = i
+    places, spans, score = licences.read_text(a, runs, token, licences.MIN_MATCH, licences.MIN_COVER, licences.MAX_GAP)
+    assert ",".join(sorted({a.phrases[k][1] for _, k in places} | {x[0] for x in spans})) == labels and 0 <= score <= 1
+
+
 def test_matching_statistics():
     r = random.Random(4)
     templates = [("t", " ".join(r.choice("abc") for _ in range(r.randrange(2, 12)))) for _ in range(6)]
