@@ -3,16 +3,16 @@
 Candidates are found by bytes alone: runs of letters, digits, '_', '+', '/', '-' that
 are long and mixed, or that an assignment precedes; what an assignment ('=', ':', '=>',
 ':=', then any white space) gives, of any bytes up to its closing quote or white space;
-and private-key headers. A finding inside a longer one is not given again. Each gets
-features of its length, its character transitions, the share that dictionary words
-cover, its path (where the text comes from) and the words around it; a random forest
+signed tokens with their dots, passwords in addresses, and private keys with their armour.
+A finding inside a longer one is not given again. Each gets features of its length, its
+character transitions, the share that dictionary words cover, its path (where the text
+comes from) and the words around it, and no format of a known service; a random forest
 says whether it is a secret. The forest is trained from labelled findings: a table of
-them, of at most MAX_FINDINGS rows, or the generated ones of labelled_findings(), which
-are drawn from formats of keys and from look-alikes (checksums, identifiers, paths,
-long words, numbers) with a fixed seed.
+them, of at most MAX_FINDINGS rows (those of least hash), or the generated ones of
+findings.labelled_findings(). Formats of services only name the kind of a finding.
 
 Defined results: a null or empty text has no findings; a null path is an empty one;
-candidates of any length are read whole; equal findings at other places are rows of
+candidates of any length are read whole, texts of any length in parts that end with lines; equal findings at other places are rows of
 their own, and copies of a document have findings of their own; an empty table gives
 no rows; a text that never holds a candidate gives none. Offsets are in UTF-8 bytes.
 """
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import random
 import re
 
 import numpy as np
@@ -30,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .findings import labelled_findings
 from .workspace import bounded_batches
 
-LONG, ASSIGNED = 16, 8
+LONG, ASSIGNED, VALUE = 16, 8, 6
 AROUND = 48
 TREES, TREE_DEPTH, LEAF = 40, 10, 3
 MAX_FINDINGS = 20_000
@@ -66,9 +66,14 @@ DICTIONARY = frozenset("the and for with from this that have not are was been bu
 TEST_PATH = re.compile(r"test|example|sample|fixture|mock|demo|docs?/", re.I)
 _KINDS = [(name, re.compile(p)) for name, p in KINDS]
 _PEM = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_PEM_END = re.compile(rb"-----END [A-Z ]*PRIVATE KEY-----")
+_SIGNED = re.compile(rb"eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+){1,2}")
+_USER = re.compile(rb"://[^\s/:@\"'<>]{0,100}:([^\s/@\"'<>]{4,200})@")
+#: Where a long text may be cut: a line's end that no value runs over.
+_CUT = re.compile(rb"[^\s=:>\"'`]\n")
 _WORDS = re.compile(r"[A-Za-z]+[0-9]*")
 FEATURES = 25
-_VALUE = re.compile(rb"(?:=>|:=|[=:])\s*(?:\"([^\"\n]{8,})\"|'([^'\n]{8,})'|`([^`\n]{8,})`|[\"'`]?([^\s\"'`]{8,}))")
+_VALUE = re.compile(rb"(?:=>|:=|[=:])\s*(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|`([^`\n]{6,})`|[\"'`]?([^\s\"'`]{6,}))")
 
 
 def kind_of(candidate: str) -> str:
@@ -105,12 +110,47 @@ def assigned_values(whole: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
             a, b = m.span(m.lastindex)
             if m.lastindex == 4:
                 b = a + len(whole[a:b].rstrip(b".,;"))
-            if b - a >= ASSIGNED:
+            if b - a >= VALUE:
                 out.append((a, b))
             at = a  # an assignment may stand inside a value
     return out
 
 
+def blocks(whole: bytes) -> list[tuple[int, int]]:
+    """Starts and ends of private keys in their armour; of the head alone where the end is missing."""
+    out, at = [], 0
+    ends = True
+    while m := _PEM.search(whole, at):
+        end = _PEM_END.search(whole, m.end()) if ends else None
+        ends = end is not None
+        out.append((m.start(), end.end() if end and not _PEM.search(whole, m.end(), end.start()) else m.end()))
+        at = m.end()
+    return out
+
+
+def found_in(raw: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """Starts and ends of all candidates of some texts, or of a very long one part by part."""
+    whole = raw.tobytes()
+    spans = set(blocks(whole)) if b"-----BEGIN " in whole else set()
+    at, end = 0, len(raw)
+    while at < end:
+        cut = _CUT.search(whole, at + tb.LONG) if end - at > tb.LONG and len(own) == 2 else None
+        to = cut.end() if cut else end
+        part = own if to - at == end else np.array([0, to - at])
+        starts, ends = candidates(raw[at:to], part)
+        spans.update(zip((starts + at).tolist(), (ends + at).tolist(), strict=True))
+        piece = whole if to - at == end else whole[at:to]
+        users = [m.span(1) for m in _USER.finditer(piece)]
+        ends = np.array([b for _, b in users])
+        for a, b in assigned_values(piece, part):
+            k = int(np.searchsorted(ends, a, side="right"))
+            if k == len(users) or users[k][0] < a or users[k][1] >= b:  # not a value that goes on after a password in an address
+                spans.add((a + at, b + at))
+        spans.update((a + at, b + at) for a, b in [*users, *(m.span() for m in _SIGNED.finditer(piece))])
+        at = to
+    return sorted(spans)
+
+
 def _entropy(s: str) -> float:
     n = len(s)
     return -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s)))
@@ -145,7 +185,6 @@ def features(candidate: str, path: str, before: str, after: str) -> list[float]:
     parts = {p for w in left for p in re.split(r"[_-]", w)}
     stem = before.rstrip(" \"'`\t\r\n\v\f")
     glue = "=" if stem.endswith("=>") else stem[-1:]
-    kind = kind_of(candidate)
     return [
         n,
         math.log2(n),
@@ -165,7 +204,7 @@ def features(candidate: str, path: str, before: str, after: str) -> list[float]:
         candidate.count("/"),
         float(re.fullmatch(r"[0-9a-fA-F]+", candidate) is not None),
         float(re.fullmatch(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", candidate) is not None),
-        float(kind not in ("generic", "hex-token")),
+        sum(c.isspace() for c in candidate) / n,
         float(glue in ("=", ":") and glue != ""),
         float(bool(parts & SECRET_WORDS)),
         float(bool(left) and bool(set(re.split(r"[_-]", left[-1])) & SECRET_WORDS)),
@@ -175,62 +214,6 @@ def features(candidate: str, path: str, before: str, after: str) -> list[float]:
     ]
 
 
-def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str, str, bool]]:
-    """Findings with labels: candidate, path, text before, text after, whether it is a secret."""
-    r = random.Random(seed)
-    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    word = lambda a=3, b=12: "".join(r.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "que", "ment", "ung", "sch", "eau", "ción"[:2]]) for _ in range(r.randint(a, b) // 2 + 1))
-    of = lambda letters, a, b=None: "".join(r.choice(letters) for _ in range(r.randint(a, b or a)))
-    text = lambda: " ".join(word() for _ in range(r.randint(2, 6))) + r.choice([" ", " ", ". ", ", "])
-    names = ["password", "passwd", "secret", "token", "api_key", "apikey", "auth_token", "access_key", "client_secret", "private_key"]
-    path = lambda: r.choice(["src0", "web", "app/config.py", "server.yml", "tests/test_app.py", "docs/example.md", "main.go", "", "forum", "src12"])
-    hexa, base = "0123456789abcdef", upper + lower + digits
-    marks = "!@#$%^&*?~+-_.,;:()[]{}<>|/"
-    strong = lambda: "".join(r.sample(t := of(base, 6, 18) + of(marks, 2, 5), len(t)))
-    glues = ["=", " = \"", ": ", "='", ": '", ":\t", "=\t", " =>  '", " => \"", " := \"", "=     ", ":        "]
-    secrets = [
-        lambda: (strong(), text() + r.choice([*names, "pwd", "db_pass", "db_password"]) + r.choice(glues)),
-        lambda: (of(base, 9, 30), text() + r.choice([*names, "pwd", "db_pass"]) + r.choice(glues)),
-        lambda: (r.choice(["AKIA", "ASIA"]) + of(upper + digits, 16), r.choice([text(), "aws_access_key_id = ", text() + "key "])),
-        lambda: (r.choice(["ghp_", "gho_", "ghs_"]) + of(base, 36), r.choice([text(), "token: "])),
-        lambda: ("xoxb-" + of(digits, 11) + "-" + of(base, 24), text()),
-        lambda: ("AIza" + of(base + "_-", 35), text()),
-        lambda: ("sk_live_" + of(base, 24), text()),
-        lambda: ("eyJ" + of(base + "_-", 30, 120), r.choice([text(), "authorization bearer "])),
-        lambda: (of(hexa, r.choice([16, 18, 20, 24, 32, 40, 64])), text() + r.choice(names) + r.choice(["=", " = \"", ": ", "='"])),
-        lambda: (of(base, 16, 44), text() + r.choice(names) + r.choice(["=", " = \"", ": ", "='"])),
-        lambda: (of(base + "+/", 40), text() + "aws_secret_access_key = "),
-        lambda: (of(base, 9, 15), text() + r.choice(["password", "passwd", "pwd", "secret"]) + r.choice(["=", ": "])),
-    ]
-    plain = [
-        lambda: (" ".join(word() for _ in range(r.randint(2, 8))) + r.choice(["", ".", "!", "?"]), text() + r.choice([word(), "title", "name", "secret", "password"]) + r.choice(glues)),
-        lambda: (word(8, 16).ljust(7, "a") + r.choice([")", "!", "?", "'s", "/" + word(), "-" + word(), "(" + word() + ")", ":" + word(), "," + word()]), text().rstrip() + r.choice([*glues, ": "])),
-        lambda: ("//" + word() + ".example" + r.choice(["", "/" + word(), "/" + word() + "?" + word() + "=" + of(digits, 1, 5)]), text() + r.choice(["http:", "https:"])),
-        lambda: (r.choice(["${" + word().upper() + "}", "<your-" + word() + ">", "{{ " + word() + " }}", "os.environ['" + word() + "']", "get_" + word() + "()", "********"]).ljust(8, "*"), text() + r.choice(names) + r.choice(glues)),
-        lambda: (word() + "@" + word() + ".example", text() + r.choice(["mail", "user", "from", word()]) + r.choice(glues)),
-        lambda: (of(digits, 2) + ":" + of(digits, 2) + ":" + of(digits, 2), text() + r.choice(["time: ", "at: ", "date="])),
-        lambda: (of(hexa, 40), text() + r.choice(["commit ", "revision ", "sha1: ", "sha1="])),
-        lambda: (of(hexa, r.choice([32, 64])), text() + r.choice(["md5 ", "checksum: ", "sha256=", "digest: ", "etag: \"", "integrity="])),
-        lambda: ("-".join(of(hexa, k) for k in (8, 4, 4, 4, 12)), text() + r.choice(["", "id=", "uuid: "])),
-        lambda: (word(16, 30).ljust(16, "e"), text()),
-        lambda: (word(16, 30).upper().ljust(16, "E"), text()),
-        lambda: ("/".join(word() for _ in range(r.randint(3, 6))) + "/" + of(digits, 4, 7), text() + r.choice(["http://", "path: ", ""])),
-        lambda: ("-".join(word() for _ in range(r.randint(3, 6))) + "-" + of(digits, 1, 4), text()),
-        lambda: ("_".join(word() for _ in range(r.randint(3, 5))) + of(digits, 1, 3), text()),
-        lambda: (word(10, 24) + of(digits, 1, 4) + "padded-out", text()),
-        lambda: (of(digits, r.choice([8, 10, 13, 16])), text() + r.choice(["phone: ", "card: ", "order=", "isbn: ", "id: "])),
-        lambda: (r.choice(sorted(DICTIONARY)) + r.choice(sorted(DICTIONARY)) + "value", text() + r.choice(names) + r.choice(["=", ": "])),
-        lambda: (word(8, 16).ljust(8, "a"), text().rstrip() + r.choice([": ", "="])),
-        lambda: (of(digits, 4) + "-" + of(digits, 2) + "-" + of(digits, 2) + "T" + of(digits, 6) + "Z", text() + r.choice(["", "date: "])),
-    ]
-    out = []
-    for i in range(n):
-        label = i % 2 == 0
-        candidate, before = r.choice(secrets if label else plain)()
-        out.append((candidate, path(), before, r.choice(["", " ", "\" "]) + text(), label))
-    return out
-
-
 class Forest:
     """A random forest of binary trees, as arrays."""
 
@@ -288,9 +271,9 @@ class Forest:
 def train(findings: DataFrame | None = None) -> Forest:
     """A forest from labelled findings (candidate, path, before, after, is_secret), or from the generated ones."""
     if findings is None:
-        rows = labelled_findings()
+        rows = labelled_findings(DICTIONARY)
     else:
-        rows = [tuple(r) for r in findings.select("candidate", "path", "before", "after", "is_secret").limit(MAX_FINDINGS).collect()]
+        rows = [tuple(r) for r in findings.select("candidate", "path", "before", "after", "is_secret").orderBy(F.xxhash64("candidate", "path", "before", "after")).limit(MAX_FINDINGS).collect()]
     x = np.array([features(c, p or "", b or "", a or "") for c, p, b, a, _ in rows])
     return Forest(x, np.array([float(bool(r[4])) for r in rows]))
 
@@ -316,12 +299,8 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
             found, rows = [], []
             for i, j in tb.chunks(offsets):
                 raw, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                starts, ends = candidates(raw, own)
-                spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
-                if b"-----BEGIN " in (whole := raw.tobytes()):
-                    spans += [m.span() for m in _PEM.finditer(whole)]
-                spans = sorted({*spans, *assigned_values(whole, own)})
-                for a, b in spans:
+                whole = raw.tobytes()
+                for a, b in found_in(raw, own):
                     d = int(np.searchsorted(own, a, side="right")) - 1
                     lo, hi = int(own[d]), int(own[d + 1])
                     if b > hi:
@@ -330,7 +309,7 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
                     found.append((i + d, ids[i + d], a - lo, b - a, text))
                     rows.append(features(text, paths[i + d].as_py() or "", whole[max(lo, a - AROUND) : a].decode(errors="ignore"), whole[b : min(hi, b + AROUND)].decode(errors="ignore")))
             score = sent.value.predict(np.array(rows)) if rows else np.zeros(0)
-            take = _outermost([(k, a, a + n) if s >= threshold or text.startswith("-----BEGIN ") else None for (k, _, a, n, text), s in zip(found, score, strict=True)])
+            take = _outermost([(k, a, a + n) if s >= threshold else None for (k, _, a, n, _), s in zip(found, score, strict=True)])
             out = [(doc, a, n, kind_of(text), hashlib.sha256(text.encode()).hexdigest(), float(s)) for (_, doc, a, n, text), s, t in zip(found, score, take, strict=True) if t]
             c = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.float64()]
