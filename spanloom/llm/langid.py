@@ -3,13 +3,14 @@
 Each language gets a codeword. For every bit, a binary n-gram classifier says on
 which side of the code a text lies; its weights are log ratios of hashed byte
 n-gram frequencies between the languages with that bit and those without. A text's
-margins are decoded to the codeword of least loss, each bit's loss weighted by how
-well its classifier did on the learning rows; a text whose two best codewords are
-nearly as close is flagged ambiguous.
+margins are decoded to the codeword of least loss; a text whose two best codewords are
+nearly as close is flagged ambiguous. Each bit's loss is weighted by the log odds that
+its classifier is right, as measured on learning rows that are held back from its counts
+(one in HOLD_BACK of the sample).
 
 Counts are gathered in Spark from a bounded sample of the labelled rows
-(sample_rows per language, by a hash of doc_id); the model is of fixed size
-(codeword bits times BUCKETS weights) and is broadcast.
+(sample_rows per language, by a hash of doc_id); the model is broadcast. It has BUCKETS
+weights for each bit; beyond MANY languages bits grow with the logarithm of their number.
 
 Defined results: a null or empty text, or one without any letter, gives und with
 score 0 and is not ambiguous; the score is the best codeword's share of the
@@ -33,6 +34,8 @@ from .workspace import bounded_batches
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 3000
+HOLD_BACK = 5
+MANY = 32
 COUNT_TASKS = 12
 AMBIGUOUS = 0.6
 RESULT = "doc_id long, lang_pred string, score double, ambiguous boolean"
@@ -49,13 +52,22 @@ def codewords(n: int) -> np.ndarray:
 
     Up to seven languages get the exhaustive code: every split of the languages
     into two sides is one bit. More get rows of a Hadamard matrix, any two of
-    which differ in half of the bits.
+    which differ in half of the bits; beyond MANY the best of some random codes of
+    12 log2 n bits.
     """
     if n <= 1:
         return np.ones((n, 1))
     if n <= 7:
         splits = [s for s in itertools.product((1, -1), repeat=n) if s[0] == 1 and -1 in s]
         return np.array(splits, dtype=float).T
+    if n > MANY:
+        rng, best = np.random.default_rng(n), (-1, None)
+        for _ in range(20):
+            code = rng.choice([-1.0, 1.0], (n, int(np.ceil(12 * np.log2(n)))))
+            agree = code @ code.T
+            np.fill_diagonal(agree, -np.inf)
+            best = max(best, (float(-agree.max()), code), key=lambda x: x[0]) if best[1] is not None else (float(-agree.max()), code)
+        return best[1]
     h = np.ones((1, 1))
     while len(h) <= n:
         h = np.block([[h, h], [h, -h]])
@@ -87,10 +99,13 @@ class Model:
             one, other = self.code[:, b] > 0, self.code[:, b] < 0
             if one.any() and other.any():
                 self.weights[b] = np.log(share[one].mean(axis=0)) - np.log(share[other].mean(axis=0))
-        # The bit's weight in decoding: how far the classifier parts the languages' own n-grams.
-        apart = np.array([[(share[k] * self.weights[b]).sum() * self.code[k, b] for b in range(len(self.weights))] for k in range(len(self.languages))])
-        self.trust = np.clip(apart.mean(axis=0), 1e-3, None) if len(self.languages) else np.ones(1)
-        self.trust = self.trust / self.trust.sum()
+        self.trust = np.full(self.code.shape[1], 1 / max(1, self.code.shape[1]))
+
+    def weigh(self, right: np.ndarray, rows: int) -> None:
+        """Give each bit its weight in decoding, from how often its classifier was right on rows it had not seen."""
+        rate = (right + 1) / (rows + 2)
+        self.trust = np.clip(np.log(rate / (1 - rate)), 1e-3, None)
+        self.trust /= self.trust.sum()
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The mean weight of each text's n-grams, for each bit."""
@@ -143,7 +158,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], names=["lang", "gram", "n"])
 
     # The sample is bounded, so a few tasks count it, however many partitions the table has.
-    gathered = sample.repartition(COUNT_TASKS, "doc_id").select("text", "lang").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    many = [k for k, n in sizes.items() if n >= 10 * HOLD_BACK]  # a language of few rows needs them all for its counts
+    back = F.col("lang").isin(many) & (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("held back")), F.lit(HOLD_BACK)) == 0)
+    gathered = sample.repartition(COUNT_TASKS, "doc_id").select("text", "lang", back.alias("back")).where("not back").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
     def dense(batches):
         for batch in batches:
@@ -160,7 +177,25 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     counts: dict[str, np.ndarray] = {k: np.zeros(BUCKETS) for k in sizes}
     for row in packed.collect():
         counts[row["lang"]] = np.frombuffer(row["counts"], "<i8").astype(float)
-    return Model(counts)
+    model = Model(counts)
+    sent = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches):
+        model = sent.value
+        where = {x: k for k, x in enumerate(model.languages)}
+        right, rows = np.zeros(model.code.shape[1], dtype=np.int64), 0
+        for batch in batches:
+            data, offsets = tb.column_bytes(batch.column(0))
+            side = model.code[[where[x] for x in batch.column(1).to_pylist()]].reshape(-1, model.code.shape[1])
+            for i, j in tb.chunks(offsets):
+                margins = model.margins(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                right += (margins * side[i:j] > 0).sum(axis=0)
+                rows += j - i
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([right.tolist()], pa.list_(pa.int64()))], names=["rows", "right"])
+
+    judged = sample.where(back).repartition(COUNT_TASKS, "doc_id").select("text", "lang").mapInArrow(judge, "rows long, right array<long>").collect()  # one row a task
+    model.weigh(np.sum([r["right"] for r in judged], axis=0) if judged else np.zeros(model.code.shape[1]), sum(r["rows"] for r in judged))
+    return model
 
 
 def has_letter(column: pa.Array) -> np.ndarray:

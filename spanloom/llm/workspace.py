@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,10 @@ def partitions(spark: SparkSession, size: int, task_bytes: int = TASK_BYTES) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-size // task_bytes)))
 
 
+#: Seconds of a write after which the driver's garbage is collected.
+SLOW = 2.0
+
+
 class Workspace:
     """Parquet tables of one run; they go when they are dropped, or with the JVM."""
 
@@ -60,12 +65,15 @@ class Workspace:
         to = f"{self.path}/{self.count}"
         name = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(name)
+        start = time.monotonic()
         try:
             if batch_rows:
                 self.spark.conf.set(name, batch_rows)
             df.write.parquet(to)
         finally:
             self.spark.conf.set(name, before)
+        if time.monotonic() - start > SLOW:  # nothing needs the exchanges of what is written now: their files go when the driver collects its garbage
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(to)
 
     def size(self, kept: DataFrame) -> int:

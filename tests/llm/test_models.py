@@ -52,6 +52,25 @@ def test_codewords_are_far_apart():
         assert far >= (c.shape[1] + 1) // 2 if n > 2 else far == 1
 
 
+def test_codewords_of_many_languages_stay_short():
+    for n in (33, 200, 1000):
+        c = langid.codewords(n)
+        assert c.shape[1] <= 12 * np.log2(n) + 1 and len(np.unique(c, axis=0)) == n
+        far = (c.shape[1] - (c @ c.T - 2 * c.shape[1] * np.eye(n)).max()) / 2
+        assert far >= 0.2 * c.shape[1]
+
+
+def test_bits_weigh_what_they_are_worth_on_rows_held_back(spark, spoken):
+    rows = spark.createDataFrame(spoken, "doc_id long, text string, lang string")
+    model = langid.train(rows)
+    assert model.trust.sum() == pytest.approx(1) and (model.trust > 0).all()
+    model.weigh(np.array([90] + [50] * (len(model.trust) - 1)), 100)
+    assert model.trust[0] > 0.9
+    copies = rows.union(rows).withColumn("score", F.lit(1))
+    got = langid.identify(copies, model).groupBy("doc_id").agg(F.count_distinct("lang_pred", "score").alias("n"), F.count("*").alias("rows")).collect()
+    assert all((x.n, x.rows) == (1, 2) for x in got)
+
+
 def test_secrets(spark):
     r = random.Random(12)
     hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
