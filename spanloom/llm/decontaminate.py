@@ -10,7 +10,8 @@ windows around it are looked up whole. Windows shorter than SPAN are looked up
 at every position (winnowing with a window of one).
 
 The benchmark is broadcast in blocks of bounded size (BLOCK_CHARS each), however
-large it is; documents are not shuffled unless there is more than one block.
+large it is, one block after the other; documents are not shuffled unless there is
+more than one block. key tells documents of equal id apart: a hash of the text.
 
 Defined results: a null or empty text has no words and is clean; an item that is
 null or has no words never occurs; items with equal ids count once in n_items,
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .workspace import bounded_batches
+from .workspace import Workspace, bounded_batches
 
 SPAN = 10
 K = 6
 BLOCK_CHARS = 16_000_000
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, item_ids array<string>, items_sha256 string, contaminated boolean"
+RESULT = "doc_id long, key long, n_words long, n_hit long, n_items long, item_ids array<string>, items_sha256 string, contaminated boolean"
 _PARTIAL = "doc_id long, key long, n_words long, hit_starts binary, hit_ends binary, item_ids array<string>"
 
 
@@ -166,10 +167,10 @@ def _digest(n_words: int, starts: list[bytes], ends: list[bytes], names: list[li
     return n_words, n_hit, len(found), items, hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0
 
 
-def _finish(rows: list[tuple], ids: list) -> pa.RecordBatch:
+def _finish(rows: list[tuple], ids: list, keys: list) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["doc_id", "n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["doc_id", "key", "n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -180,7 +181,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(chars) // block_chars))
-    parts = []
+    parts, work = [], Workspace(spark) if blocks > 1 else None
     for b in range(blocks):
         rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
         index = spark.sparkContext.broadcast(Index(rows, span, k))
@@ -190,13 +191,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 part = scan(index.value, batch)
                 if last:
                     c = [part.column(i).to_pylist() for i in range(6)]
-                    yield _finish([_digest(n, [s], [e], [x]) for n, s, e, x in zip(*c[2:], strict=True)], c[0])
+                    yield _finish([_digest(n, [s], [e], [x]) for n, s, e, x in zip(*c[2:], strict=True)], c[0], c[1])
                 else:
                     yield part
 
         if blocks == 1:
             return docs.mapInArrow(each, RESULT)
-        parts.append(docs.mapInArrow(each, _PARTIAL))
+        parts.append(work.keep(docs.mapInArrow(each, _PARTIAL)))
+        index.destroy()
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -204,12 +206,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def merge(batches):
         for batch in batches:
             c = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            out, ids = [], []
-            for doc, _, n, starts, ends, names, copies in zip(*c, strict=True):
+            out, ids, keys = [], [], []
+            for doc, key, n, starts, ends, names, copies in zip(*c, strict=True):
                 for _ in range(copies):
                     out.append(_digest(n, starts, ends, names))
                     ids.append(doc)
-            yield _finish(out, ids)
+                    keys.append(key)
+            yield _finish(out, ids, keys)
 
     # Rows of equal id and text come from each block once for each copy of the document.
     return (

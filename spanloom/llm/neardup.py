@@ -398,7 +398,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES, region: int = REGION, matrix: int = MATRIX) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, cls (the number of its class), component_id, kept.
+    """One row for each document: doc_id, n_shingles, cls (the number of its class), component_id, kept, doc (a hash of id and text), first.
+
+    Of each component one document is first, whatever the ids: the smallest id's, of equal ids (and of none) that of least hash.
 
     region and matrix bound the work of a task; the result does not depend on them.
     """
@@ -461,9 +463,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = work.keep(pairs_of(held, inside), batch_rows=200)
         if some(found):
             comp = components(links.union(found), work)
-    labelled = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "h1", "h2", "doc_id", F.coalesce("label", "cls").alias("label"))
-    names = work.keep(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    of_class = work.keep(labelled.join(names, "label").select("cls", "h1", "h2", "component_id"))
-    result = rows.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
+    labelled = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "h1", "h2", "doc_id", F.coalesce("label", "cls").alias("label"), "doc")
+    names = work.keep(labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc")).alias("least")))
+    of_class = work.keep(labelled.drop("doc_id", "doc").join(names, "label").select("cls", "h1", "h2", F.col("least.doc_id").alias("component_id"), F.col("least.doc").alias("least")))
+    result = rows.select("doc_id", "doc", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "n_shingles", "cls", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return result.select("doc_id", "n_shingles", "cls", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "doc", ((F.col("n_shingles") == 0) | (F.col("doc_id").eqNullSafe(component) & (F.col("doc") == F.col("least")))).alias("first"))
