@@ -5,9 +5,10 @@
    unless no labelled row has text, so that there is no language to learn.
 2. Line dedup: later copies of repeated line runs go; a document that had lines and
    has lost them all goes too.
-3. Near-dedup: five-word shingles, similarity 0.8; of each group the smallest doc_id
-   stays.
-4. Decontamination: documents in which a benchmark window occurs go.
+3. Near-dedup: five-word shingles, similarity 0.8; of each group one document stays, that
+   of the smallest doc_id (of equal ids, or none, that of the least hash).
+4. Decontamination: documents in which a benchmark window occurs go; documents of equal
+   id are judged by their own texts.
 5. Packing into sequences.
 
 Each stage takes (spark, docs, sf_dir) and, but for the last, returns the columns of
@@ -41,14 +42,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs, words=5, percent=80, trees=24).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    found = neardup.near_duplicates(docs, words=5, percent=80, trees=24).where("first")
+    kept = found.groupBy(F.col("doc_id").alias("kept_id"), "doc").agg(F.count("*").alias("copies"))
+    kept = Workspace(spark).keep(kept)
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (own == kept["doc"]), "left_semi").select(*COLUMNS)
+    # Rows of equal id and text are one document; texts are shuffled for that only if there are any.
+    return left.dropDuplicates(["doc_id", "text"]) if kept.where("copies > 1").limit(1).count() else left
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = found.where("contaminated").select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti").select(*COLUMNS)
+    leaks = found.where("contaminated").select(F.col("doc_id").alias("leak_id"), "key").distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]) & (F.xxhash64(docs["text"]) == leaks["key"]), "left_anti").select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
