@@ -442,3 +442,27 @@ def test_pipeline_without_labelled_text(spark):
     got = corpus_pipeline.language(spark, docs, "")
     assert got.columns == corpus_pipeline.COLUMNS
     assert sorted((r.doc_id, r.text, r.lang) for r in got.collect()) == [(1, "clean words", None), (4, "日本", None)]
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    r = random.Random(18)
+    base, other, passage = prose(r, 60, 5000), prose(r, 60, 5000), prose(r, 30, 5000)
+    leak = f"{prose(r, 20, 5000)} {passage}"
+    kind = "doc_id long, text string, lang string, source string, n_chars long, kept boolean"
+    texts = [(None, base), (None, base), (None, other), (4, base), (4, other), (4, other), (9, prose(r, 60, 5000)), (9, leak), (9, prose(r, 60, 5000)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t or ""), True) for i, t in texts], kind)
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted((x.doc_id or 0, x.text or "") for x in got.collect()) == sorted([(4, base), (4, other), *[(i, t) for i, t in texts if i == 9], (0, "")])
+    none = spark.createDataFrame([(None, t, "aa", "s", 1, True) for t in (base, base, base + " end", other)], kind)
+    assert len({x.text for x in corpus_pipeline.near_copies(spark, none, "").collect()} & {base, base + " end"}) == 1
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()
+    assert sorted((x.doc_id or 0, x.text or "") for x in left) == sorted((i or 0, t or "") for i, t in texts if t != leak)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
