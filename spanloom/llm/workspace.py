@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +42,8 @@ def partitions(spark: SparkSession, size: int, task_bytes: int = TASK_BYTES) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-size // task_bytes)))
 
 
-#: Seconds of a write after which the driver's garbage is collected.
-SLOW = 2.0
+#: With it an execution deletes its exchanges' files when it has ended; else they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Workspace:
@@ -63,17 +62,18 @@ class Workspace:
         """df, written and read again; batch_rows: of each Arrow batch, where rows are large."""
         self.count += 1
         to = f"{self.path}/{self.count}"
-        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(name)
-        start = time.monotonic()
+        settings = {CLEANUP: "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": batch_rows} if batch_rows else {})
+        before = {name: self.spark.conf.get(name, None) for name in settings}
         try:
-            if batch_rows:
-                self.spark.conf.set(name, batch_rows)
-            df.write.parquet(to)
+            for name, value in settings.items():
+                self.spark.conf.set(name, value)
+            df.write.parquet(to)  # what is written needs its exchanges no more
         finally:
-            self.spark.conf.set(name, before)
-        if time.monotonic() - start > SLOW:  # nothing needs the exchanges of what is written now: their files go when the driver collects its garbage
-            self.spark._jvm.System.gc()
+            for name, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(name)
+                else:
+                    self.spark.conf.set(name, value)
         return self.spark.read.schema(df.schema).parquet(to)
 
     def size(self, kept: DataFrame) -> int:
