@@ -72,8 +72,9 @@ def dois_of_collections(collection: DataFrame, article: DataFrame) -> DataFrame:
 
 
 def article_properties(collection: DataFrame, article: DataFrame, figure: DataFrame) -> DataFrame:
+    """The properties of articles, with the number of their figures."""
     n = figure.groupBy("article_id").agg(F.count("*").alias("nb_figures"))
-    return collection.join(article, "collection_id").join(n, "article_id", "left").select("collection_name", "doi", "title", F.coalesce("nb_figures", F.lit(0)).cast("long").alias("nb_figures"))
+    return collection.join(article, "collection_id").join(n, "article_id", "left").select("collection_name", "doi", "title", "journal_name", "pub_date", "pmid", "pmcid", "import_id", "pub_year", F.coalesce("nb_figures", F.lit(0)).cast("long").alias("nb_figures"))
 
 
 def figure_list(article: DataFrame, figure: DataFrame, panel: DataFrame) -> DataFrame:
@@ -94,7 +95,15 @@ def panel_list(figure: DataFrame, panel: DataFrame, tag: DataFrame) -> DataFrame
 
 
 def panel_properties(article: DataFrame, figure: DataFrame, panel: DataFrame) -> DataFrame:
-    return article.join(figure.drop("caption", "href"), "article_id").join(panel, "figure_id").select("doi", F.col("fig_label").alias("figure_id"), "panel_id", "panel_label", "caption", "href")
+    """The properties of panels; figure_id is the figure's label, as the graph gives it."""
+    both = article.join(figure.drop("caption", "href"), "article_id").join(panel, "figure_id")
+    return both.select(F.col("doi").alias("paper_doi"), F.col("fig_label").alias("figure_label"), F.col("fig_label").alias("figure_id"), "panel_id", "panel_label", tx.part("panel_label", "-", 1).alias("panel_number"), "caption", "formatted_caption", "href", "coords")
+
+
+def captions_by_text(rows: DataFrame, by: list[str], caption: str, key: str) -> DataFrame:
+    """Rows grouped by text and given back one by one: by, n (rows of the group), caption, key; repeated ones stay."""
+    held = rows.groupBy(*by).agg(F.collect_list(F.struct(caption, key)).alias("_held"))
+    return held.select(*by, F.size("_held").alias("n"), F.explode("_held").alias("_one")).select(*by, "n", "_one.*")
 
 
 def tag_list(tag: DataFrame) -> DataFrame:

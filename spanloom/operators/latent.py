@@ -2,16 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as v
+BLOCK = 512
+
+
+def _rows_of(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    column = batch.column(k)
+    return np.array(column.flatten(), dtype=float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _blocks(rows: DataFrame, vector: str, name: str) -> DataFrame:
+    """Vectors, BLOCK of one partition at a time, as one array of doubles and its number of vectors."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _rows_of(batch, 0)
+            parts = [x[i : i + BLOCK] for i in range(0, len(x), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(p) for p in parts], pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=[f"{name}_n", name])
+
+    return rows.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>")).mapInArrow(each, f"{name}_n int, {name} binary")
 
 
 def mean_kernel(a: DataFrame, b: DataFrame, vector: str) -> DataFrame:
-    """The mean RBF kernel over all pairs; a and b are samples of bounded size by nature of the statistic."""
-    pairs = a.select(F.col(vector).alias("x")).crossJoin(b.select(F.col(vector).alias("y")))
-    return pairs.agg(F.avg(v.rbf(F.col("x"), F.col("y"))).alias("k"))
+    """The mean of the kernel exp(-mean((x - y)^2) / d) over all pairs.
+
+    The statistic is over all pairs, so work grows with their number; it is done block by
+    block with matrix products, and only blocks are paired in Spark.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0.0, 0
+        for batch in batches:
+            for k, x, m, y in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                x, y = np.frombuffer(x).reshape(k, -1), np.frombuffer(y).reshape(m, -1)
+                d = x.shape[1]
+                apart = np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0)
+                total += float(np.exp(-apart / d / d).sum())
+                n += k * m
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n], pa.int64())], names=["total", "n"])
+
+    pairs = _blocks(a, vector, "x").crossJoin(_blocks(b, vector, "y"))
+    return pairs.mapInArrow(each, "total double, n long").agg((F.sum("total") / F.sum("n")).alias("k"))
 
 
 def mmd(a: DataFrame, b: DataFrame, vector: str) -> DataFrame:
@@ -21,11 +58,20 @@ def mmd(a: DataFrame, b: DataFrame, vector: str) -> DataFrame:
 
 
 def cross_correlation(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """i, j, c: sum over pairs of left_i * right_j, over their number."""
-    n = pairs.agg(F.count("*").alias("n"))
-    a = pairs.select(F.posexplode(left).alias("i", "x"), right)
-    both = a.select("i", "x", F.posexplode(right).alias("j", "y"))
-    return both.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).crossJoin(F.broadcast(n)).select("i", "j", (F.col("s") / F.col("n")).alias("c"))
+    """i, j, c: sum over pairs of left_i * right_j, over their number. Each task sums matrix products of its batches."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for batch in batches:
+            if len(batch.column(0)):
+                got = _rows_of(batch, 0).T @ _rows_of(batch, 1)
+                total, n = got if total is None else total + got, n + len(batch.column(0))
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(total.ravel()), pa.array(np.full(total.size, n))], names=["i", "j", "s", "n"])
+
+    whole = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).cast("array<double>"), F.col(right).cast("array<double>"))
+    return whole.mapInArrow(each, "i int, j int, s double, n long").groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("c"))
 
 
 def twin_loss(correlation: DataFrame, weight: float = 0.005) -> DataFrame:
@@ -37,16 +83,12 @@ def twin_loss(correlation: DataFrame, weight: float = 0.005) -> DataFrame:
 
 def acyclicity(weights, dims: int) -> float:
     """tr((I + W*W/d)^d) - d of a square matrix: 0 for a graph without cycles."""
-    import numpy as np
-
     w = np.asarray(weights, dtype=float)
     return float(np.trace(np.linalg.matrix_power(np.eye(dims) + w * w / dims, dims)) - dims)
 
 
 def random_edges(nodes: int, p: float, seed: int):
     """A random directed graph without loops, as a matrix of 0 and 1."""
-    import numpy as np
-
     r = np.random.default_rng(seed)
     m = (r.random((nodes, nodes)) < p).astype(int)
     np.fill_diagonal(m, 0)

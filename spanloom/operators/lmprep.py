@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions import text as tx
-from .tokens import as_of, collected, islands
+from .tokens import as_of, collected, islands, tokens
 
 #: Ids at the ends of an example, and the part of speech of what is no word.
 BOS, EOS, NO_TAG = 0, 2, "X"
@@ -77,6 +77,21 @@ def twin_examples(left: DataFrame, right: DataFrame, key: str = "doc_id") -> Dat
     return left.join(other, key).select(key, F.concat("max_length", "_m").alias("max_length"), *[F.array(c, f"_{c}").alias(c) for c in columns])
 
 
+def examples_of_lines(rows: DataFrame, make: Callable[[], Tokenizer], lengths: Sequence[int], key: str = "doc_id", value: str = "value", tag: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Examples of lines, or of twin lines where there are two lengths; tag: from an array of words to their parts of speech."""
+    tag = tag or (lambda words: F.transform(words, lambda _: F.lit("NOUN")))
+
+    def one(text: Column, length: int) -> DataFrame:
+        docs = rows.select(key, text.alias("text"))
+        words = tokens(docs, key)
+        named = words.select(key, "start", "end", F.get(tag(F.array("word")), F.lit(0)).alias("tag"))
+        return examples(aligned(subtokens(docs, make, key), named, key), length, key)
+
+    parts = F.split(F.col(value), tx.DELIMITER)
+    out = one(F.get(parts, F.lit(0)), lengths[0])
+    return out if len(lengths) == 1 else twin_examples(out, one(F.get(parts, F.lit(1)), lengths[1]), key)
+
+
 def special_mask(ids: Column | str, special: Sequence[int]) -> Column:
     """1 for special tokens, else 0."""
     return lb.mask(ids, special)

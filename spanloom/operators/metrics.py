@@ -53,6 +53,14 @@ def class_report(matched: DataFrame, label: str = "label", digits: int = 9) -> D
     return out.select("label", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+def memorisation(truth: DataFrame, predicted: DataFrame, split: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Scores of the test documents' entities by class, apart for those whose text training documents have too. Spans: key, label, first, last, text; split: key, split."""
+    known = truth.join(split.where("split = 'train'"), key, "left_semi").select("label", "text").distinct().withColumn("in_training", F.lit(True))
+    seen = match(truth, predicted, key, "label", "first", "last").join(split.where("split = 'test'"), key, "left_semi")
+    flagged = seen.withColumn("text", F.coalesce("text", "text_predicted")).join(known, ["label", "text"], "left").withColumn("in_training", F.coalesce("in_training", F.lit(False)))
+    return rates(flagged.groupBy("in_training", "label").agg(*counts()))
+
+
 def boundaries(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
     """Each boundary as TP, FN or FP."""
     m = match(truth, predicted, *keys)

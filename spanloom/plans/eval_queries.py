@@ -111,13 +111,7 @@ SELECT in_training, label, tp, fp, fn, """ + RATES.format(9) + ", tp + fn AS sup
 def memorization_report(spark, sf_dir):
     split = sp.document_split(table(spark, sf_dir, "documents"))
     tags = predicted(spark, sf_dir)
-
-    spans = lambda tag: ls.runs(tags, tag, word="word")
-    truth = spans("iob2")
-    known = truth.join(split.where("split = 'train'"), "doc_id", "left_semi").select("label", "text").distinct().withColumn("in_training", F.lit(True))
-    seen = m.match(truth, spans("predicted"), "doc_id", "label", "first", "last").join(split.where("split = 'test'"), "doc_id", "left_semi")
-    flagged = seen.withColumn("text", F.coalesce("text", "text_predicted")).join(known, ["label", "text"], "left").withColumn("in_training", F.coalesce("in_training", F.lit(False)))
-    return m.rates(flagged.groupBy("in_training", "label").agg(*m.counts()))
+    return m.memorisation(ls.runs(tags, "iob2", word="word"), ls.runs(tags, "predicted", word="word"), split)
 
 
 @query(PRED + "SELECT round(avg(CASE WHEN iob2 = predicted THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS accuracy, count(*) AS n FROM pred")

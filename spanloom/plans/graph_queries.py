@@ -104,7 +104,7 @@ def delete_tree_count(t):
     return g.delete_tree(t.article, t.figure, t.panel, t.tag, F.col("status") == "deleting")[1]
 
 
-@query(""", new AS (SELECT * REPLACE (concat(title, ' (new)') AS title) FROM article WHERE article_id % 2 = 0 UNION ALL SELECT article_id + 1000, collection_id, concat(doi, '-b'), title, status FROM article WHERE article_id % 5 = 0)
+@query(""", new AS (SELECT * REPLACE (concat(title, ' (new)') AS title) FROM article WHERE article_id % 2 = 0 UNION ALL SELECT * REPLACE (article_id + 1000 AS article_id, concat(doi, '-b') AS doi) FROM article WHERE article_id % 5 = 0)
 SELECT * FROM new UNION ALL SELECT * FROM article WHERE doi NOT IN (SELECT doi FROM new)""")
 def upsert_articles(t):
     changed = t.article.where("article_id % 2 = 0").withColumn("title", F.concat("title", F.lit(" (new)")))
@@ -124,7 +124,7 @@ def collection_dois(t):
     return g.dois_of_collections(t.collection, t.article)
 
 
-@query("""SELECT collection_name, doi, title, CAST(coalesce(n, 0) AS BIGINT) AS nb_figures FROM collection JOIN article USING (collection_id)
+@query("""SELECT collection_name, doi, title, journal_name, pub_date, pmid, pmcid, import_id, pub_year, CAST(coalesce(n, 0) AS BIGINT) AS nb_figures FROM collection JOIN article USING (collection_id)
 LEFT JOIN (SELECT article_id, count(*) AS n FROM figure GROUP BY article_id) USING (article_id)""")
 def article_props(t):
     return g.article_properties(t.collection, t.article, t.figure)
@@ -147,7 +147,7 @@ def panel_list(t):
     return g.panel_list(t.figure, t.panel, t.tag)
 
 
-@query("SELECT doi, fig_label AS figure_id, panel_id, panel_label, panel.caption, panel.href FROM article JOIN figure USING (article_id) JOIN panel USING (figure_id)")
+@query("SELECT doi AS paper_doi, fig_label AS figure_label, fig_label AS figure_id, panel_id, panel_label, split_part(panel_label, '-', 2) AS panel_number, panel.caption, formatted_caption, panel.href, coords FROM article JOIN figure USING (article_id) JOIN panel USING (figure_id)")
 def panel_props(t):
     return g.panel_properties(t.article, t.figure, t.panel)
 
@@ -170,3 +170,8 @@ def nested_tree(t):
     made = g.nested(t.collection, t.article, t.figure, t.panel).where("figures is not null")
     shown = F.transform("figures", lambda f: F.concat(f["fig_label"], F.lit(":"), F.size(f["panels"]).cast("string")))
     return made.select("doi", F.array_join(shown, " ").alias("figures"))
+
+
+@query("SELECT entity_type, role, CAST(count(*) OVER (PARTITION BY entity_type, role) AS INTEGER) AS n, text, tag_id FROM tag")
+def captions_by_text(t):
+    return g.captions_by_text(t.tag, ["entity_type", "role"], "text", "tag_id")

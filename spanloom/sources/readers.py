@@ -24,6 +24,11 @@ def split_corpus(spark: SparkSession, folder: str, splits=("train", "eval", "tes
     return out
 
 
+def split_files(spark: SparkSession, path: str) -> DataFrame:
+    """split, name, xml: what writers.split_files() has written."""
+    return spark.read.text(path, wholetext=True).select("split", "name", F.regexp_replace("value", r"\n\z", "").alias("xml"))
+
+
 def lines(spark: SparkSession, path: str, skip_blank: bool = True) -> DataFrame:
     """value: stripped lines."""
     rows = spark.read.text(path).select(tx.stripped("value").alias("value"))
@@ -87,6 +92,20 @@ def rest_tags(panels: DataFrame) -> DataFrame:
     return t.select("panel_id", text("id").alias("tag_id"), text("category").alias("category"), text("type").alias("entity_type"), text("role").alias("role"), text("text").alias("text"), many("external_ids").alias("ext_ids"), text("normalized_text").alias("norm_text"), many("external_databases").alias("ext_dbs"), F.coalesce(F.col("t.in_caption").isin("Y", "true", "True"), F.lit(False)).alias("in_caption"), many("external_names").alias("ext_names"), many("external_tax_ids").alias("ext_tax_ids"), many("external_tax_names").alias("ext_tax_names"), many("external_urls").alias("ext_urls"))
 
 
+def article_xml_of_answers(articles: DataFrame, figures: DataFrame, panels: DataFrame) -> DataFrame:
+    """doi, xml: articles put together from answers for articles (body), figures (doi, body) and panels (figure_id, body); children in natural order of their labels."""
+    from ..operators.xmlspans import escape
+
+    p = rest_panels(panels).select("figure_id", "panel_label", "panel_id", "formatted_caption")
+    inner = lambda rows, by, order: rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "xml"))), lambda x: x["xml"]), "").alias("inner"))
+    p = p.select("figure_id", tx.natural_key("panel_label").alias("k"), "panel_id", F.col("formatted_caption").alias("xml"))
+    f = rest_figures(figures).join(inner(p, "figure_id", ["k", "panel_id"]), "figure_id", "left")
+    shown = F.concat(F.lit('<fig id="'), escape(F.col("figure_id")), F.lit('"><title>'), escape(F.col("figure_title")), F.lit("</title><label>"), escape(F.col("figure_label")), F.lit('</label><graphic href="'), escape(F.col("href")), F.lit('"/>'), F.coalesce("inner", F.lit("")), F.lit("</fig>"))
+    f = f.select("paper_doi", tx.natural_key("figure_label").alias("k"), "figure_id", shown.alias("xml"))
+    a = rest_articles(articles).join(inner(f, "paper_doi", ["k", "figure_id"]), F.col("doi") == F.col("paper_doi"), "left")
+    return a.select("doi", F.concat(F.lit('<article doi="'), escape(F.col("doi")), F.lit('">'), F.coalesce("inner", F.lit("")), F.lit("</article>")).alias("xml"))
+
+
 def with_abstracts(articles: DataFrame, abstracts: DataFrame) -> DataFrame:
     """Articles with the abstract that another table has for their doi; empty if none. abstracts: doi, abstract."""
     one = abstracts.groupBy("doi").agg(F.max("abstract").alias("found"))

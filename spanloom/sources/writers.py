@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +29,8 @@ def split_json(rows: DataFrame, split: str, path: str, mode: str = "errorifexist
 
 
 def article_files(articles: DataFrame, path: str) -> None:
-    """An XML text for each article, under a folder of its file name; articles that are there already stay as they are. articles: doi, xml."""
-    named = articles.select(tx.file_name("doi").alias("article"), "xml")
+    """An XML text for each article, under a folder of its file name; articles that are there already stay as they are, malformed ones are not written. articles: doi, xml."""
+    named = well_formed(articles.select(tx.file_name("doi").alias("article"), "xml"))
     spark = articles.sparkSession
     try:
         known = spark.read.text(path).select("article").distinct()
@@ -40,6 +43,24 @@ def article_files(articles: DataFrame, path: str) -> None:
     named.write.mode("append").partitionBy("article").text(path)
 
 
+def well_formed(rows: DataFrame, xml: str = "xml") -> DataFrame:
+    """Rows whose XML can be parsed again."""
+
+    def fine(x: str | None) -> bool:
+        try:
+            ET.fromstring(x or "")
+            return True
+        except ET.ParseError:
+            return False
+
+    return rows.where(F.arrow_udf(lambda column: pa.array([fine(x) for x in column.to_pylist()], pa.bool_()), "boolean")(xml))
+
+
+def split_files(rows: DataFrame, split: str, name: str, xml: str, path: str) -> None:
+    """XML texts in a folder for each split, one under each name, as read again by xml_corpus() with recursive."""
+    rows.select(F.col(split).alias("split"), F.col(name).alias("name"), xml).write.partitionBy("split", "name").text(path)
+
+
 def predictions_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Rows with all their columns, the generated ones too."""
     rows.write.mode(mode).option("escape", '"').csv(path, header=True)
