@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset and Spark runs in one process, a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -15,9 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="spanloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if "folder" not in _own:
+        _own["folder"] = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, _own["folder"], ignore_errors=True)
+    return _own["folder"]
 
 
 #: Rows of an Arrow batch at most, since rows hold whole texts.

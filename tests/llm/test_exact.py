@@ -501,3 +501,32 @@ def test_very_long_texts_are_read_in_parts(spark, texts, monkeypatch):
     windows = sorted((int(s) + i, int(g)) for _, s, n, g, _, _ in [suffixdedup.anchors(data, np.array([0, len(raw)]))] for s, n, g in zip(s, n, g, strict=True) for i in range(n))
     cut = sorted((int(s) + i, int(g)) for _, s, n, g, _, _ in suffixdedup._in_parts(data, np.array([0, len(raw)]), 100, 32) for s, n, g in zip(s, n, g, strict=True) for i in range(n))
     assert cut == windows
+
+
+CLASHES = ("doc", "id", "cls", "region", "key", "place", "range", "bucket", "spans", "gone", "label", "n", "first", "host", "path", "salt", "page_id", "i", "d", "copies")
+
+
+def test_very_long_texts_repeated_rows_and_clashing_columns(spark):
+    r = random.Random(37)
+    passage = prose(r, 40, 5000)
+    long = f"{prose(r, 300_000, 5000)} {passage} GNU General Public License {prose(r, 600_000, 5000)}\nlast line\n{passage}"
+    near = long.replace("w1.", "w2.", 20)
+    texts = [(0, long), (1, near), (2, prose(r, 50, 5000)), (2, prose(r, 50, 5000)), (3, passage), (3, passage), (None, None), (None, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    docs = docs.withColumns({c: F.lit("clash") for c in CLASHES})
+    found = sorted((x.doc_id if x.doc_id is not None else -1, x.component_id if x.component_id is not None else -1) for x in neardup.near_duplicates(docs).collect())
+    assert found == [(-1, -1), (-1, -1), (0, 0), (1, 0), (2, 2), (2, 2), (3, 3), (3, 3)]
+    lines = {(x.doc_id, x.n_lines, x.n_removed) for x in linededup.dedup_lines(docs).collect()}
+    assert (0, 3, 0) in lines and (3, 1, 1) in lines and (None, 0, 0) in lines
+    hits = {(x.doc_id, x.n_base, x.base_labels) for x in licences.scan(docs).collect()}
+    assert (0, 1, "gpl") in hits and (3, 0, "") in hits
+    items = spark.createDataFrame([(None, passage), (1, passage + " x"), (1, "")], "item_id long, text string").withColumns({c: F.lit("clash") for c in CLASHES})
+    leaks = {(x.doc_id, x.n_hit, x.n_items, x.contaminated) for x in decontaminate.decontaminate(docs, items).collect()}
+    assert (0, 80, 2, True) in leaks and (3, 40, 2, True) in leaks and (None, 0, 0, False) in leaks
+    assert leaks == {(x.doc_id, x.n_hit, x.n_items, x.contaminated) for x in decontaminate.decontaminate(docs, items, block_chars=100).collect()}
+    small = docs.where("doc_id is null or doc_id <> 1")
+    removed = {(x.doc_id, x.n_bytes, x.n_removed) for x in suffixdedup.dedup_suffixes(small).collect()}
+    n = len(passage.encode())
+    assert (3, n, n) in removed and (0, len(long.encode()), n) in removed and (None, 0, 0) in removed
+    model = langid.train(docs.withColumn("lang", F.lit("aa")))
+    assert {x.lang_pred for x in langid.identify(docs, model).collect()} == {"aa", "und"}

@@ -466,3 +466,12 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], kind).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_pages_and_clashing_columns(spark):
+    story = prose(random.Random(3), 400_000, 5000)
+    rows = [(i, f"http://h.example/{i}", f"<nav>Menu</nav><article><p>{story if i == 3 else f'story {i} ' * 9}</p></article>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "path", "parent", "salt", "text", "print", "rows")})
+    for size in (8 << 20, 0):
+        got = {x.page_id: x.text for x in styletree.extract(pages.union(pages.limit(1)), broadcast_bytes=size).collect()}
+        assert got[3] == story and got[4] == ("story 4 " * 9).strip() and len(got) == 20
