@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import split_by_quota
@@ -34,3 +34,20 @@ def split_counts(rows: DataFrame, kept: Column, split: str = "split") -> DataFra
 def only_in(test: DataFrame, train: DataFrame, *keys: str) -> DataFrame:
     """Distinct entities of the test rows that training rows never have."""
     return test.select(*keys).distinct().join(train.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def in_one_alone(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows that one side has and the other does not."""
+    a, b, on = left.distinct(), right.distinct(), left.columns
+    return a.join(b, on, "left_anti").unionByName(b.join(a, on, "left_anti"))
+
+
+def numbered(rows: DataFrame, *by: str, name: str = "number") -> DataFrame:
+    """Rows with their number from 0 in an order, without a task that holds all of them.
+
+    Range-sorted partitions number their own rows; the sums of the sizes before them, one
+    row for each partition, are joined on. by must tell all rows apart.
+    """
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_nth"))
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_nth")).cast("long")).drop("_part", "_nth", "_n", "_before")

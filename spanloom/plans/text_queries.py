@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..operators import labelseq as ls
+from ..operators import splits
 from ..operators import tokens as tk
 from .tree import table
 
@@ -130,10 +130,7 @@ def figure_title(spark, sf_dir):
 @query("""SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(p_brand, '^[^0-9]*'), CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT), CAST(p_size AS BIGINT), p_partkey) AS place FROM part""")
 def natural_sort_key(spark, sf_dir):
     keyed = table(spark, sf_dir, "part").select("p_partkey", tx.natural_key(F.concat("p_brand", F.lit(" size "), F.col("p_size").cast("string"))).alias("k"))
-    # A range-sorted table is numbered from the sizes of its partitions; the last window is over these alone.
-    placed = keyed.repartitionByRange("k", "p_partkey").sortWithinPartitions("k", "p_partkey").select("p_partkey", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("nth"))
-    before = placed.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
-    return placed.join(F.broadcast(before), "part").select("p_partkey", (F.col("before") + F.col("nth") + 1).cast("long").alias("place"))
+    return splits.numbered(keyed, "k", "p_partkey", name="place").select("p_partkey", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), '///') AS event_types FROM events GROUP BY user_id")
