@@ -77,9 +77,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, k: int = K)
     starts = np.flatnonzero(fresh & valid)
     stops = np.flatnonzero(valid & np.append(fresh[1:] | ~valid[1:], True)) + 1
     ends = stops + span - 1
-    # Two hashes of the context, each from hashes of wide and of narrow pieces that cover it.
-    wide = 1 << (span.bit_length() - 1)
-    context, twice = (_cover(tb.window_hash(data, size, seed), size, starts, ends) for size, seed in ((wide, 1), (max(wide // 2, 1), 2)))
+    # Two independent hashes of the context, from hashes of pieces that cover it: of pairs of grams, and of others.
+    two = 2 * k <= span
+    context = _cover(tb.absorb(gram[:-k], gram[k:]) if two else gram, 2 * k if two else k, starts, ends)
+    other = 1 << (span.bit_length() - 2)
+    twice = _cover(tb.window_hash(data, other, 2), other, starts, ends)
     own = owner[starts]
     return own, starts - offsets[own], stops - starts, gram[where[starts]], context, twice
 
