@@ -84,13 +84,14 @@ FILED = frozenset("category cat tag type status format topic".split())
 
 
 class Node:
-    __slots__ = ("tag", "name", "children", "parent", "block", "named", "path", "inside", "chars", "mains", "articles", "titles")
+    __slots__ = ("tag", "name", "children", "parent", "block", "named", "main", "path", "inside", "chars", "mains", "articles", "titles")
 
     def __init__(self, tag: str, name: str, parent: Node | None):
         self.tag, self.name, self.parent = tag, name, parent
         self.children: list[Node | str] = []
         self.block: Node = parent.block if parent is not None and tag in INLINE else self
         self.named = False
+        self.main = tag == "main"
         self.path = 0
         self.inside = False
 
@@ -225,11 +226,10 @@ class _Parser:
             name, named = tag, False
             if words:
                 name, named = self.known.get(words) or self.known.setdefault(words, (".".join(re.sub(r"[0-9]+", "0", words).lower().split()), names_no_article(words.split())))
-                if "main" in words.split():
-                    named = False
                 name = f"{tag}.{name}"
             node = Node(tag, name, at)
-            node.named = tag in NO_ARTICLE or (named and tag not in ("html", "body", "main"))
+            node.main = node.main or bool(words) and "main" in words.lower().split()
+            node.named = tag in NO_ARTICLE or (named and not node.main and tag not in ("html", "body"))
             at.children.append(node)
             if tag not in VOID and not (itself and tag in NO_TEXT):
                 at = node
@@ -271,7 +271,7 @@ def parse(html: str | None) -> Node:
                 node.chars += len(c)
             elif c.tag not in NO_TEXT:
                 node.chars += c.chars
-                node.mains += c.mains + (c.tag == "main" or ".main" in c.name and c.name.endswith(".main"))
+                node.mains += c.mains + c.main
                 node.articles += c.articles + (c.tag == "article")
                 node.titles += c.titles + (c.tag == "h1")
     for node in nodes:
@@ -336,13 +336,13 @@ def article_of(root: Node) -> list[Node]:
             node, in_main = todo.pop()
             if node.named:
                 continue
-            if node.tag == wanted or (wanted == "main" and node.name.endswith(".main")):
+            if node.main if wanted == "main" else node.tag == wanted:
                 found.append(node)
                 continue
             if node.tag == "h1" and in_main and not found:
                 titles.append(node)
                 continue
-            in_main = in_main or node.tag == "main"
+            in_main = in_main or node.main
             todo += [(c, in_main) for c in reversed(node.children) if isinstance(c, Node)]
         if found:
             return found if any(f.titles for f in found) else titles + found

@@ -283,6 +283,10 @@ def test_pages_beyond_use():
         "<article><header><h1>T</h1><nav>n</nav></header><p>x</p><footer>f</footer></article>": "T x",
         "<body><header><h1>Site</h1></header><div id=content><h1>T</h1><p>x</p></div><div id='comment-list'>c</div><div class='siteFooter'>c</div></body>": "T x",
         "a <section class='side-effects'>b</section>": "a b",
+        "<div>top</div><div role='main' class='x'><h1>T</h1><p>x</p><div class='related-posts'>r</div></div><div>end</div>": "T x",
+        "<main><h1>T</h1><article><p>x</p></article></main>": "T x",
+        "<p>a<table><tr><td>b<td>c</table>d": "a b c d",
+        "a &lt; b &copy; &#x41; <b>c</b>d<br>e": "a < b © A cd e",
         "<div>" * 16000 + "deep" + "</div>" * 16000: "deep",
         "<p title='abc " * 20000: "",
         "<p>a" + "<b><li>" * 20000: "a",
