@@ -5,7 +5,7 @@ vector, squashed to integers, has a place on a Hilbert curve, and documents near
 one another on it use the same words. The curve is cut into ranges of about equal
 bytes (equal keys are ordered by a hash of doc_id, so a large group of copies is
 split), as many as the bytes of all texts ask for; the cuts come from the keys of
-about RANGE_SAMPLE documents a range, picked by a hash, and each document's own key
+about RANGE_SAMPLE documents a range, picked at random, and each document's own key
 is computed once. Each range is sorted, and its documents are laid end to end and
 cut every max_tokens ids.
 What is left at a partition's end is cut into powers of two, which need no
@@ -200,7 +200,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
     own = own.withColumn("deal", F.xxhash64("doc_id"))
     size, n = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     parts = partitions(docs.sparkSession, size)
-    cuts = range_cuts(own.where(F.pmod(F.xxhash64("deal"), F.lit(max(1, n // (RANGE_SAMPLE * parts)))) == 0).select(key("text").alias("place"), "deal", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")), parts)
+    # By place in the table, so that rows of one id or text are not all picked together.
+    picked = own.withColumn("row", F.xxhash64(F.monotonically_increasing_id())).where(F.pmod("row", F.lit(max(1, n // (RANGE_SAMPLE * parts)))) == 0)
+    cuts = range_cuts(picked.select(key("text").alias("place"), "deal", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")), parts)
     ranged = F.arrow_udf(lambda place, deal: pa.array(which_range(cuts, place, deal), pa.int32()), "int")
     placed = own.withColumn("place", key("text")).withColumn("range", ranged("place", "deal"))
     return placed.repartitionById(parts, "range").sortWithinPartitions("place", "deal", "doc_id").select("doc_id", "text").mapInArrow(each, RESULT)
