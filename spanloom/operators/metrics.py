@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
+from .labelseq import runs
 
 
 def token_accuracy(tokens: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -25,6 +26,18 @@ def match(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
     return a.join(b, list(keys), "full").fillna(False, ["in_truth", "in_predicted"])
 
 
+def match_tags(tokens: DataFrame, truth: str, predicted: str, key: str = "doc_id", pos: str = "pos", word: str | None = None, strict: bool = False) -> DataFrame:
+    """As match() of the spans of two IOB2 tags of the same tokens: key, label, first, last, (text,) in_truth, in_predicted.
+
+    Both tags go through one pass over the tokens, and equal spans meet in a grouping
+    within their document, so that nothing is joined.
+    """
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("truth"), F.col(truth).alias("tag")), F.struct(F.lit(False).alias("truth"), F.col(predicted).alias("tag"))))
+    both = tokens.select(key, pos, *([word] if word else []), sides.alias("_side")).select("*", "_side.truth", "_side.tag").drop("_side")
+    spans = runs(both, "tag", [key, "truth"], pos, strict, word)
+    return spans.groupBy(key, "label", "first", "last").agg(*([F.max("text").alias("text")] if word else []), F.bool_or("truth").alias("in_truth"), F.bool_or(~F.col("truth")).alias("in_predicted"))
+
+
 def counts() -> list[Column]:
     t, p = F.col("in_truth"), F.col("in_predicted")
     return [F.sum((t & p).cast("long")).alias("tp"), F.sum((~t & p).cast("long")).alias("fp"), F.sum((t & ~p).cast("long")).alias("fn")]
@@ -53,11 +66,11 @@ def class_report(matched: DataFrame, label: str = "label", digits: int = 9) -> D
     return out.select("label", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-def memorisation(truth: DataFrame, predicted: DataFrame, split: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Scores of the test documents' entities by class, apart for those whose text training documents have too. Spans: key, label, first, last, text; split: key, split."""
-    known = truth.join(split.where("split = 'train'"), key, "left_semi").select("label", "text").distinct().withColumn("in_training", F.lit(True))
-    seen = match(truth, predicted, key, "label", "first", "last").join(split.where("split = 'test'"), key, "left_semi")
-    flagged = seen.withColumn("text", F.coalesce("text", "text_predicted")).join(known, ["label", "text"], "left").withColumn("in_training", F.coalesce("in_training", F.lit(False)))
+def memorisation(matched: DataFrame, split: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Scores of the test documents' entities by class, apart for those whose text training documents have too. matched: match_tags() with text; split: key, split."""
+    known = matched.where("in_truth").join(split.where("split = 'train'"), key, "left_semi").select("label", "text").distinct().withColumn("in_training", F.lit(True))
+    seen = matched.join(split.where("split = 'test'"), key, "left_semi")
+    flagged = seen.join(known, ["label", "text"], "left").withColumn("in_training", F.coalesce("in_training", F.lit(False)))
     return rates(flagged.groupBy("in_training", "label").agg(*counts()))
 
 

@@ -74,8 +74,7 @@ def predicted(spark, sf_dir):
 
 
 def matched(spark, sf_dir, strict):
-    t = predicted(spark, sf_dir)
-    return m.match(ls.runs(t, "iob2", strict=strict), ls.runs(t, "predicted", strict=strict), "doc_id", "label", "first", "last")
+    return m.match_tags(predicted(spark, sf_dir), "iob2", "predicted", strict=strict)
 
 
 @query(BOTH + "SELECT doc_id, label, first, text FROM truth")
@@ -111,7 +110,7 @@ SELECT in_training, label, tp, fp, fn, """ + RATES.format(9) + ", tp + fn AS sup
 def memorization_report(spark, sf_dir):
     split = sp.document_split(table(spark, sf_dir, "documents"))
     tags = predicted(spark, sf_dir)
-    return m.memorisation(ls.runs(tags, "iob2", word="word"), ls.runs(tags, "predicted", word="word"), split)
+    return m.memorisation(m.match_tags(tags, "iob2", "predicted", word="word"), split)
 
 
 @query(PRED + "SELECT round(avg(CASE WHEN iob2 = predicted THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS accuracy, count(*) AS n FROM pred")
