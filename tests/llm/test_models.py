@@ -404,7 +404,7 @@ def test_both_tokenizers_agree():
     for t in mixed:
         assert packing.tokenizer()(t) == own.encode(t, add_special_tokens=False).ids
     packing.PART = before
-    for t in ("a" + " " * 1_000_000 + "b", "ab" * 500_000, " \n" * 400_000, "Hello, world's  end\n\n x", "é ß 你好 🎉 ñ", "<|endoftext|>", "a" * 3000, " \t \n"):
+    for t in (prose(r, 1_500_000, 5000), "a" + " " * 1_000_000 + "b", "ab" * 500_000, " \n" * 400_000, "Hello, world's  end\n\n x", "é ß 你好 🎉 ñ", "<|endoftext|>", "a" * 3000, " \t \n"):
         assert packing.tokenizer()(t) == own.encode(t, add_special_tokens=False).ids
 
 
@@ -414,7 +414,7 @@ def test_pipeline(spark, tmp_path):
     passage = prose(r, 40, 5000)
     base = "\n".join(prose(r, 12, 5000) for _ in range(20))
     near = base.replace("w", "v", 3)
-    texts = [base, base, near, None, "123 456", f"{line}\n{prose(r, 30, 5000)}", f"{prose(r, 30, 5000)}\n{line}", f"{prose(r, 20, 5000)} {passage} {prose(r, 20, 5000)}"] + [prose(r, 40, 5000) for _ in range(20)]
+    texts = [base, base, near, None, "123 456", f"{line}\n{prose(r, 30, 5000)}", f"{prose(r, 30, 5000)}\n{line}", f"{prose(r, 20, 5000)} {passage} {prose(r, 20, 5000)}"] + [prose(r, 40, 5000) for _ in range(20)] + ["a" + " " * 1_000_000 + "b"]
     rows = [(i, t, "aa", "s", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     items = [(1, passage[30:200])]
