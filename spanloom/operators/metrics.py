@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +81,11 @@ def boundaries(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
     m = match(truth, predicted, *keys)
     kind = F.when(F.col("in_truth") & F.col("in_predicted"), "TP").when(F.col("in_truth"), "FN").otherwise("FP")
     return m.select(*keys, kind.alias("outcome"))
+
+
+def evaluate(tokens: DataFrame, truth: str, predicted: str, hooks: Sequence[Callable[[str, DataFrame], None]] = (), name: str = "eval", **columns: str) -> DataFrame:
+    """The class report of two tags of the same tokens; every hook is called with the name and the report before it is returned."""
+    report = class_report(match_tags(tokens, truth, predicted, **columns))
+    for hook in hooks:
+        hook(name, report)
+    return report

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import grid, tokens
+from spanloom.operators import grid, metrics, splits, tokens
 from spanloom.plans.parametric import Query
 
 
@@ -44,3 +44,22 @@ def test_as_of_of_tokens_that_share_an_exchange(spark):
     found = tokens.as_of(t, spans, "doc_id", "start")
     halves = [found.where(f"pos % 2 = {k}").groupBy("doc_id").agg(F.count_if(F.col("found.word") == F.col("word")).alias(f"n{k}")) for k in (0, 1)]
     assert {tuple(r) for r in halves[0].join(halves[1], "doc_id").select("n0", "n1").collect()} == {(20, 20)}
+
+
+def test_evaluation_calls_its_hooks(spark):
+    tags = [("B-G", "B-G"), ("I-G", "I-G"), ("O", "B-S"), ("B-S", "O"), ("I-S", "O"), ("B-G", "I-G")]
+    t = spark.createDataFrame([(d, i, *x) for d in (0, 1) for i, x in enumerate(tags)], "doc_id long, pos int, truth string, guess string")
+    seen = []
+    report = metrics.evaluate(t, "truth", "guess", [lambda name, r: seen.append((name, r.count()))])
+    assert seen == [("eval", 5)]
+    rows = {r.label: r for r in report.collect()}
+    assert (rows["G"].precision, rows["G"].recall, rows["G"].support) == (1.0, 1.0, 4) and rows["S"].f1 == 0.0
+    strict = metrics.prf(metrics.match_tags(t, "truth", "guess", strict=True)).first()
+    assert (strict.tp, strict.fp, strict.fn) == (2, 2, 4)
+
+
+def test_numbers_and_differences(spark):
+    rows = spark.createDataFrame([(i * 7 % 50, i) for i in range(50)], "a long, b long").repartition(6)
+    assert {(r.a, r.n) for r in splits.numbered(rows, "a", name="n").collect()} == {(i, i) for i in range(50)}
+    one, two = (spark.createDataFrame([(x,) for x in xs], "x string") for xs in ("aabc", "bcd"))
+    assert sorted(r.x for r in splits.in_one_alone(one, two).collect()) == ["a", "d"]
