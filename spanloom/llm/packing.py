@@ -39,7 +39,7 @@ from .workspace import bounded_batches, partitions
 MAX_TOKENS = 2048
 END_ID = 1
 DIMS, BITS = 4, 12
-RANGE_SAMPLE = 16
+RANGE_SAMPLE, RANGE_BYTES = 16, 8 << 20
 PART = 1 << 18
 #: White space from which on the faster library's pattern would run out of stack.
 LONG_SPACE = 2000
@@ -199,7 +199,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     own = own.withColumn("deal", F.xxhash64("doc_id"))
     size, n = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    parts = partitions(docs.sparkSession, size)
+    parts = partitions(docs.sparkSession, size, RANGE_BYTES)
     # By place in the table, so that rows of one id or text are not all picked together.
     picked = own.withColumn("row", F.xxhash64(F.monotonically_increasing_id())).where(F.pmod("row", F.lit(max(1, n // (RANGE_SAMPLE * parts)))) == 0)
     cuts = range_cuts(picked.select(key("text").alias("place"), "deal", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")), parts)
