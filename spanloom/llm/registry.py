@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curveknn, decontaminate, langid, licences, linededup, neardup, packing, secretscan, styletree, suffixdedup
+from . import convtrie, curveknn, decontaminate, langid, licences, linededup, merkle, neardup, packing, secretscan, styletree, suffixdedup
+from .workspace import Workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,6 +166,100 @@ def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = {name: F.col(name) for name in merkle.FIELDS}
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle.leaf_hash(fields | {"text": F.regexp_replace("text", "\n", "")}))
+    made = merkle.manifest(docs, carry={"tampered": tampered})
+    proofs = merkle.proofs(made)
+    folded = merkle.folded(merkle.folded(F.coalesce("tampered", "leaf"), F.col("siblings"), F.col("depth")), F.col("above"), F.col("top_depth"))
+    found = proofs.select("doc_id", "leaf", "subroot", F.lit(made.root).alias("root"), merkle.proof_hash(F.col("siblings"), F.col("above")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_CRC = """list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(ID AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+#: CRC-32 of an id's decimal digits, as a number from 0 to 2**32 - 1.
+CRC_SQL = f"xor({_CRC}, 4294967295)"
+
+OP12_SQL = f"""
+WITH RECURSIVE coded AS (
+  SELECT doc_id, source, {CRC_SQL.replace("ID", "doc_id")} % 2 = 0 AS spoilt,
+    concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+    text, replace(text, chr(10), '') AS bare FROM documents
+), leaves AS (
+  SELECT doc_id, source, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+    CASE WHEN spoilt THEN sha256(concat(head, coalesce(strlen(bare) || ':' || bare, '-'))) END AS other,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS size FROM coded
+), nodes AS (
+  SELECT source, 0 AS level, place, size, leaf AS h FROM leaves
+  UNION ALL
+  SELECT source, level + 1, place // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM nodes WHERE size > 1 GROUP BY source, level, place // 3, size
+), subroots AS (
+  SELECT source, h AS subroot, level AS depth, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS size FROM nodes WHERE size = 1
+), tops AS (
+  SELECT 0 AS level, place, size, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM tops WHERE size > 1 GROUP BY level, place // 3, size
+), steps AS (
+  SELECT l.doc_id, n.level AS step, n.place, n.h, l.place // CAST(pow(3, n.level) AS BIGINT) AS mine
+  FROM leaves l JOIN nodes n ON l.source IS NOT DISTINCT FROM n.source AND n.size > 1 AND n.place // 3 = l.place // CAST(pow(3, n.level + 1) AS BIGINT)
+  UNION ALL
+  SELECT l.doc_id, s.depth + t.level, t.place, t.h, s.place // CAST(pow(3, t.level) AS BIGINT)
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN tops t ON t.size > 1 AND t.place // 3 = s.place // CAST(pow(3, t.level + 1) AS BIGINT)
+), sides AS (
+  SELECT doc_id, step, coalesce(string_agg(h, '' ORDER BY place) FILTER (place < mine), '') AS l, coalesce(string_agg(h, '' ORDER BY place) FILTER (place > mine), '') AS r FROM steps GROUP BY doc_id, step
+), ways AS (
+  SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM sides GROUP BY doc_id
+), folds AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS step, coalesce(other, leaf) AS h FROM leaves
+  UNION ALL
+  SELECT doc_id, f.step + 1, sha256(l || h || r) FROM folds f JOIN sides USING (doc_id, step)
+), ends AS (
+  SELECT doc_id, arg_max(h, step) AS folded_root FROM folds GROUP BY doc_id
+)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots ON leaves.source IS NOT DISTINCT FROM subroots.source JOIN ends USING (doc_id) LEFT JOIN ways USING (doc_id), (SELECT h AS root FROM tops WHERE size = 1)
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work, conv = Workspace(spark), F.col("conv_id")
+    turns = convtrie.turns_in_order(_table(spark, sf_dir, "conversations"), work)
+    lengths, built = convtrie.rebuilt(turns, conv - conv % 20, F.crc32(conv.cast("string")) % 4, 3, work)
+    return convtrie.trie(lengths, built, work)
+
+
+OP13_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC_SQL.replace("ID", "conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), pieces AS (
+  SELECT c.conv_id, 0 AS side, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND place < h
+  UNION ALL
+  SELECT c.conv_id, 1, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place >= h
+), built AS (
+  SELECT conv_id, row_number() OVER w AS depth, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS tokens,
+    string_agg(md5(md5(role) || md5(text)), '') OVER w AS prefix FROM pieces WINDOW w AS (PARTITION BY conv_id ORDER BY side, place ROWS UNBOUNDED PRECEDING)
+), seen AS (
+  SELECT conv_id, depth, tokens, md5(prefix) AS k, coalesce(lag(md5(prefix)) OVER (PARTITION BY conv_id ORDER BY depth), '') AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM built
+  UNION ALL
+  SELECT conv_id, 0, 0, '', NULL, coalesce(n, 0) FROM convs LEFT JOIN (SELECT conv_id, count(*) AS n FROM built GROUP BY conv_id) USING (conv_id)
+), nodes AS (
+  SELECT depth, k, any_value(p) AS p, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = depth AS childless, (count(*) - 1) * any_value(tokens) AS saved, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth) AS ends
+  FROM seen GROUP BY depth, k
+), above AS (
+  SELECT s.depth, s.k, count(*) FILTER (childless) AS n_leaves, sum(saved) AS saved_tokens FROM nodes v JOIN seen s ON s.conv_id = v.conv_id AND s.depth <= v.depth GROUP BY s.depth, s.k
+), kids AS (
+  SELECT depth - 1 AS depth, p AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY depth, p
+)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM nodes v JOIN above a ON v.depth = a.depth AND v.k = a.k LEFT JOIN kids c ON v.depth = c.depth AND v.k = c.k LEFT JOIN nodes u ON u.depth = v.depth - 1 AND u.k = v.p
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_style_tree": op2_style_tree,
@@ -176,5 +271,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_two_stage_suffixes": op9_two_stage_suffixes,
     "op5_hilbert_packing": op5_hilbert_packing,
     "op10_winnowing": op10_winnowing,
+    "op12_merkle_proofs": op12_merkle_proofs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_line_suffixes": OP6_SQL, "op8_shifted_curves": OP8_SQL, "op9_two_stage_suffixes": OP9_SQL, "op10_winnowing": OP10_SQL}
+SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_line_suffixes": OP6_SQL, "op8_shifted_curves": OP8_SQL, "op9_two_stage_suffixes": OP9_SQL, "op10_winnowing": OP10_SQL, "op12_merkle_proofs": OP12_SQL, "op13_prefix_trie": OP13_SQL}
