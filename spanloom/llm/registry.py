@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import convtrie, curveknn, decontaminate, langid, licences, linededup, merkle, neardup, packing, secretscan, styletree, suffixdedup
+from . import convtrie, curveknn, decontaminate, langid, licences, linededup, merkle, neardup, ngramjoin, packing, secretscan, styletree, suffixdedup
 from .workspace import Workspace
 
 
@@ -166,6 +166,14 @@ def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+#: The same sets as op1's, linked at another threshold.
+OP11_SQL = OP1_SQL.replace("85 *", "90 *").replace(", doc_id = component_id AS kept", "")
+
+
 def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     fields = {name: F.col(name) for name in merkle.FIELDS}
@@ -271,7 +279,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_two_stage_suffixes": op9_two_stage_suffixes,
     "op5_hilbert_packing": op5_hilbert_packing,
     "op10_winnowing": op10_winnowing,
+    "op11_ngram_join": op11_ngram_join,
     "op12_merkle_proofs": op12_merkle_proofs,
     "op13_prefix_trie": op13_prefix_trie,
 }
-SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_line_suffixes": OP6_SQL, "op8_shifted_curves": OP8_SQL, "op9_two_stage_suffixes": OP9_SQL, "op10_winnowing": OP10_SQL, "op12_merkle_proofs": OP12_SQL, "op13_prefix_trie": OP13_SQL}
+SQL: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_line_suffixes": OP6_SQL, "op8_shifted_curves": OP8_SQL, "op9_two_stage_suffixes": OP9_SQL, "op10_winnowing": OP10_SQL, "op11_ngram_join": OP11_SQL, "op12_merkle_proofs": OP12_SQL, "op13_prefix_trie": OP13_SQL}
