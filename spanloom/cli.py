@@ -1,4 +1,4 @@
-"""Command line: crawl, split, extract, prepare, examples, prompts, train, tag."""
+"""Command line: fetch, crawl, split, extract, prepare, examples, prompts, train, tag."""
 
 from __future__ import annotations
 
@@ -11,12 +11,18 @@ from .api import TextTagger
 from .functions import text as tx
 from .functions.labels import CODE_MAPS
 from .operators import lmprep, splits, tagging, tokens, xmlspans
-from .sources import readers, writers
+from .sources import crawl, readers, writers
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="spanloom")
     sub = top.add_subparsers(dest="command", required=True)
+    p = sub.add_parser("fetch", help="crawl a collection of a REST API level by level, and write its article files")
+    p.add_argument("collection")
+    p.add_argument("to")
+    p.add_argument("--api", required=True, help="the API's address")
+    p.add_argument("--store", required=True, help="a shared folder for the answers; a crawl that was cut off goes on from it")
+    p.add_argument("--pause", type=float, default=0.1, help="seconds between the requests of a task")
     p = sub.add_parser("crawl", help="article files from saved answers: articles, figures and panels as JSON lines with a doi, a figure_id and a body")
     p.add_argument("answers")
     p.add_argument("to")
@@ -68,6 +74,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             out = out.join(labels.withColumnRenamed("iob2", m.name), "id", "left").withColumn(m.name, F.coalesce(m.name, F.array().cast("array<string>")))
         label_ids = F.create_map(*[x for m in CODE_MAPS for x in (F.lit(m.name), F.col(m.name))])
         writers.json_lines(out.select("words", "text", label_ids.alias("label_ids")), a.to, shuffle_by="text")
+    elif a.command == "fetch":
+        found = crawl.crawl_collection(spark, a.api, a.collection, a.store, pause=a.pause)
+        writers.article_files(readers.article_xml_of_answers(*crawl.by_kind(found)), a.to)
     elif a.command == "crawl":
         bodies = lambda name: spark.read.schema("doi string, figure_id string, body string").json(f"{a.answers}/{name}.jsonl")
         writers.article_files(readers.article_xml_of_answers(bodies("articles"), bodies("figures"), bodies("panels")), a.to)

@@ -17,25 +17,39 @@ RETRIES, BACKOFF, TIMEOUT = 4, 0.3, 30
 AGAIN = frozenset((500, 502, 504))
 
 
-def fetch(url: str, params: dict[str, str] | None = None, opener: Callable = urllib.request.urlopen, wait: Callable[[float], None] = time.sleep) -> str:
-    """The JSON object or array at an address as text; '{}' for anything else. Never raises."""
+#: Characters of an address that stay as they are.
+PLAIN = "%/:=&?~#+!$,;'@()*[]"
+
+
+def answer(url: str, params: dict[str, str] | None = None, opener: Callable = urllib.request.urlopen, wait: Callable[[float], None] = time.sleep) -> tuple[int, str]:
+    """Status and JSON text of an address; '{}' for what is no JSON object or array, status 0 where there was no answer, -1 for an answer that is no JSON. Never raises."""
+    url = urllib.parse.quote(url, safe=PLAIN)
     if params:
         url = f"{url}?{urllib.parse.urlencode(params)}"
+    status = 0
     for attempt in range(RETRIES + 1):
         try:
-            with opener(url, timeout=TIMEOUT) as answer:
-                if answer.status != 200:
-                    return "{}"
-                body = answer.read().decode()
-            return body if isinstance(json.loads(body), (dict, list)) else "{}"
+            with opener(url, timeout=TIMEOUT) as found:
+                if found.status != 200:
+                    return found.status, "{}"
+                body = found.read().decode()
+            return (200, body) if isinstance(json.loads(body), (dict, list)) else (-1, "{}")
         except urllib.error.HTTPError as e:
-            if e.code not in AGAIN:
-                return "{}"
-        except (OSError, ValueError):
-            return "{}"
+            status = e.code
+            if status not in AGAIN:
+                return status, "{}"
+        except OSError:
+            return 0, "{}"
+        except ValueError:
+            return -1, "{}"
         if attempt < RETRIES:
             wait(BACKOFF * 2**attempt)
-    return "{}"
+    return status, "{}"
+
+
+def fetch(url: str, params: dict[str, str] | None = None, opener: Callable = urllib.request.urlopen, wait: Callable[[float], None] = time.sleep) -> str:
+    """The JSON object or array at an address as text; '{}' for anything else. Never raises."""
+    return answer(url, params, opener, wait)[1]
 
 
 def fetch_all(urls: DataFrame, url: str = "url", get: Callable[[str], str] = fetch) -> DataFrame:
