@@ -5,7 +5,7 @@ order, rare ones first; sets are cut into fragments along it, partial overlaps a
 fragment by fragment, and a pair's overlap is their sum. Steps:
 
 1. Sets. One pass gives each document the size and a 128-bit hash of its set; documents of
-   equal sets are one class, whatever their number.
+   equal sets are one class, whatever their number. Copies go on once from each task.
 2. Frequencies. A second pass deals the shingles out by ranges of their hashes, so that a
    task has all classes of its shingles and counts them. Shingles of one class alone can be
    shared with nobody: they are counted in the set's size and go no further, which is most of
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,6 @@ CELL = 1024
 #: Bytes of shingles for each partition of the frequency count.
 TASK_BYTES = 32 << 20
 _PERIOD = 16
-_LOW48 = np.uint64((1 << 48) - 1)
 _LAST = 0x7FFF
 
 
@@ -114,82 +114,144 @@ def _first_pass(words: int):
     return each
 
 
+def _low40(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _wide(low: bytes) -> np.ndarray:
+    out = np.zeros((len(low) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def _gaps(owner: np.ndarray) -> bytes:
+    """Ascending numbers below 65536 as differences."""
+    return np.diff(owner, prepend=0).astype("<u2").tobytes()
+
+
+#: Rows that are dealt out: of a chunk of texts (uid) the shingles of one part, with their texts as gaps (COLD, HOT), or the sets' hashes and sizes of the whole chunk (NAMES).
+COLD, HOT, NAMES = 0, 1, 2
+_BLOB = "part int, kind int, uid long, gaps binary, grams binary, extra binary"
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["part", "kind", "uid", "gaps", "grams", "extra"])
+
+
 def _second_pass(words: int, parts: int, hot: np.ndarray):
-    """Segments of sets, by the part that their shingles belong to: hot ones by their class, others by their hash."""
+    """Shingles by the part that they belong to: hot ones by their chunk, others by their hash. A chunk is some texts of one task, so copies come once from each task at most."""
 
     def each(batches):
         seen: set[bytes] = set()
+        uid = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = tb.column_bytes(batch.column(0))
-            for i, j in tb.chunks(offsets, 4 * tb.CHUNK):
-                values, first, ids = _sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                n = np.diff(first)
-                owner = np.repeat(np.arange(len(n)), n)
-                mine = _unseen(ids, n, seen)[owner]
-                values, owner = values[mine], owner[mine]
-                if not len(values):
-                    continue
-                is_hot = hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values if len(hot) else np.zeros(len(values), bool)
-                by_class = ids.view("<u8")[::2][owner] % np.uint64(parts)
-                by_hash = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                part = np.where(is_hot, by_class, by_hash).astype(np.int64) * 2 + is_hot
-                order = np.argsort(part, kind="stable")
-                values, owner, part = values[order], owner[order], part[order]
-                edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-                rows = []
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    own = owner[a:b]
-                    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    lens = np.diff(np.append(starts, b - a)).astype("<u4")
-                    who = own[starts]
-                    grams = np.ascontiguousarray(values[a:b]).view(np.uint8).reshape(-1, 8)[:, :6]
-                    rows.append((int(part[a]) >> 1, bool(part[a] & 1), ids[who].tobytes(), n[who].astype("<u4").tobytes(), lens.tobytes(), grams.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), pa.bool_()] + [pa.binary()] * 4, strict=True)], names=["part", "hot", "ids", "ns", "lens", "grams"])
+            for low, high in tb.chunks(offsets, min(16, max(4, parts >> 4)) * tb.CHUNK):
+                for i in range(low, high, 1 << 16):
+                    j = min(high, i + (1 << 16))
+                    values, first, ids = _sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                    n = np.diff(first)
+                    owner = np.repeat(np.arange(len(n)), n)
+                    mine = _unseen(ids, n, seen)[owner]
+                    values, owner = values[mine], owner[mine]
+                    if not len(values):
+                        continue
+                    uid += 1
+                    is_hot = hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values if len(hot) else np.zeros(len(values), bool)
+                    part = (((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+                    part[is_hot] = parts
+                    order = np.argsort(part, kind="stable")
+                    values, owner, part = values[order], owner[order], part[order]
+                    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+                    rows = [(uid % parts, NAMES, uid, b"", ids.tobytes(), n.astype("<u4").tobytes())]
+                    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                        at = int(part[a])
+                        rows.append((uid % parts if at == parts else at, HOT if at == parts else COLD, uid, _gaps(owner[a:b]), _low40(values[a:b]), b""))
+                    yield _blobs(rows)
 
     return each
 
 
-def _repeated(batches):
-    """c, n and tokens (frequency above hash) of the shingles that several classes have, from all segments of a part."""
-    held: dict[bool, list[tuple]] = {False: [], True: []}
-    for batch in batches:
-        for hot, *row in zip(*[batch.column(k).to_pylist() for k in range(1, 6)], strict=True):
-            held[hot].append(row)
-    for hot in (False, True):
-        rows = held.pop(hot)
-        if not rows:
-            continue
-        ids, ns, lens, grams = (b"".join(x) for x in zip(*rows, strict=True))
-        ids, ns, lens = np.frombuffer(ids, "V16"), np.frombuffer(ns, "<u4"), np.frombuffer(lens, "<u4").astype(np.int64)
-        wide = np.zeros((len(grams) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(grams, np.uint8).reshape(-1, 6)
-        grams = wide.view("<u8").ravel()
-        # A class comes once from each task that has a copy.
-        _, one = np.unique(ids.view("<u8").reshape(-1, 2).view([("x", "<u8"), ("y", "<u8")]).ravel(), return_index=True)
-        first_of = np.zeros(len(ids), bool)
-        first_of[one] = True
-        of = np.repeat(np.arange(len(ids)), lens)
-        grams, of = grams[first_of[of]], of[first_of[of]]
-        if hot:
-            tokens = grams | np.uint64(_LAST << 48)
-        else:
-            order = np.argsort(grams, kind="stable")
-            sorted_grams = grams[order]
-            starts = np.flatnonzero(np.append(True, sorted_grams[1:] != sorted_grams[:-1]))
-            times = np.diff(np.append(starts, len(sorted_grams)))
-            count = np.empty(len(grams), np.int64)
-            count[order] = np.repeat(times, times)
-            more = count > 1
-            grams, of, count = grams[more], of[more], count[more]
-            tokens = grams | (np.minimum(count, _LAST - 1).astype(np.uint64) << np.uint64(48))
-        if not len(tokens):
-            continue
-        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        ends = np.append(starts[1:], len(of))
-        for k in range(0, len(starts), 20_000):
-            s, e = starts[k : k + 20_000], ends[k : k + 20_000]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(s, e[-1]) - s[0], pa.int32()), pa.array(tokens[s[0] : e[-1]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids[of[s]]], pa.binary()), pa.array(ns[of[s]].astype(np.int64)), lists], names=["c", "n", "tokens"])
+def _repeated(parts: int):
+    """Of the shingles of a part those that several sets have, with their frequencies, by chunk; other rows as they are."""
+
+    def each(batches):
+        cold = []
+        for batch in batches:
+            other = []
+            for part, kind, uid, gaps, grams, extra in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
+                if kind == COLD:
+                    cold.append((part, uid, gaps, grams))
+                else:
+                    extra = extra if kind == NAMES else np.full(len(grams) // 5, _LAST, "<u2").tobytes()
+                    other.append((uid % parts, kind, uid, gaps, grams, extra))
+            if other:
+                yield _blobs(other)
+        if not cold:
+            return
+        part, uids, gaps, grams = zip(*cold, strict=True)
+        sizes = np.array([len(g) // 5 for g in grams])
+        values = _wide(b"".join(grams)) | (np.repeat(np.array(part, np.uint64) & np.uint64(255), sizes) << np.uint64(40))
+        order = np.argsort(values, kind="stable")
+        ordered = values[order]
+        starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        times = np.diff(np.append(starts, len(ordered)))
+        count = np.empty(len(values), np.int64)
+        count[order] = np.repeat(times, times)
+        count = np.minimum(count, _LAST - 1)
+        rows, at = [], 0
+        for k, size in enumerate(sizes.tolist()):
+            times = count[at : at + size]
+            more = times > 1
+            if more.any():
+                owner = np.cumsum(np.frombuffer(gaps[k], "<u2").astype(np.int64))
+                rows.append((uids[k] % parts, part[k] & 255, uids[k], _gaps(owner[more]), _low40(values[at : at + size][more]), times[more].astype("<u2").tobytes()))
+            at += size
+        # The kind of what was cold is its part's low byte, above the others: it belongs to the shingle.
+        for k in range(0, len(rows), 1000):
+            yield _blobs([(dest, kind + NAMES + 1, *rest) for dest, kind, *rest in rows[k : k + 1000]])
+
+    return each
+
+
+def _whole(percent: int):
+    """c, n and tokens (frequency above hash, ascending) of sets that share enough of their shingles to link with another."""
+
+    def each(batches):
+        named, blobs = {}, []
+        for batch in batches:
+            for kind, uid, gaps, grams, extra in zip(*[batch.column(k).to_pylist() for k in range(1, 6)], strict=True):
+                if kind == NAMES:
+                    named[uid] = (np.frombuffer(grams, "V16"), np.frombuffer(extra, "<u4").astype(np.int64))
+                else:
+                    blobs.append((uid, kind, gaps, grams, extra))
+        blobs.sort(key=lambda x: x[0])
+        i = 0
+        while i < len(blobs):
+            j = i
+            while j < len(blobs) and blobs[j][0] == blobs[i][0]:
+                j += 1
+            ids, n = named[blobs[i][0]]
+            owner = np.concatenate([np.cumsum(np.frombuffer(x[2], "<u2").astype(np.int64)) for x in blobs[i:j]])
+            byte = np.concatenate([np.full(len(x[4]) // 2, 0 if x[1] == HOT else x[1] - NAMES - 1, np.uint64) for x in blobs[i:j]])
+            times = np.frombuffer(b"".join(x[4] for x in blobs[i:j]), "<u2").astype(np.uint64)
+            tokens = _wide(b"".join(x[3] for x in blobs[i:j])) | (byte << np.uint64(40)) | (times << np.uint64(48))
+            held = np.bincount(owner, minlength=len(n))
+            enough = (held > 0) & (held >= -(-percent * n // 100))
+            kept = enough[owner]
+            tokens, owner = tokens[kept].view(np.int64), owner[kept]
+            order = np.lexsort((tokens, owner))
+            tokens = tokens[order]
+            who = np.flatnonzero(enough)
+            ends = np.append(0, np.cumsum(held[who]))
+            for k in range(0, len(who), 500):
+                some = who[k : k + 500]
+                cut = ends[k : k + len(some) + 1]
+                lists = pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(tokens[cut[0] : cut[-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids[some]], pa.binary()), pa.array(n[some]), lists], names=["c", "n", "tokens"])
+            i = j
+
+    return each
 
 
 def overlap_needed(n: int, percent: int) -> int:
@@ -363,10 +425,9 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fr
     often = keyed.where("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(hot_least, total / HOT_SHARE))
     hot = np.sort(np.array([r[0] for r in often.orderBy(F.desc("seen"), "gram").limit(HOT_MOST).select("gram").collect()], np.int64).view(np.uint64))
     parts = partitions(spark, 6 * (sizes or 0), TASK_BYTES)
-    dealt = docs.select("text").mapInArrow(_second_pass(words, parts, hot), "part int, hot boolean, ids binary, ns binary, lens binary, grams binary")
-    repeated = dealt.repartitionById(parts, "part").mapInArrow(_repeated, "c binary, n long, tokens array<long>")
-    needed = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
-    whole = work.keep(repeated).groupBy("c", "n").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("tokens")).where(F.size("tokens") >= needed)
+    dealt = docs.select("text").mapInArrow(_second_pass(words, parts, hot), _BLOB)
+    repeated = dealt.repartitionById(parts, "part").mapInArrow(_repeated(parts), _BLOB)
+    whole = repeated.repartitionById(parts, "part").mapInArrow(_whole(percent), "c binary, n long, tokens array<long>").dropDuplicates(["c"])
     classes = work.keep(whole.mapInArrow(_described(percent), "c binary, n long, single long, prefix array<long>, bits binary, tokens array<long>"))
     postings = work.keep(classes.select("c", "n", "single", "bits", F.explode("prefix").alias("token")))
     lists = postings.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("f1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("f2")).where("m > 1")
