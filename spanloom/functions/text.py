@@ -1,10 +1,12 @@
-"""Text functions as column expressions; everything stays in the JVM."""
+"""Text functions as column expressions; all but unescaped() stay in the JVM."""
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,19 +136,10 @@ def panel_caption(caption: Column | str) -> Column:
     return swap(out, NESTING)
 
 
-# Named character references that are decoded, the ampersand last.
-NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&"))
-
-
 def unescaped(text: Column | str) -> Column:
-    """Character references, numeric ones and NAMED, as characters."""
-    char = lambda digits, base: F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
-    code = r"^([0-9]{1,7});(?s)(.*)$"
-    hexa = r"^[xX]([0-9A-Fa-f]{1,6});(?s)(.*)$"
-    decoded = lambda p: F.when(p.rlike(code), F.concat(char(F.regexp_extract(p, code, 1), 10), F.regexp_extract(p, code, 2))).when(p.rlike(hexa), F.concat(char(F.regexp_extract(p, hexa, 1), 16), F.regexp_extract(p, hexa, 2))).otherwise(F.concat(F.lit("&#"), p))
-    parts = F.split(col(text), "&#")
-    whole = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
-    return replace_all(whole, NAMED)
+    """Character references as characters, all named and numeric ones of HTML; those of no character become U+FFFD or nothing, as HTML says."""
+    decode = F.arrow_udf(lambda column: pa.array([x if x is None or "&" not in x else html.unescape(x) for x in column.to_pylist()], pa.string()), "string")
+    return decode(col(text))
 
 
 # A caption's first sentence after what is no word, and the figure's number in it.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import split_by_quota
+from .lineage import fixed
 
 CAP = 9999
 
@@ -46,8 +47,10 @@ def numbered(rows: DataFrame, *by: str, name: str = "number") -> DataFrame:
     """Rows with their number from 0 in an order, without a task that holds all of them.
 
     Range-sorted partitions number their own rows; the sums of the sizes before them, one
-    row for each partition, are joined on. by must tell all rows apart.
+    row for each partition, are joined on. The sorted rows are written once and counted from
+    what was written, since a range partitioning that runs twice may draw other bounds.
+    by must tell all rows apart.
     """
-    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_nth"))
+    placed = fixed(rows.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_nth")))
     before = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
     return placed.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_nth")).cast("long")).drop("_part", "_nth", "_n", "_before")

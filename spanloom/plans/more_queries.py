@@ -6,13 +6,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import decoding, grid, splits
+from ..operators import grid, splits
 from ..operators import inference as inf
-from ..operators import latent as la
 from ..operators import tokens as tk
 from ..operators import xmlspans as xs
 from . import tree
-from .infer_queries import ids, vectors
+from .infer_queries import ids
 from .parametric import Query
 from .text_queries import TOKENS
 from .tree import table
@@ -129,10 +128,3 @@ def scored_tokens(spark, sf_dir):
 def symmetric_difference(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("a"), F.col("n_nationkey").cast("string")).alias("doi"), "n_nationkey")
     return splits.in_one_alone(n.where("n_nationkey % 2 = 0").select("doi"), n.where("n_nationkey % 3 = 0").select("doi"))
-
-
-@query(None)
-def correlated_variables(spark, sf_dir):
-    """Components of vectors in an order with like ones side by side; the matrix has a row for each component, at any number of vectors."""
-    rows = vectors(spark, sf_dir).select(F.slice("e", 1, 16).alias("a"), F.slice("e", 1, 16).alias("b"))
-    return decoding.ordered_components(la.cross_correlation(rows, "a", "b"))
