@@ -2,7 +2,8 @@
 
 Candidates are found by bytes alone: runs of letters, digits, '_', '+', '/', '-' that
 are long and mixed, or that an assignment precedes; what an assignment ('=', ':', '=>',
-':=', then any white space) gives, of any bytes up to its closing quote or white space;
+':=', then any white space) gives, of any bytes up to its closing quote or white space, and
+where assignments stand in a value the outermost, the innermost and the pieces between them;
 signed tokens with their dots, passwords in addresses, and private keys with their armour.
 A finding inside a longer one is not given again. Each gets features of its length, its
 character transitions, the share that dictionary words cover, its path (where the text
@@ -67,13 +68,18 @@ TEST_PATH = re.compile(r"test|example|sample|fixture|mock|demo|docs?/", re.I)
 _KINDS = [(name, re.compile(p)) for name, p in KINDS]
 _PEM = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _PEM_END = re.compile(rb"-----END [A-Z ]*PRIVATE KEY-----")
-_SIGNED = re.compile(rb"eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+){1,2}")
-_USER = re.compile(rb"://[^\s/:@\"'<>]{0,100}:([^\s/@\"'<>]{4,200})@")
+#: From the start of each run of a token's letters: the run and one or two more after dots. Anchored and without backtracking, so that a long run is read once.
+_DOTTED = re.compile(rb"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{13,}+)((?:\.[A-Za-z0-9_-]++){1,2}+))")
+_USER = re.compile(rb"://[^\s/:@\"'<>]*+:([^\s/@\"'<>]{4,}+)@")
 #: Where a long text may be cut: a line's end that no value runs over.
 _CUT = re.compile(rb"[^\s=:>\"'`]\n")
 _WORDS = re.compile(r"[A-Za-z]+[0-9]*")
 FEATURES = 25
-_VALUE = re.compile(rb"(?:=>|:=|[=:])\s*(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|`([^`\n]{6,})`|[\"'`]?([^\s\"'`]{6,}))")
+_SIGN = re.compile(rb"(?:=>|:=|[=:])\s*+")
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[9, 10, 11, 12, 13, 32, 34, 39, 96]] = True
+#: What stands between one assignment's value and the next one's name.
+_BETWEEN = b"&;,|"
 
 
 def kind_of(candidate: str) -> str:
@@ -102,29 +108,73 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def assigned_values(whole: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Starts and ends of values after an assignment, without a full stop, comma or semicolon after one without quotes; values do not cross texts."""
+    """Starts and ends of values after an assignment, without a full stop, comma or semicolon after one without quotes; values do not cross texts.
+
+    A value in quotes ends with its quote. One without ends at white space or a quote; if it
+    holds further assignments, the outermost and the innermost are values up to there, and
+    each between them one up to the next, less the next one's name. So values are a few times
+    as long as the text together, however assignments nest.
+    """
     out = []
+    stops = np.flatnonzero(_STOP[np.frombuffer(whole, np.uint8)])
     for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        at = lo
-        while m := _VALUE.search(whole, at, hi):
-            a, b = m.span(m.lastindex)
-            if m.lastindex == 4:
-                b = a + len(whole[a:b].rstrip(b".,;"))
-            if b - a >= VALUE:
-                out.append((a, b))
-            at = a  # an assignment may stand inside a value
+        signs: list[tuple[int, int]] = []  # of one unquoted run: where the sign is, where its value begins
+        run_end = -1
+        for m in _SIGN.finditer(whole, lo, hi):
+            at = m.end()
+            if at >= hi:
+                continue
+            if whole[at] in b"\"'`":
+                close = whole.find(whole[at : at + 1], at + 1, hi)
+                if close - at > VALUE and whole.find(b"\n", at + 1, close) < 0:
+                    out.append((at + 1, close))
+                    continue
+                at += 1
+            k = int(np.searchsorted(stops, at))
+            end = min(hi, int(stops[k])) if k < len(stops) else hi
+            if end != run_end:
+                out += _unquoted(whole, signs, run_end)
+                signs, run_end = [], end
+            signs.append((m.start(), at))
+        out += _unquoted(whole, signs, run_end)
+    return out
+
+
+def _unquoted(whole: bytes, signs: list[tuple[int, int]], end: int) -> list[tuple[int, int]]:
+    """The values of a run that ends at end, given its assignments."""
+    last = end
+    while signs and last > signs[0][1] and whole[last - 1] in b".,;":
+        last -= 1
+    full = [a for _, a in signs if last - a >= VALUE]
+    out = [(a, last) for a in {*full[:1], *full[-1:]}]
+    for (_, a), (sign, _) in zip(signs, signs[1:], strict=False):
+        if sign - a >= VALUE:
+            cut = max(whole.rfind(bytes([x]), a, sign) for x in _BETWEEN)
+            stop = cut if cut >= 0 else sign
+            if stop - a >= VALUE:
+                out.append((a, stop))
     return out
 
 
 def blocks(whole: bytes) -> list[tuple[int, int]]:
     """Starts and ends of private keys in their armour; of the head alone where the end is missing."""
-    out, at = [], 0
-    ends = True
-    while m := _PEM.search(whole, at):
-        end = _PEM_END.search(whole, m.end()) if ends else None
-        ends = end is not None
-        out.append((m.start(), end.end() if end and not _PEM.search(whole, m.end(), end.start()) else m.end()))
-        at = m.end()
+    heads = [m.span() for m in _PEM.finditer(whole)]
+    tails = [m.span() for m in _PEM_END.finditer(whole)]
+    out, k = [], 0
+    for (a, b), (_, following) in zip(heads, [*heads[1:], (0, len(whole) + 1)], strict=True):
+        while k < len(tails) and tails[k][0] < b:
+            k += 1
+        out.append((a, tails[k][1] if k < len(tails) and following > tails[k][0] else b))
+    return out
+
+
+def signed_tokens(whole: bytes) -> list[tuple[int, int]]:
+    """Starts and ends of signed tokens with their dots."""
+    out = []
+    for m in _DOTTED.finditer(whole):
+        at = m[1].find(b"eyJ")
+        if 0 <= at <= len(m[1]) - 13:
+            out.append((m.start(1) + at, m.end(2)))
     return out
 
 
@@ -146,65 +196,65 @@ def found_in(raw: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
             k = int(np.searchsorted(ends, a, side="right"))
             if k == len(users) or users[k][0] < a or users[k][1] >= b:  # not a value that goes on after a password in an address
                 spans.add((a + at, b + at))
-        spans.update((a + at, b + at) for a, b in [*users, *(m.span() for m in _SIGNED.finditer(piece))])
+        spans.update((a + at, b + at) for a, b in [*users, *signed_tokens(piece)])
         at = to
     return sorted(spans)
 
 
-def _entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s)))
-
-
-def _covered(s: str) -> float:
-    """Share of characters in dictionary words of three letters or more, longest first."""
-    low, n, i, got = s.lower(), len(s), 0, 0
-    while i < n:
-        for m in range(min(10, n - i), 2, -1):
-            if low[i : i + m] in DICTIONARY:
-                got += m
-                i += m
-                break
-        else:
-            i += 1
-    return got / n
+def _by_first_letter(words: frozenset[str]) -> re.Pattern:
+    """Words of three to ten letters, the longest of those that stand at a place."""
+    groups: dict[str, list[str]] = {}
+    for w in sorted((w for w in words if 3 <= len(w) <= 10), key=lambda w: (-len(w), w)):
+        groups.setdefault(w[0], []).append(w[1:])
+    return re.compile("|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(groups.items())))
 
 
 _VOWEL = frozenset("aeiouy")
+_COVER = _by_first_letter(DICTIONARY)
+_CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]+")
 
 
 def features(candidate: str, path: str, before: str, after: str) -> list[float]:
+    """The features of a candidate; its characters are looked at as an array, so that a long one takes time and memory in proportion."""
     n = len(candidate)
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in candidate]
-    steps = list(zip(kinds, kinds[1:], strict=False))
-    letters = [c.lower() for c in candidate if c.isalpha()]
-    pairs = list(zip(letters, letters[1:], strict=False))
-    runs = re.findall(r"[bcdfghjklmnpqrstvwxz]+", candidate.lower())
+    codes, place, counts = np.unique(np.frombuffer(candidate.encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True, return_counts=True)
+    known = [chr(c) for c in codes.tolist()]
+    kind = np.array([0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in known], np.int8)
+    alpha = np.array([c.isalpha() for c in known])
+    vowel = np.array([c.lower() in _VOWEL for c in known])
+    kinds = kind[place]
+    of_kind = np.bincount(kind, counts, minlength=4)
+    one, two = kinds[:-1], kinds[1:]
+    letters = place[alpha[place]]
+    vowels = vowel[letters]
+    low = candidate.lower()
+    share = counts / n
     left = [w.lower() for w in _WORDS.findall(before)][-4:]
     right = [w.lower() for w in _WORDS.findall(after)][:3]
     parts = {p for w in left for p in re.split(r"[_-]", w)}
     stem = before.rstrip(" \"'`\t\r\n\v\f")
     glue = "=" if stem.endswith("=>") else stem[-1:]
+    steps, pairs = max(1, n - 1), max(1, len(letters) - 1)
     return [
         n,
         math.log2(n),
-        kinds.count("d") / n,
-        kinds.count("u") / n,
-        kinds.count("l") / n,
-        kinds.count("s") / n,
-        _entropy(candidate),
-        sum(a != b for a, b in steps) / max(1, len(steps)),
-        sum((a, b) in (("d", "l"), ("l", "d"), ("d", "u"), ("u", "d")) for a, b in steps) / max(1, len(steps)),
-        sum((a, b) in (("l", "u"),) for a, b in steps) / max(1, len(steps)),
-        sum((a in _VOWEL) != (b in _VOWEL) for a, b in pairs) / max(1, len(pairs)),
-        sum(c in _VOWEL for c in letters) / max(1, len(letters)),
-        max(map(len, runs), default=0),
-        _covered(candidate),
+        of_kind[0] / n,
+        of_kind[1] / n,
+        of_kind[2] / n,
+        of_kind[3] / n,
+        -float((share * np.log2(share)).sum()),
+        int((one != two).sum()) / steps,
+        int((((one == 0) & ((two == 1) | (two == 2))) | ((two == 0) & ((one == 1) | (one == 2)))).sum()) / steps,
+        int(((one == 2) & (two == 1)).sum()) / steps,
+        int((vowels[1:] != vowels[:-1]).sum()) / pairs,
+        int(vowels.sum()) / max(1, len(letters)),
+        max((len(m[0]) for m in _CONSONANTS.finditer(low)), default=0),
+        sum(len(m[0]) for m in _COVER.finditer(low)) / n,
         candidate.count("-"),
         candidate.count("/"),
         float(re.fullmatch(r"[0-9a-fA-F]+", candidate) is not None),
         float(re.fullmatch(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", candidate) is not None),
-        sum(c.isspace() for c in candidate) / n,
+        int(sum(k for c, k in zip(known, counts.tolist(), strict=True) if c.isspace())) / n,
         float(glue in ("=", ":") and glue != ""),
         float(bool(parts & SECRET_WORDS)),
         float(bool(left) and bool(set(re.split(r"[_-]", left[-1])) & SECRET_WORDS)),
