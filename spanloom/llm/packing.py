@@ -54,7 +54,8 @@ def tokenizer(path: str | None = None):
 
     Where ids are in the order of the merges, the ranks are the ids and a faster
     library gives the same ids; else, and for parts with very long white space, the
-    file's own library is used. Special tokens' strings in a text are ordinary text.
+    file's own library is used. Special tokens' strings in a text are these tokens, as
+    the file's library has it; parts that hold one go to that library too.
     """
     if path not in _tokenizers:
         if path is None:
@@ -78,7 +79,8 @@ def tokenizer(path: str | None = None):
             # Fixed value: the pattern of byte-level pre-tokenization.
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            _tokenizers[path] = lambda text: _in_parts(text, lambda part: _plain(file)(part) if len(part) >= LONG_SPACE and _LONG_SPACE.search(part) else fast(part))
+            slow = lambda part: any(t in part for t in special) or (len(part) >= LONG_SPACE and _LONG_SPACE.search(part))
+            _tokenizers[path] = lambda text: _in_parts(text, lambda part: _plain(file)(part) if slow(part) else fast(part))
         elif before.get("type") == "ByteLevel":
             _tokenizers[path] = lambda text: _in_parts(text, _plain(file))
         else:
@@ -92,7 +94,6 @@ def _plain(file: str):
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(file)
-        own.encode_special_tokens = True
         _tokenizers["plain", file] = lambda text: own.encode(text, add_special_tokens=False).ids
     return _tokenizers["plain", file]
 

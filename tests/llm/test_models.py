@@ -327,8 +327,16 @@ def test_layout_classes_do_not_hide_the_article():
     assert styletree.main_text("<article>a<article class='comment comments'>b</article></article><div class='comments'><article>c</article></div>") == "a"
 
 
+def file_tokenizer():
+    """The tokenizer's own library, as it comes."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def check_pieces(pieces, texts, max_tokens=2048):
-    encode = packing.tokenizer()
+    encode = lambda text, own=file_tokenizer(): own.encode(text, add_special_tokens=False).ids
     docs, sequences = defaultdict(list), defaultdict(list)
     for p in pieces:
         docs[p.doc_id].append(p)
@@ -392,11 +400,8 @@ def test_neighbours_on_the_curve_share_words():
 
 
 def test_both_tokenizers_agree():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
+    own = file_tokenizer()
+    assert packing.tokenizer()("hello <|endoftext|> world") == own.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
     long = [" " * 5000, "\n\t " * 3000, "x" * 5000, "-" * 4000, "é好 " * 4000, "it's  ", "\u2003" * 3000, "1" * 3000, "\x1c" * 4000, "\x85" * 2500]
     r = random.Random(3)
     mixed = ["".join(r.choice(long) + r.choice(["", "a", "B ", "\n", "'ll", "7"]) for _ in range(12)) for _ in range(12)]
@@ -404,7 +409,7 @@ def test_both_tokenizers_agree():
     for t in mixed:
         assert packing.tokenizer()(t) == own.encode(t, add_special_tokens=False).ids
     packing.PART = before
-    for t in (prose(r, 1_500_000, 5000), "a" + " " * 1_000_000 + "b", "ab" * 500_000, " \n" * 400_000, "Hello, world's  end\n\n x", "é ß 你好 🎉 ñ", "<|endoftext|>", "a" * 3000, " \t \n"):
+    for t in (prose(r, 1_500_000, 5000), "a" + " " * 1_000_000 + "b", "ab" * 500_000, " \n" * 400_000, "Hello, world's  end\n\n x", "é ß 你好 🎉 ñ", "<|endoftext|>", "x  <|endoftext|>\n\n<|endoftext|>y <|endoftext", "ab <|endoftext|> " * 40_000, "a" * 3000, " \t \n"):
         assert packing.tokenizer()(t) == own.encode(t, add_special_tokens=False).ids
 
 
