@@ -11,6 +11,7 @@ with the round that it was in, and gives the same result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -37,6 +38,20 @@ def changed(settings: Mapping[str, float], choices: Mapping[str, Sequence[float]
     return out
 
 
+def _drawn(choices: Mapping[str, Sequence[float]], count: int, r: np.random.Generator) -> list[dict[str, float]]:
+    """Combinations of choices at random, all of them before any comes again."""
+    total = math.prod(len(v) for v in choices.values())
+    out: list[dict[str, float]] = []
+    while len(out) < count:
+        for number in r.choice(total, min(total, count - len(out)), replace=False).tolist():
+            settings = {}
+            for name, values in choices.items():
+                number, k = divmod(number, len(values))
+                settings[name] = float(values[k])
+            out.append(settings)
+    return out
+
+
 def _schema(names: Sequence[str]) -> str:
     return "round int, trial int, parent int, " + ", ".join(f"{n} double" for n in names) + ", state string, score double"
 
@@ -62,7 +77,7 @@ def search(spark: SparkSession, choices: Mapping[str, Sequence[float]], run: Run
         plan = []
         if k == 0:
             r = np.random.default_rng([seed, 0])
-            plan = [(t, t, {n: float(v[r.integers(len(v))]) for n, v in choices.items()}, None) for t in range(trials)]
+            plan = [(t, t, settings, None) for t, settings in enumerate(_drawn(choices, trials, r))]
         else:
             order = sorted(range(trials), key=lambda t: (-done[k - 1, t]["score"], t))
             few = max(1, int(trials * share)) if trials > 1 else 0
