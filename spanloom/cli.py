@@ -11,7 +11,7 @@ from .api import TextTagger
 from .functions import text as tx
 from .functions.labels import CODE_MAPS
 from .operators import lmprep, splits, tagging, tokens, xmlspans
-from .sources import crawl, readers, writers
+from .sources import crawl, namedfiles, readers, writers, xmlrecords
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,12 +29,14 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("split", help="split a folder of XML files")
     p.add_argument("corpus")
     p.add_argument("to")
+    p.add_argument("--files", action="store_true", help="a file under its own name for each, in folders train, eval and test")
     p = sub.add_parser("extract", help="examples by one XPath, or twins by two")
     p.add_argument("corpus")
     p.add_argument("to")
     p.add_argument("-P", "--xpath", nargs="+", default=[".//fig"])
     p.add_argument("-N", "--min-length", type=int, default=80)
     p.add_argument("--keep-xml", action="store_true")
+    p.add_argument("--record", help="the element that is one document, for files with many of them")
     p = sub.add_parser("prepare", help="label words of XML examples, one a line")
     p.add_argument("lines")
     p.add_argument("to")
@@ -61,9 +63,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.command == "split":
         corpus = readers.xml_corpus(spark, a.corpus)
         named = corpus.join(splits.document_split(corpus, "path"), "path").withColumn("name", F.regexp_extract("path", "[^/]+$", 0))
-        writers.split_files(named, "split", "name", "xml", a.to)
+        if a.files:
+            namedfiles.write(named, F.concat_ws("/", "split", "name"), "xml", a.to)
+        else:
+            writers.split_files(named, "split", "name", "xml", a.to)
     elif a.command == "extract":
-        writers.lines(xmlspans.examples(readers.xml_corpus(spark, a.corpus), "path", "xml", a.xpath, a.min_length, a.keep_xml), "value", a.to)
+        corpus = readers.xml_corpus(spark, a.corpus)
+        if a.record:
+            corpus = xmlrecords.records(spark, a.corpus, a.record).select(F.concat_ws("#", "path", "start", "number").alias("path"), "xml")
+        writers.lines(xmlspans.examples(corpus, "path", "xml", a.xpath, a.min_length, a.keep_xml), "value", a.to)
     elif a.command == "prepare":
         # Written once: ids of repeated lines must not change, and each line is parsed once for all code maps.
         rows = readers.lines(spark, a.lines).withColumn("id", F.monotonically_increasing_id())
