@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,8 +104,10 @@ def panel_properties(article: DataFrame, figure: DataFrame, panel: DataFrame) ->
 
 def captions_by_text(rows: DataFrame, by: list[str], caption: str, key: str) -> DataFrame:
     """Rows grouped by text and given back one by one: by, n (rows of the group), caption, key; repeated ones stay."""
-    held = rows.groupBy(*by).agg(F.collect_list(F.struct(caption, key)).alias("_held"))
-    return held.select(*by, F.size("_held").alias("n"), F.explode("_held").alias("_one")).select(*by, "n", "_one.*")
+    # Counted apart and joined back, so that a text that many rows have is never one row.
+    counts = rows.groupBy(*by).agg(F.count("*").cast("int").alias("n")).withColumnsRenamed({c: f"_{c}" for c in by})
+    same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(counts[f"_{c}"]) for c in by])
+    return rows.join(counts, same).select(*by, "n", caption, key)
 
 
 def tag_list(tag: DataFrame) -> DataFrame:
