@@ -73,6 +73,12 @@ def dois_of_collections(collection: DataFrame, article: DataFrame) -> DataFrame:
     return collection.join(article, "collection_id").groupBy("collection_name").agg(F.array_sort(F.collect_list("doi")).alias("dois"))
 
 
+def distinct_ids(papers: DataFrame, doi: str = "doi", other: str = "id") -> DataFrame:
+    """Each paper's identifier once: its doi, or its other id where that is missing or empty; papers with neither have none."""
+    found = F.coalesce(F.when(F.col(doi) != "", F.col(doi)), F.when(F.col(other) != "", F.col(other)))
+    return papers.select(found.alias("paper")).where("paper is not null").dropDuplicates()
+
+
 def article_properties(collection: DataFrame, article: DataFrame, figure: DataFrame) -> DataFrame:
     """The properties of articles, with the number of their figures."""
     n = figure.groupBy("article_id").agg(F.count("*").alias("nb_figures"))

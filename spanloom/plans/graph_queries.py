@@ -175,3 +175,11 @@ def nested_tree(t):
 @query("SELECT entity_type, role, CAST(count(*) OVER (PARTITION BY entity_type, role) AS INTEGER) AS n, text, tag_id FROM tag")
 def captions_by_text(t):
     return g.captions_by_text(t.tag, ["entity_type", "role"], "text", "tag_id")
+
+
+@query("SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN concat('sd', o_custkey) ELSE concat('10.1/', o_custkey) END AS paper FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 3 = 0", prelude=False)
+def distinct_ids(t):
+    """Papers of several lists, each once, some by another id than a doi."""
+    key = F.regexp_extract("panel_label", "-([0-9]+)$", 1).cast("long")
+    papers = t.panel.select(F.when((key % 5 != 0) & (key % 3 != 0), F.concat(F.lit("10.1/"), F.col("figure_id").cast("string"))).otherwise("").alias("doi"), F.when(key % 3 == 0, F.concat(F.lit("sd"), F.col("figure_id").cast("string"))).alias("id"))
+    return g.distinct_ids(papers)

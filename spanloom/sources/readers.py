@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import fnmatch
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +58,44 @@ def seq2seq_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("split", tx.split_name("subset")).where("split is not null")
 
 
+#: Bytes of a member that are read at once; a member beyond it comes in parts that end with lines.
+MEMBER_PART = 16 << 20
+
+
+def zipped(spark: SparkSession, path: str, pattern: str = "*", part_bytes: int = MEMBER_PART) -> DataFrame:
+    """archive, name, part, value: the texts of the members of zip archives whose names fit a pattern (of *, ? and [...]).
+
+    A task unpacks an archive at a time, and its members piece by piece: a large one comes as
+    several rows, numbered by part, that end with lines. Bytes that are no UTF-8 become U+FFFD.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as held:
+                    for name in sorted(held.namelist()):
+                        if name.endswith("/") or not fnmatch.fnmatchcase(name, pattern):
+                            continue
+                        with held.open(name) as member:
+                            for k, text in enumerate(_in_lines(member, part_bytes)):
+                                yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([name]), pa.array([k], pa.int32()), pa.array([text])], names=["archive", "name", "part", "value"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(each, "archive string, name string, part int, value string")
+
+
+def _in_lines(member, part_bytes: int) -> Iterator[str]:
+    """A member's text in pieces of about part_bytes; one at least."""
+    rest, given = b"", False
+    while more := member.read(part_bytes):
+        head, line, rest = (rest + more).rpartition(b"\n")
+        if line:
+            given = True
+            yield (head + line).decode(errors="replace")
+    if rest or not given:
+        yield rest.decode(errors="replace")
+
+
 def inline(spark: SparkSession, texts: list[str]) -> DataFrame:
     """doc_id, text: every text of a list."""
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -13,7 +13,7 @@ from ..functions import text as tx
 
 def text_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Stripped, full lines of files that arrive in a folder."""
-    return spark.readStream.format("text").load(folder).select(F.trim("value").alias("value")).where("value <> ''")
+    return spark.readStream.format("text").load(folder).select(tx.stripped("value").alias("value")).where("value <> ''")
 
 
 def json_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
