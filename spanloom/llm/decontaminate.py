@@ -9,9 +9,13 @@ join of kept fingerprints. Each hit is then extended: the up to SPAN - K + 1
 windows around it are looked up whole. Windows shorter than SPAN are looked up
 at every position (winnowing with a window of one).
 
-The benchmark is broadcast in blocks of bounded size (BLOCK_CHARS each), however
-large it is, one block after the other; documents are not shuffled unless there is
-more than one block. key tells documents of equal id apart: a hash of the text.
+A benchmark of BLOCK_CHARS at most is an index that is broadcast, so documents are not
+shuffled. Of a larger one only the items that documents touch are: the kept fingerprints
+of the documents, each once a task, meet those of the items in a shuffle join (the side of
+the documents has a row for each fingerprint, so a hot one is split on the other side), and
+the items that are left are looked up in blocks of BLOCK_CHARS, one pass over the documents
+for each. Passes follow what is contaminated, not the size of the benchmark.
+key tells documents of equal id apart: a hash of the text.
 
 Defined results: a null or empty text has no words and is clean; an item that is
 null or has no words never occurs; items with equal ids count once in n_items,
@@ -173,15 +177,59 @@ def _finish(rows: list[tuple], ids: list, keys: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["doc_id", "key", "n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated"])
 
 
+def _kept_prints(data: np.ndarray, offsets: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints that winnowing keeps of some texts, the text of each, and the number of words of every text."""
+    hashes, first = tb.words(data, offsets, tb.ALNUM)
+    width = span - k + 1
+    prints = tb.grams(hashes, k)
+    starts = tb.within(first, len(hashes), span)
+    low = tb.sliding_min(prints, width)[starts] if len(starts) else np.zeros(0, np.uint64)
+    return low, np.searchsorted(first, starts, side="right") - 1, np.diff(first)
+
+
+def _fingerprints(span: int, k: int, of_items: bool):
+    """Distinct kept fingerprints: of the documents of a chunk, or with the item's key for each item; an item of fewer words than span, but not none, has a null one."""
+
+    def each(batches):
+        for batch in batches:
+            data, offsets = tb.column_bytes(batch.column(0))
+            for i, j in tb.chunks(offsets):
+                prints, owner, words = _kept_prints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], span, k)
+                if not of_items:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(prints).view(np.int64))], names=["print"])
+                    continue
+                pairs = np.unique(np.stack([owner.astype(np.uint64), prints]), axis=1) if len(prints) else np.zeros((2, 0), np.uint64)
+                short = np.flatnonzero((words > 0) & (words < span))
+                keys = batch.column(1).slice(i, j - i)
+                at = pa.array(np.concatenate([pairs[0].astype(np.int64), short]))
+                mask = np.concatenate([np.zeros(pairs.shape[1], bool), np.ones(len(short), bool)])
+                value = np.concatenate([pairs[1], np.zeros(len(short), np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([keys.take(at), pa.array(value, mask=mask)], names=["key", "print"])
+
+    return each
+
+
+def touched(docs: DataFrame, items: DataFrame, span: int, k: int, work: Workspace) -> DataFrame:
+    """Items (item, text) that share a kept fingerprint with some document, and those of fewer words than span."""
+    keyed = items.withColumn("key", F.xxhash64("item", "text"))
+    prints = work.keep(keyed.select("text", "key").mapInArrow(_fingerprints(span, k, True), "key long, print long"))
+    seen = docs.select("text").mapInArrow(_fingerprints(span, k, False), "print long").distinct()
+    keys = prints.where("print is null").select("key").unionAll(prints.join(seen, "print", "left_semi").select("key")).distinct()
+    return work.keep(keyed.join(work.keep(keys), "key", "left_semi").select("item", "text"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document, as in RESULT: words, words hit, and the items whose windows occur."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(chars) // block_chars))
-    parts, work = [], Workspace(spark) if blocks > 1 else None
+    count = lambda rows: max(1, -(-int(rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // block_chars))
+    blocks, parts, work = count(items), [], None
+    if blocks > 1:
+        work = Workspace(spark)
+        items = touched(docs, items, span, min(k, span), work)
+        blocks = count(items)
     for b in range(blocks):
         rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
         index = spark.sparkContext.broadcast(Index(rows, span, k))
