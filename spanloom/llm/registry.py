@@ -181,7 +181,7 @@ def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = merkle.manifest(docs, carry={"tampered": tampered})
     proofs = merkle.proofs(made)
     folded = merkle.folded(merkle.folded(F.coalesce("tampered", "leaf"), F.col("siblings"), F.col("depth")), F.col("above"), F.col("top_depth"))
-    found = proofs.select("doc_id", "leaf", "subroot", F.lit(made.root).alias("root"), merkle.proof_hash(F.col("siblings"), F.col("above")).alias("proof_sha256"), folded.alias("folded_root"))
+    found = proofs.select("doc_id", "leaf", "subroot", F.lit(made.root).cast("string").alias("root"), merkle.proof_hash(F.col("siblings"), F.col("above")).alias("proof_sha256"), folded.alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
