@@ -93,7 +93,7 @@ def prefix(label: Column) -> Column:
 
 
 def bare(label: Column) -> Column:
-    return F.regexp_replace(label, r"^[BI]-", "")
+    return F.when(F.substring(label, 1, 2).isin("B-", "I-"), F.substring(label, 3, 1 << 30)).otherwise(label)
 
 
 def shifted(label: Column) -> Column:

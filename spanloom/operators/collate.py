@@ -9,14 +9,19 @@ from ..functions import vectors as v
 from ..functions.labels import IGNORE
 
 
+def _digits(key: Column, i: Column, salt: str) -> Column:
+    return F.substring(F.md5(F.concat(key.cast("string"), F.lit("/"), i.cast("string"), F.lit("/" + salt))), 1, 8)
+
+
 def draw(key: Column, i: Column, salt: str) -> Column:
     """A number in [0, 2**32) for a key and a place."""
-    h = F.substring(F.md5(F.concat(key.cast("string"), F.lit("/"), i.cast("string"), F.lit("/" + salt))), 1, 8)
-    return F.conv(h, 16, 10).cast("long")
+    return F.conv(_digits(key, i, salt), 16, 10).cast("long")
 
 
 def below(key: Column, i: Column, salt: str, p: float) -> Column:
-    return draw(key, i, salt) < F.lit(int(p * (1 << 32)))
+    """Whether the draw is below a share p of its range; digits of one length are in the order of their numbers."""
+    bound = int(p * (1 << 32))
+    return F.lit(True) if bound >= 1 << 32 else _digits(key, i, salt) < F.lit(f"{max(bound, 0):08x}")
 
 
 def pad_batches(rows: DataFrame, batch: str, ids: str, labels: str, multiple: int = 8, pad_id: int = 0, left: bool = False) -> DataFrame:

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels as lb
 from ..functions import vectors as v
-from .tokens import PIECE, as_of, islands, words_in_order
+from .tokens import PIECE, as_of, carried, islands, words_in_order
 
 MASK = "[MASK]"
 
@@ -80,8 +81,7 @@ def words_average(subs: DataFrame, key: list[str], pos: str, scores: str, classe
 def group_entities(tokens: DataFrame, key: str, pos: str, tag: str, score: str | None = None, word: str | None = None) -> DataFrame:
     """Runs of one label, O included: key, entity_group, start, end, the mean score, and the words; a B- always begins one."""
     w = Window.partitionBy(key).orderBy(pos)
-    label = F.when(F.col(tag).rlike("^[BI]-"), F.substring(tag, 3, 1000)).otherwise(F.col(tag))
-    rows = tokens.withColumn("entity_group", label)
+    rows = tokens.withColumn("entity_group", lb.bare(F.col(tag)))
     goes_on = (F.lag("entity_group").over(w) == F.col("entity_group")) & ~F.col(tag).startswith("B-")
     rows = islands(rows.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))), key, pos, ~F.col("goes_on"))
     extra = ([F.avg(score).alias("score")] if score else []) + ([words_in_order(pos, word).alias("text")] if word else [])
@@ -143,3 +143,17 @@ def tagged_json(panel: DataFrame, entities: DataFrame, key: str) -> DataFrame:
     whole = panel.join(held, [key, "panel"], "left").withColumn("entities", F.coalesce("entities", F.array()))
     items = F.array_sort(F.collect_list(F.struct("panel", "start", "end", "entities")))
     return whole.groupBy(key).agg(F.to_json(items, {"ignoreNullFields": "false"}).alias("tagged"))
+
+
+def panels_json(panel: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """As tagged_json() of entities_in_panels(), with panels and entities gone through once. panel: key, panel, start, end; entities: key, text, type, start, end, role.
+
+    Panels travel with their entities in one order of a document, so nothing is joined
+    and panels without entities stay.
+    """
+    fields = ["start", "end", "text", "type", "role"]
+    rows = carried(entities.select(key, *fields), panel.select(key, "start", "panel", F.col("end").alias("panel_end")), key, "start", name="_panel").where(F.col("_panel").isNotNull())
+    inside = (F.col("_point") == 1) & (F.col("start") < F.col("_panel.panel_end")) & (F.col("end") <= F.col("_panel.panel_end"))
+    held = rows.groupBy(key, F.col("_panel.panel").alias("panel"), F.col("_panel.start").alias("first"), F.col("_panel.panel_end").alias("last")).agg(F.array_sort(F.collect_list(F.when(inside, F.struct(*fields)))).alias("entities"))
+    items = F.array_sort(F.collect_list(F.struct("panel", F.col("first").alias("start"), F.col("last").alias("end"), "entities")))
+    return held.groupBy(key).agg(F.to_json(items, {"ignoreNullFields": "false"}).alias("tagged"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,20 +31,39 @@ def span_labels(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", whole:
     return tokens.join(inside, [key, pos], "left").select(*tokens.columns, F.coalesce("label", F.lit("O")).alias("label"))
 
 
+def goes_on(tag: Column, before: Column) -> Column:
+    """True where an I- follows a tag of its own label."""
+    return F.coalesce(tag.startswith("I") & (before != "O") & (lb.bare(before) == lb.bare(tag)), F.lit(False))
+
+
+def runs_of(tokens: DataFrame, tags: Sequence[str], key: str | list[str] = "doc_id", pos: str = "pos", strict: bool = False, word: str | None = None) -> DataFrame:
+    """Entity spans of several IOB2 tags of the same tokens: key, nth (the tag's number), label, first, last (positions), and with word their text.
+
+    All tags go along the tokens in one sort; what no tag marks goes before rows are
+    told apart by tag, so that only entities' tokens are repeated and grouped.
+    """
+    keys = [key] if isinstance(key, str) else key
+    along = Window.partitionBy(*keys).orderBy(pos)
+    more = [word] if word else []
+    rows = tokens.select(*keys, pos, *more, *[F.col(t).alias(f"_tag{i}") for i, t in enumerate(tags)], *[F.lag(t).over(along).alias(f"_before{i}") for i, t in enumerate(tags)])
+    marked = F.lit(False)
+    for i in range(len(tags)):
+        marked |= F.coalesce(F.col(f"_tag{i}") != "O", F.lit(False))
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = [F.struct(F.lit(i).alias("nth"), F.col(f"_tag{i}").alias("tag"), F.sum((~goes_on(F.col(f"_tag{i}"), F.col(f"_before{i}"))).cast("int")).over(upto).alias("island")) for i in range(len(tags))]
+    rows = rows.where(marked).select(*keys, pos, *more, F.array(*sides).alias("_sides")).select(*keys, pos, *more, F.explode("_sides").alias("_side"))
+    rows = rows.select(*keys, pos, *more, "_side.*").where("tag <> 'O'")
+    found = rows.groupBy(*keys, "nth", "island").agg(F.min_by("tag", pos).alias("head"), F.min(pos).alias("first"), F.max(pos).alias("last"), *([words_in_order(pos, word).alias("text")] if word else []))
+    found = found.where(F.col("head").startswith("B")) if strict else found
+    return found.select(*keys, "nth", lb.bare(F.col("head")).alias("label"), "first", "last", *(["text"] if word else []))
+
+
 def runs(tokens: DataFrame, tag: str, key: str | list[str] = "doc_id", pos: str = "pos", strict: bool = False, word: str | None = None) -> DataFrame:
     """Entity spans of IOB2 tags: key, label, first, last (positions), and with word their text.
 
     Lenient: an I- without a run before it, or of another type, starts one. Strict: such an I- is no entity.
     """
-    keys = [key] if isinstance(key, str) else key
-    w = Window.partitionBy(*keys).orderBy(pos)
-    kind = F.when(F.col(tag) == "O", "O").otherwise(F.substring(tag, 1, 1))
-    rows = tokens.select(*keys, pos, *([word] if word else []), kind.alias("kind"), F.when(F.col(tag) != "O", lb.bare(F.col(tag))).alias("label"))
-    rows = rows.withColumns({"prev_kind": F.lag("kind").over(w), "prev_label": F.lag("label").over(w)})
-    goes_on = (F.col("kind") == "I") & (F.coalesce("prev_kind", F.lit("O")) != "O") & (F.col("prev_label") == F.col("label"))
-    rows = islands(rows, keys, pos, ~goes_on).where("kind <> 'O'")
-    found = rows.groupBy(*keys, "island").agg(F.first("label").alias("label"), F.min_by("kind", pos).alias("head"), F.min(pos).alias("first"), F.max(pos).alias("last"), *([words_in_order(pos, word).alias("text")] if word else []))
-    return (found.where("head = 'B'") if strict else found).select(*keys, "label", "first", "last", *(["text"] if word else []))
+    return runs_of(tokens, [tag], key, pos, strict, word).drop("nth")
 
 
 def entity_texts(tokens: DataFrame, tag: str, word: str = "word", key: str = "doc_id", pos: str = "pos", separator: str = " ") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
-from .labelseq import runs
+from .labelseq import runs_of
 
 
 def token_accuracy(tokens: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -34,10 +34,8 @@ def match_tags(tokens: DataFrame, truth: str, predicted: str, key: str = "doc_id
     Both tags go through one pass over the tokens, and equal spans meet in a grouping
     within their document, so that nothing is joined.
     """
-    sides = F.explode(F.array(F.struct(F.lit(True).alias("truth"), F.col(truth).alias("tag")), F.struct(F.lit(False).alias("truth"), F.col(predicted).alias("tag"))))
-    both = tokens.select(key, pos, *([word] if word else []), sides.alias("_side")).select("*", "_side.truth", "_side.tag").drop("_side")
-    spans = runs(both, "tag", [key, "truth"], pos, strict, word)
-    return spans.groupBy(key, "label", "first", "last").agg(*([F.max("text").alias("text")] if word else []), F.bool_or("truth").alias("in_truth"), F.bool_or(~F.col("truth")).alias("in_predicted"))
+    spans = runs_of(tokens, [truth, predicted], key, pos, strict, word)
+    return spans.groupBy(key, "label", "first", "last").agg(*([F.max("text").alias("text")] if word else []), F.bool_or(F.col("nth") == 0).alias("in_truth"), F.bool_or(F.col("nth") == 1).alias("in_predicted"))
 
 
 def counts() -> list[Column]:
@@ -58,22 +56,34 @@ def prf(matched: DataFrame) -> DataFrame:
 
 
 def class_report(matched: DataFrame, label: str = "label", digits: int = 9) -> DataFrame:
-    """Scores by class, and micro, macro and weighted ones, from one pass over the spans."""
+    """Scores by class, and micro, macro and weighted ones, from one pass over the spans; without spans there are no rows.
+
+    A class's scores count for the class, with weight 1 for the macro mean, and with its
+    support for the weighted one (null if no class has support), so the means come from
+    the few rows of classes and the spans are not gone through again for them.
+    """
     both = rates(matched.cube(label).agg(*counts(), F.grouping(label).alias("whole")), 15)
-    named = both.select(F.when(F.col("whole") == 1, "micro avg").otherwise(F.col(label)).alias("label"), "precision", "recall", "f1", "support", "whole")
-    classes = named.where("whole = 0")
-    mean = classes.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support")).select(F.lit("macro avg").alias("label"), "*")
-    weighted = classes.agg(*[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support")).select(F.lit("weighted avg").alias("label"), "*")
-    out = named.drop("whole").unionByName(mean).unionByName(weighted)
-    return out.select("label", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")], "support")
+    one = F.lit(1.0)
+    line = lambda name, weight: F.struct(name.alias("label"), weight.alias("weight"))
+    means = F.array(line(F.col(label), one), line(F.lit("macro avg"), one), line(F.lit("weighted avg"), F.col("support").cast("double")))
+    lines = both.withColumn("_line", F.explode(F.when(F.col("whole") == 1, F.array(line(F.lit("micro avg"), one))).otherwise(means)))
+    share = lambda c: F.round(F.sum(F.col(c) * F.col("_line.weight")) / F.nullif(F.sum("_line.weight"), F.lit(0.0)), digits)
+    out = lines.groupBy(F.col("_line.label").alias("label")).agg(*[share(c).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support"))
+    return out.select("label", "precision", "recall", "f1", "support")
 
 
 def memorisation(matched: DataFrame, split: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Scores of the test documents' entities by class, apart for those whose text training documents have too. matched: match_tags() with text; split: key, split."""
-    known = matched.where("in_truth").join(split.where("split = 'train'"), key, "left_semi").select("label", "text").distinct().withColumn("in_training", F.lit(True))
-    seen = matched.join(split.where("split = 'test'"), key, "left_semi")
-    flagged = seen.join(known, ["label", "text"], "left").withColumn("in_training", F.coalesce("in_training", F.lit(False)))
-    return rates(flagged.groupBy("in_training", "label").agg(*counts()))
+    """Scores of the test documents' entities by class, apart for those whose text training documents have too. matched: match_tags() with text; split: key, split.
+
+    One grouping by class and text tells which entities training has and counts those of
+    the test documents, summed on the map side, so a frequent entity is no hot key.
+    """
+    sides = split.groupBy(key).agg(F.bool_or(F.col("split") == "train").alias("_train"), F.bool_or(F.col("split") == "test").alias("_test"))
+    rows = matched.join(sides, key).where("_train or _test")
+    t, p = (F.col(c) & F.col("_test") for c in ("in_truth", "in_predicted"))
+    tested = [F.sum((t & p).cast("long")).alias("tp"), F.sum((~t & p).cast("long")).alias("fp"), F.sum((t & ~p).cast("long")).alias("fn")]
+    by_text = rows.groupBy("label", "text").agg(F.bool_or(F.col("in_truth") & F.col("_train")).alias("in_training"), F.bool_or("_test").alias("tested"), *tested)
+    return rates(by_text.where("tested").groupBy("in_training", "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
 
 
 def boundaries(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:

@@ -46,8 +46,8 @@ def islands(rows: DataFrame, key: str | list[str], order: str, starts: Column, n
     return rows.withColumn(name, F.sum(starts.cast("int")).over(w))
 
 
-def as_of(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str = "start", name: str = "found") -> DataFrame:
-    """Points with the interval (a struct under name) of their key that starts last at or before them; null if none does.
+def carried(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str = "start", name: str = "found") -> DataFrame:
+    """as_of(), with the intervals' own rows too: _point is 0 for them and 1 for points, and an interval's row has itself under name.
 
     Points and intervals are sorted together within a key and the last interval is
     carried along, so the work follows their number and not its product, as it would
@@ -59,7 +59,12 @@ def as_of(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str
     held = intervals.select(own, F.col(start).alias("_at"), F.lit(0).alias("_point"), F.struct(*[c for c in intervals.columns if c != key]).alias(name))
     both = points.withColumns({"_at": F.col(at).cast(dict(held.dtypes)["_at"]), "_point": F.lit(1)}).unionByName(held, allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(name, F.last(name, ignorenulls=True).over(w)).where("_point = 1").drop("_at", "_point")
+    return both.withColumn(name, F.last(name, ignorenulls=True).over(w)).drop("_at")
+
+
+def as_of(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str = "start", name: str = "found") -> DataFrame:
+    """Points with the interval (a struct under name) of their key that starts last at or before them; null if none does."""
+    return carried(points, intervals, key, at, start, name).where("_point = 1").drop("_point")
 
 
 def exact_dedupe(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:

@@ -173,9 +173,7 @@ def attach_roles(spark, sf_dir):
 @query(INSIDE + f""", held AS (SELECT doc_id, panel, list({{'start': "start", 'end': "end", 'text': text, 'type': type, 'role': {ROLE}}} ORDER BY "start") AS entities FROM inside GROUP BY doc_id, panel)
 SELECT p.doc_id, CAST(to_json(list({{'panel': p.panel, 'start': p."start", 'end': p."end", 'entities': coalesce(h.entities, [])}} ORDER BY p.panel)) AS VARCHAR) AS tagged FROM panels p LEFT JOIN held h ON p.doc_id = h.doc_id AND p.panel = h.panel GROUP BY p.doc_id""")
 def tagged_json(spark, sf_dir):
-    p = panel_table(spark, sf_dir)
-    e = inf.entities_in_panels(entity_table(spark, sf_dir), p, "doc_id").withColumn("role", F.expr(ROLE))
-    return inf.tagged_json(p, e, "doc_id")
+    return inf.panels_json(panel_table(spark, sf_dir), entity_table(spark, sf_dir).withColumn("role", F.expr(ROLE)), "doc_id")
 
 
 LABELS = ("GENEPROD", "TISSUE")

@@ -53,6 +53,25 @@ def test_entities_in_panels(spark):
     assert sorted((r.start, r.end) for r in inf.entities_in_panels(e, panel, "d").collect()) == [(10, 15), (18, 20)]
 
 
+def test_panels_with_entities_in_one_pass(spark):
+    panel = spark.createDataFrame([(0, 0, 10, 20), (0, 1, 20, 30), (2, 0, 0, 5)], "d long, panel int, start long, end long")
+    e = spark.createDataFrame([(0, 10, 15, "a", "r"), (0, 18, 21, "b", None), (0, 25, 26, "c", None), (0, 2, 4, "d", None), (0, 40, 41, "e", None), (1, 10, 15, "f", None)], "d long, start long, end long, text string, role string").withColumn("type", F.lit("T"))
+    want = inf.tagged_json(panel, inf.entities_in_panels(e, panel, "d"), "d")
+    got = {r.d: r.tagged for r in inf.panels_json(panel, e, "d").collect()}
+    assert got == {r.d: r.tagged for r in want.collect()} and set(got) == {0, 2}
+    assert [[x["text"] for x in p["entities"]] for p in json.loads(got[0])] == [["a"], ["c"]] and json.loads(got[2])[0]["entities"] == []
+    assert inf.panels_json(panel.limit(0), e, "d").count() == 0
+
+
+def test_shares_of_draws(spark):
+    rows = spark.range(2000).select(F.array(*[F.col("id")] * 5).alias("ids"), F.array(*[F.lit(1)] * 5).alias("m"), F.col("id").alias("k"))
+    i = F.col("id")
+    drawn = spark.range(500).select(co.draw(i, i, "s").alias("x"), *[co.below(i, i, "s", p).alias(f"p{n}") for n, p in enumerate((0, 0.3, 1))]).collect()
+    assert all((r.p0, r.p1, r.p2) == (False, r.x < int(0.3 * 2**32), True) for r in drawn)
+    counts = [sum(y != -100 for r in co.mask_targets(rows, "k", "ids", "m", p, -1).collect() for y in r.labels) for p in (0, 0.5, 1)]
+    assert counts[0] == 0 and 4500 < counts[1] < 5500 and counts[2] == 10000
+
+
 def test_masks(spark):
     docs = spark.createDataFrame([(0, "ERK1 and p53 up"), (1, "none here")], "doc_id long, text string")
     spans = spark.createDataFrame([(0, 0, 4), (0, 9, 12)], "doc_id long, start long, end long")

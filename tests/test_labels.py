@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,48 @@ def test_span_scores(spark, strict, tp, precision, recall):
     assert (got.tp, round(got.precision, 6), round(got.recall, 6)) == (tp, round(precision, 6), round(recall, 6))
 
 
+def loop_runs(tags, strict):
+    """Runs as one would go along the tags."""
+    out, run = [], None
+    for i, tag in enumerate([*tags, "O"]):
+        if run and not (tag is not None and tag[0] == "I" and tag[2:] == run[1]):
+            out.append((run[1], run[2], i - 1, run[0]))
+            run = None
+        if tag not in (None, "O"):
+            run = run or (tag[0], tag[2:], i)
+    return {x[:3] for x in out if x[3] == "B" or not strict}
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_runs_of_several_tags(spark, strict):
+    kinds, draw = ["O", "B-G", "I-G", "B-C", "I-C", None], random.Random(5)
+    docs = {d: [[draw.choice(kinds) for _ in range(40)] for _ in range(2)] for d in range(20)} | {20: [[None], ["O"]]}
+    rows = spark.createDataFrame([(d, i, x, y, f"w{i}") for d, (a, b) in docs.items() for i, (x, y) in enumerate(zip(a, b, strict=True))], "doc_id long, pos int, a string, b string, word string")
+    got = ls.runs_of(rows, ["a", "b"], strict=strict, word="word").collect()
+    for d, tags in docs.items():
+        for n in (0, 1):
+            assert {(r.label, r.first, r["last"]) for r in got if (r.doc_id, r.nth) == (d, n)} == loop_runs(tags[n], strict)
+    assert all(r.text == " ".join(f"w{i}" for i in range(r.first, r["last"] + 1)) for r in got)
+    matched = m.match_tags(rows, "a", "b", strict=strict).collect()
+    assert all((r.in_truth, r.in_predicted) == tuple((r.label, r.first, r["last"]) in loop_runs(docs[r.doc_id][n], strict) for n in (0, 1)) for r in matched)
+
+
+def test_memorisation_by_text(spark):
+    spans = [(0, "G", "a", True, False), (1, "G", "a", True, True), (1, "G", "b", False, True), (2, "G", "b", False, True), (3, "G", "c", True, True), (1, "G", "c", True, False), (4, "G", "a", True, True)]
+    matched = spark.createDataFrame(spans, "doc_id long, label string, text string, in_truth boolean, in_predicted boolean")
+    split = spark.createDataFrame([(0, "train"), (1, "test"), (2, "train"), (3, "eval")], "doc_id long, split string")
+    got = {(r.in_training, r.label): (r.tp, r.fp, r.fn) for r in m.memorisation(matched, split).collect()}
+    assert got == {(True, "G"): (1, 0, 0), (False, "G"): (0, 1, 1)}
+
+
+def test_report_without_spans_or_support(spark):
+    none = spark.createDataFrame([], "label string, in_truth boolean, in_predicted boolean")
+    assert m.class_report(none).count() == 0
+    guesses = spark.createDataFrame([("G", False, True)], none.schema)
+    report = {r.label: r for r in m.class_report(guesses).collect()}
+    assert report["G"].precision == 0.0 and report["macro avg"].f1 == 0.0 and report["weighted avg"].f1 is None
+
+
 def test_report_and_accuracy(spark):
     a, b = (ls.runs(tagged(spark, x), "tag") for x in (TRUTH, GUESS))
     report = {r.label: r for r in m.class_report(m.match(a, b, "doc_id", "label", "first", "last")).collect()}
