@@ -6,14 +6,19 @@ rank k by their first 2**k lines, from pairs of ranks k - 1 that stand 2**(k - 1
 apart; distinct lines and pairs are range-sorted and numbered in Spark, and what is seen
 once is dropped, since no repeated run goes through it.
 
-A suffix's key run is the least number of lines with min_words words. Suffixes with equal
-key runs (two overlapping ranks are equal) are an interval of the suffix array whose
-longest common prefix holds the run; the lines after it cut that interval into those of
-longer common prefixes. In each interval all but the first suffix in document order are
-later copies, and a later copy's whole maximal run is deleted: from its start to the depth
-of the deepest interval in which another suffix comes before it. Depths are looked at while
-the lines after the key run have less than min_words words together; what repeats beyond
-that lies in the maximal run of a later start, so nothing is left out.
+A suffix's key run is the least number of lines with min_words words; two overlapping
+ranks tell its order, so doubling goes on while a key run is longer than what is ranked.
+Lines after the key run are looked at while they have less than min_words words together;
+what repeats beyond that lies in the maximal run of a later start, so nothing is left out.
+Suffixes are range-sorted by these ranks (length of the key run, its two ranks, the lines
+after it, then document order): the suffix array to that depth. Each task goes once along
+its part of the array, takes the longest common prefix with the suffix before, and tells
+for each depth where the interval that a suffix lies in starts; an interval that comes from
+an earlier part takes its start from a table of the parts' first and last suffixes, a few rows
+for each part. An interval is named by the place of its first suffix, so neither runs nor ranks
+are needed any more. In each interval all but the first suffix in document order are later
+copies, and a later copy's whole maximal run is deleted: from its start to the depth of the
+deepest interval in which another suffix comes before it.
 
 Hot lines are pre-aggregated wherever they are counted or ranked; what is joined
 back to places is joined by rows, so a hot line's places can be split.
@@ -32,11 +37,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .workspace import Workspace
+from .workspace import Workspace, partitions
 
 MIN_WORDS = 10
 _LINES = "doc_id long, doc long, seq int, line int, id long, id2 long, words int"
 _PLACES = "doc_id long, doc long, seq int, line int, r0 long, n int, tail array<long>"
+_ARRAY = "doc_id long, doc long, seq int, n int, row long, starts array<long>, edge int, first long, last long, tail array<long>"
+_ARRAY_NAMES = [x.split()[0] for x in _ARRAY.split(", ")]
+_ARRAY_KINDS = [{"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}[x.split()[1]] for x in _ARRAY.split(", ")]
 
 
 def line_table(data: np.ndarray, offsets: np.ndarray, named: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,6 +117,73 @@ def _numbered(distinct: DataFrame, *by: str, name: str) -> DataFrame:
     return distinct.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id())
 
 
+def _along(deepest: int):
+    """From sorted suffixes (doc_id, doc, seq, n, first, last, tail, row) to rows as in _ARRAY, and two more for the part's first and last suffix."""
+
+    def edge(which: int, key: tuple, row: int, starts: list[int]) -> pa.RecordBatch:
+        values = [None, None, None, key[0], row, starts, which, key[1], key[2], key[3]]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _ARRAY_KINDS, strict=True)], names=_ARRAY_NAMES)
+
+    def each(batches):
+        now, key, row = np.full(deepest + 1, -1), None, 0  # starts of the intervals of the last suffix, that suffix
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4, 5)], axis=1)
+            rows = batch.column(7).to_numpy()
+            tails = batch.column(6)
+            lengths = tails.value_lengths().to_numpy(zero_copy_only=False)
+            table = np.full((size, deepest), -1)
+            table[np.arange(deepest) < lengths[:, None]] = tails.flatten().to_numpy()
+            if key is None:
+                yield edge(0, (*keys[0].tolist(), table[0, : lengths[0]].tolist()), int(rows[0]), [])
+                before, before_table = keys[:1], table[:1]
+            else:
+                before, before_table = np.array([key[:3]]), np.array([key[3] + [-1] * (deepest - len(key[3]))], dtype=np.int64).reshape(1, deepest)
+            same = (keys == np.concatenate((before, keys[:-1]))).all(axis=1)
+            alike = (table == np.concatenate((before_table, table[:-1]))) & (table >= 0)
+            common = np.where(same, np.logical_and.accumulate(alike, axis=1).sum(axis=1), -1)  # lines after the key run
+            if key is None:
+                common[0] = deepest + 1  # not known here: no interval starts
+            fresh = np.where(common[:, None] < np.arange(deepest + 1), rows[:, None], -1)
+            starts = np.maximum(np.maximum.accumulate(fresh, axis=0), now)
+            now, row, key = starts[-1], int(rows[-1]), (*keys[-1].tolist(), table[-1, : lengths[-1]].tolist())
+            within = np.arange(deepest + 1) <= lengths[:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths + 1))), pa.int32()), pa.array(starts[within]))
+            none = [pa.nulls(size, t) for t in _ARRAY_KINDS[6:]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), batch.column(7), lists, *none], names=_ARRAY_NAMES)
+        if key is not None:
+            yield edge(1, key, row, now.tolist())
+
+    return each
+
+
+def lcp_intervals(suffixes: DataFrame, work: Workspace, deepest: int) -> DataFrame:
+    """doc_id, doc, seq, n, more, start: for each suffix and each number of lines after its key run, the interval of the suffix array that shares them, by the place of its first suffix.
+
+    suffixes: a kept table of doc_id, doc, seq, n, first, last, tail (of deepest lines at most).
+    """
+    order = ["n", "first", "last", "tail", "doc_id", "doc", "seq"]
+    placed = suffixes.repartitionByRange(partitions(work.spark, work.size(suffixes)), *order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
+    array = work.keep(placed.select("doc_id", "doc", "seq", "n", "first", "last", "tail", "row").mapInArrow(_along(deepest), _ARRAY)).withColumn("part", F.shiftright("row", 33))
+    # Two rows for each part of the array, so these windows are over as many rows as there are tasks.
+    run = F.struct("n", "first", "last")
+    edges = array.where("edge is not null").groupBy("part").agg(F.max(F.when(F.col("edge") == 0, F.struct("row", run.alias("run"), "tail"))).alias("head"), F.max(F.when(F.col("edge") == 1, F.struct("row", run.alias("run"), "tail", "starts"))).alias("end"))
+    edges = edges.withColumn("before", F.lag("end").over(Window.orderBy("part")))
+    shared = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.size("head.tail"), F.size("before.tail"))), lambda m: F.slice("head.tail", F.lit(1), m) == F.slice("before.tail", F.lit(1), m)))
+    edges = edges.withColumn("common", F.when(F.col("before").isNotNull() & (F.col("head.run") == F.col("before.run")), shared).otherwise(-1))
+    depths = edges.select("part", "common", F.col("head.row").alias("row"), F.posexplode("end.starts").alias("more", "own"))
+    fresh = F.when(F.col("common") < F.col("more"), F.col("row"))
+    parts = Window.partitionBy("more").orderBy("part")
+    depths = depths.withColumn("upto", F.last(F.coalesce(F.when(F.col("own") >= 0, F.col("own")), fresh), ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    leading = depths.select("part", "more", F.coalesce(fresh, F.lag("upto").over(parts)).alias("leading"))
+    rows = array.where("edge is null").select("doc_id", "doc", "seq", "n", "part", F.posexplode("starts").alias("more", "own"))
+    # Of parts times depths, MOST_PARTS times deepest + 1 at most.
+    found = rows.join(F.broadcast(leading), ["part", "more"], "left")
+    return found.select("doc_id", "doc", "seq", "n", "more", F.when(F.col("own") >= 0, F.col("own")).otherwise(F.col("leading")).alias("start"))
+
+
 def later_copies(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, doc, seq, n: maximal runs of n lines from the seq-th line that is not blank, of which an earlier copy exists. docs: doc_id, doc, text."""
     lines = work.keep(docs.mapInArrow(_lines, _LINES))
@@ -134,12 +209,13 @@ def later_copies(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -
     starts = places.where("n > 0").withColumn("k", power).withColumn("first", F.expr(rank)).withColumn("at", F.expr("seq + n - shiftleft(1, k)"))
     tails = places.select(F.col("doc_id").alias("i"), F.col("doc").alias("d"), F.col("seq").alias("at"), *[F.col(f"r{k}").alias(f"t{k}") for k in range(level + 1)])
     suffixes = starts.join(tails, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("doc") == F.col("d")) & (starts["at"] == tails["at"])).withColumn("last", F.expr(rank.replace("THEN r", "THEN t"))).where("first is not null and last is not null")
-    # One row for each interval of the suffix array that a suffix is in, by the lines after the key run.
-    depths = suffixes.withColumn("more", F.explode(F.sequence(F.lit(0), F.size("tail")))).withColumn("tail", F.slice("tail", 1, F.col("more")))
-    intervals = work.keep(depths.select("doc_id", "doc", "seq", "n", "first", "last", "tail"))
-    earliest = work.keep(intervals.groupBy("n", "first", "last", "tail").agg(F.min(F.struct("doc_id", "doc", "seq")).alias("earliest"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    later = intervals.join(earliest, ["n", "first", "last", "tail"]).where("not (doc_id <=> earliest.doc_id and doc = earliest.doc and seq = earliest.seq)")
-    return later.groupBy("doc_id", "doc", "seq").agg(F.max(F.col("n") + F.size("tail")).alias("n"))
+    kept = work.keep(suffixes.select("doc_id", "doc", "seq", "n", "first", "last", "tail"))
+    work.drop(places)
+    # One row for each interval of the suffix array that a suffix is in.
+    intervals = work.keep(lcp_intervals(kept, work, min_words - 1))
+    earliest = work.keep(intervals.groupBy("more", "start").agg(F.min(F.struct("doc_id", "doc", "seq")).alias("earliest"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    later = intervals.join(earliest, ["more", "start"]).where("not (doc_id <=> earliest.doc_id and doc = earliest.doc and seq = earliest.seq)")
+    return later.groupBy("doc_id", "doc", "seq").agg(F.max(F.col("n") + F.col("more")).alias("n"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:

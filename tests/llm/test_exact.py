@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import curveknn, decontaminate, langid, licences, linededup, neardup, suffixdedup
 from spanloom.llm import textbytes as tb
 from spanloom.llm.hilbert import hilbert_key
+from spanloom.llm.workspace import Workspace
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -269,6 +270,35 @@ def test_line_dedup(spark, texts):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_intervals_of_the_line_suffix_array(spark):
+    """Suffixes share an interval where their key runs and the lines after are equal, also where an interval goes on over several parts of the array."""
+    r = random.Random(23)
+    rows = [(d, -1 - d, s, r.choice([1, 2]), r.choice([3, 3, 3, 8]), r.choice([1, 1, 5]), [r.choice([4, 4, 4, 6]) for _ in range(r.randrange(5))]) for d in range(300) for s in range(3)]
+    rows += [(None if d % 9 else d, d, 0, 2, 3, 1, [4, 4, 4]) for d in range(1000, 2500)]
+    work = Workspace(spark)
+    kept = work.keep(spark.createDataFrame(rows, "doc_id long, doc long, seq int, n int, first long, last long, tail array<long>").repartition(5))
+    found = linededup.lcp_intervals(kept, work, 4).collect()
+    of = {(doc, seq): rest for _, doc, seq, *rest in rows}
+    names = {}
+    for x in found:
+        n, first, last, tail = of[x.doc, x.seq]
+        assert x.n == n and x.more <= len(tail)
+        names.setdefault((x.more, n, first, last, *tail[: x.more]), set()).add(x.start)
+    assert len(found) == sum(len(x[6]) + 1 for x in rows)
+    assert all(len(x) == 1 for x in names.values())
+    assert len({(k[0], *v) for k, v in names.items()}) == len(names)
+    assert len({x.start >> 33 for x in found}) > 1
+    assert linededup.lcp_intervals(work.keep(kept.limit(0)), work, 4).count() == 0
+
+
+def test_hot_line_runs_over_many_parts(spark):
+    r = random.Random(29)
+    hot = "\n".join(prose(r, 4) for _ in range(6))
+    texts = [f"{prose(r, 12)}\n{hot}\n{prose(r, 3)}" if i % 3 else hot for i in range(400)]
+    got = {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in linededup.dedup_lines(corpus(spark, texts)).collect()}
+    assert got == brute_lines(list(enumerate(texts)), linededup.MIN_WORDS)
+
+
 def test_whole_maximal_line_runs_go(spark):
     r = random.Random(19)
     body, tail, end = prose(r, 20, 5000), "The end.", "x y z"
