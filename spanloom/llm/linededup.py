@@ -218,30 +218,47 @@ def later_copies(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -
     return later.groupBy("doc_id", "doc", "seq").agg(F.max(F.col("n") + F.col("more")).alias("n"))
 
 
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """i, d, gone: for each document the runs of lines that go, overlapping and touching ones as one, in order."""
+    along = Window.partitionBy("doc_id", "doc").orderBy("seq")
+    before = F.max(F.col("seq") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    starts = runs.withColumn("fresh", F.coalesce(F.col("seq") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = starts.groupBy("doc_id", "doc", "run").agg(F.min("seq").alias("seq"), (F.max(F.col("seq") + F.col("n")) - F.min("seq")).cast("int").alias("n"))
+    return whole.groupBy(F.col("doc_id").alias("i"), F.col("doc").alias("d")).agg(F.array_sort(F.collect_list(F.struct("seq", "n"))).alias("gone"))
+
+
+def without_lines(raw: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """A text without the lines of these numbers; the line breaks of lines that stay are between them."""
+    if not len(lines):
+        return raw
+    ends = np.append(np.flatnonzero(raw == 10), len(raw))
+    turn = np.zeros(len(raw) + 2, np.int8)
+    turn[np.append(0, ends[:-1] + 1)[lines]] += 1
+    turn[ends[lines] + 1] -= 1  # a line goes with its break
+    return np.append(raw, np.uint8(10))[np.cumsum(turn[:-1], dtype=np.int8) == 0][:-1]
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, n_lines, n_removed, removed (line numbers from 0), text without them, and the columns to carry, each as carried_ and its name."""
     work = Workspace(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     own = own.withColumn("doc", F.xxhash64("doc_id", "text"))
-    gone = later_copies(own.select("doc_id", "doc", "text"), work, min_words)
-    gone = work.keep(gone.groupBy(F.col("doc_id").alias("i"), F.col("doc").alias("d")).agg(F.collect_list(F.struct("seq", "n")).alias("gone")))
+    gone = work.keep(merged_runs(later_copies(own.select("doc_id", "doc", "text"), work, min_words)))
 
     def each(batches):
         for batch in batches:
             data, offsets = tb.column_bytes(batch.column(1))
-            n_lines, removed, texts = [], [], []
-            for d, gone in enumerate(batch.column(2).to_pylist()):
-                raw = data[offsets[d] : offsets[d + 1]]
-                _, number, _, _, _ = line_table_in_parts(raw, np.array([0, len(raw)]), named=False)
-                n_lines.append(len(number))
-                out = number[np.unique(np.concatenate([np.arange(g["seq"], g["seq"] + g["n"]) for g in gone]))] if gone else number[:0]
-                removed.append(out)
-                if len(out):
-                    drop = set(out.tolist())
-                    texts.append(b"\n".join(x for i, x in enumerate(raw.tobytes().split(b"\n")) if i not in drop))
-                else:
-                    texts.append(raw.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(texts, pa.binary()).cast(pa.string()), *[batch.column(k) for k in range(3, batch.num_columns)]], names=["doc_id", "n_lines", "n_removed", "removed", "text", *batch.schema.names[3:]])
+            for i, j in tb.chunks(offsets):
+                n_lines, removed, texts = [], [], []
+                for d, runs in enumerate(batch.column(2).slice(i, j - i).to_pylist(), i):
+                    raw = data[offsets[d] : offsets[d + 1]]
+                    _, number, _, _, _ = line_table_in_parts(raw, np.array([0, len(raw)]), named=False)
+                    out = np.concatenate([number[r["seq"] : r["seq"] + r["n"]] for r in runs]) if runs else number[:0]
+                    n_lines.append(len(number))
+                    removed.append(out)
+                    texts.append(without_lines(raw, out).tobytes())
+                rest = [batch.column(k).slice(i, j - i) for k in range(3, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n_lines, pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(texts, pa.string()), *rest], names=["doc_id", "n_lines", "n_removed", "removed", "text", *batch.schema.names[3:]])
 
     joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("doc") == F.col("d")), "left").select("doc_id", "text", "gone", *[f"carry_{i}" for i in range(len(carry))])
     kinds = "".join(f", `carry_{i}` {joined.schema[f'carry_{i}'].dataType.simpleString()}" for i in range(len(carry)))
