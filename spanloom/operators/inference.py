@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions import vectors as v
-from .tokens import PIECE, as_of, carried, islands, words_in_order
+from .tokens import as_of, carried, cut_runs, islands, last_places, words_in_order
 
 MASK = "[MASK]"
 
@@ -88,6 +89,26 @@ def group_entities(tokens: DataFrame, key: str, pos: str, tag: str, score: str |
     return rows.groupBy(key, "island", "entity_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), *extra)
 
 
+def group_lists(rows: DataFrame, tag: str, score: str | None = None, word: str | None = None, entities: bool = False, items: str = "tokens", name: str = "groups") -> DataFrame:
+    """group_entities() within the lists of token_lists(): rows with a list of entity_group, start, end, (score, text) in the order of the tokens; entities: without O."""
+    goes_on = lambda x, before: (lb.bare(before[tag]) == lb.bare(x[tag])) & ~x[tag].startswith("B-")
+    rows = cut_runs(rows, items, lambda x, before: ~F.coalesce(goes_on(x, before), F.lit(False)), (lambda x: x[tag] != "O") if entities else None, "_runs")
+
+    def one(r: Column) -> Column:
+        extra = ([(F.aggregate(r[score], F.lit(0.0), lambda a, x: a + x) / F.size(r)).alias("score")] if score else []) + ([F.array_join(r[word], " ").alias("text")] if word else [])
+        return F.struct(lb.bare(F.get(r, F.lit(0))[tag]).alias("entity_group"), F.get(r, F.lit(0))["start"].alias("start"), F.get(r, F.size(r) - 1)["end"].alias("end"), *extra)
+
+    return rows.withColumn(name, F.transform("_runs", one)).drop("_runs")
+
+
+def panel_lists(rows: DataFrame, groups: str = "groups", name: str = "panels") -> DataFrame:
+    """panels() within lists: rows with a list of panel, start, end. groups: a list of group_lists(), where no two O groups stand side by side."""
+    is_o = lambda x: x["entity_group"] == "O"
+    closed = F.transform(groups, lambda x, i: F.when(is_o(x) | (i == F.size(groups) - 1), F.struct(F.when(is_o(x) & (i > 0), F.get(groups, i - 1)["start"]).otherwise(x["start"]).alias("start"), x["end"].alias("end"))))
+    whole = F.filter(closed, lambda x: x.isNotNull())
+    return rows.withColumn(name, F.transform(whole, lambda x, i: F.struct(i.cast("int").alias("panel"), x["start"].alias("start"), x["end"].alias("end"))))
+
+
 def panels(groups: DataFrame, key: str) -> DataFrame:
     """Panels of PANEL_START and O groups in their order: key, panel, start, end.
 
@@ -109,19 +130,37 @@ def entities_in_panels(entities: DataFrame, panel: DataFrame, key: str) -> DataF
     return found.where(inside).select(*entities.columns, F.col("_panel.panel").alias("panel"), F.col("_panel.start").alias("panel_start"), F.col("_panel.panel_end").alias("panel_end"))
 
 
+def inside_panels(rows: DataFrame, entities: str = "entities", panels: str = "panels") -> DataFrame:
+    """entities_in_panels() within lists: rows whose entities are those that a panel holds whole, with panel, its number; both lists in order."""
+    rows = last_places(rows, F.col(entities)["start"], F.col(panels)["start"], "_at")
+    known = F.transform(entities, lambda x, i: x.withField("_panel", F.get(panels, F.get("_at", i))))
+    within = F.filter(known, lambda x: (x["start"] < x["_panel"]["end"]) & (x["end"] <= x["_panel"]["end"]))
+    return rows.withColumn(entities, F.transform(within, lambda x: x.dropFields("_panel").withField("panel", x["_panel"]["panel"]))).drop("_at")
+
+
 def masked_sentences(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts with each span (which begins and ends with tokens; disjoint) as one [MASK]; an empty text stays, null becomes empty.
 
-    Texts are put together from their pieces, so the work follows the text and not
-    its product with the number of spans.
+    Texts are cut at their spans and put together again, so the work follows the text
+    and not its product with the number of spans.
     """
-    w = Window.partitionBy(key).orderBy("i")
-    pieces = docs.select(key, text).repartition(key).select(key, F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))).alias("i", "piece"))
-    pieces = pieces.withColumn("at", F.sum(F.length("piece")).over(w) - F.length("piece"))
-    found = as_of(pieces, spans.select(key, "start", "end"), key, "at", name="_span")
-    outside = F.col("_span").isNull() | (F.col("at") >= F.col("_span.end"))
-    shown = F.when(outside, F.coalesce("piece", F.lit(""))).when(F.col("at") == F.col("_span.start"), MASK).otherwise("")
-    return found.withColumn("shown", shown).groupBy(key).agg(words_in_order("i", "shown", "").alias("masked"))
+    spans = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    return masked_lists(docs.select(key, text).join(spans, key, "left"), key, text, "_spans")
+
+
+def masked_lists(rows: DataFrame, key: str = "doc_id", text: str = "text", spans: str = "spans") -> DataFrame:
+    """masked_sentences() where a list of the spans (start, end) in order goes with each text; key, masked."""
+    given = rows.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(spans)["start"].alias("starts"), F.col(spans)["end"].alias("ends"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, a, b in zip(*batch.columns[1:], strict=True):
+                t, a, b = t.as_py(), a.as_py() or [], b.as_py() or []
+                out.append(MASK.join(t[i:j] for i, j in zip([0, *b], [*a, len(t)], strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "masked"])
+
+    return given.mapInArrow(each, f"{key} {dict(rows.dtypes)[key]}, masked string")
 
 
 def one_per_mask(sentences: DataFrame, masked: str = "masked") -> DataFrame:
@@ -157,3 +196,16 @@ def panels_json(panel: DataFrame, entities: DataFrame, key: str) -> DataFrame:
     held = rows.groupBy(key, F.col("_panel.panel").alias("panel"), F.col("_panel.start").alias("first"), F.col("_panel.panel_end").alias("last")).agg(F.array_sort(F.collect_list(F.when(inside, F.struct(*fields)))).alias("entities"))
     items = F.array_sort(F.collect_list(F.struct("panel", F.col("first").alias("start"), F.col("last").alias("end"), "entities")))
     return held.groupBy(key).agg(F.to_json(items, {"ignoreNullFields": "false"}).alias("tagged"))
+
+
+def json_lists(rows: DataFrame, key: str, entities: str = "entities", panels: str = "panels") -> DataFrame:
+    """panels_json() within lists, both in order: key, tagged. entities: start, end, text, type, role; panels: panel, start, end."""
+    rows = inside_panels(rows, entities, panels)
+    # Entities of a panel stand side by side.
+    rows = cut_runs(rows, entities, lambda x, before: before.isNull() | (x["panel"] != before["panel"]), name="_held")
+    rows = rows.withColumn("_first", F.transform("_held", lambda r: F.get(r, F.lit(0))))
+    rows = last_places(rows, F.col(panels)["panel"], F.col("_first")["panel"], "_at")
+    plain = lambda held: F.transform(held, lambda e: e.dropFields("panel"))
+    mine = lambda p, i: F.when(F.get("_first", F.get("_at", i))["panel"] == p["panel"], plain(F.get("_held", F.get("_at", i)))).otherwise(F.slice(plain(F.slice(entities, 1, 1)), 1, 0))
+    whole = F.transform(panels, lambda p, i: F.struct(p["panel"].alias("panel"), p["start"].alias("start"), p["end"].alias("end"), mine(p, i).alias("entities")))
+    return rows.select(key, F.to_json(whole, {"ignoreNullFields": "false"}).alias("tagged"))

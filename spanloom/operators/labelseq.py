@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
-from .tokens import as_of, islands, words_in_order
+from .tokens import as_of, cut_runs, islands, with_field, words_in_order
 
 
 def iob2(tokens: DataFrame, label: str, key: str = "doc_id", pos: str = "pos", name: str = "iob2") -> DataFrame:
     """O stays; a label that starts or changes gets B-, one that goes on I-. Labels alone are compared, so touching entities of one type merge."""
-    before = F.lag(label).over(Window.partitionBy(key).orderBy(pos))
-    mark = F.when(F.col(label) == "O", "O").when(before.isNull() | (before != F.col(label)), F.concat(F.lit("B-"), label)).otherwise(F.concat(F.lit("I-"), label))
-    return tokens.withColumn(name, mark)
+    return tokens.withColumn(name, _mark(F.col(label), F.lag(label).over(Window.partitionBy(key).orderBy(pos))))
+
+
+def iob2_lists(rows: DataFrame, label: str, items: str = "tokens", name: str = "iob2") -> DataFrame:
+    """iob2() of the tokens of token_lists(), within their lists."""
+    return rows.withColumn(items, with_field(items, name, lambda x, i: _mark(x[label], F.get(items, i - 1)[label])))
+
+
+def _mark(label: Column, before: Column) -> Column:
+    return F.when(label == "O", "O").when(before.isNull() | (before != label), F.concat(F.lit("B-"), label)).otherwise(F.concat(F.lit("I-"), label))
 
 
 def span_labels(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", whole: bool = True, pos: str = "pos") -> DataFrame:
@@ -66,6 +73,25 @@ def runs(tokens: DataFrame, tag: str, key: str | list[str] = "doc_id", pos: str
     return runs_of(tokens, [tag], key, pos, strict, word).drop("nth")
 
 
+def run_lists(rows: DataFrame, tags: Sequence[str], strict: bool = False, word: str | None = None, items: str = "tokens", name: str = "runs") -> DataFrame:
+    """runs_of() within the lists of token_lists(): rows with a list of nth, label, first, last and, with word, text; of each tag in the order of its tokens."""
+    for n, tag in enumerate(tags):
+        rows = _with_runs(rows, tag, n, strict, word, items)
+    names = [f"_runs{n}" for n in range(len(tags))]
+    return rows.withColumn(name, F.concat(*names)).drop(*names)
+
+
+def _with_runs(rows: DataFrame, tag: str, n: int, strict: bool, word: str | None, items: str) -> DataFrame:
+    wanted = (lambda x: x[tag].startswith("B")) if strict else (lambda x: x[tag] != "O")
+    rows = cut_runs(rows, items, lambda x, before: ~goes_on(x[tag], before[tag]), wanted, f"_runs{n}")
+
+    def one(r: Column) -> Column:
+        text = [F.array_join(r[word], " ").alias("text")] if word else []
+        return F.struct(F.lit(n).alias("nth"), lb.bare(F.get(r, F.lit(0))[tag]).alias("label"), F.get(r, F.lit(0))["pos"].alias("first"), F.get(r, F.size(r) - 1)["pos"].alias("last"), *text)
+
+    return rows.withColumn(f"_runs{n}", F.transform(f"_runs{n}", one))
+
+
 def entity_texts(tokens: DataFrame, tag: str, word: str = "word", key: str = "doc_id", pos: str = "pos", separator: str = " ") -> DataFrame:
     """Entities of IOB2 tags as texts: key, label, first, text."""
     w = Window.partitionBy(key).orderBy(pos)

@@ -35,6 +35,29 @@ def copy_and_tag(tokens: DataFrame, labels: Sequence[str], tag: str = "iob2", wo
     return out if docs is None else docs.select(key).join(out, key, "left").withColumn("tagged", F.coalesce("tagged", F.lit("")))
 
 
+def listed(rows: DataFrame, labels: Sequence[str], key: str = "doc_id", runs: str = "runs", end: str = "[END]") -> DataFrame:
+    """entity_lists() of documents with a list of their entities (label, text) in order."""
+    texts = lambda label: F.array_join(F.array_distinct(F.transform(F.filter(runs, lambda r: r["label"] == label), lambda r: r["text"])), ", ")
+    line = lambda label: F.concat(F.lit(f"{label}: "), F.coalesce(texts(label), F.lit("")), F.lit(" \n"))
+    return rows.select(key, F.concat(*[line(x) for x in labels], F.lit(f" {end}")).alias("output_text"))
+
+
+def copy_lists(rows: DataFrame, labels: Sequence[str], tag: str = "iob2", word: str = "word", key: str = "doc_id", items: str = "tokens", close_last: bool = True) -> DataFrame:
+    """copy_and_tag() of documents with a list of their tokens; without tokens they are empty texts."""
+    wanted = lambda x: F.when((x[tag] != "O") & lb.bare(x[tag]).isin(*labels), lb.bare(x[tag]))
+    mark = lambda open_, label: F.concat(F.lit(open_), label, F.lit("> "))
+
+    def shown(x: Column, i: Column) -> Column:
+        inside, before = F.get("_inside", i), F.get("_inside", i - 1)
+        close = F.when(before.isNotNull() & ~x[tag].startswith("I-"), mark("</", before)).otherwise("")
+        opened = F.when(inside.isNotNull() & x[tag].startswith("B-"), mark("<", inside)).otherwise("")
+        end = F.when((i == F.size(items) - 1) & inside.isNotNull(), mark("</", inside)).otherwise("") if close_last else F.lit("")
+        return F.concat(close, opened, x[word], F.lit(" "), end)
+
+    rows = rows.withColumn("_inside", F.transform(items, wanted))
+    return rows.select(key, F.coalesce(F.array_join(F.transform(items, shown), ""), F.lit("")).alias("tagged"))
+
+
 def next_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", asks: str = "user", answers: str = "assistant") -> DataFrame:
     """A question and the answer that follows it: conv, turn, question, answer."""
     w = Window.partitionBy(conv).orderBy(turn)

@@ -2,29 +2,104 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 PIECE = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]"
 
 
-def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_trailing_word: bool = False) -> DataFrame:
-    """key, pos, start, end, word: one row for each token, offsets in characters from 0.
+@F.arrow_udf(returnType=ArrayType(StructType([StructField("pos", IntegerType()), StructField("start", LongType()), StructField("end", LongType()), StructField("word", StringType())])))
+def _placed(pieces: pa.Array) -> pa.Array:
+    """Of lists of pieces of texts, spaces included, those that are no space, with their places."""
+    at = np.asarray(pieces.offsets, dtype=np.int64)
+    at, words = at - at[0], pieces.flatten()
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(words), dtype=np.int64))])
+    kept = np.asarray(pc.not_equal(words, " "), dtype=bool)
+    before = np.concatenate([[0], np.cumsum(kept)])[at]
+    text = np.repeat(np.arange(len(pieces)), np.diff(at))[kept]
+    starts, ends = ends[:-1][kept] - ends[at[text]], ends[1:][kept] - ends[at[text]]
+    pos = np.arange(len(text)) - before[text]
+    items = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(starts), pa.array(ends), words.filter(pa.array(kept))], names=["pos", "start", "end", "word"])
+    none = pieces.is_null()
+    return pa.ListArray.from_arrays(pa.array(before, pa.int32()), items, mask=none if pieces.null_count else None)
+
+
+def token_lists(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_trailing_word: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """key, tokens (array of pos, start, end, word; null for a null text) and what to keep: one row for each document, offsets in characters from 0.
 
     A token is a run of letters and digits or any other character but the space.
-    Documents are dealt out by key while each is one row; then the pieces of a text,
-    spaces included, are exploded, and their lengths summed along the document. What
-    follows by key (labels, islands, panels) stays in its partition: no token is shuffled.
+    Documents are dealt out by key and stay one row each: whatever follows along a document
+    (labels, runs, panels) is done in its array, so that tokens are neither shuffled nor
+    sorted and a task holds one batch of documents, however many it goes through.
     """
-    pieces = docs.select(key, text).repartition(key).select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))).alias("i", "word"))
-    along = Window.partitionBy(key).orderBy("i")
-    placed = pieces.withColumn("end", F.sum(F.length("word")).over(along))
+    rows = docs.select(key, text, *keep).repartition(key).select(key, *keep, F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0)).alias("_pieces"))
     if drop_trailing_word:
         # A word that runs to the end of the text is never followed by what would end it.
-        placed = placed.withColumn("final", F.lead("word").over(along).isNull() & F.col("word").rlike(r"^[\p{L}\p{N}]"))
-        placed = placed.where(~F.col("final"))
-    kept = placed.where("word <> ' '").withColumn("pos", F.row_number().over(along) - 1)
-    return kept.select(key, F.col("pos").cast("int").alias("pos"), (F.col("end") - F.length("word")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), "word")
+        n = F.size("_pieces")
+        rows = rows.withColumn("_pieces", F.when(F.get("_pieces", n - 1).rlike(r"^[\p{L}\p{N}]"), F.slice("_pieces", 1, F.greatest(n - 1, F.lit(0)))).otherwise(F.col("_pieces")))
+    return rows.select(key, *keep, _placed("_pieces").alias("tokens"))
+
+
+def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", drop_trailing_word: bool = False) -> DataFrame:
+    """key, pos, start, end, word: token_lists() as one row for each token."""
+    return rows_of(token_lists(docs, key, text, drop_trailing_word), "tokens", key)
+
+
+def rows_of(rows: DataFrame, items: str, *keys: str) -> DataFrame:
+    """keys and the fields of each struct of a list, a row for each.
+
+    Of a plain inline Spark has it that the list is not empty, and pushes that below what
+    makes the list, lambdas in lambdas, which then costs the square of its length. An outer one
+    is left alone.
+    """
+    return rows.select(*keys, F.posexplode_outer(items).alias("_i", "_x")).where("_i is not null").select(*keys, "_x.*")
+
+
+def with_field(items: str, name: str, value: Callable[[Column, Column], Column]) -> Column:
+    """A list of structs with one more field, from an item and its place."""
+    return F.transform(items, lambda x, i: x.withField(name, value(x, i)))
+
+
+def cut_runs(rows: DataFrame, items: str, begins: Callable[[Column, Column], Column], wanted: Callable[[Column], Column] | None = None, name: str = "runs") -> DataFrame:
+    """rows with a list of the runs of a list: an item for which begins(item, the one before, null at first) holds begins one; wanted: of a run's first item."""
+    at = F.filter(F.transform(items, lambda x, i: F.when(begins(x, F.get(items, i - 1)), i)), lambda i: i.isNotNull())
+    runs = F.transform("_at", lambda i, k: F.struct(i.alias("a"), F.coalesce(F.get("_at", k + 1), F.size(items)).alias("b")))
+    if wanted is not None:
+        runs = F.filter(runs, lambda r: wanted(F.get(items, r["a"])))
+    return rows.withColumn("_at", at).withColumn(name, F.transform(runs, lambda r: F.slice(items, r["a"] + 1, r["b"] - r["a"]))).drop("_at")
+
+
+def last_places(rows: DataFrame, points: Column, starts: Column, name: str) -> DataFrame:
+    """rows with, for each of a list of points, the place in starts (a list, ascending) of the last one at or before it; null if none is. As as_of(), within rows.
+
+    In a step of its own and not a function of columns, since Spark would write the lists out in
+    full, lambdas in lambdas, wherever they go into a Python function.
+    """
+    given = rows.select("*", points.cast("array<bigint>").alias("_points"), starts.cast("array<bigint>").alias("_starts"))
+    schema = StructType([*rows.schema.fields, StructField(name, ArrayType(IntegerType()))])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _last_places(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], found], names=[*batch.schema.names[:-2], name])
+
+    return given.mapInArrow(each, schema)
+
+
+def _last_places(points: pa.Array, starts: pa.Array) -> pa.Array:
+    lists = [(np.asarray(x.offsets, dtype=np.int64), np.asarray(x.flatten(), dtype=np.int64)) for x in (points, starts)]
+    (p_at, p), (s_at, s) = [(at - at[0], x) for at, x in lists]
+    # Rows are set apart by more than any value, so that one search does for all.
+    far = int(max(p.max(initial=0), s.max(initial=0))) + 1
+    row = lambda at: np.repeat(np.arange(len(at) - 1), np.diff(at))
+    found = np.searchsorted(s + row(s_at) * far, p + row(p_at) * far, side="right") - 1 - s_at[row(p_at)]
+    return pa.ListArray.from_arrays(pa.array(p_at, pa.int32()), pa.array(found, pa.int32(), mask=found < 0), mask=points.is_null() if points.null_count else None)
 
 
 def collected(rows: DataFrame, key: str, pos: str, *columns: str) -> DataFrame:

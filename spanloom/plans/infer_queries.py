@@ -14,7 +14,7 @@ from ..operators import seq2seq as sq
 from ..operators import splits as sp
 from ..operators import tokens as tk
 from .eval_queries import runs_sql
-from .text_queries import TOKENS, labelled
+from .text_queries import TOKENS, labelled_lists, with_tokens
 from .tree import table
 
 QUERIES: dict = {}
@@ -102,8 +102,9 @@ ISLANDS = TOKENS + """, tagged AS (SELECT doc_id, pos, "start", "end", iob2 AS t
 
 @query(ISLANDS + 'SELECT doc_id, entity_group, "start", "end", round(score, 9) AS score FROM groups')
 def entity_islands(spark, sf_dir):
-    t = labelled(spark, sf_dir).withColumn("length", F.length("word").cast("double"))
-    return inf.group_entities(t, "doc_id", "pos", "iob2", "length").select("doc_id", "entity_group", "start", "end", F.round("score", 9).alias("score"))
+    t = labelled_lists(spark, sf_dir).withColumn("tokens", tk.with_field("tokens", "length", lambda x, i: F.length(x["word"]).cast("double")))
+    groups = tk.rows_of(inf.group_lists(t, "iob2", "length"), "groups", "doc_id")
+    return groups.select("doc_id", "entity_group", "start", "end", F.round("score", 9).alias("score"))
 
 
 PANELS = TOKENS + """, ptag AS (SELECT doc_id, pos, "start", "end", CASE WHEN substr(md5(word), 1, 2) = '0f' OR word = '|' THEN 'B-PANEL_START' ELSE 'O' END AS tag FROM tok)
@@ -114,10 +115,15 @@ PANELS = TOKENS + """, ptag AS (SELECT doc_id, pos, "start", "end", CASE WHEN su
 """
 
 
+def with_panels(rows):
+    """Documents' token lists with a list of their panels."""
+    mark = lambda w: F.when((F.substring(F.md5(w), 1, 2) == "0f") | (w == "|"), "B-PANEL_START").otherwise("O")
+    tagged = rows.withColumn("_tagged", tk.with_field("tokens", "tag", lambda x, i: mark(x["word"])))
+    return inf.panel_lists(inf.group_lists(tagged, "tag", items="_tagged", name="_groups").drop("_tagged"), "_groups").drop("_groups")
+
+
 def panel_table(spark, sf_dir):
-    t = tk.tokens(table(spark, sf_dir, "documents"))
-    tag = F.when((F.substring(F.md5("word"), 1, 2) == "0f") | (F.col("word") == "|"), "B-PANEL_START").otherwise("O")
-    return inf.panels(inf.group_entities(t.withColumn("tag", tag), "doc_id", "pos", "tag"), "doc_id")
+    return tk.rows_of(with_panels(tk.token_lists(table(spark, sf_dir, "documents"))), "panels", "doc_id")
 
 
 @query(PANELS + "SELECT * FROM panels")
@@ -141,26 +147,33 @@ INSIDE = once(PANELS + runs_sql("gold", "iob2", "ent0")) + """, ent AS MATERIALI
 
 
 def entity_table(spark, sf_dir):
-    groups = inf.group_entities(labelled(spark, sf_dir), "doc_id", "pos", "iob2", word="word").where("entity_group <> 'O'")
+    groups = tk.rows_of(inf.group_lists(labelled_lists(spark, sf_dir), "iob2", word="word", entities=True), "groups", "doc_id")
     return groups.select("doc_id", F.col("entity_group").alias("type"), "start", "end", "text")
 
 
 @query(INSIDE + "SELECT doc_id, panel, type, \"start\", \"end\" FROM inside")
 def entity_in_panel(spark, sf_dir):
-    groups = inf.group_entities(labelled(spark, sf_dir), "doc_id", "pos", "iob2").where("entity_group <> 'O'").select("doc_id", F.col("entity_group").alias("type"), "start", "end")
-    return inf.entities_in_panels(groups, panel_table(spark, sf_dir), "doc_id").select("doc_id", "panel", "type", "start", "end")
+    rows = inf.group_lists(with_panels(labelled_lists(spark, sf_dir)), "iob2", entities=True, name="entities").drop("tokens")
+    inside = tk.rows_of(inf.inside_panels(rows), "entities", "doc_id")
+    return inside.select("doc_id", "panel", F.col("entity_group").alias("type"), "start", "end")
 
 
 @query(TOKENS + runs_sql("gold", "iob2", "ent0") + """, span AS (SELECT e.doc_id, a."start" AS s, b."end" AS e FROM ent0 e JOIN tok a ON e.doc_id = a.doc_id AND e.first = a.pos JOIN tok b ON e.doc_id = b.doc_id AND e.last = b.pos)
 SELECT p.doc_id, string_agg(CASE WHEN s IS NULL THEN piece WHEN p.e - length(piece) = s THEN '[MASK]' ELSE '' END, '' ORDER BY i) AS masked FROM placed p LEFT JOIN span ON p.doc_id = span.doc_id AND p.e - length(piece) >= s AND p.e - length(piece) < span.e GROUP BY p.doc_id""")
 def mask_sentence(spark, sf_dir):
-    spans = inf.group_entities(labelled(spark, sf_dir), "doc_id", "pos", "iob2").where("entity_group <> 'O'").select("doc_id", "start", "end")
-    return inf.masked_sentences(table(spark, sf_dir, "documents"), spans)
+    rows = labelled_lists(spark, sf_dir, keep=["text"])
+    return inf.masked_lists(inf.group_lists(rows, "iob2", entities=True, name="spans"))
 
 
 ROLE = "CASE substr(md5(text), 1, 1) WHEN '0' THEN 'intervention' WHEN '1' THEN 'intervention' WHEN '2' THEN 'assayed' WHEN '3' THEN 'assayed' END"
 
 
+def role_of(text):
+    """As ROLE has it."""
+    h = F.substring(F.md5(text), 1, 1)
+    return F.when(h.isin("0", "1"), "intervention").when(h.isin("2", "3"), "assayed")
+
+
 @query(INSIDE + f'SELECT doc_id, type, "start", "end", {ROLE} AS role FROM ent')
 def attach_roles(spark, sf_dir):
     e = entity_table(spark, sf_dir)
@@ -173,7 +186,9 @@ def attach_roles(spark, sf_dir):
 @query(INSIDE + f""", held AS (SELECT doc_id, panel, list({{'start': "start", 'end': "end", 'text': text, 'type': type, 'role': {ROLE}}} ORDER BY "start") AS entities FROM inside GROUP BY doc_id, panel)
 SELECT p.doc_id, CAST(to_json(list({{'panel': p.panel, 'start': p."start", 'end': p."end", 'entities': coalesce(h.entities, [])}} ORDER BY p.panel)) AS VARCHAR) AS tagged FROM panels p LEFT JOIN held h ON p.doc_id = h.doc_id AND p.panel = h.panel GROUP BY p.doc_id""")
 def tagged_json(spark, sf_dir):
-    return inf.panels_json(panel_table(spark, sf_dir), entity_table(spark, sf_dir).withColumn("role", F.expr(ROLE)), "doc_id")
+    rows = inf.group_lists(with_panels(labelled_lists(spark, sf_dir, with_tokens(spark, sf_dir))), "iob2", word="word", entities=True, name="entities")
+    role = F.transform("entities", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["entity_group"].alias("type"), role_of(x["text"]).alias("role")))
+    return inf.json_lists(rows.select("doc_id", "panels", role.alias("entities")), "doc_id")
 
 
 LABELS = ("GENEPROD", "TISSUE")
@@ -183,7 +198,7 @@ LABELS = ("GENEPROD", "TISSUE")
 , listed AS (SELECT doc_id, string_agg(text, ', ' ORDER BY first) FILTER (label = 'GENEPROD') AS a, string_agg(text, ', ' ORDER BY first) FILTER (label = 'TISSUE') AS b FROM once GROUP BY doc_id)
 SELECT documents.doc_id, concat('GENEPROD: ', a, ' ', chr(10), 'TISSUE: ', b, ' ', chr(10), ' [END]') AS output_text FROM documents LEFT JOIN listed USING (doc_id)""")
 def entity_list_text(spark, sf_dir):
-    return sq.entity_lists(ls.entity_texts(labelled(spark, sf_dir), "iob2"), table(spark, sf_dir, "documents"), LABELS)
+    return sq.listed(ls.run_lists(labelled_lists(spark, sf_dir), ["iob2"], word="word"), LABELS)
 
 
 COPY = TOKENS + """, ins AS (SELECT *, CASE WHEN iob2 <> 'O' AND label IN ('GENEPROD', 'TISSUE') THEN label END AS inside FROM gold)
@@ -194,7 +209,7 @@ COPY = TOKENS + """, ins AS (SELECT *, CASE WHEN iob2 <> 'O' AND label IN ('GENE
 
 @query(COPY + "SELECT doc_id, coalesce(tagged, '') AS tagged FROM documents LEFT JOIN copied USING (doc_id)")
 def copy_and_tag(spark, sf_dir):
-    return sq.copy_and_tag(labelled(spark, sf_dir), LABELS, docs=table(spark, sf_dir, "documents"))
+    return sq.copy_lists(labelled_lists(spark, sf_dir), LABELS)
 
 
 @query(COPY + "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(coalesce(tagged, ''), '<GENEPROD> (.*?) </GENEPROD>', 1))) AS geneprods FROM documents LEFT JOIN copied USING (doc_id)")

@@ -40,12 +40,17 @@ def query(sql: str | None):
     return add
 
 
+def labelled_lists(spark, sf_dir, docs=None, keep=()):
+    """Documents' tokens as lists, with a label from a hash of the word, as a lexicon would give, and its IOB2 tag."""
+    t = tk.token_lists(table(spark, sf_dir, "documents") if docs is None else docs, keep=keep)
+    h = t.withColumn("_h", F.transform("tokens", lambda x: F.substring(F.md5(F.lower(x["word"])), 1, 1)))
+    label = lambda c: F.when(c == "0", "GENEPROD").when(c == "1", "SMALL_MOLECULE").when(c == "2", "TISSUE").otherwise("O")
+    return ls.iob2_lists(h.withColumn("tokens", tk.with_field("tokens", "label", lambda x, i: label(F.get("_h", i)))).drop("_h"), "label")
+
+
 def labelled(spark, sf_dir):
-    """Tokens of documents with a label from a hash of the word, as a lexicon would give, and its IOB2 tag."""
-    t = tk.tokens(table(spark, sf_dir, "documents"))
-    h = F.substring(F.md5(F.lower("word")), 1, 1)
-    t = t.withColumn("label", F.when(h == "0", "GENEPROD").when(h == "1", "SMALL_MOLECULE").when(h == "2", "TISSUE").otherwise("O"))
-    return ls.iob2(t, "label")
+    """labelled_lists(), a row for each token."""
+    return tk.rows_of(labelled_lists(spark, sf_dir), "tokens", "doc_id")
 
 
 CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\r\n\t]', ' ', 'g'), ' +', ' ', 'g'), '[–—‐−]', '-', 'g'), '^[Aa]bstract', '')"
@@ -286,24 +291,39 @@ def pos_mask_det(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", lb.mask(pos_tags(tx.words("text")), lb.POS_MASKS["DET"]).alias("tag_mask"))
 
 
+def with_tokens(spark, sf_dir):
+    """Documents that have a token: anything but spaces."""
+    return table(spark, sf_dir, "documents").where(F.col("text").rlike("[^ ]"))
+
+
 @query(TOKENS + "SELECT doc_id, list(CASE WHEN iob2 IN ('B-GENEPROD', 'I-GENEPROD') THEN 1 ELSE 0 END ORDER BY pos) AS tag_mask FROM gold GROUP BY doc_id")
 def role_mask(spark, sf_dir):
-    return tk.collected(labelled(spark, sf_dir), "doc_id", "pos", "iob2").select("doc_id", lb.mask("iob2", ["B-GENEPROD", "I-GENEPROD"]).alias("tag_mask"))
+    rows = labelled_lists(spark, sf_dir, with_tokens(spark, sf_dir))
+    return rows.select("doc_id", lb.mask(F.col("tokens")["iob2"], ["B-GENEPROD", "I-GENEPROD"]).alias("tag_mask"))
 
 
 IDS = "CASE iob2 WHEN 'B-SMALL_MOLECULE' THEN 1 WHEN 'I-SMALL_MOLECULE' THEN 2 WHEN 'B-GENEPROD' THEN 3 WHEN 'I-GENEPROD' THEN 4 WHEN 'B-TISSUE' THEN 9 WHEN 'I-TISSUE' THEN 10 ELSE 0 END"
 
 
+def label_id(tag):
+    """The id of a tag, as IDS has it."""
+    out = F.when(tag == "B-SMALL_MOLECULE", 1)
+    for name, k in (("I-SMALL_MOLECULE", 2), ("B-GENEPROD", 3), ("I-GENEPROD", 4), ("B-TISSUE", 9), ("I-TISSUE", 10)):
+        out = out.when(tag == name, k)
+    return out.otherwise(0)
+
+
 @query(TOKENS + f"SELECT doc_id, list(CASE WHEN {IDS} > 0 THEN 1 ELSE 0 END ORDER BY pos) AS tag_mask FROM gold GROUP BY doc_id")
 def tag_mask(spark, sf_dir):
-    t = labelled(spark, sf_dir).withColumn("label_id", F.expr(IDS))
-    return tk.collected(t, "doc_id", "pos", "label_id").select("doc_id", lb.nonzero_mask("label_id").alias("tag_mask"))
+    rows = labelled_lists(spark, sf_dir, with_tokens(spark, sf_dir))
+    return rows.select("doc_id", F.transform(F.col("tokens")["iob2"], label_id).alias("ids")).select("doc_id", lb.nonzero_mask("ids").alias("tag_mask"))
 
 
 @query(TOKENS + f"SELECT doc_id, list(CASE WHEN pos = 0 THEN -100 WHEN {IDS} = 3 THEN 1 WHEN {IDS} = 4 THEN 2 ELSE 0 END ORDER BY pos) AS labels FROM gold GROUP BY doc_id")
 def label_subset(spark, sf_dir):
-    t = labelled(spark, sf_dir).withColumn("label_id", F.when(F.col("pos") == 0, lb.IGNORE).otherwise(F.expr(IDS)))
-    return tk.collected(t, "doc_id", "pos", "label_id").select("doc_id", lb.subset("label_id", {3: 1, 4: 2}).alias("labels"))
+    rows = labelled_lists(spark, sf_dir, with_tokens(spark, sf_dir))
+    ids = F.transform(F.col("tokens")["iob2"], lambda x, i: F.when(i == 0, lb.IGNORE).otherwise(label_id(x)))
+    return rows.select("doc_id", ids.alias("ids")).select("doc_id", lb.subset("ids", {3: 1, 4: 2}).alias("labels"))
 
 
 @query(TOKENS + f"""SELECT doc_id, pos AS word_id, CAST(k AS INTEGER) AS sub_pos, CASE WHEN k = 0 THEN id WHEN id > 0 AND id % 2 = 1 THEN id + 1 ELSE id END AS label FROM
