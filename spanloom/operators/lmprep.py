@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions import text as tx
-from .tokens import as_of, collected, islands, tokens
+from .tokens import as_of, collected, cut_runs, islands, tokens
 
 #: Ids at the ends of an example, and the part of speech of what is no word.
 BOS, EOS, NO_TAG = 0, 2, "X"
@@ -70,6 +70,21 @@ def examples(tagged: DataFrame, max_length: int, key: str = "doc_id", bos: int =
     return held.select(key, F.array(F.lit(max_length)).alias("max_length"), around(bos, F.col("id"), eos).alias("input_ids"), around(NO_TAG, F.col("tag"), NO_TAG).alias("label_ids"), around(1, zeros, 1).alias("special_tokens_mask"))
 
 
+def example_lists(rows: DataFrame, max_length: int, key: str = "doc_id", items: str = "subs", first: int = 0, bos: int = BOS, eos: int = EOS, name: str = "example") -> DataFrame:
+    """examples() of documents with a list of their tagged tokens (id, tag): rows with a struct of max_length, input_ids, label_ids, special_tokens_mask of the tokens from first on; null if there is none."""
+    rows = rows.withColumn("_held", F.slice(items, first + 1, max_length - 2))
+    around = lambda a, x, b: F.concat(F.array(F.lit(a)), x, F.array(F.lit(b)))
+    whole = F.struct(F.array(F.lit(max_length)).alias("max_length"), around(bos, F.col("_held")["id"], eos).alias("input_ids"), around(NO_TAG, F.col("_held")["tag"], NO_TAG).alias("label_ids"), around(1, F.transform("_held", lambda _: F.lit(0)), 1).alias("special_tokens_mask"))
+    return rows.withColumn(name, F.when(F.size("_held") > 0, whole)).drop("_held")
+
+
+def twin_lists(rows: DataFrame, left: str, right: str, name: str = "twin") -> DataFrame:
+    """twin_examples() of two structs of example_lists() of the same row; null unless there are both."""
+    columns = ("input_ids", "label_ids", "special_tokens_mask")
+    both = F.struct(F.concat(F.col(left)["max_length"], F.col(right)["max_length"]).alias("max_length"), *[F.array(F.col(left)[c], F.col(right)[c]).alias(c) for c in columns])
+    return rows.withColumn(name, F.when(F.col(left).isNotNull() & F.col(right).isNotNull(), both))
+
+
 def twin_examples(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
     """Examples of two texts side by side, as nested arrays."""
     columns = ("input_ids", "label_ids", "special_tokens_mask")
@@ -152,6 +167,12 @@ def word_groups(subs: DataFrame, is_subword: str, key: str = "doc_id", pos: str
     return islands(subs, key, pos, ~F.col(is_subword) | (F.lag(pos).over(Window.partitionBy(key).orderBy(pos)).isNull()), name).withColumn(name, F.col(name) - 1)
 
 
+def word_lists(rows: DataFrame, is_subword: str, items: str, name: str = "words") -> DataFrame:
+    """word_groups() within lists: rows with a list of pos and word_id of each token."""
+    runs = cut_runs(rows, items, lambda x, before: before.isNull() | ~x[is_subword], name="_runs")
+    return runs.withColumn(name, F.flatten(F.transform("_runs", lambda r, k: F.transform(r, lambda x: F.struct(x["pos"].alias("pos"), k.cast("long").alias("word_id")))))).drop("_runs")
+
+
 def stitch_trimmed(chunks: DataFrame, key: str, values: str, stride: int, chunk: str = "chunk") -> DataFrame:
     """key, values: the values (an array of one for each token, special ones included) of overlapping windows end to end.
 
