@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
-from .labelseq import runs_of
+from .labelseq import run_lists, runs_of
+from .tokens import rows_of
 
 
 def token_accuracy(tokens: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -38,6 +39,13 @@ def match_tags(tokens: DataFrame, truth: str, predicted: str, key: str = "doc_id
     return spans.groupBy(key, "label", "first", "last").agg(*([F.max("text").alias("text")] if word else []), F.bool_or(F.col("nth") == 0).alias("in_truth"), F.bool_or(F.col("nth") == 1).alias("in_predicted"))
 
 
+def match_lists(rows: DataFrame, truth: str, predicted: str, key: str = "doc_id", word: str | None = None, strict: bool = False, keep: Sequence[str] = (), on: Sequence[str] = ("label", "first", "last")) -> DataFrame:
+    """match_tags() of documents with a list of their tokens; keep: columns of the document; on: what equal spans have in common."""
+    spans = rows_of(run_lists(rows, [truth, predicted], strict, word), "runs", key, *keep)
+    more = (["text"] if word else []) + list(keep)
+    return spans.groupBy(key, *on).agg(*[F.max(c).alias(c) for c in more], F.bool_or(F.col("nth") == 0).alias("in_truth"), F.bool_or(F.col("nth") == 1).alias("in_predicted"))
+
+
 def counts() -> list[Column]:
     t, p = F.col("in_truth"), F.col("in_predicted")
     return [F.sum((t & p).cast("long")).alias("tp"), F.sum((~t & p).cast("long")).alias("fp"), F.sum((t & ~p).cast("long")).alias("fn")]
@@ -88,7 +96,11 @@ def memorisation(matched: DataFrame, split: DataFrame, key: str = "doc_id") -> D
 
 def boundaries(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
     """Each boundary as TP, FN or FP."""
-    m = match(truth, predicted, *keys)
+    return outcomes(match(truth, predicted, *keys), *keys)
+
+
+def outcomes(m: DataFrame, *keys: str) -> DataFrame:
+    """Matched boundaries as TP, FN or FP."""
     kind = F.when(F.col("in_truth") & F.col("in_predicted"), "TP").when(F.col("in_truth"), "FN").otherwise("FP")
     return m.select(*keys, kind.alias("outcome"))
 

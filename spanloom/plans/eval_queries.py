@@ -8,7 +8,8 @@ from ..functions import labels as lb
 from ..operators import labelseq as ls
 from ..operators import metrics as m
 from ..operators import splits as sp
-from .text_queries import TOKENS, labelled
+from ..operators import tokens as tk
+from .text_queries import TOKENS, labelled_lists
 from .tree import table
 
 QUERIES: dict = {}
@@ -67,40 +68,57 @@ MATCH = """SELECT {keys}, t.first IS NOT NULL AS in_truth, g.first IS NOT NULL A
 COUNTS = "CAST(count(*) FILTER (in_truth AND in_predicted) AS BIGINT) AS tp, CAST(count(*) FILTER (NOT in_truth AND in_predicted) AS BIGINT) AS fp, CAST(count(*) FILTER (in_truth AND NOT in_predicted) AS BIGINT) AS fn"
 
 
+def predicted_lists(spark, sf_dir):
+    """labelled_lists() with a predicted tag from a hash of the word and its place."""
+    rows = labelled_lists(spark, sf_dir)
+    h = rows.withColumn("_h", F.transform("tokens", lambda x: F.substring(F.md5(F.concat(x["word"], F.lit("/"), x["pos"].cast("string"))), 1, 1)))
+    tag = lambda c, x: F.when(c.isin("0", "1"), "O").when(c == "2", "I-GENEPROD").otherwise(x["iob2"])
+    return h.withColumn("tokens", tk.with_field("tokens", "predicted", lambda x, i: tag(F.get("_h", i), x))).drop("_h")
+
+
 def predicted(spark, sf_dir):
-    t = labelled(spark, sf_dir)
-    h = F.substring(F.md5(F.concat("word", F.lit("/"), F.col("pos").cast("string"))), 1, 1)
-    return t.withColumn("predicted", F.when(h.isin("0", "1"), "O").when(h == "2", "I-GENEPROD").otherwise(F.col("iob2")))
+    return tk.rows_of(predicted_lists(spark, sf_dir), "tokens", "doc_id")
 
 
 def matched(spark, sf_dir, strict):
-    return m.match_tags(predicted(spark, sf_dir), "iob2", "predicted", strict=strict)
+    return m.match_lists(predicted_lists(spark, sf_dir), "iob2", "predicted", strict=strict)
 
 
 @query(BOTH + "SELECT doc_id, label, first, text FROM truth")
 def entity_runs(spark, sf_dir):
-    return ls.entity_texts(labelled(spark, sf_dir), "iob2")
+    return entities(labelled_lists(spark, sf_dir))
 
 
 ENT = BOTH + f", split AS ({SPLIT}), train_ent AS (SELECT DISTINCT label, text FROM truth JOIN split USING (doc_id) WHERE split = 'train'), test_ent AS (SELECT DISTINCT label, text FROM truth JOIN split USING (doc_id) WHERE split = 'test'), only_test AS (SELECT * FROM test_ent EXCEPT SELECT * FROM train_ent)"
 
 
-def entities_by_split(spark, sf_dir):
-    split = sp.document_split(table(spark, sf_dir, "documents"))
-    return ls.entity_texts(labelled(spark, sf_dir), "iob2").join(split, "doc_id")
+def entities(rows, *keep):
+    return tk.rows_of(ls.run_lists(rows, ["iob2"], word="word"), "runs", "doc_id", *keep).select("doc_id", *keep, "label", "first", "text")
+
+
+def entities_by_split(spark, sf_dir, *wanted):
+    """Entities of the documents of some splits; the split goes with the document, before it is tokens."""
+    docs = table(spark, sf_dir, "documents")
+    split = sp.document_split(docs).where(F.col("split").isin(*wanted))
+    return entities(labelled_lists(spark, sf_dir, docs.select("doc_id", "text").join(split, "doc_id"), ["split"]), "split")
+
+
+def only_in_test(spark, sf_dir):
+    """label, text of entities that test documents have and training documents have not, from one grouping that is summed on the map side."""
+    e = entities_by_split(spark, sf_dir, "test", "train").groupBy("label", "text").agg(F.bool_or(F.col("split") == "test").alias("tested"), F.bool_or(F.col("split") == "train").alias("trained"))
+    return e.where("tested and not trained").select("label", "text")
 
 
 @query(ENT + "SELECT label, text FROM only_test")
 def test_only_entities(spark, sf_dir):
-    e = entities_by_split(spark, sf_dir)
-    return sp.only_in(e.where("split = 'test'"), e.where("split = 'train'"), "label", "text")
+    return only_in_test(spark, sf_dir)
 
 
 @query(ENT + "SELECT doc_id, first, label, text, (label, text) IN (SELECT (label, text) FROM only_test) AS only_in_test FROM truth JOIN split USING (doc_id) WHERE split = 'test'")
 def only_in_test_mask(spark, sf_dir):
-    e = entities_by_split(spark, sf_dir)
-    fresh = sp.only_in(e.where("split = 'test'"), e.where("split = 'train'"), "label", "text").withColumn("only_in_test", F.lit(True))
-    return e.where("split = 'test'").join(fresh, ["label", "text"], "left").select("doc_id", "first", "label", "text", F.coalesce("only_in_test", F.lit(False)).alias("only_in_test"))
+    fresh = only_in_test(spark, sf_dir).withColumn("only_in_test", F.lit(True))
+    tested = entities_by_split(spark, sf_dir, "test")
+    return tested.join(fresh, ["label", "text"], "left").select("doc_id", "first", "label", "text", F.coalesce("only_in_test", F.lit(False)).alias("only_in_test"))
 
 
 @query(ENT + """, seen AS (SELECT coalesce(t.label, g.label) AS label, coalesce(t.text, g.text) AS text, t.first IS NOT NULL AS in_truth, g.first IS NOT NULL AS in_predicted, coalesce(t.doc_id, g.doc_id) AS doc_id
@@ -109,8 +127,7 @@ def only_in_test_mask(spark, sf_dir):
 SELECT in_training, label, tp, fp, fn, """ + RATES.format(9) + ", tp + fn AS support FROM (SELECT in_training, label, " + COUNTS + " FROM flagged GROUP BY in_training, label)")
 def memorization_report(spark, sf_dir):
     split = sp.document_split(table(spark, sf_dir, "documents"))
-    tags = predicted(spark, sf_dir)
-    return m.memorisation(m.match_tags(tags, "iob2", "predicted", word="word"), split)
+    return m.memorisation(m.match_lists(predicted_lists(spark, sf_dir), "iob2", "predicted", word="word"), split)
 
 
 @query(PRED + "SELECT round(avg(CASE WHEN iob2 = predicted THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS accuracy, count(*) AS n FROM pred")
@@ -154,5 +171,4 @@ def masked_recall(spark, sf_dir):
 
 @query(BOTH + "SELECT coalesce(t.doc_id, g.doc_id) AS doc_id, coalesce(t.first, g.first) AS first, CASE WHEN t.first IS NOT NULL AND g.first IS NOT NULL THEN 'TP' WHEN t.first IS NOT NULL THEN 'FN' ELSE 'FP' END AS outcome FROM truth t FULL JOIN guess g ON t.doc_id = g.doc_id AND t.first = g.first")
 def boundary_tp_fp_fn(spark, sf_dir):
-    t = predicted(spark, sf_dir)
-    return m.boundaries(ls.runs(t, "iob2").select("doc_id", "first"), ls.runs(t, "predicted").select("doc_id", "first"), "doc_id", "first")
+    return m.outcomes(m.match_lists(predicted_lists(spark, sf_dir), "iob2", "predicted", on=("first",)), "doc_id", "first")
