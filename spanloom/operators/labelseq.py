@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
-from .tokens import as_of, cut_runs, islands, with_field, words_in_order
+from .tokens import as_of, cut_runs, islands, last_places, rows_of, with_field, words_in_order
 
 
 def iob2(tokens: DataFrame, label: str, key: str = "doc_id", pos: str = "pos", name: str = "iob2") -> DataFrame:
@@ -122,6 +122,16 @@ def char_iob2(spans: DataFrame, texts: DataFrame, key: str = "doc_id", text: str
     return iob2(labelled, "label", key, "i").select(key, "i", "iob2")
 
 
+def char_lists(rows: DataFrame, key: str = "doc_id", text: str = "text", spans: str = "spans") -> DataFrame:
+    """char_iob2() where a list of the spans (start, end, label) in order goes with each text."""
+    chars = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1))
+    rows = last_places(rows.select(key, spans, chars.alias("_chars")), F.col("_chars"), F.col(spans)["start"], "_at")
+    over = lambda i: F.get(spans, F.get("_at", i))
+    labels = F.transform("_chars", lambda c, i: F.struct(c.alias("i"), F.when(c < over(i)["end"], over(i)["label"]).otherwise("O").alias("label")))
+    marked = iob2_lists(rows.select(key, labels.alias("_chars")), "label", "_chars")
+    return rows_of(marked, "_chars", key).select(key, "i", "iob2")
+
+
 def histogram(labels: DataFrame, label: str = "label") -> DataFrame:
     """Exact counts; ignored ids (below 0) are left out where labels are ids."""
     rows = labels.where(F.col(label) >= 0) if dict(labels.dtypes)[label] in ("int", "bigint") else labels.where(F.col(label).isNotNull())

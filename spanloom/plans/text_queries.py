@@ -248,9 +248,8 @@ def boundary_start(spark, sf_dir):
 , charlab AS (SELECT c.doc_id, CAST(c.i AS INTEGER) AS i, coalesce(label, 'O') AS label FROM chars c LEFT JOIN spans ON c.doc_id = spans.doc_id AND c.i >= s AND c.i < e)
 SELECT doc_id, i, CASE WHEN label = 'O' THEN 'O' WHEN lag(label) OVER w IS NULL OR lag(label) OVER w <> label THEN concat('B-', label) ELSE concat('I-', label) END AS iob2 FROM charlab WINDOW w AS (PARTITION BY doc_id ORDER BY i)""".replace(" AND doc_id % 10 = 0 AND pos < 1000000", "").replace(" WHERE doc_id % 10 = 0", ""))
 def char_iob2(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    spans = labelled(spark, sf_dir).where("label <> 'O'").select("doc_id", "start", "end", "label")
-    return ls.char_iob2(spans, docs.where(F.length("text") > 0).select("doc_id", "text"))
+    rows = labelled_lists(spark, sf_dir, keep=["text"])
+    return ls.char_lists(rows.select("doc_id", "text", F.filter("tokens", lambda x: x["label"] != "O").alias("spans")))
 
 
 @query(f"SELECT label, count(*) AS n FROM (SELECT coalesce(entity_type, category, 'none') AS label FROM ({ELEMENTS})) GROUP BY label")

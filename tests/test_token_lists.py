@@ -17,7 +17,7 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["entity_islands", "panel_segments", "entity_in_panel", "mask_sentence", "tagged_json", "iob2_encode", "copy_and_tag", "separate_labels", "entity_list_text", "entity_runs", "role_mask", "lm_examples", "lm_mlm", "lm_nolm", "lm_twin_examples", "twin_pos_mask", "pos_alignment", "subword_islands", "entity_prf_strict", "boundary_tp_fp_fn"])
+@pytest.mark.parametrize("name", ["entity_islands", "panel_segments", "entity_in_panel", "mask_sentence", "tagged_json", "iob2_encode", "copy_and_tag", "separate_labels", "entity_list_text", "entity_runs", "role_mask", "lm_examples", "lm_mlm", "lm_nolm", "lm_twin_examples", "twin_pos_mask", "pos_alignment", "subword_islands", "entity_prf_strict", "boundary_tp_fp_fn", "char_iob2"])
 def test_tokens_are_not_sorted(spark, name):
     found = plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert not re.search(r"\b(Window|Sort|Join|Union)\b", found)
