@@ -274,10 +274,10 @@ def pos_tags(words):
     def tag(w):
         out = None
         for p, ws in LEXICON.items():
-            out = F.when(F.lower(w).isin(*ws), p) if out is None else out.when(F.lower(w).isin(*ws), p)
+            out = F.when(w.isin(*ws), p) if out is None else out.when(w.isin(*ws), p)
         return out.otherwise("NOUN")
 
-    return F.transform(words, tag)
+    return F.transform(F.transform(words, lambda w: F.lower(w)), tag)
 
 
 @query(rf"SELECT doc_id, list_transform(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^ \p{{L}}\p{{N}}]'), lambda w: {POS_SQL}), lambda p: CASE WHEN p IN ('DET', 'CCONJ', 'SCONJ', 'ADP', 'PRON') THEN 1 ELSE 0 END) AS tag_mask FROM documents")
