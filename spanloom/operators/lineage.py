@@ -39,3 +39,10 @@ def fixed(rows: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """rows, computed once and read again from Parquet, so that Spark knows their size."""
+    to = new_folder(rows.sparkSession)
+    rows.write.parquet(to)
+    return rows.sparkSession.read.schema(rows.schema).parquet(to)

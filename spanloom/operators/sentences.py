@@ -8,22 +8,32 @@ in Spark, and words are told by log-likelihood ratios (Kiss and Strunk's unsuper
 * a sentence starter is a word that follows sentence ends more often than its frequency says;
 * a collocation is a pair of words around a dot that stand together more often than alone.
 
-Then each dot is looked at with the words around it. Counts are of words, not of places, when
-they come to the decision: they are joined back to the few words that matter.
+Then each dot is looked at with the words around it. All of that depends on a token and the
+next one alone, so it is done once for each different pair of them and not for each place; of the
+places only those with a mark that may end a sentence are joined to what was decided.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import written
+
 # The method's thresholds.
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 #: A token: a run of what is no white space, less marks at its ends, with the dots that follow it.
 TOKEN = r"\S+"
 NUMBER = r"^[-+]?[0-9.,]*[0-9][0-9.,]*\.?$"
+#: What a token has that may end a sentence before the text's end.
+MARKS = "[.!?…]"
+#: TOKEN and white space as Java has them, for Python.
+_TOKEN, _MARK, _SPACE = re.compile(r"[^ \t\n\x0b\f\r]+"), re.compile(MARKS), " \t\n\x0b\f\r"
 
 
 @dataclass(frozen=True)
@@ -89,27 +99,35 @@ def dotted(tokens: DataFrame) -> DataFrame:
 
 def statistics(tokens: DataFrame, abbreviation: float = ABBREVIATION, starter: float = STARTER, pair: float = COLLOCATION) -> Statistics:
     """What words() tells of its words. Counts are summed on the map side; totals are one row."""
+    pairs = tokens.where(F.col("token").rlike(MARKS) & F.col("after").isNotNull()).groupBy("token", "after").agg(F.count("*").alias("times"))
+    return statistics_of_counts(tokens.groupBy("token").agg(F.count("*").alias("times")), pairs, abbreviation, starter, pair)
+
+
+def statistics_of_counts(types: DataFrame, pairs: DataFrame, abbreviation: float = ABBREVIATION, starter: float = STARTER, pair: float = COLLOCATION) -> Statistics:
+    """statistics() of how often each token (token, times) and each pair with a mark in its first (token, after, times) stands."""
     letters = F.col("word").rlike(r"\p{L}")
-    counts = dotted(tokens)
+    named = types.select(word_type("token").alias("word"), ends_in_dot("token").alias("dot"), "times").where("word <> ''")
+    counts = named.groupBy("word").agg(F.sum("times").alias("n"), F.sum(F.when(F.col("dot"), F.col("times")).otherwise(0)).alias("dots"))
+    counts = written(counts)
     totals = counts.agg(F.sum("n").alias("all_n"), F.sum("dots").alias("all_dots"))
     inner = F.length(F.regexp_replace("word", r"[^.]", "")) + 1
     length = F.length(F.regexp_replace("word", r"\.", ""))
     undotted = F.col("n") - F.col("dots")
     score = dunning(F.col("n"), F.col("all_dots"), F.col("dots"), F.col("all_n")) * F.exp(-length.cast("double")) * inner * F.pow(length.cast("double"), -undotted.cast("double"))
-    abbreviations = counts.where((F.col("dots") > 0) & letters).crossJoin(F.broadcast(totals)).where(score >= abbreviation).select("word").persist()
-    known = tokens.join(abbreviations.withColumn("short", F.lit(True)), "word", "left")
-    ends = known.where(F.col("dot") & F.col("short").isNull() & (F.col("word") != "##number##") & ~initial("token") & F.col("after").isNotNull())
-    following = ends.select("word", word_type("after").alias("next")).where(F.col("next").rlike(r"\p{L}"))
-    breaks = following.groupBy("next").agg(F.count("*").alias("k"))
-    whole = following.agg(F.count("*").alias("sentences"))
+    abbreviations = counts.where((F.col("dots") > 0) & letters).crossJoin(F.broadcast(totals)).where(score >= abbreviation).select("word")
+    abbreviations = written(abbreviations)
+    dotted_pairs = pairs.where(ends_in_dot("token")).select(word_type("token").alias("word"), initial("token").alias("initial"), word_type("after").alias("next"), "times").where(F.col("next").rlike(r"\p{L}"))
+    plain = dotted_pairs.where((F.col("word") != "##number##") & ~F.col("initial"))
+    following = plain.join(abbreviations, "word", "left_anti").groupBy("next").agg(F.sum("times").alias("k"))
+    whole = following.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("sentences"))
     ratio = collocation(F.col("sentences"), F.col("n"), F.col("k"), F.col("all_n"))
     more = F.col("all_n") / F.col("sentences") > F.col("n") / F.col("k")
-    starters = breaks.join(counts.withColumnRenamed("word", "next"), "next").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(totals)).where((ratio >= starter) & more).select(F.col("next").alias("word"))
-    loose = tokens.where(F.col("dot") & ((F.col("word") == "##number##") | initial("token")) & F.col("after").isNotNull()).select("word", word_type("after").alias("next")).where(F.col("next").rlike(r"\p{L}"))
-    pairs = loose.groupBy("word", "next").agg(F.count("*").alias("k")).where("k > 1").join(counts.select("word", F.col("n").alias("n_a")), "word").join(counts.select(F.col("word").alias("next"), F.col("n").alias("n_b")), "next")
+    starters = following.join(counts.withColumnRenamed("word", "next"), "next").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(totals)).where((ratio >= starter) & more).select(F.col("next").alias("word"))
+    loose = dotted_pairs.where((F.col("word") == "##number##") | F.col("initial"))
+    bound = loose.groupBy("word", "next").agg(F.sum("times").alias("k")).where("k > 1").join(counts.select("word", F.col("n").alias("n_a")), "word").join(counts.select(F.col("word").alias("next"), F.col("n").alias("n_b")), "next")
     together = collocation(F.col("n_a"), F.col("n_b"), F.col("k"), F.col("all_n"))
-    pairs = pairs.crossJoin(F.broadcast(totals)).where((F.col("k") < F.least("n_a", "n_b") + 1) & (together >= pair) & (F.col("all_n") / F.col("n_a") > F.col("n_b") / F.col("k"))).select("word", "next")
-    return Statistics(abbreviations, starters, pairs)
+    bound = bound.crossJoin(F.broadcast(totals)).where((F.col("k") < F.least("n_a", "n_b") + 1) & (together >= pair) & (F.col("all_n") / F.col("n_a") > F.col("n_b") / F.col("k"))).select("word", "next")
+    return Statistics(abbreviations, starters, bound)
 
 
 def initial(token: Column | str) -> Column:
@@ -136,14 +154,55 @@ def boundaries(tokens: DataFrame, stats: Statistics, key: str = "doc_id") -> Dat
     return marked.withColumn("ends", ends).select(*tokens.columns, "ends")
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of key, doc and text: key, doc, token, after and end of each token with a mark that another follows."""
+    for batch in batches:
+        row, tokens, afters, ends = [], [], [], []
+        for k, text in enumerate(batch.column(2).to_pylist()):
+            last = None
+            for found in _TOKEN.finditer(text):
+                token = found.group()
+                if last is not None:
+                    row.append(k)
+                    tokens.append(last[0])
+                    afters.append(token)
+                    ends.append(last[1])
+                last = (token, found.end()) if _MARK.search(token) else None
+        at = pa.array(row, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(tokens, pa.string()), pa.array(afters, pa.string()), pa.array(ends, pa.int64())], names=["key", "doc", "token", "after", "end"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of key, text and the ends of sentences: key, number, start, end and sentence of each, text by text."""
+    for batch in batches:
+        row, numbers, starts, ends, found = [], [], [], [], []
+        for k, (text, cuts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            at = 0
+            for number, end in enumerate([*sorted(set(cuts or ())), len(text.rstrip(_SPACE))]):
+                sentence = text[at:end].lstrip(_SPACE)
+                if sentence:
+                    row.append(k)
+                    numbers.append(number)
+                    starts.append(end - len(sentence))
+                    ends.append(end)
+                    found.append(sentence)
+                at = end
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(numbers, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(found, pa.string())], names=["key", "number", "start", "end", "sentence"])
+
+
 def sentences(docs: DataFrame, stats: Statistics | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, number (from 0), start, end, sentence: texts cut at their boundaries; stats: of the documents themselves unless given.
 
-    Null texts and those of white space have no sentences.
+    Null texts and those of white space have no sentences, nor have rows without a key.
     """
-    tokens = words(docs, key, text)
-    marked = boundaries(tokens, stats or statistics(tokens), key)
-    along = Window.partitionBy(key).orderBy("i")
-    numbered = marked.withColumn("number", F.coalesce(F.sum(F.col("ends").cast("long")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    spans = numbered.groupBy(key, "number").agg(F.min("start").alias("start"), F.max(F.col("start") + F.length("token")).alias("end"))
-    return spans.join(docs.select(key, text), key).select(key, "number", "start", "end", F.substring(F.col(text), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("sentence"))
+    kind = dict(docs.dtypes)[key]
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("doc"), F.col(text).alias("text")).where("text is not null").repartition("key", "doc")
+    places = rows.mapInArrow(_marked, f"key {kind}, doc long, token string, after string, end long")
+    pairs = written(places.groupBy("token", "after").agg(F.count("*").alias("times")))
+    if stats is None:
+        types = rows.select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("times"))
+        stats = statistics_of_counts(types, pairs)
+    ends = boundaries(pairs.select("token", "after", word_type("token").alias("word"), ends_in_dot("token").alias("dot")), stats).where("ends").select("token", "after")
+    cuts = places.join(ends, ["token", "after"]).groupBy("key", "doc").agg(F.collect_list("end").alias("cuts"))
+    whole = rows.where("key is not null").join(cuts, ["key", "doc"], "left").select("key", "text", "cuts")
+    return whole.mapInArrow(_cut, f"key {kind}, number long, start long, end long, sentence string").withColumnRenamed("key", key)

@@ -65,3 +65,11 @@ def test_sentences_of_a_fixture(spark, stats):
 def test_an_empty_table_has_no_sentences(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert se.sentences(docs).count() == 0
+
+
+def test_no_text_goes_with_each_of_its_sentences(spark):
+    docs = spark.createDataFrame([(1, "It is. We go."), (1, "We go. It is."), (2, "One."), (2, "One."), (None, "Two.")], "doc_id long, text string")
+    found = se.sentences(docs)
+    # Rows of equal ids are cut by their own texts.
+    assert sorted((r.doc_id, r.number, r.sentence) for r in found.collect()) == [(1, 0, "It is."), (1, 0, "We go."), (1, 1, "It is."), (1, 1, "We go."), (2, 0, "One."), (2, 0, "One.")]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
