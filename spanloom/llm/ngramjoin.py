@@ -429,10 +429,12 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fr
     repeated = dealt.repartitionById(parts, "part").mapInArrow(_repeated(parts), _BLOB)
     whole = repeated.repartitionById(parts, "part").mapInArrow(_whole(percent), "c binary, n long, tokens array<long>").dropDuplicates(["c"])
     classes = work.keep(whole.mapInArrow(_described(percent), "c binary, n long, single long, prefix array<long>, bits binary, tokens array<long>"))
-    postings = work.keep(classes.select("c", "n", "single", "bits", F.explode("prefix").alias("token")))
+    postings = work.keep(classes.select("c", F.explode("prefix").alias("token")))
     lists = postings.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("f1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("f2")).where("m > 1")
     lists = lists.groupBy("m", "f1", "f2").agg(F.min("token").alias("token")).select("token", "m")
-    members = work.keep(postings.join(lists, "token").select("token", "m", "c", "n", "single", "bits"))
+    # Bitmaps go to the members of lists that are left, and not along with each shingle of a prefix.
+    members = postings.join(lists, "token").select("token", "m", "c").join(classes.select("c", "n", "single", "bits"), "c")
+    members = work.keep(members.select("token", "m", "c", "n", "single", "bits"))
     cut = segments(classes, fragments, work)
     labels, links, tested, count = None, None, None, 1
     while True:

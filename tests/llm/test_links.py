@@ -231,3 +231,21 @@ def test_streamed_hash_goes_over_batches(spark):
     ids = spark.range(5000).select(F.lit(1).cast("long").alias("depth"), F.lit(2).cast("long").alias("k1"), F.lit(3).cast("long").alias("k2"), F.col("id").alias("conv_id"))
     found = ids.coalesce(1).sortWithinPartitions("conv_id").mapInArrow(convtrie._streamed_hash, "depth long, k1 long, k2 long, ends_sha256 string").collect()
     assert [r.ends_sha256 for r in found] == [hashlib.sha256(",".join(map(str, range(5000))).encode()).hexdigest()]
+
+
+def test_bitmaps_do_not_go_along_with_each_shingle(spark, monkeypatch):
+    kept = []
+    keep = Workspace.keep
+
+    def noted(self, df, *more):
+        found = keep(self, df, *more)
+        kept.append((set(found.columns), found.count()))
+        return found
+
+    monkeypatch.setattr(Workspace, "keep", noted)
+    rows = [(k, " ".join(f"w{k // 2}x{i}" for i in range(60)) + (" end" if k % 2 else "")) for k in range(20)]
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(k, k - k % 2) for k in range(20)]
+    # A row for each list and member; a class's shingles of the prefix are many more.
+    assert sum(n for columns, n in kept if {"token", "bits"} <= columns) <= 20
+    assert any(n > 20 for columns, n in kept if columns == {"c", "token"})
