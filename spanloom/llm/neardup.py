@@ -52,6 +52,7 @@ MATRIX = 512
 HUBS, NEAR = 8, 8
 PAIRS = 100_000
 CELL_BYTES = 64 << 20
+BITMAP_WORDS = 1 << 18
 TASK_BYTES = 8 << 20
 _ROW = "doc_id long, doc long, n_shingles long, h1 long, h2 long, sig binary"
 
@@ -397,6 +398,25 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
 
 
+def _at(key: str, words: int):
+    """The place of a hash in a bitmap of so many words (a power of two), and its bit."""
+    return F.shiftright(key, 6).bitwiseAND(F.lit(words - 1)), F.col(key).bitwiseAND(F.lit(63)).cast("int")
+
+
+def maybe_among(rows: DataFrame, key: str, wanted: DataFrame, of: str, most: int = BITMAP_WORDS) -> DataFrame:
+    """Rows whose key, a hash, may be one of wanted's: all that are, and of the others a few in a hundred.
+
+    It goes before a join that moves whole rows, so that those without a partner stay where they
+    are. A bitmap of 16 bits for each wanted hash is broadcast; beyond most words of 64 bits it
+    lets more of the others through.
+    """
+    words = 1 << max(0, min(most.bit_length() - 1, (wanted.count() // 4).bit_length()))
+    word, bit = _at(of, words)
+    bitmap = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.expr("1L"), bit)).alias("_bits"))
+    word, bit = _at(key, words)
+    return rows.withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.getbit("_bits", bit) == 1).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES, region: int = REGION, matrix: int = MATRIX) -> DataFrame:
     """One row for each document: doc_id, n_shingles, cls (the number of its class), component_id, kept, doc (a hash of id and text), first.
 
@@ -425,7 +445,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sets_of(involved: DataFrame) -> DataFrame:
         # Both sides of these joins grow with the documents, so they are shuffled at any size.
         where = work.keep(classes.join(involved, "cls").select("cls", F.col("doc_id").alias("i"), F.col("doc").alias("d"))).hint("merge")
-        texts = own.join(where, (F.col("doc") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("cls", "text")
+        # Most texts are involved in nothing, and would be most of what is shuffled.
+        texts = maybe_among(own, "doc", where, "d").join(where, (F.col("doc") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("cls", "text")
         return work.keep(texts.mapInArrow(_full_sets(words), "cls long, n long, set binary").dropDuplicates(["cls"]))
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

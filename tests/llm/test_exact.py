@@ -163,6 +163,29 @@ def components_by_product(texts, percent):
         label = low
 
 
+def test_texts_that_are_involved_in_nothing_stay_where_they_are(spark, monkeypatch):
+    moved = []
+    among = neardup.maybe_among
+
+    def counted(rows, *a, **k):
+        out = among(rows, *a, **k)
+        moved.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "maybe_among", counted)
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(400)]
+    texts += [t + " more" for t in texts[:5]]
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(corpus(spark, texts)).collect()}
+    assert sum(k != v for k, v in got.items()) == 5
+    assert moved and all(n == 405 and m < 60 for n, m in moved)
+    hashes = spark.range(3000).select("id", F.xxhash64("id").alias("h"))
+    for n in (0, 1, 300, 3000):
+        for most in (1, 1 << 18):
+            found = among(hashes, "h", hashes.where(f"id < {n}").select(F.col("h").alias("w")), "w", most)
+            assert found.where(f"id < {n}").count() == n == found.select("id").where(f"id < {n}").distinct().count()
+
+
 @pytest.mark.parametrize(("region", "matrix"), [(16_384, 512), (200, 512), (16_384, 64), (64, 20)])
 def test_a_large_family_loses_no_links_at_any_limit(spark, region, matrix):
     texts = family(random.Random(29), 3200)
