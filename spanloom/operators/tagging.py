@@ -11,19 +11,38 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 
 
+def own_features(word: Column) -> dict[str, Column]:
+    """Named features of a word: itself, its shape and ends."""
+    low = F.lower(word)
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, r"\p{Lu}+", "A"), r"[\p{Ll}]+", "a"), r"\p{N}+", "0")
+    return {"w": low, "s": shape, "p3": F.substring(low, 1, 3), "e3": F.right(low, F.lit(3))}
+
+
+#: The feature that a word gives to the token so many places on.
+GIVEN = {1: "b1", 2: "b2", -1: "a1", -2: "a2"}
+
+
+def _named(values: dict[str, Column]) -> list[Column]:
+    return [F.concat(F.lit(f"{k}="), F.coalesce(v, F.lit("#"))) for k, v in values.items()]
+
+
+def word_features(word: Column) -> tuple[list[Column], dict[int, list[Column]]]:
+    """with_features() by word: those of its own, and those that it gives to tokens around it."""
+    return _named(own_features(word)), {n: _named({k: F.lower(word)}) for n, k in GIVEN.items()}
+
+
 def with_features(tokens: DataFrame, key: str = "doc_id", pos: str = "pos", word: str = "word") -> DataFrame:
     """Tokens with an array of named features: the word, its shape and ends, and the words around it."""
     w = Window.partitionBy(key).orderBy(pos)
     low = F.lower(F.col(word))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, r"\p{Lu}+", "A"), r"[\p{Ll}]+", "a"), r"\p{N}+", "0")
-    named = {"w": low, "s": shape, "p3": F.substring(low, 1, 3), "e3": F.right(low, F.lit(3)), "b1": F.lag(low).over(w), "b2": F.lag(low, 2).over(w), "a1": F.lead(low).over(w), "a2": F.lead(low, 2).over(w)}
-    return tokens.withColumn("features_named", F.array(*[F.concat(F.lit(f"{k}="), F.coalesce(v, F.lit("#"))) for k, v in named.items()]))
+    named = own_features(F.col(word)) | {k: F.lag(low, n).over(w) for n, k in GIVEN.items()}
+    return tokens.withColumn("features_named", F.array(*_named(named)))
 
 
 def fit(tokens: DataFrame, label: str = "iob2", key: str = "doc_id", pos: str = "pos", word: str = "word", buckets: int = BUCKETS, rounds: int = 30, penalty: float = 1e-4) -> PipelineModel:

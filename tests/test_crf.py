@@ -1,11 +1,14 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import crf
+from spanloom.operators import crf, tagging
+from spanloom.operators import labelseq as ls
+from spanloom.operators import tokens as tk
 
 LABELS = ["O", "B-G", "I-G"]
 
@@ -139,3 +142,39 @@ def test_nulls_and_unknown_labels(spark):
     assert set(rows) == {1, 2} and rows[1].gold == [0, 0] and rows[1].positions == [0, 1] and rows[2].gold == [1]
     m = crf.fit(crf.sequences(tokens, "k", "p", LABELS, "y", "f", size=16), crf.model(LABELS, 16), rounds=3)
     assert np.isfinite(m.vector()).all()
+
+
+def test_packed_lists_are_what_rows_are(spark):
+    names = ["O", "B-X", "I-X", "B-Y", "I-Y"]
+    label = lambda w: F.when(w.startswith("x"), "X").when(F.lower(w) == "yé", "Y")
+    docs = spark.createDataFrame([(1, "x1 x2 Ab, yÉ yé x1"), (2, ""), (3, None), (None, "x1"), (4, "x"), (5, "Q x3 1½ İx ΑΣ 𝒳")], "k long, text string")
+    lists = tk.token_lists(docs, "k")
+    packed = crf.packed_sequences(lists, "k", "tokens", tagging.word_features, 1 << 12, label, names)
+    # Nothing along a document is sorted, and no token is a row.
+    assert not re.search(r"\b(Window|Sort|Generate)\b", packed._jdf.queryExecution().optimizedPlan().toString())
+    rows = tk.tokens(docs, "k").withColumn("label", F.coalesce(label(F.col("word")), F.lit("O")))
+    plain = crf.sequences(tagging.with_features(ls.iob2(rows, "label", "k"), "k"), "k", "pos", names, "iob2", "features_named", size=1 << 12)
+    want = {r.k: r for r in plain.collect()}
+    got = {r.k: r for r in packed.collect()}
+    assert set(got) == {1, 2, 4, 5} and got[2].gold == []
+    for k, r in want.items():
+        assert np.frombuffer(got[k].features, "<u2").reshape(-1, got[k].width).tolist() == r.features and got[k].gold == r.gold
+    r = np.random.default_rng(3)
+    m = crf.model(names, 1 << 12)
+    m = m.with_vector(r.normal(size=len(m.vector())))
+    one, two = crf.loss_and_gradient(plain, m), crf.loss_and_gradient(packed, m)
+    assert one[0] == pytest.approx(two[0]) and np.allclose(one[1], two[1]) and one[2] == two[2]
+    assert sorted(crf.as_tokens(crf.predict(plain, "k", m), "k").collect()) == sorted(crf.as_tokens(crf.predict(packed, "k", m), "k").collect())
+
+
+@pytest.mark.parametrize("spread", [1.0, 30.0])
+def test_scaled_masses_are_logarithms_sums(spread):
+    m = some_model(9)
+    r = np.random.default_rng(1)
+    own = np.array([40, 40, 7, 1])
+    e = r.normal(size=(4, 40, len(m.labels))) * spread
+    want, got = crf._logged(m, e, own), crf._scaled(m, e.transpose(1, 0, 2), own)
+    assert all(np.allclose(a, b) for a, b in zip(want, got, strict=True))
+    # Where a mass would be lost, nothing is said.
+    e[0, :2] = [[2000, 0, 0], [0, 0, 2000]]
+    assert crf._scaled(m, e.transpose(1, 0, 2), own) is None
