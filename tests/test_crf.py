@@ -178,3 +178,20 @@ def test_scaled_masses_are_logarithms_sums(spread):
     # Where a mass would be lost, nothing is said.
     e[0, :2] = [[2000, 0, 0], [0, 0, 2000]]
     assert crf._scaled(m, e.transpose(1, 0, 2), own) is None
+
+
+def test_features_are_worked_out_once_for_all_documents(spark):
+    label = lambda w: F.when(w.isin("b", "c"), "X").otherwise("O")
+    names = ["O", "B-X", "I-X"]
+    docs = spark.createDataFrame([(1, "a b c a"), (2, "c"), (3, ""), (4, None), (None, "a"), (5, "b d e f a")], "k int, text string")
+    words = F.when(F.length("text") > 0, F.split("text", " ")).when(F.col("text").isNotNull(), F.array().cast("array<string>"))
+    want = crf.packed_sequences(docs.select("k", words.alias("tokens")), "k", "tokens", tagging.word_features, 1 << 12, label, names, word=None).collect()
+    assert sorted((r.k, len(r.gold), len(r.features)) for r in want) == [(1, 4, 64), (2, 1, 16), (3, 0, 0), (5, 5, 80)]
+    for most in (1, 3, 100):
+        held, table = crf.with_features(docs, words, tagging.word_features, 1 << 12, label, names, "k", most)
+        got = crf.packed_sequences(held.select("k", words.alias("tokens"), "_further"), "k", "tokens", tagging.word_features, 1 << 12, label, names, word=None, table=table)
+        assert table.num_rows == min(most, 6)
+        # Neither features nor labels are made along documents, and only a table that lacks words needs a join.
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "xxhash64" not in plan and ("Join" in plan) == (most < 100)
+        assert sorted(got.collect()) == sorted(want)
