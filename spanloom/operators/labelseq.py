@@ -123,13 +123,20 @@ def char_iob2(spans: DataFrame, texts: DataFrame, key: str = "doc_id", text: str
 
 
 def char_lists(rows: DataFrame, key: str = "doc_id", text: str = "text", spans: str = "spans") -> DataFrame:
-    """char_iob2() where a list of the spans (start, end, label) in order goes with each text."""
-    chars = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1))
-    rows = last_places(rows.select(key, spans, chars.alias("_chars")), F.col("_chars"), F.col(spans)["start"], "_at")
-    over = lambda i: F.get(spans, F.get("_at", i))
-    labels = F.transform("_chars", lambda c, i: F.struct(c.alias("i"), F.when(c < over(i)["end"], over(i)["label"]).otherwise("O").alias("label")))
-    marked = iob2_lists(rows.select(key, labels.alias("_chars")), "label", "_chars")
-    return rows_of(marked, "_chars", key).select(key, "i", "iob2")
+    """char_iob2() where a list of the spans (start, end, label) in order, which do not overlap, goes with each text.
+
+    A list has an item for each span, with the place where the one before ended, and one for what is after the last; characters
+    are rows of plain sequences of an item's, so that nothing is worked out character by character but the row itself.
+    """
+    n, at = F.length(text), F.coalesce(F.size(spans), F.lit(0))
+    end = lambda k: F.when(k > 0, F.get(spans, k - 1)["end"]).otherwise(0).cast("int")
+    goes = lambda x, k: F.coalesce((end(k) == x["start"]) & (F.get(spans, k - 1)["label"] == x["label"]) & (k > 0), F.lit(False))
+    items = F.transform(spans, lambda x, k: F.struct(end(k).alias("before"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["label"].alias("label"), F.when(goes(x, k), "I-").otherwise("B-").alias("first")))
+    rest = F.struct(end(at).alias("before"), n.alias("start"), n.alias("end"), F.lit("O").alias("label"), F.lit("O").alias("first"))
+    held = rows.where(n > 0).select(key, F.concat(F.coalesce(items, F.array().cast("array<struct<before:int,start:int,end:int,label:string,first:string>>")), F.array(rest)).alias("_items"))
+    one = rows_of(held, "_items", key).where(F.col("before") < F.col("end"))
+    chars = one.select(key, "start", F.concat("first", "label").alias("_b"), F.concat(F.lit("I-"), "label").alias("_i"), F.explode(F.sequence("before", F.col("end") - 1)).alias("i"))
+    return chars.select(key, "i", F.when(F.col("i") < F.col("start"), "O").when(F.col("i") == F.col("start"), F.col("_b")).otherwise(F.col("_i")).alias("iob2"))
 
 
 def histogram(labels: DataFrame, label: str = "label") -> DataFrame:

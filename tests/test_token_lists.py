@@ -55,3 +55,18 @@ def test_last_places(spark):
     rows = spark.createDataFrame([(1, [0, 4, 9], [1, 4, 8]), (2, [5], []), (3, [], [2]), (4, None, None), (5, [7, 1], [0])], "k int, p array<long>, s array<long>")
     got = {r.k: r.at for r in tk.last_places(rows, F.col("p"), F.col("s"), "at").collect()}
     assert got == {1: [None, 1, 2], 2: [None], 3: [], 4: None, 5: [0, 0]}
+
+
+def test_characters_are_rows_of_sequences(spark):
+    spans = "array<struct<start:long,end:long,label:string>>"
+    texts = [(1, "abcdefgh", [(0, 2, "X"), (2, 3, "X"), (3, 4, "Y"), (6, 8, "X")]), (2, "a𝒳c", []), (3, "", []), (4, None, None), (5, "abc", None), (6, "abcdef", [(1, 2, "X"), (4, 5, "X")]), (None, "ab", [(1, 2, "X")])]
+    docs = spark.createDataFrame(texts, f"doc_id long, text string, spans {spans}")
+    found = ls.char_lists(docs)
+    want = {1: "B-X I-X I-X B-Y O O B-X I-X", 2: "O O O", 5: "O O O", 6: "O B-X O O B-X O", None: "O B-X"}
+    rows = {}
+    for r in found.collect():
+        rows.setdefault(r.doc_id, {})[r.i] = r.iob2
+    assert {k: " ".join(v[i] for i in range(len(v))) for k, v in rows.items()} == want
+    assert found.dtypes == [("doc_id", "bigint"), ("i", "int"), ("iob2", "string")]
+    # No character goes to Python or through a function of lists.
+    assert "MapInArrow" not in plan(found) and "_chars" not in plan(found)
